@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import ann
+from . import ann, toxicity
 
 
 def queries() -> dict:
-    found = [ann.op7_nearest_neighbours]
+    found = [ann.op7_nearest_neighbours, toxicity.op6_toxicity]
     return {f.__name__: f for f in found}
 
 

@@ -79,12 +79,12 @@ def groups(offsets: np.ndarray, limit: int = BATCH) -> Iterator[tuple[int, int]]
         i = min(j, n)
 
 
-def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def spans(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray = SEPARATOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end of every word, and the first word of each text (n + 1 entries)."""
     if not len(data):
         z = np.zeros(0, np.int64)
         return z, z, np.zeros(len(offsets), np.int64)
-    inside = ~SEPARATOR[data]
+    inside = ~separator[data]
     cut = np.zeros(len(data) + 1, bool)
     cut[offsets] = True
     before = np.empty(len(data), bool)
