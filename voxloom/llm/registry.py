@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import ann, toxicity
+from . import ann, minhash, toxicity
 
 
 def queries() -> dict:
-    found = [ann.op7_nearest_neighbours, toxicity.op6_toxicity]
+    found = [minhash.op2_minhash_near_duplicates, ann.op7_nearest_neighbours, toxicity.op6_toxicity]
     return {f.__name__: f for f in found}
 
 
