@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import ann, minhash, substring, toxicity
+from . import ann, minhash, quality, substring, toxicity
 
 
 def queries() -> dict:
-    found = [minhash.op2_minhash_near_duplicates, ann.op7_nearest_neighbours, toxicity.op6_toxicity, substring.op9_substring_dedup]
+    found = [minhash.op2_minhash_near_duplicates, ann.op7_nearest_neighbours, toxicity.op6_toxicity, substring.op9_substring_dedup, quality.op5_quality]
     return {f.__name__: f for f in found}
 
 

@@ -113,7 +113,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: b
             c[0] = 0
             np.cumsum(table[data[base : base + n]] * powers(_P, n), out=c[1:])
             s, e = starts[i:j] - base, ends[i:j] - base
-            out[i:j] = mix((c[e] - c[s]) * powers(_PINV, n)[s] + (e - s).astype(U))
+            out[i:j] = mix((c[e] - c[s]) * powers(_PINV, n + 1)[s] + (e - s).astype(U))
             i = j
     return out
 
