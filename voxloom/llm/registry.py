@@ -2,13 +2,23 @@
 
 from __future__ import annotations
 
-from . import ann, minhash, quality, substring, toxicity
+from . import ann, decontaminate, lines, minhash, packing, quality, substring, toxicity, urls
 
 
 def queries() -> dict:
-    found = [minhash.op2_minhash_near_duplicates, ann.op7_nearest_neighbours, toxicity.op6_toxicity, substring.op9_substring_dedup, quality.op5_quality]
+    found = [
+        minhash.op2_minhash_near_duplicates,
+        decontaminate.op3_benchmark_decontamination,
+        packing.op4_packing,
+        quality.op5_quality,
+        toxicity.op6_toxicity,
+        ann.op7_nearest_neighbours,
+        urls.op8_url_filter,
+        substring.op9_substring_dedup,
+        lines.op10_line_dedup,
+    ]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_benchmark_decontamination": decontaminate.OP3_SQL, "op8_url_filter": urls.OP8_SQL, "op10_line_dedup": lines.OP10_SQL}
