@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import ann, decontaminate, lines, minhash, packing, quality, substring, toxicity, urls
+from . import ann, decontaminate, lines, minhash, packing, quality, substring, toxicity, urls, warc
 
 
 def queries() -> dict:
     found = [
+        warc.op1_warc,
         minhash.op2_minhash_near_duplicates,
         decontaminate.op3_benchmark_decontamination,
         packing.op4_packing,
@@ -21,4 +22,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_benchmark_decontamination": decontaminate.OP3_SQL, "op8_url_filter": urls.OP8_SQL, "op10_line_dedup": lines.OP10_SQL}
+    return {"op1_warc": warc.OP1_SQL, "op3_benchmark_decontamination": decontaminate.OP3_SQL, "op8_url_filter": urls.OP8_SQL, "op10_line_dedup": lines.OP10_SQL}
