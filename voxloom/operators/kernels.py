@@ -1,0 +1,248 @@
+"""Array kernels in numpy, run once for each tile inside a grouped map.  Arrays are (z, y, x)."""
+
+from __future__ import annotations
+
+import heapq
+
+import numpy as np
+
+
+def gaussian(a: np.ndarray, sigma: tuple[float, float, float], truncate: float = 4.0) -> np.ndarray:
+    """Separable Gaussian with reflected edges; a sigma of 0 leaves its axis alone."""
+    out = a.astype(np.float64)
+    for axis, s in enumerate(sigma):
+        if s <= 0:
+            continue
+        r = int(truncate * s + 0.5)
+        k = np.exp(-0.5 * (np.arange(-r, r + 1) / s) ** 2)
+        k /= k.sum()
+        n = out.shape[axis]
+        at = np.arange(-r, n + r) % (2 * n)
+        at = np.where(at >= n, 2 * n - 1 - at, at)
+        wide = np.take(out, at, axis=axis)
+        out = sum(w * np.take(wide, np.arange(i, i + n), axis=axis) for i, w in enumerate(k))
+    return out
+
+
+def distance(mask: np.ndarray, spacing: tuple[float, float, float] = (1.0, 1.0, 1.0)) -> np.ndarray:
+    """Exact Euclidean distance to the nearest background voxel (squared distances, axis by axis); infinite without background."""
+    d = np.where(mask, np.inf, 0.0)
+    for axis, s in enumerate(spacing):
+        n = d.shape[axis]
+        gap = ((np.arange(n)[:, None] - np.arange(n)[None, :]) * s) ** 2
+        moved = np.moveaxis(d, axis, -1)
+        flat = moved.reshape(-1, n)
+        out = np.empty_like(flat)
+        for i in range(0, len(flat), 4096):
+            part = flat[i : i + 4096]
+            best = np.full(part.shape, np.inf)
+            for j in range(n):
+                np.minimum(best, part[:, j : j + 1] + gap[j], out=best)
+            out[i : i + 4096] = best
+        d = np.moveaxis(out.reshape(moved.shape), -1, axis)
+    return np.sqrt(d)
+
+
+def sphere_offsets(min_distance: float, spacing: tuple[float, float, float]) -> list[tuple[int, int, int]]:
+    """Offsets within the physical radius min_distance * smallest spacing; at least one voxel is looked at on each axis."""
+    r = min_distance * min(spacing)
+    n = [max(1, round(r / s)) for s in spacing]
+    span = [range(-k, k + 1) for k in n]
+    return [(a, b, c) for a in span[0] for b in span[1] for c in span[2] if (a * spacing[0]) ** 2 + (b * spacing[1]) ** 2 + (c * spacing[2]) ** 2 <= r * r + 1e-9]
+
+
+def shifted(a: np.ndarray, o: tuple[int, int, int], fill) -> np.ndarray:
+    """a moved so that result[p] = a[p + o]; ``fill`` outside."""
+    out = np.full_like(a, fill)
+    src = tuple(slice(max(0, k), n + min(0, k)) for k, n in zip(o, a.shape, strict=True))
+    dst = tuple(slice(max(0, -k), n + min(0, -k)) for k, n in zip(o, a.shape, strict=True))
+    if all(s.stop > s.start for s in src):
+        out[dst] = a[src]
+    return out
+
+
+def footprint_max(a: np.ndarray, offs: list[tuple[int, int, int]]) -> np.ndarray:
+    out = a.copy()
+    for o in offs:
+        if any(o):
+            np.maximum(out, shifted(a, o, -np.inf), out=out)
+    return out
+
+
+def peaks(values: np.ndarray, mask: np.ndarray, offs: list[tuple[int, int, int]], prominence: float = 0.0) -> np.ndarray:
+    """Voxels of the mask equal to the maximum of their footprint and above max(minimum, prominence * maximum)."""
+    if not mask.any():
+        return np.zeros_like(mask)
+    level = max(values.min(), prominence * values.max())
+    return mask & (values > level) & (values == footprint_max(values, offs))
+
+
+def neighbours(connectivity: int) -> list[tuple[int, int, int]]:
+    most = {6: 1, 18: 2, 26: 3}[connectivity]
+    r = (-1, 0, 1)
+    return [(a, b, c) for a in r for b in r for c in r if 0 < abs(a) + abs(b) + abs(c) <= most]
+
+
+def components(mask: np.ndarray, connectivity: int = 6) -> np.ndarray:
+    """Labels 1..n in order of each component's first voxel."""
+    flat = np.arange(1, mask.size + 1).reshape(mask.shape)
+    lab = np.where(mask, flat, 0)
+    offs = neighbours(connectivity)
+    big = mask.size + 1
+    while True:
+        low = np.where(mask, lab, big)
+        for o in offs:
+            np.minimum(low, np.where(mask, shifted(low, o, big), big), out=low)
+        low = np.where(mask, low, 0)
+        jump = np.concatenate(([0], low.ravel()))  # label of the voxel that a label names
+        low = np.where(mask, jump[low], 0)
+        if np.array_equal(low, lab):
+            break
+        lab = low
+    ids = np.unique(lab[mask])
+    return np.where(mask, np.searchsorted(ids, lab) + 1, 0)
+
+
+def watershed(height: np.ndarray, markers: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    """Flood from markers in order of height inside the mask over faces; ties by order of arrival."""
+    lab = np.where(mask, markers, 0).astype(np.int64)
+    heap: list[tuple[float, int, tuple[int, int, int]]] = []
+    n = 0
+    for p in np.argwhere(lab > 0):
+        heap.append((float(height[tuple(p)]), n, tuple(map(int, p))))
+        n += 1
+    heapq.heapify(heap)
+    shape = mask.shape
+    while heap:
+        _, _, p = heapq.heappop(heap)
+        for o in neighbours(6):
+            q = (p[0] + o[0], p[1] + o[1], p[2] + o[2])
+            if all(0 <= q[k] < shape[k] for k in range(3)) and mask[q] and not lab[q]:
+                lab[q] = lab[p]
+                heapq.heappush(heap, (float(height[q]), n, q))
+                n += 1
+    return lab
+
+
+def grey_open(a: np.ndarray, offs: list[tuple[int, int, int]]) -> np.ndarray:
+    """Grey opening: minimum, then maximum, over a footprint."""
+    low = -footprint_max(-a.astype(np.float64), offs)
+    return footprint_max(low, [tuple(-k for k in o) for o in offs])
+
+
+def top_hat(a: np.ndarray, radius: int) -> np.ndarray:
+    r = range(-radius, radius + 1)
+    return a - grey_open(a, [(i, j, k) for i in r for j in r for k in r if i * i + j * j + k * k <= radius * radius])
+
+
+def local_mask(a: np.ndarray, block: int = 51) -> np.ndarray:
+    """Slice by slice: above the Gaussian-weighted mean of its surroundings."""
+    s = (block - 1) / 6.0
+    return a > gaussian(a, (0.0, s, s))
+
+
+def bandpass(a: np.ndarray, low_um: float, high_um: float, spacing: tuple[float, float, float]) -> np.ndarray:
+    """Difference of two Gaussians of physical widths."""
+    return gaussian(a, tuple(low_um / s for s in spacing)) - gaussian(a, tuple(high_um / s for s in spacing))
+
+
+def bandpass_mask(a: np.ndarray, low_um: float, high_um: float, spacing: tuple[float, float, float], percentile: float, valid: np.ndarray | None = None) -> np.ndarray:
+    """Above one percentile of the band-passed block, over valid voxels."""
+    b = bandpass(a, low_um, high_um, spacing)
+    ok = np.ones(a.shape, bool) if valid is None else valid
+    return ok & (b > np.percentile(b[ok], percentile)) if ok.any() else ok
+
+
+def slice_mask(a: np.ndarray, percentile: float, floor_k: float = 0.0) -> np.ndarray:
+    """Slice by slice above a percentile and the block's background floor; flat slices have none."""
+    level = -np.inf
+    positive = a[a > 0]
+    if floor_k > 0 and len(positive) >= 100:
+        m = np.median(positive)
+        level = m + floor_k * 1.4826 * np.median(np.abs(positive - m))
+    out = np.zeros(a.shape, bool)
+    for z in range(a.shape[0]):
+        if a[z].max() > a[z].min():
+            out[z] = a[z] > max(np.percentile(a[z], percentile), level)
+    return out
+
+
+def hull_volume(points: np.ndarray) -> float:
+    """Volume of the convex hull of voxel cubes, by facets added one point at a time; 0 for fewer than four points off a plane."""
+    cube = np.array([(i, j, k) for i in (-0.5, 0.5) for j in (-0.5, 0.5) for k in (-0.5, 0.5)])
+    ends = []
+    for _, row in _rows(points):  # only ends of rows along x can be corners
+        ends += [row[0], row[-1]]
+    p = np.unique((np.array(ends)[:, None] + cube).reshape(-1, 3), axis=0)
+    a, b = p[np.lexsort(p.T)[0]], p[np.lexsort(p.T)[-1]]
+    c = p[np.argmax(np.linalg.norm(np.cross(p - a, b - a), axis=1))]
+    normal = np.cross(b - a, c - a)
+    d = p[np.argmax(np.abs((p - a) @ normal))]
+    inner = (a + b + c + d) / 4
+
+    def facet(x, y, z):
+        n = np.cross(y - x, z - x)
+        return (x, y, z, n) if n @ (inner - x) < 0 else (x, z, y, -n)
+
+    facets = [facet(a, b, c), facet(a, b, d), facet(a, c, d), facet(b, c, d)]
+    for q in p:
+        seen = [f for f in facets if f[3] @ (q - f[0]) > 1e-9]
+        if not seen:
+            continue
+        edges: dict[tuple, tuple] = {}
+        for x, y, z, _ in seen:
+            for u, v in ((x, y), (y, z), (z, x)):
+                key = (tuple(v), tuple(u))
+                if key in edges:
+                    del edges[key]
+                else:
+                    edges[tuple(u), tuple(v)] = (u, v)
+        gone = {id(f) for f in seen}
+        facets = [f for f in facets if id(f) not in gone]
+        for u, v in edges.values():
+            n = np.cross(v - u, q - u)
+            facets.append((u, v, q, n))
+    return float(sum(abs((f[0] - inner) @ f[3]) / 6 for f in facets))
+
+
+def _rows(points: np.ndarray):
+    order = np.lexsort(points.T[::-1])
+    s = points[order]
+    cut = np.flatnonzero(np.any(s[1:, :2] != s[:-1, :2], axis=1)) + 1
+    return enumerate(np.split(s, cut))
+
+
+def segment(
+    a: np.ndarray, spacing: tuple[float, float, float] = (1.0, 1.0, 1.0), percentile: float = 90.0, floor_k: float = 0.0, min_distance: float = 4.0, prominence: float = 0.0, smooth_um: float = 1.0, bandpass_um: tuple[float, float] | None = None,
+    min_voxels: int = 20, landscape: str = "dt_smooth", blend: float = 0.5,
+) -> tuple[np.ndarray, np.ndarray]:
+    """(mask, labels): mask, distance transform, smoothing, seeds, watershed, size filter, dense numbers.
+
+    ``landscape`` is what is flooded: the smoothed distance (dt_smooth), its blend with smoothed intensity
+    (int_blend), or the distance of the smoothed mask (dt_from_smooth).  On exactly unit spacing seeds
+    keep apart by index distance along every axis; otherwise by a physical sphere.
+    """
+    mask = bandpass_mask(a, *bandpass_um, spacing, percentile) if bandpass_um else slice_mask(a, percentile, floor_k)
+    if not mask.any():
+        return mask, np.zeros(a.shape, np.int64)
+    sigma = tuple(smooth_um / s for s in spacing)
+    if landscape == "dt_from_smooth":
+        d = distance(gaussian(mask.astype(np.float64), sigma) > 0.5, spacing)
+    else:
+        d = gaussian(np.where(np.isfinite(x := distance(mask, spacing)), x, 0.0), sigma)
+        if landscape == "int_blend":
+            g = gaussian(a, sigma)
+            d = (1 - blend) * d / max(d.max(), 1e-12) + blend * g / max(g.max(), 1e-12)
+    if tuple(spacing) == (1.0, 1.0, 1.0):
+        r = range(-int(min_distance), int(min_distance) + 1)
+        offs = [(i, j, k) for i in r for j in r for k in r]
+    else:
+        offs = sphere_offsets(min_distance, spacing)
+    seeds = components(peaks(np.round(d, 9), mask, offs, prominence), 26)
+    lab = watershed(-d, seeds, mask)
+    sizes = np.bincount(lab.ravel())
+    keep = np.flatnonzero(sizes >= min_voxels)
+    keep = keep[keep > 0]
+    lut = np.zeros(len(sizes), np.int64)
+    lut[keep] = np.arange(1, len(keep) + 1)
+    return mask, lut[lab]
