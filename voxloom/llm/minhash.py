@@ -6,10 +6,11 @@ in at most CHUNKS * (ERRORS + 1) - 1 symbols have a chunk with at most ERRORS di
 to leave out ERRORS symbols of a chunk is an index key, so such pairs always share a key.  At a similarity of
 0.85 a pair fails to (12 or more of 24 symbols differ, in every chunk two) with a probability near 1e-6.
 
-Pairs inside a bucket are not all made.  Every member is compared with three pivots of its bucket;
-then, only where a bucket still holds several components, members are compared with new pivots of
-other components; what is then left between different components is compared in full.  Two documents of one component need no
-further comparison, so no link that could join components is lost.  Exact copies are one node.
+Pairs inside a bucket are not all made.  Every member is compared with three pivots of its bucket, which joins most
+near copies.  Two documents of one component need no further comparison.  A bucket that still holds several components is
+cut into blocks of bounded size; each pair of blocks is one matrix product of shingle incidences, which gives all
+intersections exactly, and only a spanning forest of its links is returned.  So no link that could join components is lost,
+and no row is made for a pair.  Exact copies are one node.
 
 Null, empty or blank texts have no shingles and are linked with nothing.  Repeated ids are separate rows.
 Rows with a null id keep n_shingles and have the component of their exact copies, or null.
@@ -32,6 +33,7 @@ from .shared import importable, written
 CHUNKS, WIDTH, ERRORS = 6, 4, 1
 SYMBOLS = CHUNKS * WIDTH
 WORDS = 5
+BLOCK_ROWS, BLOCK_SHINGLES = 512, 300_000
 
 
 def shingle_sets(texts: pa.Array, words: int = WORDS) -> Iterator[tuple[int, list[np.ndarray]]]:
@@ -161,6 +163,55 @@ def _confirm(least: int):
     return run
 
 
+def _compare(least: int):
+    """A spanning forest of the links inside one pair of blocks (id, label, packed)."""
+
+    def run(t: pa.Table) -> pa.Table:
+        import zstandard
+
+        unpack = zstandard.ZstdDecompressor()
+        ids, at = np.unique(t["id"].to_numpy(), return_index=True)
+        label = t["label"].to_numpy()[at]
+        n = len(ids)
+        edges: list[tuple[int, int]] = []
+        if len(np.unique(label)) > 1:
+            texts = t["packed"].take(pa.array(at)).to_pylist()
+            sets = [s for _, run_ in shingle_sets(pa.array([unpack.decompress(x) for x in texts], pa.large_binary())) for s in run_]
+            size = np.array([len(s) for s in sets])
+            values, doc = np.concatenate(sets), np.repeat(np.arange(n), size)
+            order = np.argsort(values, kind="stable")
+            values, doc = values[order], doc[order]
+            new = np.ones(len(values), bool)
+            new[1:] = values[1:] != values[:-1]
+            col = np.cumsum(new) - 1
+            common = np.bincount(col)[col] > 1
+            col, doc = np.unique(col[common], return_inverse=True)[1], doc[common]
+            both = np.zeros((n, n), np.float32)
+            width = 4096
+            cuts = np.searchsorted(col, np.arange(0, (int(col[-1]) if len(col) else -1) + width + 1, width))
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                x = np.zeros((n, width), np.float32)
+                x[doc[lo:hi], col[lo:hi] % width] = 1
+                both += x @ x.T
+            link = 100 * both.astype(np.float64) >= least * (size[:, None] + size - both)
+            link |= label[:, None] == label
+            waiting = np.ones(n, bool)
+            for root in range(n):
+                if waiting[root]:
+                    waiting[root] = False
+                    front = [root]
+                    while front:
+                        x = front.pop()
+                        for y in np.flatnonzero(link[x] & waiting):
+                            waiting[y] = False
+                            front.append(y)
+                            if label[x] != label[y]:
+                                edges.append((int(ids[x]), int(ids[y])))
+        return pa.table({"a": pa.array([x for x, _ in edges], pa.int64()), "b": pa.array([y for _, y in edges], pa.int64())})
+
+    return run
+
+
 def near_duplicates(docs: DataFrame, least: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs`` (columns doc_id and text are read)."""
     spark = docs.sparkSession
@@ -190,21 +241,17 @@ def near_duplicates(docs: DataFrame, least: int = 85) -> DataFrame:
 
     found = links(members.select(F.col("id").alias("a"), F.explode(F.array("p0", "p1", "p2")).alias("b")))
     labels = components(found)
-    for step in (1, 2):  # further pivots; then every pair left between components
-        here = members.select("key", "id", "n").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-        mixed = here.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.count("*").alias("m"), F.min(F.struct(F.xxhash64("id", F.lit(23)), "id", "label")).alias("q0"), F.max(F.struct(F.xxhash64("id", F.lit(23)), "id", "label")).alias("q1")).where("l0 < l1 and m > 3")
-        left = here.join(mixed, "key")
-        if step == 1:
-            left = left.select("id", "label", F.explode(F.array("q0", "q1")).alias("q")).where("label <> q.label").select(F.col("id").alias("a"), F.col("q.id").alias("b"))
-        else:
-            # Only buckets that still mix components come here, and only pairs across them.
-            left = written(left.select("key", "id", "n", "label"), "mixed")
-            other = left.select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
-            left = left.join(other, "key").where(f"label < lb and least(n, nb) * 100 >= greatest(n, nb) * {least}").select(F.col("id").alias("a"), "b").distinct()
-        more = links(left)
-        if more.limit(1).count():
-            found = written(found.unionByName(more), "links")
-            labels = components(found)
+    # Buckets of up to three members have had every pair; of larger ones those that still hold several components
+    # are cut into blocks, and each pair of blocks is compared whole.
+    here = members.select("key", "id", "n").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    cut = F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
+    mixed = here.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.count("*").alias("m"), cut.alias("blocks")).where("l0 < l1 and m > 3")
+    left = here.join(mixed.select("key", "blocks"), "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    left = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    left = left.select("key", "id", "label", F.least("block", "other").alias("b0"), F.greatest("block", "other").alias("b1")).join(packed, "id")
+    more = written(left.groupBy("key", "b0", "b1").applyInArrow(_compare(least), "a long, b long"), "links")
+    if more.limit(1).count():
+        labels = components(written(found.unionByName(more), "links"))
     node = nodes.select("s0", "s1", "id").join(labels, "id", "left").select("s0", "s1", F.coalesce("label", "id").alias("component"))
     out = signed.drop("sig").join(node, ["s0", "s1"], "left")
     own = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component"))

@@ -101,14 +101,14 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(out, -40, 40)))
 
 
-def fit(y: np.ndarray, buckets: list[np.ndarray], weights: list[np.ndarray], dim: int = 8, epochs: int = 12, batch: int = 64, rate: float = 0.25, seed: int = 5) -> Model:
+def fit(y: np.ndarray, buckets: list[np.ndarray], weights: list[np.ndarray], dim: int = 8, epochs: int = 6, batch: int = 64, rate: float = 0.25, seed: int = 5) -> Model:
     """Stochastic gradient descent on the softmax loss; both classes' output vectors are learned."""
     rng = np.random.default_rng(seed)
     size = 2 << BITS
-    e = rng.normal(0, 0.05, (size, dim)).astype(np.float32)
+    e = rng.normal(0, 0.05, (dim, size)).astype(np.float32)
     w = rng.normal(0, 0.3, (dim, 2)).astype(np.float32)
     c = np.zeros(2, np.float32)
-    ge, gw, gc = np.full((size, dim), 1e-4, np.float32), np.full((dim, 2), 1e-4, np.float32), np.full(2, 1e-4, np.float32)
+    ge, gw, gc = np.full((dim, size), 1e-4, np.float32), np.full((dim, 2), 1e-4, np.float32), np.full(2, 1e-4, np.float32)
     n = len(y)
     for epoch in range(epochs):
         step = rate * (1 - epoch / epochs)
@@ -118,7 +118,7 @@ def fit(y: np.ndarray, buckets: list[np.ndarray], weights: list[np.ndarray], dim
             idx = np.concatenate([buckets[k] for k in pick])
             wt = np.concatenate([weights[k] for k in pick])
             doc = np.repeat(np.arange(len(pick)), [len(buckets[k]) for k in pick])
-            v = np.column_stack([np.bincount(doc, weights=wt * e[idx, k], minlength=len(pick)) for k in range(dim)]).astype(np.float32)
+            v = np.column_stack([np.bincount(doc, weights=wt * e[k][idx], minlength=len(pick)) for k in range(dim)]).astype(np.float32)
             z = v @ w + c
             z -= z.max(axis=1, keepdims=True)
             p = np.exp(z)
@@ -127,16 +127,15 @@ def fit(y: np.ndarray, buckets: list[np.ndarray], weights: list[np.ndarray], dim
             p /= len(pick)
             dv = p @ w.T
             dw, dc = v.T @ p, p.sum(axis=0)
-            used = np.unique(idx)
-            where = np.searchsorted(used, idx)
-            de = np.column_stack([np.bincount(where, weights=wt * dv[doc, k], minlength=len(used)) for k in range(dim)]).astype(np.float32)
-            ge[used] += de * de
-            e[used] -= step * de / np.sqrt(ge[used])
+            for k in range(dim):
+                de = np.bincount(idx, weights=wt * dv[doc, k], minlength=size).astype(np.float32)
+                ge[k] += de * de
+                e[k] -= step * de / np.sqrt(ge[k])
             gw += dw * dw
             w -= step * dw / np.sqrt(gw)
             gc += dc * dc
             c -= step * dc / np.sqrt(gc)
-    return Model((e @ (w[:, 1] - w[:, 0])).astype(np.float64).reshape(2, -1), float(c[1] - c[0]))
+    return Model(((w[:, 1] - w[:, 0]) @ e).astype(np.float64).reshape(2, -1), float(c[1] - c[0]))
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", bound: int = 6_000) -> Model:

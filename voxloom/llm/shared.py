@@ -7,14 +7,14 @@ that is unset (tests on one machine) is a temporary folder made and set.
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-ROOT = str(Path(__file__).resolve().parents[2])
+from ..sources.session import importable
+
+__all__ = ["importable", "shared_dir", "shuffle_partitions", "written"]
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,14 +30,6 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/voxloom-{sc.applicationId}/{uuid.uuid4().hex}"
 
 
-def importable(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver has it (no-op where it is installed)."""
-    env = spark.sparkContext.environment
-    have = env.get("PYTHONPATH", "").split(os.pathsep)
-    if ROOT not in have:
-        env["PYTHONPATH"] = os.pathsep.join([ROOT, *[x for x in have if x]])
-
-
 def written(df: DataFrame, name: str = "table") -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read back: durable, lineage cut."""
     spark = df.sparkSession
