@@ -185,23 +185,25 @@ def hull_volume(points: np.ndarray) -> float:
         return (x, y, z, n) if n @ (inner - x) < 0 else (x, z, y, -n)
 
     facets = [facet(a, b, c), facet(a, b, d), facet(a, c, d), facet(b, c, d)]
-    for q in p:
-        seen = [f for f in facets if f[3] @ (q - f[0]) > 1e-9]
-        if not seen:
-            continue
+    left = p
+    while True:
+        normals = np.array([f[3] for f in facets])
+        above = left @ normals.T - np.einsum("ij,ij->i", normals, np.array([f[0] for f in facets]))
+        left, above = left[out := (above > 1e-9).any(axis=1)], above[out]
+        if not len(left):
+            break
+        far = int(np.argmax((above / np.linalg.norm(normals, axis=1)).max(axis=1)))
+        q, hit = left[far], above[far] > 1e-9
         edges: dict[tuple, tuple] = {}
-        for x, y, z, _ in seen:
+        for x, y, z, _ in (f for f, h in zip(facets, hit, strict=True) if h):
             for u, v in ((x, y), (y, z), (z, x)):
                 key = (tuple(v), tuple(u))
                 if key in edges:
                     del edges[key]
                 else:
                     edges[tuple(u), tuple(v)] = (u, v)
-        gone = {id(f) for f in seen}
-        facets = [f for f in facets if id(f) not in gone]
-        for u, v in edges.values():
-            n = np.cross(v - u, q - u)
-            facets.append((u, v, q, n))
+        facets = [f for f, h in zip(facets, hit, strict=True) if not h]
+        facets += [(u, v, q, n) for u, v in edges.values() if (n := np.cross(v - u, q - u)).any()]
     return float(sum(abs((f[0] - inner) @ f[3]) / 6 for f in facets))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import MAD_TO_SIGMA, wilson
+from .graph import settled
 
 #: Rule weights in the order of reasons.
 WEIGHTS = {
@@ -38,31 +39,27 @@ def density_jumps(tiles: DataFrame, step: int = 128) -> DataFrame:
     return t.withColumn("density_jump", F.coalesce(F.col("usable") & F.col("has_output") & (F.col("n_neighbours") >= 3) & jump, F.lit(False)))
 
 
-def robust_scores(tiles: DataFrame, column: str, floor: float, log: bool = False, least: int = 8) -> DataFrame:
-    """Adds robust_<column>: (x - median) / max(1.4826 MAD, floor) over all non-null rows; null below ``least`` of them.
+OUTLIERS = (("oversized_frac", "oversized_objects", 0.05, False, False), ("tiny_frac", "tiny_objects", 0.05, False, False), ("median_vol_vox", "size_shift", 0.15, True, True), ("ratio_to_blobs", "ratio_shift", 0.3, False, True))
 
-    Two small aggregates, each one row, are joined back; no window over the whole table.
-    """
-    x = F.log(F.greatest(F.col(column), F.lit(1e-9))) if log else F.col(column)
-    t = tiles.withColumn("_x", x)
-    mid = t.agg(F.median("_x").alias("_mid"), F.count("_x").alias("_n"))
-    t = t.join(F.broadcast(mid))
-    mad = t.agg(F.median(F.abs(F.col("_x") - F.col("_mid"))).alias("_mad"))
-    t = t.join(F.broadcast(mad))
-    score = F.when(F.col("_n") >= least, (F.col("_x") - F.col("_mid")) / F.greatest(MAD_TO_SIGMA * F.col("_mad"), F.lit(floor)))
-    return t.withColumn(f"robust_{column}", score).drop("_x", "_mid", "_n", "_mad")
 
+def robust_scores(tiles: DataFrame, measures: tuple[tuple[str, float, bool], ...], least: int = 8) -> DataFrame:
+    """Adds robust_<column> for (column, floor, log): (x - median) / max(1.4826 MAD, floor) over all non-null rows; null below ``least`` of them.
 
-OUTLIERS = (("oversized_frac", "oversized_objects", 0.05, False, False), ("tiny_frac", "tiny_objects", 0.05, False, False), ("median_vol_vox", "size_shift", 0.15, True, True), ("ratio_to_blobs", "ratio_shift", 0.3, False, True))
+    All medians are one aggregate and all MADs another, each one row, joined back; no window over the whole table.
+    """
+    x = {c: F.log(F.greatest(F.col(c), F.lit(1e-9))) if log else F.col(c) for c, _, log in measures}
+    mid = tiles.agg(*[F.median(v).alias(f"_mid_{c}") for c, v in x.items()], *[F.count(v).alias(f"_n_{c}") for c, v in x.items()])
+    mad = tiles.join(F.broadcast(mid)).agg(*[F.median(F.abs(v - F.col(f"_mid_{c}"))).alias(f"_mad_{c}") for c, v in x.items()])
+    out = tiles.join(F.broadcast(mid)).join(F.broadcast(mad))
+    scores = {f"robust_{c}": F.when(F.col(f"_n_{c}") >= least, (x[c] - F.col(f"_mid_{c}")) / F.greatest(MAD_TO_SIGMA * F.col(f"_mad_{c}"), F.lit(floor))) for c, floor, _ in measures}
+    return out.withColumns(scores).drop(*[f"_{s}_{c}" for s in ("mid", "n", "mad") for c in x])
 
 
 def outlier_flags(tiles: DataFrame, limit: float = 4.0) -> DataFrame:
     """Adds a flag for each of the four robust measures, of usable tiles with output only."""
-    for column, flag, floor, log, both in OUTLIERS:
-        tiles = robust_scores(tiles, column, floor, log)
-        s = F.col(f"robust_{column}")
-        tiles = tiles.withColumn(flag, F.coalesce(F.col("usable") & F.col("has_output") & ((F.abs(s) if both else s) > limit), F.lit(False)))
-    return tiles
+    t = robust_scores(tiles, tuple((c, floor, log) for c, _, floor, log, _ in OUTLIERS))
+    flag = {f: F.coalesce(F.col("usable") & F.col("has_output") & ((F.abs(f"robust_{c}") if both else F.col(f"robust_{c}")) > limit), F.lit(False)) for c, f, _, _, both in OUTLIERS}
+    return t.withColumns(flag)
 
 
 def edges(tiles: DataFrame) -> DataFrame:
@@ -73,8 +70,11 @@ def edges(tiles: DataFrame) -> DataFrame:
 
 
 def assessed(tiles: DataFrame, step: int = 128, unlike: float = 0.75) -> DataFrame:
-    """The whole rule chain: flags, priority, reasons joined by ';' and status."""
-    t = outlier_flags(density_jumps(edges(tiles), step))
+    """The whole rule chain: flags, priority, reasons joined by ';' and status.
+
+    Measurements are computed once and written, since several rules aggregate them.
+    """
+    t = outlier_flags(density_jumps(edges(settled(tiles)), step))
     rules: dict[str, Column] = {
         "missing_output": ~F.col("has_output"), "unlike_exemplars": F.col("usable") & (F.col("exemplar_distance") > unlike),
         "no_nuclei_but_signal": F.col("usable") & F.col("has_output") & (F.col("n_nuclei") == 0) & (F.col("contrast_p99") > 3), "density_jump_vs_neighbors": F.col("density_jump"),
@@ -83,7 +83,7 @@ def assessed(tiles: DataFrame, step: int = 128, unlike: float = 0.75) -> DataFra
     t = t.withColumn("priority", sum((F.when(v, WEIGHTS[k]).otherwise(0) for k, v in sure.items()), F.lit(0)))
     t = t.withColumn("_r", F.filter(F.array(*[F.when(v, k) for k, v in sure.items()]), lambda r: r.isNotNull())).withColumn("reasons", F.array_join("_r", ";"))
     status = F.when(~F.col("has_output"), "MISSING").when(~F.col("usable"), "PADDING").when((F.col("priority") >= 5) | (F.size("_r") >= 2), "REVIEW").when(F.size("_r") == 1, "WATCH").otherwise("OK")
-    return t.withColumn("status", status).drop("_r")
+    return settled(t.withColumn("status", status).drop("_r"))
 
 
 def review_list(t: DataFrame) -> DataFrame:

@@ -24,7 +24,9 @@ def query(sql: str | None = None, fixtures: tuple[str, ...] = ()):
         if sql is not None:
             head = X.ctes(*fixtures) if fixtures else ""
             body = sql.strip()
-            if head and body.startswith("with "):
+            if head and body.startswith("with recursive "):
+                body = head.replace("with ", "with recursive ", 1) + ",\n" + body.removeprefix("with recursive ")
+            elif head and body.startswith("with "):
                 body = head + ",\n" + body.removeprefix("with ")
             elif head:
                 body = head + "\n" + body
@@ -372,22 +374,22 @@ def halo_assemble(spark, sf):
 
 def _components_sql(half: str) -> str:
     return (
-        f"with recursive m as (select distinct roi, z, y, x, ((roi * 48 + z) * 48 + y) * 48 + x as id from gt where roi = 0), o(dz,dy,dx) as (values {half}), e as (select a.id as a, b.id as b from m a, o join m b on b.z = a.z + dz and b.y = a.y + dy and b.x = a.x + dx), "
+        f"with recursive m as (select distinct roi, z, y, x, ((roi * 48 + z) * 48 + y) * 48 + x as id from gt where roi = 0 and z < 14), o(dz,dy,dx) as (values {half}), e as (select a.id as a, b.id as b from m a, o join m b on b.z = a.z + dz and b.y = a.y + dy and b.x = a.x + dx), "
         "ee as (select a, b from e union all select b, a from e), r(id, root) as (select id, id from m union select ee.b, r.root from r join ee on ee.a = r.id) select root, count(*) as n from (select id, min(root) as root from r group by id) group by root"
     ).replace("from m a, o join m b", "from m a cross join o join m b")
 
 
 def _component_sizes(spark, sf, connectivity):
-    c = graph.components(X.truth(spark, sf).where("roi = 0"), connectivity)
+    c = graph.components(X.truth(spark, sf).where("roi = 0 and z < 14"), connectivity)
     return c.groupBy((((F.col("root.roi") * 48 + F.col("root.z")) * 48 + F.col("root.y")) * 48 + F.col("root.x")).alias("root")).agg(F.count("*").alias("n"))
 
 
-@query()
+@query(_components_sql("(0,0,1),(0,1,-1),(0,1,0),(0,1,1),(1,-1,-1),(1,-1,0),(1,-1,1),(1,0,-1),(1,0,0),(1,0,1),(1,1,-1),(1,1,0),(1,1,1)"), ("gt",))
 def components_26(spark, sf):
     return _component_sizes(spark, sf, 26)
 
 
-@query()
+@query(_components_sql("(0,0,1),(0,1,0),(1,0,0)"), ("gt",))
 def components_6(spark, sf):
     return _component_sizes(spark, sf, 6)
 
@@ -511,7 +513,7 @@ def blob_density(spark, sf):
 
 @query(
     "with " + _STATS + ", g as (select roi, count(*) as n_objects, sum(area)::bigint as labelled, median(area) as median_volume, avg(case when area > 3 * 150 then 1e0 else 0e0 end) as oversized_frac, avg(case when area < 0.2 * 150 then 1e0 else 0e0 end) as tiny_frac, avg(case when z0 = 0 or z1 = 48 or y0 = 0 or y1 = 48 or x0 = 0 or x1 = 48 then 1e0 else 0e0 end) as border_frac from st group by roi) "
-    "select r.roi, coalesce(n_objects, 0) as n_objects, round(median_volume, 6) as median_volume, round(oversized_frac, 6) as oversized_frac, round(tiny_frac, 6) as tiny_frac, round(border_frac, 6) as border_frac, round(coalesce(n_objects, 0) / 1e0, 6) as per_mvox, round(coalesce(labelled, 0) / 110592e0, 6) as labelled_frac from rois r left join g on g.roi = r.roi",
+    "select r.roi, coalesce(n_objects, 0) as n_objects, round(median_volume, 6) as median_volume, round(oversized_frac, 6) as oversized_frac, round(tiny_frac, 6) as tiny_frac, round(border_frac, 6) as border_frac, round(coalesce(n_objects, 0) / 0.110592e0, 6) as per_mvox, round(coalesce(labelled, 0) / 110592e0, 6) as labelled_frac from rois r left join g on g.roi = r.roi",
     ("gt", "raw"),
 )
 def tile_quality(spark, sf):
