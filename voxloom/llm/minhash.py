@@ -10,7 +10,7 @@ Pairs inside a bucket are not all made.  Every member is compared with three piv
 near copies.  Two documents of one component need no further comparison.  A bucket that still holds several components is
 cut into blocks of bounded size; each pair of blocks is one matrix product of shingle incidences, which gives all
 intersections exactly, and only a spanning forest of its links is returned.  So no link that could join components is lost,
-and no row is made for a pair.  Exact copies are one node.
+and no row is made for a pair: the work in one such bucket still grows with the square of its members, in block products.  Exact copies are one node.
 
 Null, empty or blank texts have no shingles and are linked with nothing.  Repeated ids are separate rows.
 Rows with a null id keep n_shingles and have the component of their exact copies, or null.
