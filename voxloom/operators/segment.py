@@ -23,7 +23,7 @@ def per_tile(voxels: DataFrame, kernel: Callable[[np.ndarray], np.ndarray], valu
         keys += ["tz", "ty", "tx"]
     roi = dict(voxels.dtypes)["roi"]
 
-    def run(key, g: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         lo = g[["z", "y", "x"]].min().to_numpy() if not tile else np.array(key[1:])
         shape = g[["z", "y", "x"]].max().to_numpy() - lo + 1
         a = np.zeros(tuple(shape), np.float64)
@@ -46,7 +46,7 @@ def blob_density(voxels: DataFrame, diameter: float = 8.0) -> DataFrame:
     """(roi, blobs, blobs_per_mvox): peaks of the smoothed block above median + 3 MAD of its non-zero values."""
     roi = dict(voxels.dtypes)["roi"]
 
-    def run(key, g: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         n = g[["z", "y", "x"]].max().to_numpy() + 1
         a = np.zeros(tuple(n))
         a[g["z"], g["y"], g["x"]] = g["v"]
@@ -71,7 +71,7 @@ def solidity(labels: DataFrame, stats: DataFrame, threshold: float) -> DataFrame
     doubt = bound.where(F.col("bound") < threshold).select("roi", "label")
     kinds = dict(labels.dtypes)
 
-    def run(key, g: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         p = g[["z", "y", "x"]].to_numpy().astype(float)
         return pd.DataFrame([[*key, len(p) / K.hull_volume(p)]], columns=["roi", "label", "solidity"])
 

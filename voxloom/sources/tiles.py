@@ -101,7 +101,7 @@ def to_blobs(voxels: DataFrame, size: int) -> DataFrame:
     import numpy as np
     import pandas as pd
 
-    def pack(key, g: pd.DataFrame) -> pd.DataFrame:
+    def pack(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         a = np.zeros((size, size, size), np.uint16)
         a[g["lz"], g["ly"], g["lx"]] = g["v"]
         return pd.DataFrame([[str(key[0]), *map(int, key[1:]), size, size, size, "uint16", a.tobytes()]], columns=BLOB.names)
