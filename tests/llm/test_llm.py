@@ -365,7 +365,7 @@ def test_lines_match_sql(spark):
 
 def test_lines_awkward(spark):
     rows = [(1, "a\nb\nc\nd"), (2, "x\na\nb\nc"), (3, "a\nb\nc\nd\ne"), (4, None), (5, ""), (6, "a\nb"), (7, "\n\n\n\n"), (8, "r\nr\nr\nr\nr")]
-    d = docs(spark, rows).withColumn("n_lines", F.lit("clash")).withColumn("n_chars", F.length("text").cast("long"))
+    d = docs(spark, rows).withColumns({"n_lines": F.lit("clash"), "id": F.lit(1), "_id": F.lit(2), "removed_at": F.lit(3)}).withColumn("n_chars", F.length("text").cast("long"))
     got = {x["doc_id"]: x for x in lines.remove_repeated_lines(d).collect()}
     assert got[1]["text"] == "a\nb\nc\nd" and got[2]["text"] == "x" and got[3]["text"] == "e" and got[4]["text"] is None
     assert got[5]["text"] == "" and got[6]["text"] == "a\nb" and got[7]["n_removed"] == 4 and got[8]["text"] == "r"
@@ -384,3 +384,15 @@ def test_pipeline_stages(spark):
         assert d.columns == ["doc_id", "text", "lang", "source", "n_chars"]
         assert {r["doc_id"] for r in d.select("doc_id").collect()} <= before
     assert pipeline.STAGES[-1][1](spark, d, SF).select("doc_id").distinct().count() == d.count()
+
+
+def test_pipeline_awkward_rows(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    names = ["doc_id", "text", "lang", "source", "n_chars", "toxic", "kept", "id", "w"]
+    d = docs(spark, AWKWARD).selectExpr("*", "cast(null as string) as lang", "'s' as source", "cast(length(text) as long) as n_chars", "1 as toxic", "true as kept", "5 as id", "'x' as w")
+    for _, stage in pipeline.STAGES[:-1]:
+        d = stage(spark, d, SF)
+        assert d.columns == names
+    left = {r["doc_id"] for r in d.select("doc_id").collect()}
+    assert {1, 2, 3, 4, 5, 6, 9, None} <= left
+    assert pipeline.STAGES[-1][1](spark, d, SF).count() >= len(left)

@@ -21,6 +21,7 @@ from .shared import importable
 
 LINES = 3
 LAST = 2**63 - 1
+ID, AT = "__lines_id", "__lines_at"  # names no other column has
 
 
 def _windows(batches):
@@ -53,7 +54,7 @@ def _windows(batches):
 def _strip(kinds: list[str]):
     def run(batches):
         for b in batches:
-            texts, at = b.column("text").to_pylist(), b.column("removed_at")
+            texts, at = b.column("text").to_pylist(), b.column(AT)
             n, gone = [], []
             for k, t in enumerate(texts):
                 p = at[k].as_py() if at[k].is_valid else None
@@ -88,8 +89,8 @@ def remove_repeated_lines(docs: DataFrame) -> DataFrame:
     w = docs.where("instr(text, '\n') > 0").select(ids.alias("id"), "text").mapInArrow(_windows, "w1 long, w2 long, id long, line int")
     first = w.groupBy("w1", "w2").agg(F.min(F.struct("id", "line")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     later = w.join(first, ["w1", "w2"]).where(F.struct("id", "line") > F.col("first"))
-    covered = later.groupBy("id").agg(F.array_sort(F.collect_set("line")).alias("removed_at"))
-    joined = docs.withColumn("_id", ids).join(covered.withColumnRenamed("id", "_id"), "_id", "left").drop("_id")
+    covered = later.groupBy("id").agg(F.array_sort(F.collect_set("line")).alias(AT))
+    joined = docs.withColumn(ID, ids).join(covered.withColumnRenamed("id", ID), ID, "left").drop(ID)
     kinds = docs.columns
     fields = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes)
     out = joined.mapInArrow(_strip(kinds), f"{fields}, n_lines long, n_removed long")
