@@ -101,7 +101,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(out, -40, 40)))
 
 
-def fit(y: np.ndarray, buckets: list[np.ndarray], weights: list[np.ndarray], dim: int = 8, epochs: int = 6, batch: int = 64, rate: float = 0.25, seed: int = 5) -> Model:
+def fit(y: np.ndarray, buckets: list[np.ndarray], weights: list[np.ndarray], dim: int = 8, epochs: int = 12, batch: int = 64, rate: float = 0.25, seed: int = 5) -> Model:
     """Stochastic gradient descent on the softmax loss; both classes' output vectors are learned."""
     rng = np.random.default_rng(seed)
     size = 2 << BITS
@@ -138,7 +138,13 @@ def fit(y: np.ndarray, buckets: list[np.ndarray], weights: list[np.ndarray], dim
     return Model(((w[:, 1] - w[:, 0]) @ e).astype(np.float64).reshape(2, -1), float(c[1] - c[0]))
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", bound: int = 6_000) -> Model:
+def _split(column: pa.ChunkedArray, kind) -> list[np.ndarray]:
+    """Views into a binary column, without copies."""
+    data, offsets = T.buffer(column)
+    return [data[i:j].view(kind) for i, j in zip(offsets[:-1], offsets[1:], strict=True)]
+
+
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", bound: int = 2_500) -> Model:
     """Learn from at most ``bound`` labelled rows outside the held-out fold (see ``training_rows``)."""
     importable(docs.sparkSession)
     rows = training_rows(docs, labels, label, bound)
@@ -146,7 +152,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", bound: int
     y = got["y"].to_numpy().astype(np.int64)
     if not len(y):
         return Model(np.zeros((2, 1 << BITS)), 0.0)
-    b, w = ([np.frombuffer(x, t) for x in got[c].to_pylist()] for c, t in (("buckets", np.int32), ("weights", np.float32)))
+    b, w = (_split(got[c], t) for c, t in (("buckets", np.int32), ("weights", np.float32)))
     order = np.lexsort((np.array([float(x.sum()) for x in w]), np.array([int(x.sum()) for x in b]), y))  # the same order on every run
     return fit(y[order], [b[k] for k in order], [w[k] for k in order])
 
