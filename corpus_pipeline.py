@@ -26,11 +26,11 @@ def lines_once(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate component stays: that of the smallest id.
+    """One document of each near-duplicate component stays: that of the smallest id.  Copies have a similarity of 0.8 at least.
 
     Rows that repeat a kept id all stay, and so do rows without an id, which can't be named.
     """
-    kept = minhash.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
+    kept = minhash.near_duplicates(docs, least=80).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
     kept = kept.unionByName(spark.range(1).select(F.lit(None).cast("long").alias("_kept")))
     return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi").select(*docs.columns)
 

@@ -386,6 +386,24 @@ def test_pipeline_stages(spark):
     assert pipeline.STAGES[-1][1](spark, d, SF).select("doc_id").distinct().count() == d.count()
 
 
+def test_pipeline_near_copies_against_brute_force(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    r = np.random.default_rng(12)
+    rows = []
+    for n in range(0, 120, 3):
+        base = [f"w{v}" for v in r.integers(0, 4000, 200)]
+        for k, edits in enumerate((0, 4, 6)):  # to the first: similarities of 176/216 and 166/226
+            w = list(base)
+            for at in range(edits):
+                w[10 + at * 30] = f"e{n}"
+            rows.append((n + k, " ".join(w)))
+    sets = [shingle_set(t) for _, t in rows]
+    between = sum(80 * len(x | y) <= 100 * len(x & y) < 85 * len(x | y) for x, y in zip(sets[::3], sets[1::3], strict=True))
+    assert between == 40
+    want = {i for i, c in brute_components(rows, 80).items() if c == i}
+    assert {x["doc_id"] for x in pipeline.near_copies_out(spark, docs(spark, rows), SF).collect()} == want
+
+
 def test_pipeline_awkward_rows(spark):
     pipeline = pytest.importorskip("corpus_pipeline")
     names = ["doc_id", "text", "lang", "source", "n_chars", "toxic", "kept", "id", "w"]

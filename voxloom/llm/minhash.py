@@ -4,7 +4,7 @@ A document's signature has CHUNKS x WIDTH symbols of 16 bits, each the low bits
 shingle hashes.  The signature is split into CHUNKS chunks.  By pigeonhole, two signatures that differ
 in at most CHUNKS * (ERRORS + 1) - 1 symbols have a chunk with at most ERRORS differing symbols; every way
 to leave out ERRORS symbols of a chunk is an index key, so such pairs always share a key.  At a similarity of
-0.85 a pair fails to (12 or more of 24 symbols differ, in every chunk two) with a probability near 1e-6.
+0.85 a pair fails to (12 or more of 24 symbols differ, in every chunk two) with a probability near 1e-6, at 0.8 near 3.5e-5.
 
 Pairs inside a bucket are not all made.  Every member is compared with three pivots of its bucket, which joins most
 near copies.  Two documents of one component need no further comparison.  A bucket that still holds several components is
