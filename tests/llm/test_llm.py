@@ -372,6 +372,16 @@ def test_lines_awkward(spark):
     assert got[2]["n_chars"] == 1 and lines.remove_repeated_lines(docs(spark, [])).count() == 0
 
 
+def test_lines_of_rows_that_share_an_id_or_have_none(spark):
+    rows = [(1, "a\nb\nc"), (None, "k\nl\nm\nn\no\np\na\nb\nc"), (None, "q\nr\ns"), (None, "t\nu\nv\nw\nx\ny\nz\n1\n2"), (None, "d\ne\nf"), (None, "d\ne\nf")]
+    rows += [(5, "0\n1\n3\n4\n5\n6\n7\na\nb\nc"), (5, "g\nh\ni"), (5, "j\nj\nk\n9"), (6, "3\n2\n1"), (6, "3\n2\n1")]
+    got = collections.Counter((x["doc_id"], x["text"]) for x in lines.remove_repeated_lines(docs(spark, rows)).collect())
+    want = collections.Counter(rows)
+    want.subtract([rows[1], rows[5], rows[6]])
+    want.update([(None, "k\nl\nm\nn\no\np"), (None, ""), (5, "0\n1\n3\n4\n5\n6\n7")])
+    assert got == +want
+
+
 # --- pipeline ---
 
 

@@ -4,8 +4,9 @@ Lines are what stands between newlines.  Every three consecutive lines of a text
 all documents and inside one, the first by (doc_id, line) stays; the three lines of every later one are
 removed, where covered lines are merged, so overlapping windows remove a line once.  Windows are judged on the input.
 
-Texts of fewer than three lines and null texts stay as they are.  A null id counts as larger than every id.
-Rows of one id are taken for copies of one document: their equal windows at equal lines do not remove each other.
+Texts of fewer than three lines and null texts stay as they are.  A null id counts as larger than every id, and each
+row without one is a document of its own.  Rows of one id and one text are taken for copies of one document: their equal windows at
+equal lines do not remove each other.  Texts that share an id are told apart, and ordered, by a hash.
 Other columns are kept, ``n_chars`` is recounted where there is one.
 """
 
@@ -17,17 +18,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import text as T
-from .shared import importable
+from .shared import importable, written
 
 LINES = 3
 LAST = 2**63 - 1
-ID, AT = "__lines_id", "__lines_at"  # names no other column has
+ID, KEY, AT = "__lines_id", "__lines_key", "__lines_at"  # names no other column has
 
 
 def _windows(batches):
     for b in batches:
         data, offsets = T.buffer(b.column("text"))
-        ids = b.column("id").to_numpy()
+        ids, keys = b.column("id").to_numpy(), b.column("key").to_numpy()
         for i, j in T.groups(offsets):
             d, o = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
             breaks = np.flatnonzero(d == 0x0A)
@@ -46,8 +47,8 @@ def _windows(batches):
                 continue
             keep = np.flatnonzero(doc_s[:m] == doc_s[LINES - 1 :])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(T.ngrams(h, LINES).view(np.int64)[keep]), pa.array(T.ngrams(h, LINES, 7).view(np.int64)[keep]), pa.array(ids[i:j][doc_s[keep]]), pa.array((keep - first[doc_s[keep]]).astype(np.int32))],
-                names=["w1", "w2", "id", "line"],
+                [pa.array(T.ngrams(h, LINES).view(np.int64)[keep]), pa.array(T.ngrams(h, LINES, 7).view(np.int64)[keep]), pa.array(ids[i:j][doc_s[keep]]), pa.array(keys[i:j][doc_s[keep]]), pa.array((keep - first[doc_s[keep]]).astype(np.int32))],
+                names=["w1", "w2", "id", "key", "line"],
             )
 
 
@@ -84,14 +85,18 @@ def remove_repeated_lines(docs: DataFrame) -> DataFrame:
     """Every row of ``docs``, its text without later repeats; adds n_lines and n_removed."""
     importable(docs.sparkSession)
     docs = docs.drop("n_lines", "n_removed")
-    ids = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
-    # Only texts with two newlines at least have a window.
-    w = docs.where("instr(text, '\n') > 0").select(ids.alias("id"), "text").mapInArrow(_windows, "w1 long, w2 long, id long, line int")
-    first = w.groupBy("w1", "w2").agg(F.min(F.struct("id", "line")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = w.join(first, ["w1", "w2"]).where(F.struct("id", "line") > F.col("first"))
-    covered = later.groupBy("id").agg(F.array_sort(F.collect_set("line")).alias(AT))
-    joined = docs.withColumn(ID, ids).join(covered.withColumnRenamed("id", ID), ID, "left").drop(ID)
     kinds = docs.columns
+    # Rows without an id are numbered, in a written table, so that a row has the same number in both passes.
+    unnamed = written(docs.where("doc_id is null").withColumn(KEY, F.monotonically_increasing_id()), "unnamed")
+    rows = docs.where("doc_id is not null").withColumn(KEY, F.xxhash64("text")).unionByName(unnamed)
+    rows = rows.withColumn(ID, F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)))
+    # Only texts with two newlines at least have a window.
+    w = rows.where("instr(text, '\n') > 0").select(F.col(ID).alias("id"), F.col(KEY).alias("key"), "text").mapInArrow(_windows, "w1 long, w2 long, id long, key long, line int")
+    place = F.struct("id", "key", "line")
+    first = w.groupBy("w1", "w2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    later = w.join(first, ["w1", "w2"]).where(place > F.col("first"))
+    covered = later.groupBy("id", "key").agg(F.array_sort(F.collect_set("line")).alias(AT))
+    joined = rows.join(covered.withColumnsRenamed({"id": ID, "key": KEY}), [ID, KEY], "left").drop(ID, KEY)
     fields = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes)
     out = joined.mapInArrow(_strip(kinds), f"{fields}, n_lines long, n_removed long")
     if "n_chars" in kinds:
