@@ -321,6 +321,14 @@ def test_url_list_in_time(spark):
     assert urls.evaluate(c.limit(0), e, day="day").count() == 0
 
 
+def test_url_list_of_deep_paths(spark):
+    e = spark.createDataFrame([("a.com", "2024-01-01", "allow"), ("a.com/1/2/3/4/5", "2024-01-01", "block")], "key string, day string, action string")
+    c = spark.createDataFrame([(1, "http://a.com/1/2/3/4/5/6?q"), (2, "http://a.com/1/2/3/4"), (3, "http://a.com/1/2/3/4/5"), (4, "http://a.com")], "k int, url string").withColumn("fetched", F.lit("2024-01-02"))
+    got = [(r["k"], r["matched_key"], r["blocked"]) for r in urls.evaluate(c, e).orderBy("k").collect()]
+    assert got == [(1, "a.com/1/2/3/4/5", True), (2, "a.com", False), (3, "a.com/1/2/3/4/5", True), (4, "a.com", False)]
+    assert {r["blocked"] for r in urls.evaluate(c, e.limit(0)).collect()} == {False}
+
+
 # --- 9 ---
 
 

@@ -1,7 +1,7 @@
 """URL filters by a temporal list join: entries become validity intervals, captures meet those active at fetch time.
 
 A list entry (key, day, action) holds from its day until the next entry of the same key.  Keys are a
-host, one of its parent domains, or a host with leading path segments.  Of the entries active for a capture the most
+host, one of its parent domains, or a host with any number of leading path segments.  Of the entries active for a capture the most
 specific decides: longer paths, then longer hosts.  Entries of one key and day are one, 'block' before 'allow'.
 
 The as-of join is an equi-join on (key, month) over intervals cut at months, with the day's range as the
@@ -19,7 +19,6 @@ from pyspark.sql import functions as F
 
 HOST = r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/:?#]+)"
 PATH = r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]+(/[^?#]*)"
-SEGMENTS = 3
 FAR = "9999-12-31"
 
 
@@ -31,13 +30,13 @@ def intervals(entries: DataFrame) -> DataFrame:
     return one.withColumn("valid_to", F.coalesce(F.lead("valid_from").over(w), F.to_date(F.lit(FAR))))
 
 
-def candidate_keys(url) -> F.Column:
-    """Array of (key, rank) that may decide over a url, the more specific of higher rank."""
+def candidate_keys(url, deepest: int) -> F.Column:
+    """Array of (key, rank) that may decide over a url, the more specific of higher rank; ``deepest`` is the list's longest path in segments."""
     host = F.lower(F.regexp_extract(url, HOST, 1))
     labels = F.split(host, r"\.")
     domains = F.transform(F.sequence(F.lit(0), F.size(labels) - 1), lambda i: F.struct(F.array_join(F.slice(labels, i + 1, F.size(labels)), ".").alias("key"), (F.size(labels) - i).cast("int").alias("rank")))
     parts = F.filter(F.split(F.regexp_extract(url, PATH, 1), "/"), lambda p: p != "")
-    deep = F.least(F.size(parts), F.lit(SEGMENTS))
+    deep = F.least(F.size(parts), F.lit(deepest))
     paths = F.when(deep > 0, F.transform(F.sequence(F.lit(1), deep), lambda k: F.struct(F.concat(host, F.lit("/"), F.lower(F.array_join(F.slice(parts, 1, k), "/"))).alias("key"), (F.lit(1000) + k).cast("int").alias("rank"))))
     none = F.array().cast("array<struct<key:string,rank:int>>")
     return F.when(host != "", F.concat(domains, F.coalesce(paths, none))).otherwise(none)
@@ -47,7 +46,8 @@ def evaluate(captures: DataFrame, entries: DataFrame, url: str = "url", day: str
     """Every capture with action, matched_key and blocked, by the entries active on its day."""
     captures = captures.drop("action", "matched_key", "blocked")
     seen = captures.where(F.col(url).isNotNull() & F.col(day).isNotNull()).select(F.col(url).alias("_url"), F.to_date(day).alias("_day")).distinct()
-    keys = seen.select("_url", "_day", F.trunc("_day", "month").alias("month"), F.inline(candidate_keys(F.col("_url"))))
+    deepest = entries.agg(F.max(F.size(F.split("key", "/")) - 1)).first()[0] or 0
+    keys = seen.select("_url", "_day", F.trunc("_day", "month").alias("month"), F.inline(candidate_keys(F.col("_url"), deepest)))
     span = intervals(entries)
     # Only months that hold a capture matter, so intervals open at the end stop at the last of them.
     edge = keys.agg(F.min("month").alias("m0"), F.max("month").alias("m1"))
