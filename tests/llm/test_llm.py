@@ -201,6 +201,16 @@ def test_decontamination_finds_edited_items_and_spares_others(spark):
     assert decontaminate.matches(docs(spark, rows), items.limit(0)).count() == 0
 
 
+def test_decontamination_finds_items_cut_at_the_edges_of_a_text(spark):
+    r = np.random.default_rng(9)
+    item = [f"q{v}" for v in r.integers(0, 5000, 60)]
+    pad = [f"p{v}" for v in r.integers(0, 5000, 100)]
+    texts = {1: item[1:] + pad, 2: pad + item[:-1], 3: item[1:], 4: item[:-1], 5: item[:30] + item[31:], 6: item[:40], 7: item[30:] + pad, 8: item[2:-2], 9: item}
+    items = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    got = {x["doc_id"]: (x["start"], x["n_words"]) for x in decontaminate.matches(docs(spark, [(i, " ".join(w)) for i, w in texts.items()]), items).collect()}
+    assert got == {1: (0, 60), 2: (99, 60), 3: (0, 59), 4: (0, 59), 5: (0, 59), 8: (0, 56), 9: (0, 60)}
+
+
 # --- 4 ---
 
 

@@ -1,8 +1,9 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming blocks, exact verification.
 
 1. Shingles (five lower-cased words) of the whole texts meet the shingles of the benchmark.  A hit at
-   word p of a text and word q of an item proposes the item-sized window that starts at p - q.  A window without a
-   common shingle has similarity 0, so nothing is lost; its words are cut out there and then.
+   word p of a text and word q of an item proposes the item-sized window that starts at p - q, moved inside the text where it
+   juts out; a text shorter than the item is the window itself.  A window without a common shingle has similarity 0, so nothing
+   is lost; its words are cut out there and then.
 2. Windows and items get 64-bit SimHash fingerprints of their weighted shingles, cut into BLOCKS blocks of 16 bits.
    Within RADIUS = BLOCKS * (ERRORS + 1) - 1 differing bits some block differs in at most ERRORS bits, so flipping up to half
    of ERRORS bits on either side and joining on (block, value) finds every pair within the radius.
@@ -71,22 +72,23 @@ def matches(docs: DataFrame, items: DataFrame, least: float = 0.8) -> DataFrame:
 
     text = docs.where("text is not null").select("doc_id", words("text").alias("w")).where(F.size("w") >= WORDS)
     seeds = text.select("doc_id", "w", F.posexplode(shingles(F.col("w"))).alias("p", "h"))
-    seeds = seeds.join(hint(at), "h").where("p >= q and p - q + n_words <= size(w)")
-    window = F.slice("w", F.col("p") - F.col("q") + 1, F.col("n_words"))
-    found = seeds.select("doc_id", "item_id", (F.col("p") - F.col("q")).alias("start"), "n_words", shingles(window).alias("s"))
+    seeds = seeds.join(hint(at), "h").withColumns({"start": F.expr("greatest(0, least(p - q, size(w) - n_words))"), "n_words": F.least("n_words", F.size("w"))})
+    seeds = seeds.withColumn("whole", F.col("n_words") == F.size("w"))
+    found = seeds.select("doc_id", "item_id", "start", "n_words", "whole", shingles(F.slice("w", F.col("start") + 1, F.col("n_words"))).alias("s"))
     # Many hits propose the same window: the first is taken map-side, before the shuffle.
-    found = written(found.groupBy("doc_id", "item_id", "start", "n_words").agg(F.first("s").alias("s")), "windows")
+    key = ["doc_id", "start", "n_words", "whole"]
+    found = written(found.groupBy("item_id", *key).agg(F.first("s").alias("s")), "windows")
 
     # One fingerprint a window, whatever item proposed it.
-    exploded = found.select("doc_id", "start", "n_words", "s").dropDuplicates(["doc_id", "start", "n_words"]).select("doc_id", "start", "n_words", F.explode("s").alias("h"))
+    exploded = found.dropDuplicates(key).select(*key, F.explode("s").alias("h"))
     weighed = exploded.join(hint(weight), "h", "left").withColumn("weight", F.coalesce("weight", most))
-    key = ["doc_id", "start", "n_words"]
     windows = weighed.groupBy(*key).agg(_fingerprint("h", F.col("weight")).alias("fp"))
     fps = at.join(hint(weight), "h").groupBy("item_id", "n_words").agg(_fingerprint("h", F.col("weight")).alias("fp"))
     index = _blocks(fps.withColumnsRenamed({"fp": "fp", "n_words": "m_words"})).withColumnRenamed("fp", "item_fp")
     near = _blocks(windows).withColumnRenamed("fp", "window_fp")
     distance = F.bit_count(F.col("window_fp").bitwiseXOR(F.col("item_fp")))
-    pairs = near.join(index, ["block", "value"]).where((F.col("n_words") == F.col("m_words")) & (distance <= RADIUS)).select(*key, "item_id", distance.cast("int").alias("distance")).distinct()
+    fits = (F.col("n_words") == F.col("m_words")) | (F.col("whole") & (F.col("n_words") < F.col("m_words")))
+    pairs = near.join(index, ["block", "value"]).where(fits & (distance <= RADIUS)).select(*key, "item_id", distance.cast("int").alias("distance")).distinct()
 
     # Exact similarity from the shingles of both sides: tf of a shingle in window and item.
     own = weighed.groupBy(*key, "h").agg(F.count("*").alias("tf"), F.first("weight").alias("weight"))
