@@ -91,3 +91,17 @@ def test_missing_neighbours_and_empty(spark):
     c = graph.numbered(graph.components(m, 26))
     assert sorted(r["count"] for r in c.groupBy("label").count().collect()) == [1, 27]
     assert graph.components(m.limit(0)).count() == 0
+
+
+def test_queries_without_sql_reach_every_roi(spark, monkeypatch):
+    from voxloom.plans import queries
+
+    cube = spark.createDataFrame([(roi, z, y, x, 5000 * (roi + 1) if (z, y, x) == (3, 3, 3) else 3000) for roi in (0, 1, 2) for z in range(7) for y in range(7) for x in range(7)], "roi long, z long, y long, x long, v long")
+    monkeypatch.setattr(queries.X, "raw", lambda spark, sf: cube)
+    got = {(r["roi"], r["z"]): r["total"] for r in queries.top_hat(spark, "").collect()}
+    assert got == {(roi, 3): 5000.0 * (roi + 1) - 3000 for roi in (0, 1, 2)}
+    seen = []
+    real = queries.segment.segmented
+    monkeypatch.setattr(queries.segment, "segmented", lambda v, **k: seen.append({r["roi"] for r in v.select("roi").distinct().collect()}) or real(v, **k))
+    queries.landscape_variants(spark, "")
+    assert seen == [{0, 1, 2}] * 3

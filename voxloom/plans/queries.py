@@ -163,7 +163,7 @@ def local_mask(spark, sf):
 
 @query()
 def top_hat(spark, sf):
-    return segment.per_tile(X.raw(spark, sf).where("roi < 2"), lambda a: K.top_hat(a, 2), "h", "double").groupBy("roi", "z").agg(F.sum("h").alias("total"))
+    return segment.per_tile(X.raw(spark, sf), lambda a: K.top_hat(a, 2), "h", "double").groupBy("roi", "z").agg(F.sum("h").alias("total"))
 
 
 @query()
@@ -282,7 +282,7 @@ def segment_tile(spark, sf):
 
 @query()
 def landscape_variants(spark, sf):
-    r, out = X.raw(spark, sf).where("roi = 0"), None
+    r, out = X.raw(spark, sf), None
     for name in ("dt_smooth", "int_blend", "dt_from_smooth"):
         one = segment.segmented(r, percentile=90.0, floor_k=1.5, min_distance=3, min_voxels=60, landscape=name).groupBy("roi").agg(F.countDistinct("label").alias("n")).withColumn("landscape", F.lit(name))
         out = one if out is None else out.unionByName(one)
