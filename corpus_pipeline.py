@@ -12,33 +12,31 @@ from pyspark.sql import functions as F
 
 from voxloom.llm import decontaminate, lines, minhash, packing, shared, toxicity
 
+ADDED = ("__added_1", "__added_2")  # for what a stage adds and drops again, so a caller's columns keep their values
 
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored toxic go; the score is learned from the labelled rows of the documents table."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.train(docs, labels)
-    return toxicity.score(docs, model).where("toxic = 0").select(*docs.columns)
+    return toxicity.score(docs, model, names=ADDED).where(F.col(ADDED[1]) == 0).select(*docs.columns)
 
 
 def lines_once(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later repeats of three-line windows are cut out of the texts; every document stays."""
-    return lines.remove_repeated_lines(docs).select(*docs.columns)
+    return lines.remove_repeated_lines(docs, ADDED).select(*docs.columns)
 
 
 def near_copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate component stays: that of the smallest id.  Copies have a similarity of 0.8 at least.
+    """One document of each near-duplicate component stays, that of the smallest id; copies have a similarity of 0.8 at least.
 
-    Rows that repeat a kept id all stay, and so do rows without an id, which can't be named.
+    Rows without an id and rows that share one are judged by their texts like all others.
     """
-    kept = minhash.near_duplicates(docs, least=80).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    kept = kept.unionByName(spark.range(1).select(F.lit(None).cast("long").alias("_kept")))
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi").select(*docs.columns)
+    return minhash.representatives(docs, least=80)
 
 
 def benchmark_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item, or nearly, go; rows without an id stay."""
-    found = decontaminate.matches(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    """Documents that hold a benchmark item, or nearly, go, with or without an id."""
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

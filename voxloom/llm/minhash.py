@@ -6,14 +6,20 @@ in at most CHUNKS * (ERRORS + 1) - 1 symbols have a chunk with at most ERRORS di
 to leave out ERRORS symbols of a chunk is an index key, so such pairs always share a key.  At a similarity of
 0.85 a pair fails to (12 or more of 24 symbols differ, in every chunk two) with a probability near 1e-6, at 0.8 near 3.5e-5.
 
+Documents are told apart by what their texts hold, never by id: a node is a distinct shingle set, under a number of its own, and
+its copies share it.  Ids come in again at the end, as the smallest of each component.
+
 Pairs inside a bucket are not all made.  Every member is compared with three pivots of its bucket, which joins most
 near copies.  Two documents of one component need no further comparison.  A bucket that still holds several components is
 cut into blocks of bounded size; each pair of blocks is one matrix product of shingle incidences, which gives all
 intersections exactly, and only a spanning forest of its links is returned.  So no link that could join components is lost,
-and no row is made for a pair: the work in one such bucket still grows with the square of its members, in block products.  Exact copies are one node.
+and no row is made for a pair: the work in one such bucket still grows with the square of its members, in block products of BLOCK_ROWS.
+A text moves once to its block, and a block once to each other block of its bucket.
 
-Null, empty or blank texts have no shingles and are linked with nothing.  Repeated ids are separate rows.
-Rows with a null id keep n_shingles and have the component of their exact copies, or null.
+Null, empty or blank texts have no shingles and are linked with nothing.  Repeated ids are separate rows, each judged by its own text, so
+texts that share an id may be in different components.  Rows with a null id link like others; their component is null only if nothing
+they reach has an id, and they are never ``kept`` (``representatives`` keeps one row for such a component too).  Empty tables give no rows;
+other columns are not read, ``representatives`` keeps them.
 """
 
 from __future__ import annotations
@@ -33,7 +39,8 @@ from .shared import importable, written
 CHUNKS, WIDTH, ERRORS = 6, 4, 1
 SYMBOLS = CHUNKS * WIDTH
 WORDS = 5
-BLOCK_ROWS, BLOCK_SHINGLES = 512, 300_000
+BLOCK_ROWS, BLOCK_SHINGLES = 1024, 600_000
+ROW = ["__row_id", "__row_text"]  # an id and a hash of the text, under names no other column has
 
 
 def shingle_sets(texts: pa.Array, words: int = WORDS) -> Iterator[tuple[int, list[np.ndarray]]]:
@@ -97,14 +104,14 @@ def index_keys(sig: np.ndarray) -> np.ndarray:
 
 def _sign(batches):
     for b in batches:
-        ids = b.column("doc_id")
+        ids, hashes = b.column("doc_id"), b.column("text_hash")
         for i, sets in shingle_sets(b.column("text")):
             with np.errstate(over="ignore"):
                 s0 = np.array([s.sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
                 s1 = np.array([T.mix(s, 9).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [ids.slice(i, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array(s0), pa.array(s1), pa.array([x.tobytes() for x in signatures(sets)], pa.binary())],
-                names=["doc_id", "n_shingles", "s0", "s1", "sig"],
+                [ids.slice(i, len(sets)), hashes.slice(i, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array(s0), pa.array(s1), pa.array([x.tobytes() for x in signatures(sets)], pa.binary())],
+                names=["doc_id", "text_hash", "n_shingles", "s0", "s1", "sig"],
             )
 
 
@@ -123,7 +130,7 @@ def _squeeze(batches):
 
     z = zstandard.ZstdCompressor(level=1)
     for b in batches:
-        yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([z.compress(t.encode()) for t in b.column("text").to_pylist()], pa.binary())], names=["id", "packed"])
+        yield pa.RecordBatch.from_arrays([b.column("text_hash"), pa.array([z.compress(t.encode()) for t in b.column("text").to_pylist()], pa.binary())], names=["text_hash", "packed"])
 
 
 def _confirm(least: int):
@@ -212,24 +219,24 @@ def _compare(least: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, least: int = 85) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of ``docs`` (columns doc_id and text are read)."""
-    spark = docs.sparkSession
-    importable(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = written(docs.mapInArrow(_sign, "doc_id long, n_shingles long, s0 long, s1 long, sig binary"), "signatures")
-    # Exact copies: one node, the smallest id; min is combined before the shuffle, so thousands of copies are cheap.
-    nodes = signed.where("n_shingles > 0").groupBy("s0", "s1").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))
-    nodes = written(nodes.where("id is not null"), "nodes")
+def _signed(docs: DataFrame, least: int) -> DataFrame:
+    """(doc_id, text_hash, n_shingles, component, first_id) for every row: the component as a number of its own, and its smallest id."""
+    importable(docs.sparkSession)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
+    signed = written(docs.mapInArrow(_sign, "doc_id long, text_hash long, n_shingles long, s0 long, s1 long, sig binary"), "signatures")
+    # Equal shingle sets are one node, numbered in a written table; all aggregates combine before the shuffle, so thousands of copies are cheap.
+    nodes = signed.where("n_shingles > 0").groupBy("s0", "s1").agg(F.min("doc_id").alias("first_id"), F.min("text_hash").alias("text_hash"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))
+    nodes = written(nodes.withColumn("id", F.monotonically_increasing_id()), "nodes")
     keys = nodes.select("id", "n", "sig").mapInArrow(_keys, "key long, id long, n long")
     seen = F.xxhash64("id", F.lit(11))
     pivots = keys.groupBy("key").agg(F.min("id").alias("p0"), F.max("id").alias("p1"), F.min(F.struct(seen.alias("h"), "id"))["id"].alias("p2")).where("p0 < p1")
     members = written(keys.join(pivots, "key"), "members")
     sizes = nodes.select("id", "n")
-    packed = written(
-        docs.where("text is not null").withColumnRenamed("doc_id", "id").mapInArrow(_squeeze, "id long, packed binary").join(members.select("id").distinct(), "id", "left_semi"),
-        "texts",
-    )
+    # Of each node in a bucket one text moves, compressed: of its copies those of one hash, once.
+    wanted = nodes.select("id", "text_hash").join(members.select("id").distinct(), "id", "left_semi")
+    texts = docs.where("text is not null").select("text_hash", "text").mapInArrow(_squeeze, "text_hash long, packed binary")
+    texts = texts.join(wanted.select("text_hash").distinct(), "text_hash", "left_semi").groupBy("text_hash").agg(F.first("packed").alias("packed"))
+    packed = written(wanted.join(texts, "text_hash").select("id", "packed"), "texts")
 
     def links(pairs: DataFrame) -> DataFrame:
         """Confirmed pairs; a pair whose sizes alone rule it out is dropped before its texts are joined."""
@@ -246,16 +253,46 @@ def near_duplicates(docs: DataFrame, least: int = 85) -> DataFrame:
     here = members.select("key", "id", "n").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     cut = F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
     mixed = here.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.count("*").alias("m"), cut.alias("blocks")).where("l0 < l1 and m > 3")
-    left = here.join(mixed.select("key", "blocks"), "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    left = here.join(mixed.select("key", "blocks"), "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).join(packed, "id")
     left = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    left = left.select("key", "id", "label", F.least("block", "other").alias("b0"), F.greatest("block", "other").alias("b1")).join(packed, "id")
+    left = left.select("key", "id", "label", "packed", F.least("block", "other").alias("b0"), F.greatest("block", "other").alias("b1"))
     more = written(left.groupBy("key", "b0", "b1").applyInArrow(_compare(least), "a long, b long"), "links")
     if more.limit(1).count():
         labels = components(written(found.unionByName(more), "links"))
-    node = nodes.select("s0", "s1", "id").join(labels, "id", "left").select("s0", "s1", F.coalesce("label", "id").alias("component"))
-    out = signed.drop("sig").join(node, ["s0", "s1"], "left")
-    own = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component"))
-    return out.select("doc_id", "n_shingles", own.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+    # The smallest id of each component, by way of its nodes.
+    node = nodes.select("s0", "s1", "id", "first_id").join(labels, "id", "left").select("s0", "s1", "first_id", F.coalesce("label", "id").alias("component"))
+    node = written(node, "node_components")
+    least_id = node.groupBy("component").agg(F.min("first_id").alias("first_id"))
+    node = node.drop("first_id").join(least_id, "component")
+    return signed.drop("sig").join(node, ["s0", "s1"], "left").select("doc_id", "text_hash", "n_shingles", "component", "first_id")
+
+
+def near_duplicates(docs: DataFrame, least: int = 85) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row of ``docs`` (columns doc_id and text are read)."""
+    own = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("first_id"))
+    return _signed(docs, least).select("doc_id", "n_shingles", own.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+
+
+def representatives(docs: DataFrame, least: int = 80) -> DataFrame:
+    """Rows of ``docs``, all columns: of each component the one of the smallest id (without any id, of the smallest hash), and all rows without shingles.
+
+    Rows that share that id, or a text, still leave one row.
+    """
+    rows = _signed(docs, least)
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    best = rows.where("n_shingles > 0").groupBy("component").agg(F.min(place).alias("b")).select(F.col("b.doc_id").alias(ROW[0]), F.col("b.text_hash").alias(ROW[1]))
+    # Of repeated rows one stays: a count by row tells whether there are any, so that only those are grouped.
+    count = rows.groupBy(F.col("doc_id").alias(ROW[0]), F.col("text_hash").alias(ROW[1])).agg(F.count("*").alias("__copies"), F.max("n_shingles").alias("__shingles"))
+    count = count.join(best.withColumn("__best", F.lit(True)), (count[ROW[0]].eqNullSafe(best[ROW[0]])) & (count[ROW[1]] == best[ROW[1]]), "left").select(count["*"], "__best")
+    keep = written(count.where("__best or __shingles = 0").select(*ROW, ((F.col("__copies") > 1) & (F.col("__shingles") > 0)).alias("__many")), "kept")
+    here = docs.withColumns({ROW[0]: F.col("doc_id").cast("long"), ROW[1]: F.xxhash64("text")})
+
+    def rows_of(k: DataFrame) -> DataFrame:
+        return here.join(k, (here[ROW[0]].eqNullSafe(k[ROW[0]])) & (here[ROW[1]] == k[ROW[1]]), "left_semi")
+
+    one = rows_of(keep.where("not __many")).select(*docs.columns)
+    many = rows_of(keep.where("__many")).groupBy(*ROW).agg(F.first(F.struct(*docs.columns)).alias("__row")).select("__row.*")
+    return one.unionByName(many)
 
 
 def op2_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
