@@ -283,15 +283,45 @@ def test_toxicity_on_held_out_rows(spark):
     assert np.mean([got[i] == int(i % 4 == 0) for i in held]) > 0.95
     awkward = toxicity.score(docs(spark, AWKWARD), model).collect()
     assert len(awkward) == len(AWKWARD) and not any(x["toxic"] for x in awkward)
-    assert toxicity.train(d.limit(0), labels).score(np.zeros((1, 4)))[0] == 0.5
+    assert toxicity.train(d.limit(0), labels).score(np.zeros((1, toxicity.EVIDENCE)))[0] == 0.5
 
 
 def test_grammar_raises_and_lowers():
     lex = toxicity.Lexicon({b"zork": 2.0}, {})
-    w = lambda t: toxicity.clause_weight(t.encode(), lex)[0]
+    w = lambda t: toxicity.clause_weight(t.encode(), lex)
     plain = w("that zorky thing")
-    assert w("you zorky thing") > plain > w("not a zorky thing") and w("he said zorky") < plain
-    assert w("kill you") == w("kill") and w("you kill") > w("kill") and w("zork") == 0
+    assert w("you zorky thing") > plain > w("not a zorky thing") and w("he said zorky") < plain and w("zorky like you") == w("you zorky")
+    assert w("i kill you") == w("you i kill") > w("kill time") > w("he said kill you") and w("never kill you") < w("kill you") and w("zork") == 0
+    assert w("zorky zorky") == 2 * plain and w("zorky a b c d you") == plain
+
+
+def test_composition_equals_its_machines_in_turn():
+    moves, acts = toxicity.composed()
+    r = np.random.default_rng(0)
+    state, states = 0, [0] * 5
+    for c in r.integers(0, 6, 4000):
+        symbol = (toxicity.CLASSES[c],)
+        for k, m in enumerate(toxicity.MACHINES):
+            states[k], symbol = m(states[k], symbol)
+        act, state = acts[state, c], moves[state, c]
+        assert (act in (7, 9)) == ("insult waited" in symbol) and (act in (8, 9)) == ("threat waited" in symbol)
+        assert (act in (3, 6)) == ("damped" in symbol) and (1 <= act <= 6) == (symbol[0] in ("insult", "threat"))
+
+
+def test_grammar_beats_its_word_list():
+    """Insults in denials and reports are not toxic here: a word list can't tell them, the learned channels can."""
+    r = np.random.default_rng(21)
+    texts, y = [], []
+    for i in range(600):
+        w = [f"{'abcdefgh'[v % 8]}{v}o" for v in r.integers(0, 300, 40)]
+        w[10:10] = [[], ["you", "zorky"], ["she", "never", "said", "zorky"]][i % 3]
+        texts.append(" ".join(w))
+        y.append(int(i % 3 == 1))
+    y, e = np.array(y), toxicity.evidence(pa.array(texts), toxicity.Lexicon({b"zork": 2.0}, {}))
+    w, b = toxicity._logistic(toxicity.inputs(e[:400]), y[:400])
+    right = np.mean((toxicity.inputs(e[400:]) @ w + b > 0) == (y[400:] == 1))
+    listed = np.mean((e[400:, 2] > 0) == (y[400:] == 1))
+    assert right > 0.99 > 0.7 > listed
 
 
 # --- 7 ---

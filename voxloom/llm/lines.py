@@ -7,7 +7,8 @@ removed, where covered lines are merged, so overlapping windows remove a line on
 Texts of fewer than three lines and null texts stay as they are.  A null id counts as larger than every id, and each
 row without one is a document of its own.  Rows of one id and one text are taken for copies of one document: their equal windows at
 equal lines do not remove each other.  Texts that share an id are told apart, and ordered, by a hash.
-Other columns are kept, ``n_chars`` is recounted where there is one.
+Other columns are kept, ``n_chars`` is recounted where there is one; the two added ones take the names given, and replace columns of
+these names.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -52,7 +53,7 @@ def _windows(batches):
             )
 
 
-def _strip(kinds: list[str]):
+def _strip(kinds: list[str], names: tuple[str, str]):
     def run(batches):
         for b in batches:
             texts, at = b.column("text").to_pylist(), b.column(AT)
@@ -76,15 +77,15 @@ def _strip(kinds: list[str]):
                 gone.append(int(covered.sum()))
                 texts[k] = "\n".join(x for x, c in zip(lines, covered, strict=True) if not c)
             out = {c: b.column(c) for c in kinds} | {"text": pa.array(texts, b.schema.field("text").type)}
-            yield pa.RecordBatch.from_arrays([*out.values(), pa.array(n, pa.int64()), pa.array(gone, pa.int64())], names=[*out, "n_lines", "n_removed"])
+            yield pa.RecordBatch.from_arrays([*out.values(), pa.array(n, pa.int64()), pa.array(gone, pa.int64())], names=[*out, *names])
 
     return run
 
 
-def remove_repeated_lines(docs: DataFrame) -> DataFrame:
-    """Every row of ``docs``, its text without later repeats; adds n_lines and n_removed."""
+def remove_repeated_lines(docs: DataFrame, names: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
+    """Every row of ``docs``, its text without later repeats; adds how many lines it had and how many went, under ``names``."""
     importable(docs.sparkSession)
-    docs = docs.drop("n_lines", "n_removed")
+    docs = docs.drop(*names)
     kinds = docs.columns
     # Rows without an id are numbered, in a written table, so that a row has the same number in both passes.
     unnamed = written(docs.where("doc_id is null").withColumn(KEY, F.monotonically_increasing_id()), "unnamed")
@@ -98,9 +99,9 @@ def remove_repeated_lines(docs: DataFrame) -> DataFrame:
     covered = later.groupBy("id", "key").agg(F.array_sort(F.collect_set("line")).alias(AT))
     joined = rows.join(covered.withColumnsRenamed({"id": ID, "key": KEY}), [ID, KEY], "left").drop(ID, KEY)
     fields = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes)
-    out = joined.mapInArrow(_strip(kinds), f"{fields}, n_lines long, n_removed long")
+    out = joined.mapInArrow(_strip(kinds, names), f"{fields}, `{names[0]}` long, `{names[1]}` long")
     if "n_chars" in kinds:
-        out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.col(names[1]) > 0, F.length("text").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars")))
     return out
 
 

@@ -157,8 +157,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", bound: int
     return fit(y[order], [b[k] for k in order], [w[k] for k in order])
 
 
-def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
-    """Every row of ``docs`` with quality (0 to 1) and good (0 or 1)."""
+def score(docs: DataFrame, model: Model, threshold: float = 0.3, names: tuple[str, str] = ("quality", "good")) -> DataFrame:
+    """Every row of ``docs`` with a score (0 to 1) and a verdict (0 or 1) under ``names``; columns of these names are replaced."""
     spark = docs.sparkSession
     importable(spark)
     shared = spark.sparkContext.broadcast(model)  # 2 * 2**BITS doubles: 1 MB
@@ -167,11 +167,11 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
         m = shared.value
         for b in batches:
             s = m.score(b.column("text"))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[*b.schema.names, "quality", "good"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[*b.schema.names, *names])
 
-    clean = docs.drop("quality", "good")
+    clean = docs.drop(*names)
     fields = ", ".join(f"`{n}` {t}" for n, t in clean.dtypes)
-    return clean.mapInArrow(run, f"{fields}, quality double, good int")
+    return clean.mapInArrow(run, f"{fields}, `{names[0]}` double, `{names[1]}` int")
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

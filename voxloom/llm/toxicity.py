@@ -1,17 +1,18 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Five small transducers read the words of a clause: insult, threat, target, negation and reported
-speech.  Their composition is one machine whose state is the tuple of theirs; along its path every
-insult or threat word emits its weight, raised near a target and lowered inside the scope of a negation
-or of reported speech.  A text's score is a logistic function of its clauses' weights.
-
-The insult lexicon (word stems or whole words with a log-odds weight) is learned from labelled rows by
-greedy set cover: the pattern that explains most labelled toxic texts not yet explained is taken,
-so words that merely accompany insults in copied texts do not enter.  The small word lists below are
-starting values for the other transducers.
-
-Null and empty texts have no clause and score the logistic intercept; repeated rows are scored each;
-texts of any length are read whole.
+Five transducers read the words of a clause one after another, each the output of the one before: negation and reported
+speech mark the insults and threats in their scope, target marks those that follow a person word, insult and threat hand on
+an unmarked one, with its weight, and wait a few words for a person word to come after it.  Their composition is compiled once into one table of states.  It emits
+weights into CHANNELS (insult or threat; plain, aimed at a person, or damped by negation or report), so clauses are scored, not words.
+
+Insult patterns (word stems or whole words with a log-odds weight) are learned from labelled rows by greedy set cover: the pattern
+that explains most labelled toxic texts not yet explained is taken, so words that merely accompany insults in
+copied texts do not enter.  What each channel counts is learned too, by a logistic function that starts from the PRIOR factors.  The small word lists below
+are starting values of the other transducers.
+
+Null and empty texts have no clause and score the logistic intercept; repeated rows are scored each; texts of any length are
+read whole; ties of patterns go to the longer one; an empty table gives no rows, and without labelled toxic rows nothing is toxic.
+Columns of the caller are kept; the two added ones take the names given, and replace columns of these names.
 """
 
 from __future__ import annotations
@@ -19,7 +20,8 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -43,47 +45,67 @@ TARGET = {"you", "your", "youre", "they", "them", "these", "those", "du", "ihr",
 THREAT = {"kill": 3.0, "hurt": 2.0, "destroy": 2.0, "murder": 3.0, "töten": 3.0, "umbringen": 3.0, "tuer": 3.0, "matar": 3.0}
 
 
-@dataclass
-class Transducer:
-    """A deterministic transducer over word classes: arcs[state, class] = (next state, factor for emitted weights)."""
+#: What the classes of words are, and the channels that weights go to.
+CLASSES = ("word", "insult", "threat", "target", "negation", "reported")
+CHANNELS = ("insult", "insult at", "insult damped", "threat", "threat at", "threat damped")
+#: Starting factors of the channels, and how far each scope reaches in words.
+PRIOR = (1.0, 1.5, 0.5, 0.33, 1.0, 0.2)
+NEGATED, QUOTED, BEFORE, INSULT_WAITS, THREAT_WAITS = 3, 8, 6, 3, 4
 
-    arcs: dict = field(default_factory=dict)
-    other: dict = field(default_factory=dict)
 
-    def step(self, state: int, symbol: str) -> tuple[int, float]:
-        return self.arcs.get((state, symbol)) or self.other.get(state, (0, 1.0))
+def _scope(opens: str, mark: str, width: int):
+    """A transducer that marks insults and threats of the ``width`` words after ``opens``."""
 
+    def step(state: int, symbol: tuple) -> tuple[int, tuple]:
+        if symbol[0] == opens:
+            return width, symbol
+        return max(0, state - 1), (symbol + (mark,) if state and symbol[0] in ("insult", "threat") else symbol)
 
-def _scope(opens: str, width: int, factor: float, emits: tuple[str, ...]) -> Transducer:
-    """After ``opens``, weights of the next ``width`` words are multiplied by ``factor``."""
-    t = Transducer()
-    for s in range(width + 1):
-        t.arcs[s, opens] = (width, 1.0)
-        t.other[s] = (max(0, s - 1), 1.0)
-        for e in emits:
-            t.arcs[s, e] = (max(0, s - 1), factor if s else 1.0)
-    return t
+    return step
 
 
-def compose(*machines: Transducer):
-    """One step function on tuples of states: factors multiply."""
+def _waits(kind: str, width: int):
+    """A transducer that lets an unmarked word of ``kind`` wait ``width`` words for a target."""
 
-    def step(states: tuple, symbol: str) -> tuple[tuple, float]:
-        moved = [m.step(s, symbol) for m, s in zip(machines, states, strict=True)]
-        f = 1.0
-        for _, x in moved:
-            f *= x
-        return tuple(s for s, _ in moved), f
+    def step(state: int, symbol: tuple) -> tuple[int, tuple]:
+        if symbol == (kind,):
+            return width, symbol
+        if symbol[0] == "target" and state:
+            return 0, symbol + (f"{kind} waited",)
+        return max(0, state - 1), symbol
 
-    return step, (0,) * len(machines)
+    return step
 
 
-GRAMMAR = (
-    _scope("negation", 3, 0.5, ("insult", "threat")),
-    _scope("reported", 8, 0.6, ("insult", "threat")),
-    _scope("target", 4, 1.5, ("insult",)),
-    _scope("target", 6, 3.0, ("threat",)),
-)
+MACHINES = (_scope("negation", "damped", NEGATED), _scope("reported", "damped", QUOTED), _scope("target", "at", BEFORE), _waits("insult", INSULT_WAITS), _waits("threat", THREAT_WAITS))
+
+
+@lru_cache(maxsize=1)
+def composed() -> tuple[np.ndarray, np.ndarray]:
+    """The composition of MACHINES: next state and action for every (state, class).
+
+    Actions: 0 nothing; 1 + k emits the word's weight to channel k; 7, 8, 9 move what an insult, a threat or both emitted last from plain to aimed.
+    """
+    number, todo, moves, acts = {(0,) * len(MACHINES): 0}, [(0,) * len(MACHINES)], [], []
+    for states in todo:
+        row, act = [], []
+        for name in CLASSES:
+            symbol, after = (name,), []
+            for machine, state in zip(MACHINES, states, strict=True):
+                state, symbol = machine(state, symbol)
+                after.append(state)
+            to = tuple(after)
+            if to not in number:
+                number[to] = len(todo)
+                todo.append(to)
+            row.append(number[to])
+            if name in ("insult", "threat"):
+                act.append(1 + 3 * (name == "threat") + (2 if "damped" in symbol else 1 if "at" in symbol else 0))
+            else:
+                act.append({(False, False): 0, (True, False): 7, (False, True): 8, (True, True): 9}["insult waited" in symbol, "threat waited" in symbol])
+        moves.append(row)
+        acts.append(act)
+    return np.array(moves, np.int32), np.array(acts, np.int8)
 
 
 @dataclass(frozen=True)
@@ -99,25 +121,37 @@ class Lexicon:
         return best
 
 
-def clause_weight(clause: bytes, lexicon: Lexicon) -> tuple[float, int]:
-    """Weight that the composed machine emits on a clause, and how many words emitted."""
-    step, state = compose(*GRAMMAR)
-    total, n = 0.0, 0
+def channels(clause: bytes, lexicon: Lexicon) -> tuple[np.ndarray, int]:
+    """Weights that the composed machine emits on a clause, by channel, and how many insults there are."""
+    moves, acts = composed()
+    out, last, state, n = np.zeros(len(CHANNELS)), [0.0, 0.0], 0, 0
     for raw in WORD.findall(clause):
         word = raw.lower()
         weight = lexicon.weight(word)
         name = word.decode("utf-8", "replace")
         if weight:
-            symbol = "insult"
+            symbol = 1
+            n += 1
         elif name in THREAT:
-            symbol, weight = "threat", THREAT[name] / 3
+            symbol, weight = 2, THREAT[name]
         else:
-            symbol = "negation" if name in NEGATION else "reported" if name in REPORTED else "target" if name in TARGET else "word"
-        state, f = step(state, symbol)
-        if weight:
-            total += weight * f
-            n += symbol == "insult"
-    return total, n
+            symbol = 4 if name in NEGATION else 5 if name in REPORTED else 3 if name in TARGET else 0
+        act = acts[state, symbol]
+        state = moves[state, symbol]
+        if 1 <= act <= 6:
+            out[act - 1] += weight
+            last[symbol - 1] = weight
+        elif act:
+            for k in (0, 1):
+                if act in (7 + k, 9):
+                    out[3 * k] -= last[k]
+                    out[3 * k + 1] += last[k]
+    return out, n
+
+
+def clause_weight(clause: bytes, lexicon: Lexicon) -> float:
+    """A clause's weight by the starting factors."""
+    return float(channels(clause, lexicon)[0] @ np.array(PRIOR))
 
 
 def _first_bytes(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -126,12 +160,16 @@ def _first_bytes(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return d[starts].astype(np.int64) | d[np.minimum(starts + 1, last)].astype(np.int64) << 8 | d[np.minimum(starts + 2, last)].astype(np.int64) << 16
 
 
+EVIDENCE = 4 + len(CHANNELS)
+COLUMNS = [f"e{k}" for k in range(EVIDENCE)]
+
+
 def evidence(texts: pa.Array, lexicon: Lexicon) -> np.ndarray:
-    """Per text: sum of clause weights, largest clause weight, number of insult words, words in all (n x 4)."""
+    """Per text: sum of clause weights, largest clause weight, number of insult words, words in all, then the channels (n x 10)."""
     data, offsets = T.buffer(texts)
-    out = np.zeros((len(offsets) - 1, 4))
+    out = np.zeros((len(offsets) - 1, EVIDENCE))
     keys = {*lexicon.words, *lexicon.stems, *(t.encode() for t in THREAT)}
-    table = np.zeros(1 << 24, bool)
+    table, prior = np.zeros(1 << 24, bool), np.array(PRIOR)
     short = {k for k in keys if len(k) < 3}
     for k in keys - short:
         table[k[0] | k[1] << 8 | k[2] << 16] = True
@@ -155,8 +193,10 @@ def evidence(texts: pa.Array, lexicon: Lexicon) -> np.ndarray:
             hi = min(int(o[k + 1]), int(stops[a]) if a < len(stops) else len(d))
             if lo not in done:
                 done.add(lo)
-                w, n = clause_weight(raw[lo:hi], lexicon)
+                c, n = channels(raw[lo:hi], lexicon)
+                w = float(c @ prior)
                 row = out[i + k]
+                row[4:] += c
                 row[0] += w
                 row[1] = max(row[1], w)
                 row[2] += n
@@ -164,8 +204,8 @@ def evidence(texts: pa.Array, lexicon: Lexicon) -> np.ndarray:
 
 
 def inputs(e: np.ndarray) -> np.ndarray:
-    """What the logistic function sees: total, largest and relative weight."""
-    return np.column_stack([np.minimum(e[:, 0], 12) / 4, np.minimum(e[:, 1], 8) / 4, np.minimum(e[:, 0] / np.sqrt(e[:, 3] + 9), 1.0)])
+    """What the logistic function sees: total, largest and relative weight by the starting factors, and each channel."""
+    return np.column_stack([np.minimum(e[:, 0], 12) / 4, np.minimum(e[:, 1], 8) / 4, np.minimum(e[:, 0] / np.sqrt(e[:, 3] + 9), 1.0), np.minimum(e[:, 4:], 6) / 6])
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,20 +274,24 @@ class Model:
         return 1 / (1 + np.exp(-(inputs(e) @ np.array(self.weights) + self.bias)))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 400) -> tuple[np.ndarray, float]:
-    """Logistic regression by Newton steps with a small ridge."""
+def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 40) -> tuple[np.ndarray, float]:
+    """Logistic regression by Newton steps; the channels are held near the starting factors by a stronger ridge."""
     a = np.column_stack([x, np.ones(len(x))])
     w = np.zeros(a.shape[1])
-    for _ in range(min(rounds, 40)):
+    ridge = np.array([0.01] * 3 + [2.0] * len(CHANNELS) + [0.01])
+    for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        g = a.T @ (p - y) + 0.01 * w
-        h = (a * (p * (1 - p))[:, None]).T @ a + 0.01 * np.eye(a.shape[1])
+        g = a.T @ (p - y) + ridge * w
+        h = (a * (p * (1 - p))[:, None]).T @ a + np.diag(ridge)
         w -= np.linalg.solve(h, g)
     return w[:-1], float(w[-1])
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: int = 20_000, least: int = 4, most_patterns: int = 400) -> Model:
-    """Learn the lexicon and the logistic function from at most ``bound`` labelled rows (see ``training_rows``)."""
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: int = 20_000, least: int = 4, share: float = 0.015) -> Model:
+    """Learn the lexicon and the logistic function from at most ``bound`` labelled rows (see ``training_rows``).
+
+    A pattern is taken while it explains at least ``share`` of the toxic rows, and ``least`` - 1, that no other explains yet.
+    """
     spark = docs.sparkSession
     importable(spark)
     rows = training_rows(docs, labels, label, bound).persist()
@@ -255,25 +299,26 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: int =
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
     if not toxic:
         rows.unpersist()
-        return Model(Lexicon({}, {}), (0.0, 0.0, 0.0), -6.0 if clean else 0.0)
+        return Model(Lexicon({}, {}), (0.0,) * (3 + len(CHANNELS)), -6.0 if clean else 0.0)
     f = rows.mapInArrow(_features, "doc_id long, y int, feature long")
     counts = f.groupBy("feature").agg(F.sum("y").alias("t"), F.sum(1 - F.col("y")).alias("c"))
     rate = (F.col("t") + 0.5) / (toxic + 1) / ((F.col("c") + 0.5) / (clean + 1))
     good = counts.where((F.col("t") >= least) & (rate > 12)).select("feature", "t", "c")
-    # At most as many rows as the sample's toxic texts have words; only their ids and counts come to the driver.
+    # At most as many rows as the sample's toxic texts have words, which the sample's bound on characters limits; ids and counts only.
     pairs = f.where("y = 1").join(good, "feature").select("feature", "doc_id", "t", "c").toPandas()
     cover = {k: (set(g["doc_id"]), int(g["t"].iloc[0]), int(g["c"].iloc[0])) for k, g in pairs.groupby("feature")}
     piece = {r["feature"]: (bytes(r["piece"]), r["whole"]) for r in rows.where("y = 1").mapInArrow(_strings(list(cover)), "feature long, piece binary, whole boolean").dropDuplicates(["feature"]).collect()}
     chosen: dict[int, tuple[int, int]] = {}
     left: set = set(pairs["doc_id"])
     rest = dict(cover)
-    while rest and len(chosen) < most_patterns:
+    gain = max(least - 1, share * toxic)
+    while rest:
         k = max(rest, key=lambda k: (round(len(rest[k][0] & left) * rest[k][1] / (rest[k][1] + 3 * rest[k][2]), 6), len(piece[k][0]), piece[k][1], k))
-        if len(rest[k][0] & left) < least - 1:
+        if len(rest[k][0] & left) < gain:
             break
         chosen[k] = rest.pop(k)[1:]
         left -= cover[k][0]
-        rest = {k: v for k, v in rest.items() if len(v[0] & left) >= least - 1}
+        rest = {k: v for k, v in rest.items() if len(v[0] & left) >= gain}
     # Patterns as frequent as those chosen and never seen in a clean text: other insults of texts explained already.
     usual = 0.25 * max((t for t, _ in chosen.values()), default=0)
     for k, (_, t, c) in sorted(cover.items(), key=lambda x: (-len(piece[x[0]][0]), -piece[x[0]][1], x[0])):
@@ -285,9 +330,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: int =
         weight = float(min(6.0, np.log((t + 0.5) / (toxic + 1)) - np.log((c + 0.5) / (clean + 1)))) / 3
         (words if piece[k][1] else stems)[piece[k][0]] = weight
     lexicon = Lexicon(stems, words)
-    got = rows.mapInArrow(_evidence(lexicon, ("y",)), "y int, e0 double, e1 double, e2 double, e3 double").toPandas()
+    got = rows.mapInArrow(_evidence(lexicon, ("y",)), "y int, " + ", ".join(f"{c} double" for c in COLUMNS)).toPandas()
     rows.unpersist()
-    w, b = _logistic(inputs(got[["e0", "e1", "e2", "e3"]].to_numpy()), got["y"].to_numpy())
+    w, b = _logistic(inputs(got[COLUMNS].to_numpy()), got["y"].to_numpy())
     return Model(lexicon, tuple(map(float, w)), b)
 
 
@@ -295,26 +340,26 @@ def _evidence(lexicon: Lexicon, keep: tuple[str, ...]):
     def run(batches):
         for b in batches:
             e = evidence(b.column("text"), lexicon)
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *(pa.array(e[:, k]) for k in range(4))], names=[*keep, "e0", "e1", "e2", "e3"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *(pa.array(e[:, k]) for k in range(EVIDENCE))], names=[*keep, *COLUMNS])
 
     return run
 
 
-def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
-    """Every row of ``docs`` (its columns doc_id and text) with toxicity (0 to 1) and toxic (0 or 1)."""
+def score(docs: DataFrame, model: Model, threshold: float = 0.5, names: tuple[str, str] = ("toxicity", "toxic")) -> DataFrame:
+    """Every row of ``docs`` (its column text is read) with a score (0 to 1) and a verdict (0 or 1) under ``names``."""
     spark = docs.sparkSession
     importable(spark)
-    shared = spark.sparkContext.broadcast(model)  # at most `most_patterns` patterns
+    shared = spark.sparkContext.broadcast(model)  # patterns that each explain a share of the bounded sample
 
     def run(batches):
         m = shared.value
         for b in batches:
             s = m.score(evidence(b.column("text"), m.lexicon))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in b.schema.names), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[*b.schema.names, "toxicity", "toxic"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[*b.schema.names, *names])
 
-    clean = docs.drop("toxicity", "toxic")
+    clean = docs.drop(*names)
     fields = ", ".join(f"`{n}` {t}" for n, t in clean.dtypes)
-    return clean.mapInArrow(run, f"{fields}, toxicity double, toxic int")
+    return clean.mapInArrow(run, f"{fields}, `{names[0]}` double, `{names[1]}` int")
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
