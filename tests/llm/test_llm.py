@@ -399,8 +399,20 @@ def test_substrings_against_brute_force(spark, chunk):
         for p in r.integers(0, 6, 2):
             w += passages[p] + [f"x{i}"]
         rows.append((i, " ".join(w)))
-    got = collections.Counter((x["doc_id"], x["n_words"], x["n_removed"], x["kept_sha256"]) for x in substring.remove_repeats(docs(spark, rows), chunk_bytes=chunk, blocks=3).collect())
+    found = substring.remove_repeats(docs(spark, rows), chunk_bytes=chunk, blocks=3).collect()
+    got = collections.Counter((x["doc_id"], x["n_words"], x["n_removed"], x["kept_sha256"]) for x in found)
     assert got == brute_repeats(rows)
+    # Each factor is what its source holds at that place, ends where the source goes on otherwise, and their union is what went.
+    words = collections.defaultdict(list)
+    for i, t in rows:
+        words[i].append(WORDS.findall(t or ""))
+    for x in found:
+        own = next(w for w in words[x["doc_id"]] if len(w) == x["n_words"])
+        for f in x["factors"]:
+            n = f["end"] - f["start"]
+            assert n >= 13 and f["source"] < (x["doc_id"] or 1 << 62)
+            assert any(own[f["start"] : f["end"]] == w[f["source_start"] : f["source_start"] + n] for w in words[f["source"]])
+        assert x["n_removed"] == len({p for f in x["factors"] for p in range(f["start"], f["end"])})
     assert substring.remove_repeats(docs(spark, [])).count() == 0
 
 
