@@ -1,13 +1,15 @@
 """Packing: optimal length buckets from the global histogram, token-budget batches inside each.
 
-Texts longer than ``max_tokens`` are cut into pieces of that many tokens and a rest.  The histogram of piece lengths
+Texts longer than ``max_tokens`` are cut into pieces of that many tokens and a rest; each piece carries its slice of the text.  The histogram of piece lengths
 has at most ``max_tokens`` entries, so it may come to the driver whatever the input's size.  Dynamic programming over it
 chooses ``buckets`` boundaries that minimise the total padding to the boundary.  A batch of a bucket holds as many
 pieces as its token budget allows at the boundary's length.
 
 Tokens are maximal runs outside 0x20 and 0x09-0x0D, or those of a tokenizer file where one is given.  Null and
-blank texts have no tokens: one row with bucket and batch null.  A bucket is dealt by hash into shards of about
-``shard_rows`` pieces, so no task gets a whole bucket; each shard's last batch may be short.  Repeated rows are packed each.
+blank texts have no tokens: one row with bucket, batch and text null.  A bucket is dealt by row into shards of about
+``shard_rows`` pieces, so no task gets a whole bucket, whatever ids are null or repeated; each shard's last batch may be short.  Rows are
+numbered once, in a written table: batches are ordered by (doc_id, piece), ties by that number, so which of several rows with one id comes first depends on how the
+input is read.  Repeated rows are packed each.  Other columns are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,21 +25,44 @@ from . import text as T
 from .shared import importable, written
 
 
-def _count(tokenizer_file: str | None):
+def _pieces(max_tokens: int, tokenizer_file: str | None):
+    """Rows of (row, doc_id, piece, start, n_tokens, text), at least one for each text."""
+
     def run(batches):
-        tok = None
+        from pyspark import TaskContext
+
+        number, tok = TaskContext.get().partitionId() << 40, None
         if tokenizer_file:
             from tokenizers import Tokenizer
 
             tok = Tokenizer.from_file(tokenizer_file)
         for b in batches:
-            texts = b.column("text")
-            if tok:
-                n = [len(tok.encode(t or "", add_special_tokens=False).ids) for t in texts.to_pylist()]
-            else:
-                data, offsets = T.buffer(texts)
-                n = np.concatenate([np.diff(T.spans(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])[2]) for i, j in T.groups(offsets)] or [np.zeros(0, np.int64)])
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64())], names=["doc_id", "tokens"])
+            data, offsets = T.buffer(b.column("text"))
+            for i, j in T.groups(offsets):
+                d, o = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+                raw = d.tobytes()
+                if tok:
+                    edges = []
+                    for k in range(j - i):
+                        t = raw[o[k] : o[k + 1]].decode("utf-8", "replace")
+                        at = np.concatenate(([0], np.cumsum([len(c.encode()) for c in t]))) + o[k]
+                        edges.append(at[np.array([e for e in tok.encode(t, add_special_tokens=False).offsets], np.int64).reshape(-1, 2)])
+                    first = np.concatenate(([0], np.cumsum([len(e) for e in edges])))
+                    starts, ends = np.concatenate(edges).T
+                else:
+                    starts, ends, first = T.spans(d, o)
+                n = np.diff(first)
+                many = np.maximum(1, -(-n // max_tokens))
+                text = np.repeat(np.arange(j - i), many)
+                piece = np.arange(len(text)) - np.repeat(np.cumsum(many) - many, many)
+                size = np.minimum(max_tokens, n[text] - piece * max_tokens)
+                at = first[:-1][text] + piece * max_tokens
+                slices = [raw[starts[a] : ends[a + m - 1]].decode("utf-8", "replace") if m else None for a, m in zip(at, size, strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(number + np.arange(len(text))), b.column("doc_id").slice(i, j - i).take(pa.array(text)), pa.array(piece), pa.array(piece * max_tokens), pa.array(size), pa.array(slices, pa.string())],
+                    names=["row", "doc_id", "piece", "start", "n_tokens", "text"],
+                )
+                number += len(text)
 
     return run
 
@@ -72,13 +97,10 @@ def boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[in
 
 
 def pack(docs: DataFrame, buckets: int = 12, budget: int = 65_536, max_tokens: int = 2_048, shard_rows: int = 50_000, tokenizer_file: str | None = None) -> DataFrame:
-    """doc_id, piece, start, n_tokens, bucket_tokens, batch, padding: one row for each piece of every row of ``docs``."""
+    """doc_id, piece, start, n_tokens, bucket_tokens, batch, text, padding: one row for each piece of every row of ``docs``."""
     importable(docs.sparkSession)
-    counted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_count(tokenizer_file), "doc_id long, tokens long")
-    last = F.greatest(F.lit(0), F.ceil(F.col("tokens") / max_tokens) - 1)
-    pieces = counted.select("doc_id", "tokens", F.explode(F.sequence(F.lit(0).cast("long"), last.cast("long"))).alias("piece"))
-    pieces = pieces.select("doc_id", "piece", (F.col("piece") * max_tokens).alias("start"), F.least(F.lit(max_tokens), F.col("tokens") - F.col("piece") * max_tokens).alias("n_tokens"))
-    pieces = written(pieces, "pieces")
+    fields = "row long, doc_id long, piece long, start long, n_tokens long, text string"
+    pieces = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_pieces(max_tokens, tokenizer_file), fields), "pieces")
     histogram = pieces.where("n_tokens > 0").groupBy("n_tokens").agg(F.count("*").alias("n")).toPandas()  # at most max_tokens rows
     bounds = boundaries(histogram["n_tokens"].to_numpy(), histogram["n"].to_numpy(), buckets)
     rows = [int(histogram.loc[(histogram.n_tokens > lo) & (histogram.n_tokens <= hi), "n"].sum()) for lo, hi in zip([0, *bounds], bounds, strict=False)]
@@ -86,12 +108,12 @@ def pack(docs: DataFrame, buckets: int = 12, budget: int = 65_536, max_tokens: i
     for hi, n in reversed(list(zip(bounds, rows, strict=True))):
         here = (F.col("n_tokens") > 0) & (F.col("n_tokens") <= hi)
         size, shards, fits = F.when(here, F.lit(hi).cast("long")).otherwise(size), F.when(here, max(1, math.ceil(n / shard_rows))).otherwise(shards), F.when(here, max(1, budget // hi)).otherwise(fits)
-    out = pieces.select("*", size.alias("bucket_tokens"), F.pmod(F.xxhash64("doc_id", "piece"), shards).alias("shard"), fits.alias("fits"))
-    w = Window.partitionBy("bucket_tokens", "shard").orderBy("doc_id", "piece")
+    out = pieces.select("*", size.alias("bucket_tokens"), F.pmod(F.xxhash64("row"), shards).alias("shard"), fits.alias("fits"))
+    w = Window.partitionBy("bucket_tokens", "shard").orderBy("doc_id", "piece", "row")
     packed = out.where("bucket_tokens is not null").withColumn("k", F.floor((F.row_number().over(w) - 1) / F.col("fits")))
     packed = packed.withColumn("batch", F.concat_ws("-", "bucket_tokens", "shard", "k"))
     empty = out.where("bucket_tokens is null").withColumn("batch", F.lit(None).cast("string"))
-    cols = ["doc_id", "piece", "start", "n_tokens", "bucket_tokens", "batch"]
+    cols = ["doc_id", "piece", "start", "n_tokens", "bucket_tokens", "batch", "text"]
     return packed.select(*cols).unionByName(empty.select(*cols)).withColumn("padding", F.col("bucket_tokens") - F.col("n_tokens"))
 
 
