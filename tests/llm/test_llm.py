@@ -224,14 +224,28 @@ def test_boundaries_are_optimal(hist, k):
     assert len(got) <= k and cost(got) == best
 
 
-def test_packing_keeps_every_token(spark):
-    rows = [(i, " ".join(["w"] * n)) for i, n in enumerate([1, 5, 5, 30, 47, 100, 10, 0])] + [(50, None), (5, "w w")]
-    got = packing.pack(docs(spark, rows), buckets=3, budget=60, max_tokens=40, shard_rows=2).collect()
-    total = collections.Counter()
+@pytest.mark.parametrize("tokenizer", [False, True])
+def test_packing_keeps_every_token(spark, tokenizer):
+    import glob
+
+    files = glob.glob("/opt/tokenizers/**/*tokenizer*.json", recursive=True)
+    if tokenizer and not files:
+        pytest.skip("no tokenizer file")
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(n))) for i, n in enumerate([1, 5, 5, 30, 47, 100, 10, 0])] + [(50, None), (5, "é ß"), (5, "é ß"), (51, " a\tb\n c  ")] + [(None, f"n{k} o") for k in range(30)]
+    d = docs(spark, rows).withColumn("batch", F.lit("clash"))
+    got = packing.pack(d, buckets=3, budget=60, max_tokens=40, shard_rows=8, tokenizer_file=files[0] if tokenizer else None).collect()
+    texts, pieces = collections.Counter(), collections.defaultdict(list)
     for x in got:
-        total[x["doc_id"]] += x["n_tokens"]
-        assert x["n_tokens"] <= (x["bucket_tokens"] or 0)
-    assert total == collections.Counter({0: 1, 1: 5, 2: 5, 3: 30, 4: 47, 5: 102, 6: 10, 7: 0, 50: 0}) or total[5] == 102
+        pieces[x["doc_id"], x["piece"]].append(x)
+        assert (x["n_tokens"] > 0) == (x["text"] is not None) == (x["batch"] is not None)
+        assert x["start"] == 40 * x["piece"] and x["n_tokens"] <= min(40, x["bucket_tokens"] or 0) and (x["padding"] or 0) == (x["bucket_tokens"] or 0) - x["n_tokens"]
+        if not tokenizer and x["text"] is not None:
+            assert len(WORDS.findall(x["text"])) == x["n_tokens"]
+        texts.update((x["doc_id"], w) for w in WORDS.findall(x["text"] or "")) if not tokenizer else None
+    if not tokenizer:
+        assert texts == collections.Counter((i, w) for i, t in rows for w in WORDS.findall(t or ""))
+        assert [x["text"].split()[0] for p in range(3) for x in pieces[5, p] if x["text"].startswith("w5")] == ["w5x0", "w5x40", "w5x80"]
+    assert len({x["batch"].split("-")[1] for x in got if x["doc_id"] is None}) > 1  # rows without an id are dealt to several shards
     batches = collections.defaultdict(list)
     for x in got:
         if x["batch"]:
@@ -369,6 +383,16 @@ def test_url_list_of_deep_paths(spark):
     assert {r["blocked"] for r in urls.evaluate(c, e.limit(0)).collect()} == {False}
 
 
+def test_url_list_within_a_day_and_with_clashing_columns(spark):
+    e = spark.createDataFrame([("b.com", "2024-01-10 18:00:00", "block"), ("b.com", "2024-01-11 06:30:00", "allow"), ("b.com", "not a time", "block"), ("net", "2024-01-31 23:59:59", "block")], "key string, day string, action string")
+    times = ["2024-01-10 09:00:00", "2024-01-10 18:00:00", "2024-01-11 06:29:59", "2024-01-11 06:30:00"]
+    rows = [(i, "http://b.com/x", t) for i, t in enumerate(times)] + [(4, "http://c.net", "2024-01-31 23:59:58"), (5, "http://c.net", "2024-02-29 00:00:00"), (6, "http://c.net", "never")]
+    c = spark.createDataFrame(rows, "_day int, url string, fetched string").withColumns({"_url": F.lit("mine"), "key": F.lit(1), "month": F.lit(2), "rank": F.lit(3)})
+    got = urls.evaluate(c, e).orderBy("_day").collect()
+    assert [r["blocked"] for r in got] == [False, True, True, False, False, True, False]
+    assert {(r["_url"], r["key"], r["month"], r["rank"]) for r in got} == {("mine", 1, 2, 3)}
+
+
 # --- 9 ---
 
 
