@@ -181,6 +181,27 @@ def test_components_of_a_chain(spark):
     assert {got[i] for i in range(41)} == {0} and got[101] == 100
 
 
+def near(rng, words, edits):
+    w = list(words)
+    for at in rng.choice(len(w), edits, replace=False):
+        w[at] = f"e{rng.integers(0, 10**9)}"
+    return " ".join(w)
+
+
+def test_near_duplicates_of_rows_that_share_an_id_or_have_none(spark):
+    r = np.random.default_rng(31)
+    a, b, c, d = ([f"{x}{v}" for v in r.integers(0, 5000, 200)] for x in "abcd")
+    rows = [(3, " ".join(a)), (8, near(r, a, 2)), (8, " ".join(b)), (9, near(r, b, 2)), (None, near(r, c, 0)), (None, near(r, c, 2)), (None, " ".join(d)), (11, near(r, d, 2)), (None, None), (12, "x y z x y z"), (12, "x y z x y z")]
+    got = collections.Counter((x["doc_id"], x["component_id"], x["kept"]) for x in minhash.near_duplicates(docs(spark, rows)).collect())
+    assert got == collections.Counter([(3, 3, True), (8, 3, False), (8, 8, True), (9, 8, False), (None, None, False), (None, None, False), (None, 11, False), (11, 11, True), (None, None, False), (12, 12, True), (12, 12, True)])
+    clash = docs(spark, rows).withColumns({"id": F.lit(1), "key": F.lit(2), "component": F.lit(3), "kept": F.lit("mine")})
+    left = minhash.representatives(clash).collect()
+    texts = collections.Counter((x["doc_id"], x["text"]) for x in left)
+    want = [rows[0], rows[2], rows[7], rows[8], rows[9]]
+    assert all(texts.pop(w) == 1 for w in want) and set(texts) < {rows[4], rows[5]} and sum(texts.values()) == 1
+    assert {(x["id"], x["key"], x["component"], x["kept"]) for x in left} == {(1, 2, 3, "mine")}
+
+
 # --- 3 ---
 
 
@@ -211,6 +232,49 @@ def test_decontamination_finds_items_cut_at_the_edges_of_a_text(spark):
     assert got == {1: (0, 60), 2: (99, 60), 3: (0, 59), 4: (0, 59), 5: (0, 59), 8: (0, 56), 9: (0, 60)}
 
 
+def brute_windows(rows, items, least=0.8):
+    """Best similarity of every text and item over all windows of the item's length (whole texts where they are shorter)."""
+    split = lambda t: (t or "").lower().split()
+    grams = lambda w: collections.Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4))
+    items = [(i, split(t)) for i, t in items if len(split(t)) >= 5]
+    df = collections.Counter(g for _, w in items for g in grams(w))
+    weight = lambda g: np.log(1 + len(items) / df[g]) if df[g] else np.log(1 + len(items))
+    out = set()
+    for d, t in rows:
+        w = split(t)
+        for i, x in items:
+            theirs = grams(x)
+            for s in range(max(1, len(w) - len(x) + 1)):
+                own = grams(w[s : s + len(x)])
+                both = sum(min(own[g], theirs[g]) * weight(g) for g in own)
+                if both and both / (sum(n * weight(g) for c in (own, theirs) for g, n in c.items()) - both) >= least - 1e-9:
+                    out.add((d, i))
+                    break
+    return out
+
+
+def test_decontamination_against_all_windows(spark):
+    r = np.random.default_rng(14)
+    items = [(i, " ".join(f"q{v}" for v in r.integers(0, 800, int(r.integers(15, 60))))) for i in range(12)] + [(12, "t u v w x y z " * 4), (12, "other text of item twelve " * 5)]
+    rows = [(None, items[0][1]), (None, "p " * 40), (5, items[1][1]), (5, "p q r s t u v"), (6, None), (7, ""), (8, "t u v w x y z " * 5), (8, "t u v w x y z " * 5)]
+    for n in range(20, 140):
+        w = items[int(r.integers(0, len(items)))][1].split()
+        for _ in range(int(r.integers(0, 2))):
+            k = int(r.integers(0, len(w)))
+            w[k : k + 1] = [[], ["changed"], [w[k], "added"]][int(r.integers(0, 3))]
+        w = w[int(r.integers(0, 4)) : len(w) - int(r.integers(0, 4))]
+        front, back = ([f"p{v}" for v in r.integers(0, 500, int(r.integers(0, 2) * r.integers(0, 60)))] for _ in range(2))
+        rows.append((n, " ".join(front + w + back)))
+    d = docs(spark, rows).withColumns({c: F.lit(1) for c in ("w", "s", "h", "start", "item", "n_words", "block")})
+    i = spark.createDataFrame(items, "item_id long, text string")
+    found = decontaminate.matches(d, i).collect()
+    assert {(x["doc_id"], x["item_id"]) for x in found} == brute_windows(rows, items)
+    assert max(x["distance"] for x in found) <= decontaminate.RADIUS and len(found) > 30
+    bad = {(x["doc_id"], t) for x in found for n, t in rows if n == x["doc_id"]} - {(None, "p " * 40), (5, "p q r s t u v")}
+    assert collections.Counter((x["doc_id"], x["text"]) for x in decontaminate.clean(d, i).collect()) == collections.Counter(x for x in rows if x not in bad)
+    assert decontaminate.clean(d.limit(0), i).count() == decontaminate.matches(d.limit(0), i).count() == 0
+
+
 # --- 4 ---
 
 
@@ -228,7 +292,7 @@ def test_boundaries_are_optimal(hist, k):
 def test_packing_keeps_every_token(spark, tokenizer):
     import glob
 
-    files = glob.glob("/opt/tokenizers/**/*tokenizer*.json", recursive=True)
+    files = glob.glob("/opt/tokenizers/word_bpe_*.json")
     if tokenizer and not files:
         pytest.skip("no tokenizer file")
     rows = [(i, " ".join(f"w{i}x{k}" for k in range(n))) for i, n in enumerate([1, 5, 5, 30, 47, 100, 10, 0])] + [(50, None), (5, "é ß"), (5, "é ß"), (51, " a\tb\n c  ")] + [(None, f"n{k} o") for k in range(30)]
@@ -507,4 +571,8 @@ def test_pipeline_awkward_rows(spark):
         assert d.columns == names
     left = {r["doc_id"] for r in d.select("doc_id").collect()}
     assert {1, 2, 3, 4, 5, 6, 9, None} <= left
+    assert {(r["toxic"], r["kept"], r["id"], r["w"]) for r in d.collect()} == {(1, True, 5, "x")}
     assert pipeline.STAGES[-1][1](spark, d, SF).count() >= len(left)
+    d = d.limit(0)
+    for _, stage in pipeline.STAGES:
+        assert stage(spark, d, SF).count() == 0

@@ -5,7 +5,7 @@ has at most ``max_tokens`` entries, so it may come to the driver whatever the in
 chooses ``buckets`` boundaries that minimise the total padding to the boundary.  A batch of a bucket holds as many
 pieces as its token budget allows at the boundary's length.
 
-Tokens are maximal runs outside 0x20 and 0x09-0x0D, or those of a tokenizer file where one is given.  Null and
+Tokens are maximal runs outside 0x20 and 0x09-0x0D, or those of a tokenizer file where one is given (a character that a cut divides is in both slices).  Null and
 blank texts have no tokens: one row with bucket, batch and text null.  A bucket is dealt by row into shards of about
 ``shard_rows`` pieces, so no task gets a whole bucket, whatever ids are null or repeated; each shard's last batch may be short.  Rows are
 numbered once, in a written table: batches are ordered by (doc_id, piece), ties by that number, so which of several rows with one id comes first depends on how the
@@ -45,9 +45,9 @@ def _pieces(max_tokens: int, tokenizer_file: str | None):
                     edges = []
                     for k in range(j - i):
                         t = raw[o[k] : o[k + 1]].decode("utf-8", "replace")
-                        at = np.concatenate(([0], np.cumsum([len(c.encode()) for c in t]))) + o[k]
+                        at = np.cumsum([0, *(len(c.encode()) for c in t)]) + o[k]
                         edges.append(at[np.array([e for e in tok.encode(t, add_special_tokens=False).offsets], np.int64).reshape(-1, 2)])
-                    first = np.concatenate(([0], np.cumsum([len(e) for e in edges])))
+                    first = np.cumsum([0, *map(len, edges)])
                     starts, ends = np.concatenate(edges).T
                 else:
                     starts, ends, first = T.spans(d, o)
