@@ -98,6 +98,7 @@ def test_queries_without_sql_reach_every_roi(spark, monkeypatch):
 
     cube = spark.createDataFrame([(roi, z, y, x, 5000 * (roi + 1) if (z, y, x) == (3, 3, 3) else 3000) for roi in (0, 1, 2) for z in range(7) for y in range(7) for x in range(7)], "roi long, z long, y long, x long, v long")
     monkeypatch.setattr(queries.X, "raw", lambda spark, sf: cube)
+    monkeypatch.setattr(queries, "SHAPE", (7, 7, 7))  # the declared size of a roi is that of the cube
     got = {(r["roi"], r["z"]): r["total"] for r in queries.top_hat(spark, "").collect()}
     assert got == {(roi, 3): 5000.0 * (roi + 1) - 3000 for roi in (0, 1, 2)}
     seen = []

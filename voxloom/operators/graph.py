@@ -2,25 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .masks import offsets
-
-
-def settled(df: DataFrame) -> DataFrame:
-    """``df`` computed once: checkpointed in the shared folder where one is set, else written to a table of the session's warehouse."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir") or sc._jsc.sc().getCheckpointDir().isDefined()
-    if named:
-        return df.checkpoint()
-    path = f"{spark.conf.get('spark.sql.warehouse.dir')}/_settled/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from .shared import settled
 
 
 def component_ids(links: DataFrame) -> DataFrame:
@@ -107,6 +94,11 @@ def node(tz: str, ty: str, tx: str, local: str):
     return F.struct(F.col("roi"), F.col(tz).alias("tz"), F.col(ty).alias("ty"), F.col(tx).alias("tx"), F.col(local).alias("local"))
 
 
+def cap_of(given: float | None, configured: float | None) -> float:
+    """The length cap: a value given for the run, else the configuration's unless it is 0 or absent, else 60; a given 0 switches it off."""
+    return float(given if given is not None else configured or 60.0)
+
+
 def stitched(tiles: DataFrame, size: int, cap_um: float = 60.0, voxel: tuple[float, float, float] = (1.0, 1.0, 1.0), least_pixels: int = 10, least_share: float = 0.5) -> DataFrame:
     """(roi, tz, ty, tx, local, root): objects merged across faces in order of falling containment, refused where the merged box would be longer than the cap (0: no cap).
 

@@ -25,21 +25,21 @@ def gaussian(a: np.ndarray, sigma: tuple[float, float, float], truncate: float =
 
 
 def distance(mask: np.ndarray, spacing: tuple[float, float, float] = (1.0, 1.0, 1.0)) -> np.ndarray:
-    """Exact Euclidean distance to the nearest background voxel (squared distances, axis by axis); infinite without background."""
+    """Exact Euclidean distance to the nearest background voxel (squared distances, axis by axis); infinite without background.
+
+    Along an axis a voxel k steps away adds (k * spacing) ** 2, so steps stop once that passes the largest distance left.
+    """
     d = np.where(mask, np.inf, 0.0)
     for axis, s in enumerate(spacing):
-        n = d.shape[axis]
-        gap = ((np.arange(n)[:, None] - np.arange(n)[None, :]) * s) ** 2
-        moved = np.moveaxis(d, axis, -1)
-        flat = moved.reshape(-1, n)
-        out = np.empty_like(flat)
-        for i in range(0, len(flat), 4096):
-            part = flat[i : i + 4096]
-            best = np.full(part.shape, np.inf)
-            for j in range(n):
-                np.minimum(best, part[:, j : j + 1] + gap[j], out=best)
-            out[i : i + 4096] = best
-        d = np.moveaxis(out.reshape(moved.shape), -1, axis)
+        d = np.moveaxis(d, axis, 0)
+        best = d.copy()
+        for k in range(1, len(d)):
+            step = (k * s) ** 2
+            if step >= best.max():
+                break
+            np.minimum(best[k:], d[:-k] + step, out=best[k:])
+            np.minimum(best[:-k], d[k:] + step, out=best[:-k])
+        d = np.moveaxis(best, 0, axis)
     return np.sqrt(d)
 
 
@@ -61,20 +61,56 @@ def shifted(a: np.ndarray, o: tuple[int, int, int], fill) -> np.ndarray:
     return out
 
 
+def _runs(a: np.ndarray, w: int) -> np.ndarray:
+    """Maximum over x - w .. x + w, by doubling."""
+    n = a.shape[-1]
+    wide = np.full((*a.shape[:-1], n + 2 * w), -np.inf)
+    wide[..., w : w + n] = a
+    have = 1
+    while have < 2 * w + 1:
+        step = min(have, 2 * w + 1 - have)
+        wide[..., : wide.shape[-1] - step] = np.maximum(wide[..., : wide.shape[-1] - step], wide[..., step:])
+        have += step
+    return wide[..., :n]
+
+
 def footprint_max(a: np.ndarray, offs: list[tuple[int, int, int]]) -> np.ndarray:
-    out = a.copy()
+    """Maximum over a footprint.  One made of rows along x that are symmetric, as balls and ellipsoids are, is taken row by row."""
+    rows: dict[tuple[int, int], list[int]] = {}
+    for z, y, x in {(0, 0, 0), *offs}:
+        rows.setdefault((z, y), []).append(x)
+    out = a.astype(np.float64)
+    if all(sorted(x) == list(range(-max(x), max(x) + 1)) for x in rows.values()):
+        by_width: dict[int, np.ndarray] = {}
+        for (z, y), x in rows.items():
+            w = max(x)
+            if w not in by_width:
+                by_width[w] = _runs(a, w)
+            np.maximum(out, shifted(by_width[w], (z, y, 0), -np.inf), out=out)
+        return out
     for o in offs:
-        if any(o):
-            np.maximum(out, shifted(a, o, -np.inf), out=out)
+        np.maximum(out, shifted(a.astype(np.float64), o, -np.inf), out=out)
     return out
 
 
 def peaks(values: np.ndarray, mask: np.ndarray, offs: list[tuple[int, int, int]], prominence: float = 0.0) -> np.ndarray:
-    """Voxels of the mask equal to the maximum of their footprint and above max(minimum, prominence * maximum)."""
+    """Voxels of the mask equal to the maximum of their footprint and above max(minimum, prominence * maximum).
+
+    Only candidates are looked at: each offset drops those with a larger voxel there, the nearest offsets first.
+    """
     if not mask.any():
         return np.zeros_like(mask)
     level = max(values.min(), prominence * values.max())
-    return mask & (values > level) & (values == footprint_max(values, offs))
+    at = np.array(np.nonzero(mask & (values > level)))
+    for o in sorted(offs, key=lambda o: sum(x * x for x in o)):
+        q = at + np.array(o)[:, None]
+        inside = np.all((q >= 0) & (q < np.array(values.shape)[:, None]), axis=0)
+        larger = np.zeros(at.shape[1], bool)
+        larger[inside] = values[tuple(q[:, inside])] > values[tuple(at[:, inside])]
+        at = at[:, ~larger]
+    out = np.zeros_like(mask)
+    out[tuple(at)] = True
+    return out
 
 
 def neighbours(connectivity: int) -> list[tuple[int, int, int]]:
@@ -104,24 +140,29 @@ def components(mask: np.ndarray, connectivity: int = 6) -> np.ndarray:
 
 
 def watershed(height: np.ndarray, markers: np.ndarray, mask: np.ndarray) -> np.ndarray:
-    """Flood from markers in order of height inside the mask over faces; ties by order of arrival."""
-    lab = np.where(mask, markers, 0).astype(np.int64)
-    heap: list[tuple[float, int, tuple[int, int, int]]] = []
-    n = 0
-    for p in np.argwhere(lab > 0):
-        heap.append((float(height[tuple(p)]), n, tuple(map(int, p))))
-        n += 1
+    """Flood from markers in order of height inside the mask over faces; ties by order of arrival.
+
+    Arrays are padded by one and flat, so a neighbour is a step of fixed length; flooded voxels leave the mask.
+    """
+    wide = np.pad(np.where(mask, markers, 0).astype(np.int64), 1)
+    free = np.pad(mask, 1)
+    free[wide > 0] = False
+    steps = [(a * wide.shape[1] + b) * wide.shape[2] + c for a, b, c in neighbours(6)]
+    lab, open_, h = wide.ravel().tolist(), bytearray(free.ravel().tobytes()), np.pad(height.astype(np.float64), 1).ravel().tolist()
+    heap = [(h[p], n, p) for n, p in enumerate(np.flatnonzero(wide).tolist())]
+    n = len(heap)
     heapq.heapify(heap)
-    shape = mask.shape
+    pop, push = heapq.heappop, heapq.heappush
     while heap:
-        _, _, p = heapq.heappop(heap)
-        for o in neighbours(6):
-            q = (p[0] + o[0], p[1] + o[1], p[2] + o[2])
-            if all(0 <= q[k] < shape[k] for k in range(3)) and mask[q] and not lab[q]:
+        p = pop(heap)[2]
+        for s in steps:
+            q = p + s
+            if open_[q]:
+                open_[q] = 0
                 lab[q] = lab[p]
-                heapq.heappush(heap, (float(height[q]), n, q))
+                push(heap, (h[q], n, q))
                 n += 1
-    return lab
+    return np.array(lab, np.int64).reshape(wide.shape)[1:-1, 1:-1, 1:-1]
 
 
 def grey_open(a: np.ndarray, offs: list[tuple[int, int, int]]) -> np.ndarray:
@@ -153,20 +194,92 @@ def bandpass_mask(a: np.ndarray, low_um: float, high_um: float, spacing: tuple[f
     return ok & (b > np.percentile(b[ok], percentile)) if ok.any() else ok
 
 
-def slice_mask(a: np.ndarray, percentile: float, floor_k: float = 0.0) -> np.ndarray:
-    """Slice by slice above a percentile and the block's background floor; flat slices have none."""
+def slice_mask(a: np.ndarray, percentile: float, floor_k: float = 0.0, valid: np.ndarray | None = None) -> np.ndarray:
+    """Slice by slice above a percentile and the block's background floor, both over valid voxels; flat slices have none."""
     level = -np.inf
-    positive = a[a > 0]
+    ok = np.ones(a.shape, bool) if valid is None else valid
+    positive = a[ok & (a > 0)]
     if floor_k > 0 and len(positive) >= 100:
         m = np.median(positive)
         level = m + floor_k * 1.4826 * np.median(np.abs(positive - m))
     out = np.zeros(a.shape, bool)
     for z in range(a.shape[0]):
-        if a[z].max() > a[z].min():
-            out[z] = a[z] > max(np.percentile(a[z], percentile), level)
+        v = a[z][ok[z]]
+        if len(v) and v.max() > v.min():
+            out[z] = ok[z] & (a[z] > max(np.percentile(v, percentile), level))
+    return out
+
+
+def median(a: np.ndarray, size: tuple[int, int, int]) -> np.ndarray:
+    """Median over a box, edges reflected."""
+    r = [(n // 2, n // 2) for n in size]
+    return np.median(np.lib.stride_tricks.sliding_window_view(np.pad(a, r, "symmetric"), size), axis=(-3, -2, -1))
+
+
+def denoise(a: np.ndarray, name: str, spacing: tuple[float, float, float]) -> np.ndarray:
+    """A named filter: none, gauss_um=S, gauss_inplane=S, median3, median_inplane, bgsub=S, or two joined by '+' (smooth, then less the wide Gaussian of the input)."""
+    first, _, then = name.partition("+")
+    kind, _, width = first.partition("=")
+    sigma = tuple(float(width or 0) / s for s in spacing)
+    out = {
+        "none": lambda: a.astype(np.float64), "gauss_um": lambda: gaussian(a, sigma), "gauss_inplane": lambda: gaussian(a, (0.0, *sigma[1:])), "median3": lambda: median(a, (3, 3, 3)),
+        "median_inplane": lambda: median(a, (1, 3, 3)), "bgsub": lambda: np.maximum(a - gaussian(a, sigma), 0),
+    }[kind]()
+    if then:
+        if not then.startswith("bgsub="):
+            raise ValueError(f"only bgsub may follow another filter, not {then}")
+        out = np.maximum(out - gaussian(a, tuple(float(then[6:]) / s for s in spacing)), 0)
     return out
 
 
+def ramp_padded(a: np.ndarray, multiple: int) -> np.ndarray:
+    """Padded at the ends to a multiple of a patch's side, by a ramp down to zero."""
+    return np.pad(a, [(0, -n % multiple) for n in a.shape], "linear_ramp")
+
+
+def without_constant(patch: np.ndarray, threshold: float) -> np.ndarray:
+    """A predicted patch above a threshold; one whose outputs are all the same, all foreground included, counts as empty."""
+    m = patch > threshold
+    return m & (m.any() and not m.all())
+
+
+def flat_hull(points: np.ndarray) -> np.ndarray:
+    """Corners of the convex hull of points of a plane, in turn."""
+    p = sorted(map(tuple, np.unique(points, axis=0)))
+
+    def half(p):
+        out: list = []
+        for q in p:
+            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (q[1] - out[-2][1]) <= (out[-1][1] - out[-2][1]) * (q[0] - out[-2][0]):
+                out.pop()
+            out.append(q)
+        return out[:-1]
+
+    return np.array(half(p) + half(p[::-1]))
+
+
+def hull_image(image: np.ndarray) -> np.ndarray:
+    """Pixels of a plane whose centre lies in the convex hull of the set pixels' corners."""
+    at = np.argwhere(image)
+    hull = flat_hull((at[:, None] + np.array([(i, j) for i in (-0.5, 0.5) for j in (-0.5, 0.5)])).reshape(-1, 2))
+    grid = np.indices(image.shape).reshape(2, -1).T
+    inside = np.ones(len(grid), bool)
+    for a, b in zip(hull, np.roll(hull, -1, axis=0), strict=True):
+        inside &= (b[0] - a[0]) * (grid[:, 1] - a[1]) - (b[1] - a[1]) * (grid[:, 0] - a[0]) >= -1e-9
+    return inside.reshape(image.shape)
+
+
+def projections_clear(points: np.ndarray, least: float) -> bool:
+    """Whether solidity is at least ``least`` by the hulls of the three projections: the solid hull lies inside all three, so few voxels of their
+    intersection bound it; a margin of 2 % and 10 voxels keeps the bound safe, and False only says that the exact hull is needed.
+    """
+    p = points - points.min(axis=0)
+    image = np.zeros(tuple(p.max(axis=0) + 1), bool)
+    image[tuple(p.T)] = True
+    v = np.count_nonzero(hull_image(image.any(axis=0))[None] & hull_image(image.any(axis=1))[:, None] & hull_image(image.any(axis=2))[:, :, None])
+    return len(p) / (v * 1.02 + 10) >= least
+
+
 def hull_volume(points: np.ndarray) -> float:
     """Volume of the convex hull of voxel cubes, by facets added one point at a time; 0 for fewer than four points off a plane."""
     cube = np.array([(i, j, k) for i in (-0.5, 0.5) for j in (-0.5, 0.5) for k in (-0.5, 0.5)])
@@ -216,15 +329,15 @@ def _rows(points: np.ndarray):
 
 def segment(
     a: np.ndarray, spacing: tuple[float, float, float] = (1.0, 1.0, 1.0), percentile: float = 90.0, floor_k: float = 0.0, min_distance: float = 4.0, prominence: float = 0.0, smooth_um: float = 1.0, bandpass_um: tuple[float, float] | None = None,
-    min_voxels: int = 20, landscape: str = "dt_smooth", blend: float = 0.5,
+    min_voxels: int = 20, landscape: str = "dt_smooth", blend: float = 0.5, valid: np.ndarray | None = None,
 ) -> tuple[np.ndarray, np.ndarray]:
     """(mask, labels): mask, distance transform, smoothing, seeds, watershed, size filter, dense numbers.
 
     ``landscape`` is what is flooded: the smoothed distance (dt_smooth), its blend with smoothed intensity
     (int_blend), or the distance of the smoothed mask (dt_from_smooth).  On exactly unit spacing seeds
-    keep apart by index distance along every axis; otherwise by a physical sphere.
+    keep apart by index distance along every axis; otherwise by a physical sphere.  Voxels that aren't ``valid`` count for no percentile and are never foreground.
     """
-    mask = bandpass_mask(a, *bandpass_um, spacing, percentile) if bandpass_um else slice_mask(a, percentile, floor_k)
+    mask = bandpass_mask(a, *bandpass_um, spacing, percentile, valid) if bandpass_um else slice_mask(a, percentile, floor_k, valid)
     if not mask.any():
         return mask, np.zeros(a.shape, np.int64)
     sigma = tuple(smooth_um / s for s in spacing)

@@ -6,26 +6,34 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import MAD_TO_SIGMA
+from .shared import settled
 
 TILE = ["roi"]
 SLICE = ["roi", "z"]
 
 
+def histogram(voxels: DataFrame, keys: list[str] = SLICE) -> DataFrame:
+    """(keys, v, c): how often each value stands in a slice; combined map-side, and all that percentiles and floors need."""
+    return voxels.groupBy(*keys, "v").agg(F.count("*").alias("c"))
+
+
 def background_floor(voxels: DataFrame, k: float, keys: list[str] = TILE, least: int = 100) -> DataFrame:
-    """(keys, floor): median + k * 1.4826 * MAD of positive values; minus infinity below ``least`` of them."""
-    positive = voxels.where("v > 0")
-    mid = positive.groupBy(*keys).agg(F.median("v").alias("mid"), F.count("*").alias("n"))
-    mad = positive.join(mid, keys).groupBy(*keys).agg(F.median(F.abs(F.col("v") - F.col("mid"))).alias("mad"))
+    """(keys, floor): median + k * 1.4826 * MAD of positive values; minus infinity below ``least`` of them.  Counts ``c`` are used where given."""
+    counted = voxels if "c" in voxels.columns else histogram(voxels, keys)
+    positive = counted.where("v > 0")
+    mid = positive.groupBy(*keys).agg(F.percentile("v", 0.5, F.col("c")).alias("mid"), F.sum("c").alias("n"))
+    mad = positive.join(mid, keys).groupBy(*keys).agg(F.percentile(F.abs(F.col("v") - F.col("mid")), 0.5, F.col("c")).alias("mad"))
     level = F.when(F.col("n") < least, F.lit(float("-inf"))).otherwise(F.col("mid") + k * MAD_TO_SIGMA * F.col("mad"))
-    return voxels.select(*keys).distinct().join(mid, keys, "left").join(mad, keys, "left").select(*keys, F.coalesce(level, F.lit(float("-inf"))).alias("floor"), F.coalesce("n", F.lit(0)).alias("n_positive"))
+    return counted.select(*keys).distinct().join(mid, keys, "left").join(mad, keys, "left").select(*keys, F.coalesce(level, F.lit(float("-inf"))).alias("floor"), F.coalesce("n", F.lit(0)).alias("n_positive"))
 
 
 def percentile_mask(voxels: DataFrame, percentile: float = 90.0, floor_k: float = 0.0, valid: str | None = None) -> DataFrame:
     """Foreground voxels: above the slice's percentile and the tile's floor.  Flat slices have none; only ``valid`` voxels count."""
     v = voxels.where(valid) if valid else voxels
-    t = v.groupBy(*SLICE).agg(F.percentile("v", percentile / 100).alias("t"), F.min("v").alias("lo"), F.max("v").alias("hi")).where("lo < hi").select(*SLICE, "t")
+    h = settled(histogram(v))
+    t = h.groupBy(*SLICE).agg(F.percentile("v", percentile / 100, F.col("c")).alias("t"), F.min("v").alias("lo"), F.max("v").alias("hi")).where("lo < hi").select(*SLICE, "t")
     if floor_k > 0:
-        t = t.join(background_floor(v, floor_k), TILE).select(*SLICE, F.greatest("t", "floor").alias("t"))
+        t = t.join(background_floor(h, floor_k), TILE).select(*SLICE, F.greatest("t", "floor").alias("t"))
     return v.join(t, SLICE).where("v > t").select("roi", "z", "y", "x")
 
 
@@ -66,6 +74,16 @@ def opened(mask: DataFrame, radius: int = 1) -> DataFrame:
     return shifted(kept, ball).distinct()
 
 
+def closed(mask: DataFrame, radius: int = 1) -> DataFrame:
+    """Dilation, then erosion, with the ball of a radius; 0 leaves the mask as it is.  The volume has no edges, so nothing is lost there."""
+    if radius == 0:
+        return mask
+    r = range(-radius, radius + 1)
+    ball = [(a, b, c) for a in r for b in r for c in r if a * a + b * b + c * c <= radius * radius]
+    wide = shifted(mask, ball).distinct()
+    return shifted(wide, ball).groupBy("roi", "z", "y", "x").count().where(F.col("count") == len(ball)).drop("count")
+
+
 def z_window(labels: DataFrame, spec: str, depth: int) -> DataFrame:
     """Labels of slices lo:hi (half-open, blanks are the ends); an error unless 0 <= lo < hi <= depth."""
     lo, _, hi = spec.partition(":")

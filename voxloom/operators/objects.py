@@ -37,11 +37,11 @@ def box_bound(stats: DataFrame) -> DataFrame:
     return stats.withColumn("solidity_bound", F.col("area") / ((F.col("z1") - F.col("z0")) * (F.col("y1") - F.col("y0")) * (F.col("x1") - F.col("x0"))))
 
 
-def reasons(stats: DataFrame, expected: float, z_limit: float = 3.0, too_small: float = 0.1, too_big: float = 3.0, long_um: float = 0.0, voxel: tuple[float, float, float] = (1.0, 1.0, 1.0), solidity: float | None = None) -> DataFrame:
-    """Adds the list of reasons for doubt, in fixed order; a limit of 0 switches too_big or too_long off."""
-    s = volume_zscores(stats, expected)
+def reasons(stats: DataFrame, expected: float, z_limit: float = 3.0, too_small: float = 0.1, too_big: float = 3.0, long_um: float = 0.0, voxel: tuple[float, float, float] = (1.0, 1.0, 1.0), solidity: float | None = None, keys: tuple[str, ...] = ("roi",)) -> DataFrame:
+    """Adds the list of reasons for doubt, in fixed order; a limit of 0 switches too_big or too_long off.  ``keys`` name the block whose objects are compared."""
+    s = volume_zscores(stats, expected, keys)
     extent = F.greatest(*[(F.col(f"{a}1") - F.col(f"{a}0")) * F.lit(float(v)) for a, v in zip("zyx", voxel, strict=True)])
-    found = [F.when(F.col("solidity") < solidity, "solidity")] if solidity is not None else []
+    found = [F.when(~F.col("solid"), "solidity")] if solidity is not None else []
     found += [F.when(F.abs("volume_z") > z_limit, "volume_zscore"), F.when(F.col("area") < too_small * expected, "too_small")]
     if too_big > 0:
         found.append(F.when(F.col("area") > too_big * expected, "too_big"))
@@ -88,7 +88,10 @@ def descriptors(voxels: DataFrame, least: int = 1000) -> DataFrame:
 
 
 def tile_quality(labels: DataFrame, tiles: DataFrame, expected: float, shape: tuple[int, int, int]) -> DataFrame:
-    """Per-tile counts and shares of objects; measures of size are null where a tile has none."""
+    """Per-tile counts and shares of objects; measures of size are null where a tile has none.
+
+    Where ``tiles`` has a column ``valid`` (voxels that aren't padding), densities are over those; where it has ``blobs``, ratio_to_blobs is objects by blobs.
+    """
     s = touching(statistics(labels), shape)
     g = s.groupBy("roi").agg(
         F.count("*").alias("n_objects"), F.sum("area").alias("labelled"), F.median("area").alias("median_volume"),
@@ -96,4 +99,7 @@ def tile_quality(labels: DataFrame, tiles: DataFrame, expected: float, shape: tu
     )
     voxels = float(shape[0] * shape[1] * shape[2])
     out = tiles.join(g, "roi", "left").withColumn("n_objects", F.coalesce("n_objects", F.lit(0).cast("long")))
-    return out.withColumn("per_mvox", F.col("n_objects") / F.lit(max(1.0, voxels) / 1e6)).withColumn("labelled_frac", F.coalesce("labelled", F.lit(0)) / F.lit(voxels)).drop("labelled")
+    room = F.greatest(F.col("valid").cast("double") if "valid" in tiles.columns else F.lit(voxels), F.lit(1.0))
+    if "blobs" in tiles.columns:
+        out = out.withColumn("ratio_to_blobs", F.when((F.col("n_objects") > 0) & (F.col("blobs") > 0), F.col("n_objects") / F.when(F.col("blobs") > 0, F.col("blobs"))))
+    return out.withColumn("per_mvox", F.col("n_objects") / (room / 1e6)).withColumn("labelled_frac", F.coalesce("labelled", F.lit(0)) / room).drop("labelled")

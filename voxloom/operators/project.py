@@ -3,17 +3,28 @@
 from __future__ import annotations
 
 import math
+import warnings
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import golden_hue
+from ..sources.tiles import numbered
 
 SHEAR = math.tan(math.radians(7.0))
 
 
-def mosaic(tiles: DataFrame) -> DataFrame:
-    """Tile-local labels (roi, tz, ty, tx, z, y, x, local) made unique by the running sum of earlier tiles' largest ids."""
+def mosaic(tiles: DataFrame, expected: DataFrame | None = None) -> DataFrame:
+    """Tile-local labels (roi, tz, ty, tx, z, y, x, local) made unique by the running sum of earlier tiles' largest ids.
+
+    Of ``expected`` tiles (roi, tz, ty, tx) some must have labels, or it is an error; those that lack them are warned of.
+    """
+    if expected is not None:
+        have = expected.join(tiles.select("roi", "tz", "ty", "tx").distinct().withColumn("have", F.lit(1)), ["roi", "tz", "ty", "tx"], "left").agg(F.count("*").alias("n"), F.count("have").alias("have")).first()
+        if have["n"] and not have["have"]:
+            raise FileNotFoundError(f"none of {have['n']} tiles has labels")
+        if have["have"] < have["n"]:
+            warnings.warn(f"{have['n'] - have['have']} of {have['n']} tiles have no labels", stacklevel=2)
     top = tiles.groupBy("roi", "tz", "ty", "tx").agg(F.max("local").alias("m"))
     w = Window.partitionBy("roi").orderBy("tz", "ty", "tx").rowsBetween(Window.unboundedPreceding, -1)
     shift = top.select("roi", "tz", "ty", "tx", F.coalesce(F.sum("m").over(w), F.lit(0)).alias("shift"))
@@ -80,11 +91,14 @@ def deskew_raw(voxels: DataFrame, depth: int, width: int, shear: float = SHEAR)
     return out.select("roi", "z", "y", "x", F.rint("s").cast("long").alias("v"), (F.col("w") > 0.999).alias("valid"))
 
 
-def halo(voxels: DataFrame, size: int, margin: int) -> DataFrame:
-    """Each voxel copied to every tile whose box, widened by ``margin``, holds it: at most 27 copies, (tz, ty, tx) is the tile's origin."""
+def halo(voxels: DataFrame, size: int, margin: int | tuple[int, int, int]) -> DataFrame:
+    """Each voxel copied to every tile whose box, widened by ``margin`` (one for all axes or one each), holds it; (tz, ty, tx) is the tile's origin.
+
+    At most 27 copies while no margin is wider than a tile.
+    """
     out = voxels
-    for a in "zyx":
-        first, last = F.floor((F.col(a) - margin) / size), F.floor((F.col(a) + margin) / size)
+    for a, m in zip("zyx", margin if isinstance(margin, tuple) else (margin,) * 3, strict=True):
+        first, last = F.floor((F.col(a) - m) / size), F.floor((F.col(a) + m) / size)
         out = out.withColumn(f"t{a}", F.explode(F.sequence(first, last))).withColumn(f"t{a}", (F.col(f"t{a}") * size).cast("long"))
     return out
 
@@ -96,7 +110,7 @@ def owned(objects: DataFrame, size: int) -> DataFrame:
         inside = inside & (F.col(f"c{a}") >= F.col(f"t{a}")) & (F.col(f"c{a}") < F.col(f"t{a}") + size)
     kept = objects.where(inside)
     tiles = objects.select("roi", "tz", "ty", "tx").distinct()
-    ordinal = tiles.withColumn("ordinal", F.row_number().over(Window.orderBy("roi", "tz", "ty", "tx")) - 1)  # one row for each tile
+    ordinal = numbered(tiles, "ordinal", ("tz", "ty", "tx"))
     kept = kept.join(ordinal, ["roi", "tz", "ty", "tx"]).withColumn("j", F.row_number().over(Window.partitionBy("roi", "tz", "ty", "tx").orderBy("label")))
     gid = F.when(F.col("j") < 4096, F.col("ordinal").cast("long") * 4096 + F.col("j")).otherwise(F.raise_error(F.lit("4096 objects or more in a tile")).cast("long"))
     return kept.withColumn("gid", gid).drop("ordinal", "j")

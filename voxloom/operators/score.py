@@ -115,19 +115,20 @@ def splits_merges(pairs: DataFrame, share: float = 0.15) -> DataFrame:
 
 
 def instance_metrics(pairs: DataFrame, gt: DataFrame, pred: DataFrame, thresholds: tuple[float, ...] = (0.01, 0.5)) -> DataFrame:
-    """For each roi and threshold: counts by largest label, Dice and semantic IoU (1 where both are empty), TP, FP, FN, precision, recall, F1, mean IoU, panoptic quality; 0/0 is 1."""
+    """For each roi and threshold: counts by largest label and their error, foreground voxels, Dice and semantic IoU (1 where both are empty), TP, FP, FN, precision, recall, F1,
+    panoptic quality (0/0 is 1), and mean IoU of matches (0 where there is none)."""
     voxels = gt.select(*VOXEL, F.lit(1).alias("g")).join(pred.select(*VOXEL, F.lit(1).alias("p")), VOXEL, "full_outer")
     area = voxels.groupBy("roi").agg(F.count("g").alias("ng"), F.count("p").alias("np"), F.sum(F.when(F.col("g").isNotNull() & F.col("p").isNotNull(), 1).otherwise(0)).alias("both"))
-    area = area.select("roi", ratio(2 * F.col("both"), F.col("ng") + F.col("np"), 1.0).alias("dice"), ratio(F.col("both"), F.col("ng") + F.col("np") - F.col("both"), 1.0).alias("semantic_iou"))
-    n = gt.groupBy("roi").agg(F.countDistinct("label").alias("n_gt")).join(pred.groupBy("roi").agg(F.countDistinct("label").alias("n_pred")), "roi", "full_outer").na.fill(0)
+    area = area.select("roi", F.col("ng").alias("gt_voxels"), F.col("np").alias("pred_voxels"), ratio(2 * F.col("both"), F.col("ng") + F.col("np"), 1.0).alias("dice"), ratio(F.col("both"), F.col("ng") + F.col("np") - F.col("both"), 1.0).alias("semantic_iou"))
+    n = gt.groupBy("roi").agg(F.max("label").alias("n_gt")).join(pred.groupBy("roi").agg(F.max("label").alias("n_pred")), "roi", "full_outer").na.fill(0)
     taken = greedy(pairs, min(thresholds))
     t = n.withColumn("threshold", F.explode(F.array(*[F.lit(float(x)) for x in thresholds])))
     hit = t.select("roi", "threshold").join(taken.select("roi", "iou"), "roi").where("iou >= threshold").groupBy("roi", "threshold").agg(F.count("*").alias("tp"), F.sum("iou").alias("total"))
     out = t.join(hit, ["roi", "threshold"], "left").na.fill(0, ["tp"]).na.fill(0.0, ["total"]).join(area, "roi")
-    out = out.withColumns({"fp": F.col("n_pred") - F.col("tp"), "fn": F.col("n_gt") - F.col("tp")})
+    out = out.withColumns({"fp": F.col("n_pred") - F.col("tp"), "fn": F.col("n_gt") - F.col("tp"), "count_error": F.col("n_pred") - F.col("n_gt"), "absolute_count_error": F.abs(F.col("n_pred") - F.col("n_gt"))})
     return out.withColumns({
         "precision": ratio(F.col("tp"), F.col("n_pred"), 1.0), "recall": ratio(F.col("tp"), F.col("n_gt"), 1.0), "f1": ratio(2 * F.col("tp"), F.col("n_pred") + F.col("n_gt"), 1.0),
-        "mean_iou": ratio(F.col("total"), F.col("tp"), 1.0), "panoptic": ratio(F.col("total"), F.col("tp") + 0.5 * F.col("fp") + 0.5 * F.col("fn"), 1.0),
+        "mean_iou": ratio(F.col("total"), F.col("tp")), "panoptic": ratio(F.col("total"), F.col("tp") + 0.5 * F.col("fp") + 0.5 * F.col("fn"), 1.0),
     }).drop("total")
 
 
@@ -160,16 +161,16 @@ def within(a: DataFrame, b: DataFrame, distance: float) -> DataFrame:
     return _cells(a, size, False).join(right, ["roi", "cz", "cy", "cx"]).withColumn("d", d).where(F.col("d") <= distance).select("roi", "id", "other", "d")
 
 
-def nearest_spacing(points: DataFrame, size: float = 8.0, most: float = 1e6) -> DataFrame:
-    """(roi, id, d): distance to the nearest other point of the roi; cells are doubled until every point with company has one."""
+def nearest_spacing(points: DataFrame, size: float = 8.0) -> DataFrame:
+    """(roi, id, d): distance to the nearest other point of the roi; cells grow until every point with company has one, however far."""
     out, left = None, points
     many = points.groupBy("roi").agg(F.count("*").alias("n")).where("n > 1").select("roi")
     left = settled(points.join(many, "roi", "left_semi"))
-    while left.limit(1).count() and size <= most:
+    while left.limit(1).count():
         near = settled(within(left, points, size).where("id <> other").groupBy("roi", "id").agg(F.min("d").alias("d")))
         out = near if out is None else out.unionByName(near)
         left = settled(left.join(near, ["roi", "id"], "left_anti"))
-        size *= 2
+        size *= 4
     return out if out is not None else points.select("roi", "id", F.lit(None).cast("double").alias("d")).limit(0)
 
 
@@ -183,8 +184,13 @@ def max_overlap_contingency(pairs: DataFrame, gt: DataFrame, least: float = 0.8)
     return n.join(tp).join(fp).select("tp", (F.col("n") - F.col("tp")).alias("fn"), "fp_overlapping")
 
 
-def pixel_metrics(gt: DataFrame, pred: DataFrame, batch: str) -> DataFrame:
-    """Accuracy, Jaccard and Dice of masks by batch (0 where undefined), averaged over batches, in percent.  Input: (voxel, batch, g, p) in gt/pred joined."""
-    c = gt.join(pred, [*VOXEL], "full_outer").groupBy(F.expr(batch).alias("batch")).agg(*[F.sum(F.when(F.expr(e), 1).otherwise(0)).alias(n) for n, e in (("tp", "g and p"), ("fp", "p and not g"), ("fn", "g and not p"), ("tn", "not g and not p"))])
+def pixel_metrics(gt: DataFrame, pred: DataFrame, batches: DataFrame, batch: str) -> DataFrame:
+    """Accuracy, Jaccard and Dice of masks (voxels of each side) by batch (0 where undefined), averaged over batches, in percent.
+
+    ``batches`` has (batch, voxels) of every batch, those that hold no foreground included: voxels that neither mask holds agree.
+    """
+    both = gt.select(*VOXEL, F.lit(True).alias("g")).join(pred.select(*VOXEL, F.lit(True).alias("p")), VOXEL, "full_outer").na.fill(False, ["g", "p"])
+    c = both.groupBy(F.expr(batch).alias("batch")).agg(*[F.sum(F.when(F.expr(e), 1).otherwise(0)).alias(n) for n, e in (("tp", "g and p"), ("fp", "p and not g"), ("fn", "g and not p"))])
+    c = batches.join(c, "batch", "left").na.fill(0, ["tp", "fp", "fn"]).withColumn("tn", F.col("voxels") - F.col("tp") - F.col("fp") - F.col("fn"))
     m = c.select(ratio(F.col("tp") + F.col("tn"), F.col("tp") + F.col("tn") + F.col("fp") + F.col("fn")).alias("accuracy"), ratio(F.col("tp"), F.col("tp") + F.col("fp") + F.col("fn")).alias("jaccard"), ratio(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")).alias("dice"))
     return m.agg(*[(100 * F.avg(x)).alias(x) for x in m.columns])

@@ -10,36 +10,90 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
+from . import objects as O
+from .project import assembled, halo, owned
+from .shared import settled
 
 
-def per_tile(voxels: DataFrame, kernel: Callable[[np.ndarray], np.ndarray], value: str = "v", out: str = "long", keep_zero: bool = False, tile: int | None = None) -> DataFrame:
-    """A kernel over each roi's dense block (or each tile of ``tile`` voxels): (roi, z, y, x, value), zeros left out.
+BLOCK = ("tz", "ty", "tx")
 
-    The block is made inside the task from its sparse rows, so no dense rows are shuffled.
-    """
-    keys = ["roi"]
+
+def _blocks(voxels: DataFrame, tile: int | None, margin: int | tuple[int, int, int], shape: tuple[int, int, int] | None) -> tuple[DataFrame, list[str], Callable]:
+    """Voxels by block, the block's key, and a function (key, rows) -> (lowest corner, values, which voxels are there)."""
+    keys, margins = ["roi"], margin if isinstance(margin, tuple) else (margin,) * 3
     if tile:
-        voxels = voxels.withColumns({f"t{a}": (F.floor(F.col(a) / tile) * tile).cast("long") for a in "zyx"})
-        keys += ["tz", "ty", "tx"]
+        voxels, keys = halo(voxels, tile, margins), ["roi", *BLOCK]
+        for t, n in zip(BLOCK, shape or (None,) * 3, strict=True):
+            voxels = voxels.where((F.col(t) >= 0) & (F.col(t) < n)) if n else voxels.where(F.col(t) >= 0)
+
+    def dense(key: tuple, g: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        lo, hi = np.zeros(3, int), np.array(shape) if shape else g[["z", "y", "x"]].max().to_numpy() + 1
+        if tile:
+            o = np.array(key[1:])
+            lo = np.maximum(lo, o - margins)
+            hi = np.minimum(hi, o + tile + margins) if shape else o + tile + margins
+        elif not shape:
+            lo = g[["z", "y", "x"]].min().to_numpy()
+        a, there = np.zeros(tuple(hi - lo)), np.zeros(tuple(hi - lo), bool)
+        at = tuple(g[c].to_numpy() - l for c, l in zip("zyx", lo, strict=True))
+        a[at], there[at] = g["v"].to_numpy(), True
+        return lo, a, there
+
+    return voxels, keys, dense
+
+
+def per_tile(
+    voxels: DataFrame, kernel: Callable[[np.ndarray], np.ndarray], value: str = "v", out: str = "long", keep_zero: bool = False, tile: int | None = None, margin: int | tuple[int, int, int] = 0,
+    shape: tuple[int, int, int] | None = None,
+) -> DataFrame:
+    """A kernel over each tile's dense block: (roi, z, y, x, value), zeros left out.
+
+    With ``tile`` a block is a tile of that side and ``margin`` voxels around it, inside ``shape``, the declared size of a roi; what the kernel gives in the margin is
+    dropped, so a kernel that reaches no farther than the margin gives the same as over the whole roi.  Without it a roi is one tile.
+    Blocks are made inside the task from sparse rows; voxels that aren't there are 0, and don't change a block's size.
+    """
     roi = dict(voxels.dtypes)["roi"]
+    voxels, keys, dense = _blocks(voxels, tile, margin, shape)
 
     def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        lo = g[["z", "y", "x"]].min().to_numpy() if not tile else np.array(key[1:])
-        shape = g[["z", "y", "x"]].max().to_numpy() - lo + 1
-        a = np.zeros(tuple(shape), np.float64)
-        at = tuple((g[c].to_numpy() - l) for c, l in zip("zyx", lo, strict=True))
-        a[at] = g["v"].to_numpy()
+        lo, a, _ = dense(key, g)
         r = kernel(a)
+        if tile:
+            core = tuple(slice(max(0, o - l), o - l + tile) for o, l in zip(key[1:], lo, strict=True))
+            r, lo = r[core], np.array([l + s.start for l, s in zip(lo, core, strict=True)])
         pick = np.indices(r.shape).reshape(3, -1) if keep_zero else np.array(np.nonzero(r))
-        d = {"roi": key[0], **{c: pick[i] + lo[i] for i, c in enumerate("zyx")}, value: r[tuple(pick)]}
-        return pd.DataFrame(d)
+        return pd.DataFrame({"roi": key[0], **{c: pick[i] + lo[i] for i, c in enumerate("zyx")}, value: r[tuple(pick)]})
 
     return voxels.groupBy(*keys).applyInPandas(run, f"roi {roi}, z long, y long, x long, {value} {out}")
 
 
-def segmented(voxels: DataFrame, tile: int | None = None, **config) -> DataFrame:
-    """Label voxels (roi, z, y, x, label) of every tile."""
-    return per_tile(voxels, lambda a: K.segment(a, **config)[1], "label", tile=tile)
+def segmented(voxels: DataFrame, shape: tuple[int, int, int] | None = None, **config) -> DataFrame:
+    """Label voxels (roi, z, y, x, label) where each roi is one tile."""
+    return per_tile(voxels, lambda a: K.segment(a, **config)[1], "label", shape=shape)
+
+
+def tiled_segmentation(voxels: DataFrame, shape: tuple[int, int, int], tile: int = 128, margin: int = 16, expected: float = 500.0, screen: dict | None = None, **config) -> tuple[DataFrame, DataFrame]:
+    """Objects of volumes of any size: (label voxels (roi, z, y, x, gid), objects (roi, tz, ty, tx, label, gid, area, reasons, accepted, ...)).
+
+    Each tile is segmented with ``margin`` voxels of its neighbours around it; voxels that aren't there are invalid and never foreground.  Objects are screened among those of
+    their block (``screen`` is passed to ``objects.reasons``); an accepted one is kept by the tile that holds its centroid, so an object on a
+    boundary is found once, and where kept objects meet, the tile's own comes first.  No task holds more than one block.
+    """
+    roi = dict(voxels.dtypes)["roi"]
+    blocks, keys, dense = _blocks(voxels, tile, margin, shape)
+
+    def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        lo, a, there = dense(key, g)
+        r = K.segment(a, valid=there, **config)[1]
+        pick = np.array(np.nonzero(r))
+        return pd.DataFrame({**dict(zip(keys, key, strict=True)), **{c: pick[i] + lo[i] for i, c in enumerate("zyx")}, "label": r[tuple(pick)]})
+
+    found = settled(blocks.groupBy(*keys).applyInPandas(run, f"roi {roi}, tz long, ty long, tx long, z long, y long, x long, label long"))
+    stats = O.accepted(O.reasons(O.statistics(found, (*keys, "label")), expected, keys=tuple(keys), **(screen or {})))
+    own = settled(owned(stats.where("accepted"), tile))
+    code = lambda p: F.struct(*[(F.floor(F.col(c) / tile) * tile).cast("long").alias(t) for c, t in zip(p, BLOCK, strict=True)])
+    pieces = found.join(own.select(*keys, "label", "gid"), [*keys, "label"]).select("roi", "z", "y", "x", code("zyx").alias("target"), F.struct(*BLOCK).alias("source"), "gid")
+    return assembled(pieces), stats.join(own.select(*keys, "label", "gid"), [*keys, "label"], "left")
 
 
 def blob_density(voxels: DataFrame, diameter: float = 8.0) -> DataFrame:
@@ -63,18 +117,20 @@ def blob_density(voxels: DataFrame, diameter: float = 8.0) -> DataFrame:
 
 
 def solidity(labels: DataFrame, stats: DataFrame, threshold: float) -> DataFrame:
-    """Adds solidity to statistics: exact hulls only for objects whose area over box volume doesn't settle the test already.
+    """Adds solidity to statistics, and solid: whether it reaches the threshold.
 
-    Area over box volume never exceeds solidity, so a bound at the threshold or above passes without a hull (solidity null, solid true).
+    Two bounds come before an exact hull: area over box volume never exceeds solidity and needs only the statistics; for what it leaves, the hulls of the
+    three projections.  An object that a bound clears is solid without a solidity.
     """
-    bound = stats.withColumn("bound", F.col("area") / ((F.col("z1") - F.col("z0")) * (F.col("y1") - F.col("y0")) * (F.col("x1") - F.col("x0"))))
+    bound = O.box_bound(stats).withColumnRenamed("solidity_bound", "bound")
     doubt = bound.where(F.col("bound") < threshold).select("roi", "label")
     kinds = dict(labels.dtypes)
 
     def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        p = g[["z", "y", "x"]].to_numpy().astype(float)
-        return pd.DataFrame([[*key, len(p) / K.hull_volume(p)]], columns=["roi", "label", "solidity"])
+        p = g[["z", "y", "x"]].to_numpy()
+        clear = K.projections_clear(p, threshold)
+        return pd.DataFrame([[*key, None if clear else len(p) / K.hull_volume(p.astype(float)), clear]], columns=["roi", "label", "solidity", "clear"])
 
-    hull = labels.join(doubt, ["roi", "label"], "left_semi").groupBy("roi", "label").applyInPandas(run, f"roi {kinds['roi']}, label {kinds['label']}, solidity double")
+    hull = labels.join(doubt, ["roi", "label"], "left_semi").groupBy("roi", "label").applyInPandas(run, f"roi {kinds['roi']}, label {kinds['label']}, solidity double, clear boolean")
     out = bound.join(hull, ["roi", "label"], "left")
-    return out.withColumn("solid", F.coalesce(F.col("solidity") >= threshold, F.col("bound") >= threshold))
+    return out.withColumn("solid", F.coalesce(F.col("clear") | (F.col("solidity") >= threshold), F.col("clear"), F.col("bound") >= threshold)).drop("clear")

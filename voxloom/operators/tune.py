@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import log_distance
+from ..functions.columns import log_distance, ratio
+from .kernels import segment
+from .score import hungarian, overlaps
+from .shared import settled
 
 LIMIT = 0.75
 
@@ -13,12 +18,12 @@ LIMIT = 0.75
 def nearest_exemplar(queries: DataFrame, exemplars: DataFrame, keys: list[str], limit: float = LIMIT, id_col: str = "vec_id") -> DataFrame:
     """(id, nearest, distance, matched): the exemplar of least log distance, ties to the smaller id.
 
-    Exemplars are hand-made and few: their table is broadcast while it has at most 10,000 rows.
+    Exemplars are hand-made and few: their table is broadcast, and more than 10,000 are refused.
     """
     ex = exemplars.select(F.col(id_col).alias("exemplar"), *[F.col(k).alias(f"e_{k}") for k in keys])
-    if ex.count() <= 10_000:
-        ex = F.broadcast(ex)
-    d = queries.join(ex).withColumn("distance", log_distance([F.col(k) for k in keys], [F.col(f"e_{k}") for k in keys]))
+    if exemplars.limit(10_001).count() > 10_000:
+        raise ValueError("more than 10,000 exemplars; they are meant to be hand-made and few")
+    d = queries.join(F.broadcast(ex)).withColumn("distance", log_distance([F.col(k) for k in keys], [F.col(f"e_{k}") for k in keys]))
     best = d.groupBy(id_col).agg(F.min(F.struct("distance", "exemplar")).alias("b"))
     return best.select(id_col, F.col("b.exemplar").alias("nearest"), F.col("b.distance").alias("distance"), (F.col("b.distance") <= limit).alias("matched"))
 
@@ -38,6 +43,37 @@ def registered(exemplars: DataFrame, new: DataFrame) -> DataFrame:
     return exemplars.join(good.select("name"), "name", "left_anti").unionByName(good)
 
 
+def swept(raw: DataFrame, gt: DataFrame, settings: DataFrame, shape: tuple[int, int, int], memo: DataFrame | None = None, edge: float = 0.25) -> DataFrame:
+    """(item, setting, f1, iou, fp, matched) of every tile (roi) of ``raw`` segmented under every row of ``settings`` and scored against ``gt``.
+
+    ``settings`` has setting and, as further columns, arguments of ``kernels.segment``; it is hand-made and small.  A (tile, setting) is one group.  Pairs that
+    ``memo``, an earlier result, holds are not computed again.  Matching is of largest total IoU from ``edge`` on.
+    """
+    names = [c for c in settings.columns if c != "setting"]
+    todo = raw.select("roi").distinct().join(F.broadcast(settings))
+    if memo is not None:
+        todo = todo.join(memo.select(F.col("item").alias("roi"), "setting"), ["roi", "setting"], "left_anti")
+    todo = settled(todo)
+
+    def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        a = np.zeros(shape)
+        a[g["z"], g["y"], g["x"]] = g["v"]
+        r = segment(a, **{n: g[n].iloc[0] for n in names})[1]
+        at = np.array(np.nonzero(r))
+        return pd.DataFrame({"roi": key[0], "setting": key[1], **{c: at[i] for i, c in enumerate("zyx")}, "label": r[tuple(at)]})
+
+    kinds = dict(raw.dtypes)
+    pred = raw.join(F.broadcast(todo), "roi").groupBy("roi", "setting").applyInPandas(run, f"roi {kinds['roi']}, setting long, z long, y long, x long, label long")
+    run_of = F.to_json(F.struct("roi", "setting")).alias("roi")
+    at = ["z", "y", "x", "label"]
+    pred, truth = settled(pred.select(run_of, *at)), gt.select("roi", *at).join(F.broadcast(todo.select("roi", "setting")), "roi").select(run_of, *at)
+    hit = hungarian(overlaps(truth, pred), edge, edge).groupBy("roi").agg(F.count("*").alias("matched"), F.avg("iou").alias("iou"))
+    n = [d.groupBy("roi").agg(F.countDistinct("label").alias(c)) for d, c in ((truth, "n_gt"), (pred, "n_pred"))]
+    out = todo.select(F.col("roi").alias("item"), "setting", run_of).join(hit, "roi", "left").join(n[0], "roi", "left").join(n[1], "roi", "left").na.fill(0, ["matched", "n_gt", "n_pred"]).na.fill(0.0, ["iou"])
+    out = out.select("item", "setting", ratio(2 * F.col("matched"), F.col("n_gt") + F.col("n_pred")).alias("f1"), "iou", (F.col("n_pred") - F.col("matched")).alias("fp"), "matched")
+    return out if memo is None else out.unionByName(memo.select(out.columns))
+
+
 def ranked(scores: DataFrame, top: int = 10) -> DataFrame:
     """The best settings by falling F1, then IoU, with how many settings are within 0.01 of the best."""
     best = scores.agg(F.max("f1").alias("best"))
@@ -57,15 +93,25 @@ def dispatch(scores: DataFrame, nearest: DataFrame, default: int) -> DataFrame:
     """Leave one out: F1 of the default setting, of the best own setting, of the nearest other item's best, and the share of the gap closed.
 
     scores: (item, setting, f1, iou); nearest: (item, other), one row for each matched item; unmatched items take the default.
+    ``shuffled`` is the mean F1 of the best settings of all other items: dispatch must beat it for the choice of item to matter.
     """
     w = Window.partitionBy("item").orderBy(F.desc("f1"), F.desc("iou"), "setting")
     own = scores.withColumn("k", F.row_number().over(w)).where("k = 1").select("item", F.col("setting").alias("best_setting"), F.col("f1").alias("oracle"))
     glob = scores.where(F.col("setting") == default).select("item", F.col("f1").alias("global"))
     given = nearest.join(own.select(F.col("item").alias("other"), "best_setting"), "other").select("item", F.col("best_setting").alias("setting"))
     disp = given.join(scores, ["item", "setting"]).select("item", F.col("f1").alias("dispatched"))
-    out = own.select("item", "oracle").join(glob, "item").join(disp, "item", "left").withColumn("matched", F.col("dispatched").isNotNull()).withColumn("dispatch", F.coalesce("dispatched", "global"))
+    # Each item meets the distinct best settings of all, which are few; its own best one counts less the item itself.
+    best = own.groupBy("best_setting").agg(F.count("*").alias("n"))
+    mixed = scores.join(best, F.col("setting") == F.col("best_setting")).join(own.select("item", F.col("best_setting").alias("mine")), "item").withColumn("n", F.col("n") - F.when(F.col("setting") == F.col("mine"), 1).otherwise(0))
+    mixed = mixed.groupBy("item").agg(ratio(F.sum(F.col("f1") * F.col("n")), F.sum("n"), None).alias("shuffled"))
+    out = own.select("item", "oracle").join(mixed, "item", "left").join(glob, "item").join(disp, "item", "left").withColumn("matched", F.col("dispatched").isNotNull()).withColumn("dispatch", F.coalesce("dispatched", "global"))
     room = F.col("oracle") - F.col("global")
-    return out.select("item", "global", "oracle", "dispatch", "matched", F.when(room > 1e-9, (F.col("dispatch") - F.col("global")) / F.when(room > 1e-9, room)).alias("gap_closed"))
+    return out.select("item", "global", "oracle", "dispatch", "shuffled", "matched", F.when(room > 1e-9, (F.col("dispatch") - F.col("global")) / F.when(room > 1e-9, room)).alias("gap_closed"))
+
+
+def mean_gap(dispatched: DataFrame) -> DataFrame:
+    """(matched, items, mean_gap): the mean share of the gap closed over matched items only."""
+    return dispatched.agg(F.sum(F.when(F.col("matched"), 1).otherwise(0)).alias("matched"), F.count("*").alias("items"), F.avg(F.when(F.col("matched"), F.col("gap_closed"))).alias("mean_gap"))
 
 
 def spearman(df: DataFrame, a: str, b: str, group: str) -> DataFrame:

@@ -191,13 +191,14 @@ def tune_conservative(spark, sf):
 
 @query(
     "with " + _GRID + ", nn as (select item, (item + 2) % 5 as other from it where item <> 3), bs as (select item, setting as best_setting, f1 as oracle from gs qualify row_number() over (partition by item order by f1 desc, iou desc, setting) = 1), gl as (select item, f1 as global from gs where setting = 4), "
-    "di as (select nn.item, gs.f1 as dispatched from nn join bs on bs.item = nn.other join gs on gs.item = nn.item and gs.setting = bs.best_setting) "
-    "select bs.item, global, oracle, coalesce(dispatched, global) as dispatch, dispatched is not null as matched, case when oracle - global > 1e-9 then round((coalesce(dispatched, global) - global) / (oracle - global), 6) end as gap_closed from bs join gl using (item) left join di using (item)"
+    "di as (select nn.item, gs.f1 as dispatched from nn join bs on bs.item = nn.other join gs on gs.item = nn.item and gs.setting = bs.best_setting), "
+    "sh as (select a.item, round(avg(gs.f1), 6) as shuffled from bs a join bs b on a.item <> b.item join gs on gs.item = a.item and gs.setting = b.best_setting group by a.item) "
+    "select bs.item, global, oracle, coalesce(dispatched, global) as dispatch, shuffled, dispatched is not null as matched, case when oracle - global > 1e-9 then round((coalesce(dispatched, global) - global) / (oracle - global), 6) end as gap_closed from bs join gl using (item) left join di using (item) left join sh using (item)"
 )
 def dispatch_loo(spark, sf):
     g = _grid(spark, sf)
     near = g.select("item").distinct().where("item <> 3").withColumn("other", (F.col("item") + 2) % 5)
-    return tune.dispatch(g, near, 4).withColumn("gap_closed", F.round("gap_closed", 6))
+    return tune.dispatch(g, near, 4).withColumns({c: F.round(c, 6) for c in ("gap_closed", "shuffled")})
 
 
 @query("with " + _GRID + " select setting, round(avg(case when item < 2 then f1 end), 6) as preset, round(avg(case when item >= 2 then f1 end), 6) as base from gs where setting in (0, 13) group by setting")

@@ -40,17 +40,25 @@ def subset(tiles: DataFrame, names: list[str] | None = None, roi: str | None = N
     return tiles
 
 
+def numbered(tiles: DataFrame, name: str = "k", within: tuple[str, ...] = ("z", "y", "x")) -> DataFrame:
+    """Adds each tile's number from 0 in order of (roi, *within): ranks inside rois, shifted by the counts of rois before; only rois are ordered as a whole."""
+    counts = tiles.groupBy("roi").agg(F.count("*").alias("n"))
+    shift = counts.select(F.col("roi").alias("roi_"), F.coalesce(F.sum("n").over(Window.orderBy("roi").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    inside = tiles.withColumn(name, F.row_number().over(Window.partitionBy("roi").orderBy(*within)) - 1)
+    return inside.join(shift, F.col("roi") == F.col("roi_")).withColumn(name, F.col(name) + F.col("before")).drop("roi_", "before")
+
+
 def every_nth(tiles: DataFrame, n: int) -> DataFrame:
     """n tiles evenly spaced in order: every max(1, count // n)-th, the first n of them."""
     step = max(1, tiles.count() // n)
-    return tiles.withColumn("k", F.row_number().over(Window.orderBy("roi", "z", "y", "x")) - 1).where(F.col("k") % step == 0).orderBy("k").limit(n).drop("k")
+    return numbered(tiles).where((F.col("k") % step == 0) & (F.col("k") < step * n)).orderBy("k").drop("k")
 
 
 def spread(tiles: DataFrame, k: int) -> DataFrame:
     """Tiles at k positions spread linearly from first to last, truncated."""
     n = tiles.count()
     at = [int(i * (n - 1) / (k - 1)) if k > 1 else 0 for i in range(k)] if n else []
-    return tiles.withColumn("k", F.row_number().over(Window.orderBy("roi", "z", "y", "x")) - 1).where(F.col("k").isin(at)).drop("k")
+    return numbered(tiles).where(F.col("k").isin(at)).drop("k")
 
 
 def unfinished(tiles: DataFrame, done: DataFrame) -> DataFrame:
@@ -138,5 +146,10 @@ def tiff_tiles(spark: SparkSession, files: DataFrame) -> DataFrame:
                 a = tifffile.imread(io.BytesIO(r["content"]))
                 yield pa.RecordBatch.from_pylist([{"roi": r["roi"], **{c: r[c] for c in "zyx"}, "nz": a.shape[0], "ny": a.shape[1], "nx": a.shape[2], "dtype": str(a.dtype), "data": a.tobytes()}])
 
-    body = spark.read.format("binaryFile").load([r["path"] for r in files.select("path").collect()]).select("path", "content")
+    one = files.select(F.regexp_replace("path", r"/[^/]+$", "").alias("folder")).distinct().limit(1000).collect()  # folders, not files
+    if len(one) == 1000:
+        raise ValueError("tiles lie in 1,000 folders or more: read them by common parent folders")
+    if not one:
+        return spark.createDataFrame([], BLOB)
+    body = spark.read.format("binaryFile").load([r["folder"] for r in one]).select("path", "content")
     return body.join(files.select("path", "roi", "z", "y", "x"), "path").mapInArrow(run, BLOB)
