@@ -235,7 +235,8 @@ def _signed(docs: DataFrame, least: int) -> DataFrame:
     # Of each node in a bucket one text moves, compressed: of its copies those of one hash, once.
     wanted = nodes.select("id", "text_hash").join(members.select("id").distinct(), "id", "left_semi")
     texts = docs.where("text is not null").select("text_hash", "text").mapInArrow(_squeeze, "text_hash long, packed binary")
-    texts = texts.join(wanted.select("text_hash").distinct(), "text_hash", "left_semi").groupBy("text_hash").agg(F.first("packed").alias("packed"))
+    # Copies combine before the shuffle, so a text that many rows share moves once from each task.
+    texts = texts.groupBy("text_hash").agg(F.first("packed").alias("packed")).join(wanted.select("text_hash").distinct(), "text_hash", "left_semi")
     packed = written(wanted.join(texts, "text_hash").select("id", "packed"), "texts")
 
     def links(pairs: DataFrame) -> DataFrame:
