@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, decontaminate, lines, minhash, packing, quality, substring, toxicity, urls, warc
+from . import ann, decontaminate, exact, fim, lines, merkle, minhash, packing, quality, substring, toxicity, urls, warc
 
 
 def queries() -> dict:
@@ -17,9 +17,20 @@ def queries() -> dict:
         urls.op8_url_filter,
         substring.op9_substring_dedup,
         lines.op10_line_dedup,
+        exact.op11_exact_dedup,
+        merkle.op12_merkle_manifest,
+        fim.op13_fill_in_middle,
     ]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": warc.OP1_SQL, "op3_benchmark_decontamination": decontaminate.OP3_SQL, "op8_url_filter": urls.OP8_SQL, "op10_line_dedup": lines.OP10_SQL}
+    return {
+        "op1_warc": warc.OP1_SQL,
+        "op3_benchmark_decontamination": decontaminate.OP3_SQL,
+        "op8_url_filter": urls.OP8_SQL,
+        "op10_line_dedup": lines.OP10_SQL,
+        "op11_exact_dedup": exact.OP11_SQL,
+        "op12_merkle_manifest": merkle.OP12_SQL,
+        "op13_fill_in_middle": fim.OP13_SQL,
+    }
