@@ -26,14 +26,14 @@ def _robust(col: str, flag: str, floor: str, expr: str, test: str, src: str) ->
 _ALL = ", ".join(
     [
         _NEAR,
-        _robust("oversized_frac", "oversized_objects", "0.05", "oversized_frac", "{s} > 4", "dj"),
-        _robust("tiny_frac", "tiny_objects", "0.05", "tiny_frac", "{s} > 4", "oversized_objects_t"),
-        _robust("median_vol_vox", "size_shift", "0.15", "ln(greatest(median_vol_vox, 1e-9))", "abs({s}) > 4", "tiny_objects_t"),
-        _robust("ratio_to_blobs", "ratio_shift", "0.3", "ratio_to_blobs", "abs({s}) > 4", "size_shift_t"),
-        "ru as (select *, ((y = min(y) over (partition by roi) or y = max(y) over (partition by roi))::int + (x = min(x) over (partition by roi) or x = max(x) over (partition by roi))::int) as edge_axes, not has_output as f0, coalesce(usable and exemplar_distance > 0.75, false) as f1, coalesce(usable and has_output and n_nuclei = 0 and contrast_p99 > 3, false) as f2 from ratio_shift_t)",
-        "pq as (select *, (f0::int * 10 + f1::int * 5 + f2::int * 5 + density_jump::int * 3 + oversized_objects::int * 3 + tiny_objects::int * 2 + size_shift::int * 2 + ratio_shift::int * 2) as priority, "
-        "concat_ws(';', case when f0 then 'missing_output' end, case when f1 then 'unlike_exemplars' end, case when f2 then 'no_nuclei_but_signal' end, case when density_jump then 'density_jump_vs_neighbors' end, case when oversized_objects then 'oversized_objects' end, case when tiny_objects then 'tiny_objects' end, case when size_shift then 'size_shift' end, case when ratio_shift then 'ratio_shift' end) as reasons, "
-        "(f0::int + f1::int + f2::int + density_jump::int + oversized_objects::int + tiny_objects::int + size_shift::int + ratio_shift::int) as n_reasons from ru)",
+        _robust("oversized_frac", "oversized_outlier", "0.05", "oversized_frac", "{s} > 4", "dj"),
+        _robust("tiny_frac", "tiny_outlier", "0.05", "tiny_frac", "{s} > 4", "oversized_outlier_t"),
+        _robust("median_vol_vox", "size_shift_outlier", "0.15", "ln(greatest(median_vol_vox, 1e-9))", "abs({s}) > 4", "tiny_outlier_t"),
+        _robust("ratio_to_blobs", "ratio_outlier", "0.3", "ratio_to_blobs", "abs({s}) > 4", "size_shift_outlier_t"),
+        "ru as (select *, ((y = min(y) over (partition by roi) or y = max(y) over (partition by roi))::int + (x = min(x) over (partition by roi) or x = max(x) over (partition by roi))::int) as edge_axes, not has_output as f0, coalesce(usable and exemplar_distance > 0.75, false) as f1, coalesce(usable and has_output and n_nuclei = 0 and contrast_p99 > 3, false) as f2 from ratio_outlier_t)",
+        "pq as (select *, (f0::int * 10 + f1::int * 5 + f2::int * 5 + density_jump::int * 3 + oversized_outlier::int * 3 + tiny_outlier::int * 2 + size_shift_outlier::int * 2 + ratio_outlier::int * 2) as priority, "
+        "concat_ws(';', case when f0 then 'missing_output' end, case when f1 then 'unlike_exemplars' end, case when f2 then 'no_nuclei_but_signal' end, case when density_jump then 'density_jump_vs_neighbors' end, case when oversized_outlier then 'oversized_outlier' end, case when tiny_outlier then 'tiny_outlier' end, case when size_shift_outlier then 'size_shift_outlier' end, case when ratio_outlier then 'ratio_outlier' end) as reasons, "
+        "(f0::int + f1::int + f2::int + density_jump::int + oversized_outlier::int + tiny_outlier::int + size_shift_outlier::int + ratio_outlier::int) as n_reasons from ru)",
         "ass as (select *, case when not has_output then 'MISSING' when not usable then 'PADDING' when priority >= 5 or n_reasons >= 2 then 'REVIEW' when n_reasons = 1 then 'WATCH' else 'OK' end as status from pq)",
     ]
 )
@@ -45,10 +45,9 @@ def qc_missing(spark, sf):
     return qc.missing(t, t.where("has_output")).select("chunk")
 
 
-@query("select chunk, usable and exemplar_distance > 0.75 as unlike, coalesce(usable and has_output and n_nuclei = 0 and contrast_p99 > 3, false) as empty_signal from qc", ("qc",))
+@query("select chunk, usable and exemplar_distance > 0.75 as unlike_exemplars, coalesce(usable and has_output and n_nuclei = 0 and contrast_p99 > 3, false) as no_nuclei_but_signal from qc", ("qc",))
 def qc_signal_rules(spark, sf):
-    t = X.tile_measures(spark, sf)
-    return t.select("chunk", (F.col("usable") & (F.col("exemplar_distance") > 0.75)).alias("unlike"), F.expr("coalesce(usable and has_output and n_nuclei = 0 and contrast_p99 > 3, false)").alias("empty_signal"))
+    return X.tile_measures(spark, sf).select("chunk", *[c.alias(n) for n, c in qc.signal_rules().items()])
 
 
 @query("with " + _NEAR + " select chunk, n_neighbours, density_jump from dj", ("qc",))
@@ -56,11 +55,11 @@ def qc_neighbour_density(spark, sf):
     return qc.density_jumps(X.tile_measures(spark, sf)).select("chunk", "n_neighbours", "density_jump")
 
 
-@query("with " + _ALL + " select chunk, round(r_oversized_objects, 5) + 0.0 as oversized, round(r_tiny_objects, 5) + 0.0 as tiny, round(r_size_shift, 5) + 0.0 as size, round(r_ratio_shift, 5) + 0.0 as ratio, oversized_objects, tiny_objects, size_shift, ratio_shift from ass", ("qc",))
+@query("with " + _ALL + " select chunk, round(r_oversized_outlier, 5) + 0.0 as oversized, round(r_tiny_outlier, 5) + 0.0 as tiny, round(r_size_shift_outlier, 5) + 0.0 as size, round(r_ratio_outlier, 5) + 0.0 as ratio, oversized_outlier, tiny_outlier, size_shift_outlier, ratio_outlier from ass", ("qc",))
 def qc_robust_outliers(spark, sf):
     t = qc.outlier_flags(X.tile_measures(spark, sf))
     names = {"oversized": "oversized_frac", "tiny": "tiny_frac", "size": "median_vol_vox", "ratio": "ratio_to_blobs"}
-    return t.select("chunk", *[(F.round(f"robust_{c}", 5) + F.lit(0.0)).alias(n) for n, c in names.items()], "oversized_objects", "tiny_objects", "size_shift", "ratio_shift")
+    return t.select("chunk", *[(F.round(f"robust_{c}", 5) + F.lit(0.0)).alias(n) for n, c in names.items()], "oversized_outlier", "tiny_outlier", "size_shift_outlier", "ratio_outlier")
 
 
 @query("with " + _ALL + " select chunk, edge_axes, edge_axes > 0 as is_edge from ass", ("qc",))
@@ -82,27 +81,59 @@ def qc_review_list(spark, sf):
     return qc.review_list(_assessed(spark, sf)).select("chunk", "priority", "status")
 
 
-@query("with " + _ALL + " select 'status' as section, status as name, count(*)::double as value from ass group by status union all select 'reason', r, count(*)::double from (select unnest(string_split(reasons, ';')) as r from ass where reasons <> '') group by r "
-       "union all select 'total', 'coverage', round(sum(has_output::int) / count(*), 6) from ass union all select 'total', 'nuclei', coalesce(sum(n_nuclei), 0)::double from ass union all select 'total', 'median_density', round(median(nuclei_per_mvox), 6) from ass", ("qc",))
+_VERDICTS = "vd as (select case when toxic = 1 then 'major' when quality = 0 then 'minor' else ' OK ' end as verdict from labels), au as (select lower(trim(verdict)) as v from vd)"
+_WILSON = "greatest(0, (p + 3.8416 / (2 * n)) / (1 + 3.8416 / n) - 1.96 * sqrt(p * (1 - p) / n + 3.8416 / (4 * n * n)) / (1 + 3.8416 / n)) as low, least(1, (p + 3.8416 / (2 * n)) / (1 + 3.8416 / n) + 1.96 * sqrt(p * (1 - p) / n + 3.8416 / (4 * n * n)) / (1 + 3.8416 / n)) as high"
+_JUDGED = _VERDICTS + (
+    ", jc as (select count(*) filter (v in ('ok', 'minor', 'major')) as judged, count(*) as of, count(*) filter (v = 'ok') as ok, count(*) filter (v = 'minor') as minor, count(*) filter (v = 'major') as major from au), "
+    "jd as (select *, ok / judged::double as p, judged::double as n from jc where judged > 0), jw as (select judged, of, ok, minor, major, p as ok_frac, " + _WILSON + " from jd)"
+)
+
+# Edge tiles in the order they are drawn, with the rois seen before each; a tile is taken when its roi is new or when all rois were seen.
+_PICKS = (
+    ", ok as (select * from ass where usable and has_output and n_nuclei > 0), eg as (select chunk, roi, edge_axes from ok where edge_axes > 0), "
+    "co as (select chunk, roi from eg where edge_axes >= 2 order by md5(chunk || '0'), chunk limit 1), "
+    "rs as (select chunk, roi, row_number() over (order by md5(chunk || '1'), chunk) as pos from eg where chunk not in (select chunk from co)), "
+    "sn as (select a.chunk, a.pos, count(*) filter (b.roi = a.roi) + (select count(*) from co where co.roi = a.roi) as own, "
+    "count(distinct case when b.roi not in (select roi from co) then b.roi end) + (select count(*) from co) as seen from rs a left join rs b on b.pos < a.pos group by a.chunk, a.pos, a.roi), "
+    "ed as (select chunk from (select chunk, 0 as pos from co union all select chunk, pos from sn where own = 0 or seen >= (select count(distinct roi) from eg)) order by pos limit 3), "
+    "pk as (select chunk, 0 as rank, 'edge of volume' as why from ed union all select * from (select chunk, 1, 'random interior' from ok where edge_axes = 0 order by md5(chunk || '2'), chunk limit 3) "
+    "union all select * from (select chunk, 2, 'flagged: ' || replace(reasons, ';', ', ') from ass where status in ('REVIEW', 'MISSING') and has_output order by priority desc, chunk limit 2)), "
+    "mp as (select chunk, why from pk qualify row_number() over (partition by chunk order by rank) = 1)"
+)
+
+
+@query("with " + _ALL + _PICKS + ", " + _JUDGED + ", rc as (select r, count(*)::double as c from (select unnest(string_split(reasons, ';')) as r from ass where reasons <> '') group by r), "
+       "tt as (select count(*) as n_chunks, count(*) filter (has_output) as n_with_output, count(*) filter (has_output) / count(*) as coverage, count(*) filter (status in ('REVIEW', 'MISSING', 'WATCH')) as n_flagged, coalesce(sum(n_nuclei), 0) as n_nuclei_total, "
+       "count(*) filter (contains(reasons, 'unlike_exemplars')) as n_unlike, median(nuclei_per_mvox) filter (usable and has_output) as median_nuclei_per_mvox from ass), "
+       "pc as (select count(*) filter (why = 'edge of volume') as n_edge_images, count(*) filter (why like 'flagged%') as n_main_flagged from mp), "
+       "tm as (select count(*) as chunks, median(value) as median_s from events), "
+       "lg as (select 'status' as section, list_position(['OK', 'WATCH', 'REVIEW', 'MISSING', 'PADDING'], status) as place, status as name, count(*)::double as value from ass group by status "
+       "union all select 'reason', row_number() over (order by c desc, r), r, c from rc "
+       "union all select 'total', k, n, v from (select unnest(range(1, 10)) as k, unnest(['n_chunks', 'n_with_output', 'coverage', 'n_flagged', 'n_nuclei_total', 'n_unlike', 'median_nuclei_per_mvox', 'n_edge_images', 'n_main_flagged']) as n, "
+       "unnest([n_chunks::double, n_with_output, coverage, n_flagged, n_nuclei_total, n_unlike, median_nuclei_per_mvox, n_edge_images, n_main_flagged]) as v from tt, pc) "
+       "union all select 'audit', k, n, v from (select unnest(range(1, 9)) as k, unnest(['judged', 'of', 'ok', 'minor', 'major', 'ok_frac', 'low', 'high']) as n, unnest([judged::double, of, ok, minor, major, ok_frac, low, high]) as v from jw) "
+       "union all select 'timing', k, n, v from (select unnest([1, 2]) as k, unnest(['chunks', 'median_s']) as n, unnest([chunks::double, median_s]) as v from tm)) "
+       "select section, place::int as place, name, round(value, 6) as value from lg", ("qc",))
 def qc_summary(spark, sf):
-    return qc.summary(_assessed(spark, sf)).withColumn("value", F.round("value", 6))
+    t = _assessed(spark, sf)
+    timings = X.table(spark, sf, "events").select(F.col("value").alias("seconds"))
+    return qc.summary(t, qc.main_picks(t), qc.audit_result(_sheet(spark, sf)), timings).withColumn("value", F.round("value", 6))
 
 
-@query("with " + _ALL + " select count(*) as pool, least(count(*), greatest(20, ceil(0.05 * count(*))))::bigint as n from ass where usable and has_output", ("qc",))
+@query("with " + _ALL + " select count(*) as pool, least(count(*), greatest(10, ceil(0.015 * count(*))))::bigint as n from ass where usable and has_output", ("qc",))
 def audit_size(spark, sf):
     t = _assessed(spark, sf)
     s = qc.audit_sample(t)
     return t.where("usable and has_output").agg(F.count("*").alias("pool")).join(s.agg(F.count("*").alias("n")))
 
 
-_VERDICTS = "v as (select case when toxic = 1 then 'major' when quality = 0 then 'minor' else ' OK ' end as verdict from labels), a as (select lower(trim(verdict)) as v from v)"
-_WILSON = "greatest(0, (p + 3.8416 / (2 * n)) / (1 + 3.8416 / n) - 1.96 * sqrt(p * (1 - p) / n + 3.8416 / (4 * n * n)) / (1 + 3.8416 / n)) as low, least(1, (p + 3.8416 / (2 * n)) / (1 + 3.8416 / n) + 1.96 * sqrt(p * (1 - p) / n + 3.8416 / (4 * n * n)) / (1 + 3.8416 / n)) as high"
+def _sheet(spark, sf):
+    return X.table(spark, sf, "labels").select(F.when(F.col("toxic") == 1, "major").when(F.col("quality") == 0, "minor").otherwise(" OK ").alias("verdict"))
 
 
-@query("with " + _VERDICTS + ", c as (select count(*) as judged, sum((v = 'ok')::int)::bigint as ok, sum((v = 'minor')::int)::bigint as minor, sum((v = 'major')::int)::bigint as major from a where v in ('ok', 'minor', 'major')), d as (select *, (ok + minor) / judged::double as p, judged::double as n from c), w as (select judged, ok, minor, major, " + _WILSON + " from d) select judged, ok, minor, major, round(low, 6) as low, round(high, 6) as high from w")
+@query("with " + _JUDGED + " select judged, of, ok, minor, major, round(ok_frac, 6) as ok_frac, round(low, 6) as low, round(high, 6) as high from jw")
 def audit_result(spark, sf):
-    sheet = X.table(spark, sf, "labels").select(F.when(F.col("toxic") == 1, "major").when(F.col("quality") == 0, "minor").otherwise(" OK ").alias("verdict"))
-    return qc.audit_result(sheet).withColumns({"low": F.round("low", 6), "high": F.round("high", 6)})
+    return qc.audit_result(_sheet(spark, sf)).withColumns({c: F.round(c, 6) for c in ("ok_frac", "low", "high")})
 
 
 @query("with c as (select r_regionkey as k, r_regionkey * 3 as hits, r_regionkey * 4::double as n0 from region), d as (select k, case when n0 > 0 then hits / n0 end as p, case when n0 > 0 then n0 end as n from c), w as (select k, p, " + _WILSON + " from d) select k, case when p is not null then round(low, 6) end as low, case when p is not null then round(high, 6) end as high from w")
@@ -113,19 +144,15 @@ def audit_wilson(spark, sf):
     return r.select("k", F.when(ok, F.round(lo, 6)).alias("low"), F.when(ok, F.round(hi, 6)).alias("high"))
 
 
-_PICKS = (
-    ", ok as (select * from ass where usable and has_output), pk as (select chunk, 0 as rank, 'corner' as why from ok where edge_axes = 2 qualify row_number() over (partition by roi order by chunk) = 1 "
-    "union all select chunk, 1, 'edge' from ok where edge_axes = 1 qualify row_number() over (partition by roi order by chunk) <= 2 union all select * from (select chunk, 2, 'interior' from ok where edge_axes = 0 order by md5(chunk), chunk limit 6) "
-    "union all select * from (select chunk, 3, 'flagged' from ass where status = 'REVIEW' order by priority desc, chunk limit 10)), mp as (select chunk, why from pk qualify row_number() over (partition by chunk order by rank) = 1)"
-)
-
-
 @query("with " + _ALL + _PICKS + " select chunk, why from mp", ("qc",))
 def qc_picks(spark, sf):
     return qc.main_picks(_assessed(spark, sf))
 
 
-@query("with " + _ALL + _PICKS + ", re as (select * from ass where chunk not in (select chunk from mp)), fu as (select * from re where usable and has_output and n_nuclei > 0) select * from (select chunk, 'flagged' as why from re where status = 'REVIEW' order by priority desc, chunk limit 5) union all select * from (select chunk, 'densest' from fu order by nuclei_per_mvox desc, chunk limit 1) union all select * from (select chunk, 'sparsest' from fu order by nuclei_per_mvox, chunk limit 1)", ("qc",))
+@query("with " + _ALL + _PICKS + ", fl as (select * from (select chunk, 0 as rank, 'flagged: ' || replace(reasons, ';', ', ') as why from ass where status = 'REVIEW' and has_output and chunk not in (select chunk from mp) order by priority desc, chunk limit 150)), "
+       "dn as (select chunk, 1 as rank, 'densest chunk' as why from ok order by nuclei_per_mvox desc, chunk limit 1), sp as (select chunk, 2 as rank, 'sparsest chunk with nuclei' as why from ok order by nuclei_per_mvox, chunk limit 1), "
+       "un as (select * from fl union all select * from dn where chunk not in (select chunk from mp) union all select * from sp where chunk not in (select chunk from mp)) "
+       "select chunk, why from un qualify row_number() over (partition by chunk order by rank) = 1", ("qc",))
 def qc_detail_picks(spark, sf):
     t = _assessed(spark, sf)
     return qc.detail_picks(t, qc.main_picks(t))
