@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from voxloom.operators import graph, masks, objects, project, score, segment, tune
 from voxloom.operators import kernels as K
+from voxloom.operators.settings import Settings
 from voxloom.sources import files, session
 
 SHAPE = (20, 24, 28)
@@ -53,12 +54,13 @@ def test_an_object_cut_by_tiles_is_found_once(spark):
     centres = [(8, 8, 8), (8, 12, 20), (15, 18, 10)]  # the first lies on a corner of eight tiles
     shape = (24, 24, 28)
     v = rows(spark, spheres(centres, shape))
-    config = dict(percentile=70.0, floor_k=6.0, min_distance=3, min_voxels=60)  # the floor keeps noise out of slices without objects
-    labels, found = segment.tiled_segmentation(v, shape, 8, 8, expected=257, screen={"z_limit": 9.0, "too_small": 0.5, "too_big": 0.0}, **config)
+    # The floor keeps noise out of slices without objects.
+    config = Settings(nucleus_diameter_vox=7.9, voxel_size=(1.0, 1.0, 1.0), target_foreground_percentile=70.0, background_floor_sigma=6.0, min_seed_distance=3, seed_prominence=0.0, seed_landscape_smooth_um=1.0, min_object_voxels=60, volume_zscore_thresh=9.0, min_volume_fraction_of_expected=0.5)
+    labels, found = segment.tiled_segmentation(v, shape, 8, 8, config)
     o = objects.statistics(labels.withColumnRenamed("gid", "label")).collect()
     assert sorted((round(r["cz"]), round(r["cy"]), round(r["cx"])) for r in o) == sorted(centres)
     assert found.where("gid is not null and not accepted").count() == 0 and found.where("gid is not null").count() == 3
-    part = segment.tiled_segmentation(v.where("x < 9"), (24, 24, 28), 8, 8, expected=257, screen={"z_limit": 9.0, "too_small": 0.9}, **config)[1]
+    part = segment.tiled_segmentation(v.where("x < 9"), (24, 24, 28), 8, 8, config.with_(min_volume_fraction_of_expected=0.9))[1]
     assert part.where("array_contains(reasons, 'too_small') and accepted").count() == 0
 
 
@@ -114,12 +116,19 @@ def test_sweep_uses_its_memo(spark):
     for n, c in enumerate([(6, 6, 6), (12, 16, 18)], 1):
         gt[sum((i - k) ** 2 for i, k in zip(z, c, strict=True)) <= 16] = n
     g = rows(spark, gt, name="label").where("label > 0").withColumn("label", F.col("label").cast("long"))
-    s = spark.createDataFrame([(0, 96.0, 3), (1, 20.0, 3)], "setting long, percentile double, min_distance int")
-    first = tune.swept(v, g, s.where("setting = 0"), SHAPE).cache()
+    s = spark.createDataFrame([(0, 96.0, 3), (1, 20.0, 3), (2, 96.0, 3)], "setting long, target_foreground_percentile double, min_seed_distance int")
+    s = s.withColumn("volume_zscore_thresh", F.when(F.col("setting") == 2, F.lit(0.0)))  # two objects of equal size: none is odd
+    base = Settings(nucleus_diameter_vox=7.9, voxel_size=(1.0, 1.0, 1.0), background_floor_sigma=0.0, seed_prominence=0.0, seed_landscape_smooth_um=1.0, min_object_voxels=20, volume_zscore_thresh=9.0)
+    first = tune.swept(v, g, s.where("setting = 0"), SHAPE, base).cache()
     assert first.first()["f1"] == 1.0 and first.first()["matched"] == 2
     memo = first.withColumn("f1", F.lit(0.123))
-    both = {r["setting"]: r["f1"] for r in tune.swept(v, g, s, SHAPE, memo).collect()}
-    assert both[0] == 0.123 and set(both) == {0, 1}
+    both = {r["setting"]: r["f1"] for r in tune.swept(v, g, s, SHAPE, base, memo, spread=2).collect()}
+    assert both[0] == 0.123 and set(both) == {0, 1, 2}
+    # Scored are accepted objects inside the window: a screen that accepts nothing finds nothing, and a window over one sphere has one object.
+    strict = base.with_(solidity_thresh=1.1)
+    assert tune.swept(v, g, s.where("setting = 0"), SHAPE, strict).first()["matched"] == 0
+    half = tune.swept(v, g, s.where("setting = 0"), SHAPE, base, z_range="0:8").first()
+    assert (half["matched"], half["f1"]) == (1, 1.0)
 
 
 def test_files_and_small_rules(spark, tmp_path):

@@ -17,7 +17,7 @@ def histogram(voxels: DataFrame, keys: list[str] = SLICE) -> DataFrame:
     return voxels.groupBy(*keys, "v").agg(F.count("*").alias("c"))
 
 
-def background_floor(voxels: DataFrame, k: float, keys: list[str] = TILE, least: int = 100) -> DataFrame:
+def background_floor(voxels: DataFrame, k: float, keys: list[str] = SLICE, least: int = 100) -> DataFrame:
     """(keys, floor): median + k * 1.4826 * MAD of positive values; minus infinity below ``least`` of them.  Counts ``c`` are used where given."""
     counted = voxels if "c" in voxels.columns else histogram(voxels, keys)
     positive = counted.where("v > 0")
@@ -28,12 +28,12 @@ def background_floor(voxels: DataFrame, k: float, keys: list[str] = TILE, least:
 
 
 def percentile_mask(voxels: DataFrame, percentile: float = 90.0, floor_k: float = 0.0, valid: str | None = None) -> DataFrame:
-    """Foreground voxels: above the slice's percentile and the tile's floor.  Flat slices have none; only ``valid`` voxels count."""
+    """Foreground voxels: above the slice's percentile and its background floor.  Flat slices have none; only ``valid`` voxels count."""
     v = voxels.where(valid) if valid else voxels
     h = settled(histogram(v))
     t = h.groupBy(*SLICE).agg(F.percentile("v", percentile / 100, F.col("c")).alias("t"), F.min("v").alias("lo"), F.max("v").alias("hi")).where("lo < hi").select(*SLICE, "t")
     if floor_k > 0:
-        t = t.join(background_floor(h, floor_k), TILE).select(*SLICE, F.greatest("t", "floor").alias("t"))
+        t = t.join(background_floor(h, floor_k), SLICE).select(*SLICE, F.greatest("t", "floor").alias("t"))
     return v.join(t, SLICE).where("v > t").select("roi", "z", "y", "x")
 
 

@@ -37,8 +37,11 @@ def box_bound(stats: DataFrame) -> DataFrame:
     return stats.withColumn("solidity_bound", F.col("area") / ((F.col("z1") - F.col("z0")) * (F.col("y1") - F.col("y0")) * (F.col("x1") - F.col("x0"))))
 
 
-def reasons(stats: DataFrame, expected: float, z_limit: float = 3.0, too_small: float = 0.1, too_big: float = 3.0, long_um: float = 0.0, voxel: tuple[float, float, float] = (1.0, 1.0, 1.0), solidity: float | None = None, keys: tuple[str, ...] = ("roi",)) -> DataFrame:
-    """Adds the list of reasons for doubt, in fixed order; a limit of 0 switches too_big or too_long off.  ``keys`` name the block whose objects are compared."""
+def reasons(stats: DataFrame, expected: float, z_limit: float = 4.0, too_small: float = 0.20, too_big: float = 0.0, long_um: float = 60.0, voxel: tuple[float, float, float] = (2.0, 0.5616, 0.528), solidity: float | None = None, keys: tuple[str, ...] = ("roi",)) -> DataFrame:
+    """Adds the list of reasons for doubt, in fixed order; a limit of 0 switches too_big or too_long off.  ``keys`` name the block whose objects are compared.
+
+    With ``solidity`` (the threshold, as ``segment.solidity`` took it) the statistics carry ``solid``.
+    """
     s = volume_zscores(stats, expected, keys)
     extent = F.greatest(*[(F.col(f"{a}1") - F.col(f"{a}0")) * F.lit(float(v)) for a, v in zip("zyx", voxel, strict=True)])
     found = [F.when(~F.col("solid"), "solidity")] if solidity is not None else []
@@ -59,13 +62,14 @@ def accepted(screened: DataFrame, keep_big: bool = True) -> DataFrame:
 
 
 def scale_check(stats: DataFrame, shape: tuple[int, int, int], voxel: tuple[float, float, float], min_voxels: int = 1, least: int = 20, tolerance: float = 0.25) -> DataFrame:
-    """Mean and median extents of uncut objects by axis, the ratio to y and the implied voxel size; null below ``least`` objects."""
+    """Mean and median extents of uncut objects by axis, the ratio to y and the implied voxel size; null below ``least`` uncut objects of any size."""
     s = touching(stats, shape).where("not border")
-    s = s.where(((F.col("z1") - F.col("z0")) * (F.col("y1") - F.col("y0")) * (F.col("x1") - F.col("x0"))) >= min_voxels)
-    e = s.agg(F.count("*").alias("n"), *[f((F.col(f"{a}1") - F.col(f"{a}0")).cast("double")).alias(f"{m}_{a}") for a in "zyx" for m, f in (("mean", F.avg), ("median", F.median))])
-    rows = e.select("n", "median_y", F.inline(F.array(*[F.struct(F.lit(a).alias("axis"), F.col(f"mean_{a}").alias("mean"), F.col(f"median_{a}").alias("median"), F.lit(float(v)).alias("voxel"), F.lit(float(voxel[1])).alias("voxel_y")) for a, v in zip("zyx", voxel, strict=True)])))
+    big = ((F.col("z1") - F.col("z0")) * (F.col("y1") - F.col("y0")) * (F.col("x1") - F.col("x0"))) >= min_voxels
+    s = s.withColumns({f"{a}{k}": F.when(big, F.col(f"{a}{k}")) for a in "zyx" for k in (0, 1)})
+    e = s.agg(F.count("*").alias("uncut"), F.count(F.when(big, 1)).alias("n"), *[f((F.col(f"{a}1") - F.col(f"{a}0")).cast("double")).alias(f"{m}_{a}") for a in "zyx" for m, f in (("mean", F.avg), ("median", F.median))])
+    rows = e.select("n", "uncut", "median_y", F.inline(F.array(*[F.struct(F.lit(a).alias("axis"), F.col(f"mean_{a}").alias("mean"), F.col(f"median_{a}").alias("median"), F.lit(float(v)).alias("voxel"), F.lit(float(voxel[1])).alias("voxel_y")) for a, v in zip("zyx", voxel, strict=True)])))
     r = F.col("median") * F.col("voxel") / (F.col("median_y") * F.col("voxel_y"))
-    rows = rows.withColumn("ratio", F.when(F.col("n") >= least, r)).withColumn("implied_voxel", F.when(F.col("n") >= least, F.col("median_y") * F.col("voxel_y") / F.col("median")))
+    rows = rows.withColumn("ratio", F.when(F.col("uncut") >= least, r)).withColumn("implied_voxel", F.when(F.col("uncut") >= least, F.col("median_y") * F.col("voxel_y") / F.col("median")))
     return rows.select("axis", "n", "mean", "median", "ratio", "implied_voxel", (F.abs(F.col("ratio") - 1) > tolerance).alias("doubtful"))
 
 
@@ -78,19 +82,19 @@ def residual_shear(labels: DataFrame, least: int = 200) -> DataFrame:
 
 def descriptors(voxels: DataFrame, least: int = 1000) -> DataFrame:
     """Tile descriptors: share of zeros, median and MAD of the rest, shares above k sigmas, contrast; unusable below ``least`` non-zero voxels."""
-    zero = voxels.groupBy("roi").agg(F.avg(F.when(F.col("v") == 0, 1e0).otherwise(0e0)).alias("zero_frac"), F.sum(F.when(F.col("v") != 0, 1).otherwise(0)).alias("n"))
-    rest = voxels.where("v <> 0")
+    zero = voxels.groupBy("roi").agg(F.avg(F.when(F.col("v") == 0, 1e0).otherwise(0e0)).alias("zero_frac"), F.sum(F.when(F.col("v") > 0, 1).otherwise(0)).alias("n"))
+    rest = voxels.where("v > 0")
     mid = rest.groupBy("roi").agg(F.median("v").alias("median"), F.percentile("v", 0.99).alias("p99"))
-    mad = rest.join(mid, "roi").groupBy("roi").agg((F.median(F.abs(F.col("v") - F.col("median"))) * MAD_TO_SIGMA).alias("sigma"))
+    mad = rest.join(mid, "roi").groupBy("roi").agg((F.median(F.abs(F.col("v") - F.col("median"))) * MAD_TO_SIGMA).alias("sigma")).withColumn("sigma", F.when(F.col("sigma") > 0, F.col("sigma")).otherwise(1e-6))
     share = rest.join(mid, "roi").join(mad, "roi").groupBy("roi", "median", "sigma", "p99").agg(*[F.avg(F.when(F.col("v") > F.col("median") + k * F.col("sigma"), 1e0).otherwise(0e0)).alias(f"fg_frac_k{k}") for k in (2, 3, 5)])
     out = zero.join(share, "roi", "left").withColumn("usable", F.col("n") >= least)
-    return out.withColumn("contrast_p99", F.when(F.col("usable") & (F.col("sigma") > 0), (F.col("p99") - F.col("median")) / F.col("sigma")))
+    return out.withColumn("contrast_p99", F.when(F.col("usable"), (F.col("p99") - F.col("median")) / F.col("sigma")))
 
 
 def tile_quality(labels: DataFrame, tiles: DataFrame, expected: float, shape: tuple[int, int, int]) -> DataFrame:
     """Per-tile counts and shares of objects; measures of size are null where a tile has none.
 
-    Where ``tiles`` has a column ``valid`` (voxels that aren't padding), densities are over those; where it has ``blobs``, ratio_to_blobs is objects by blobs.
+    Where ``tiles`` has a column ``valid`` (voxels that aren't padding), counts for a million voxels are over those, the labelled share always over all; where it has ``blobs``, ratio_to_blobs is objects by blobs.
     """
     s = touching(statistics(labels), shape)
     g = s.groupBy("roi").agg(
@@ -102,4 +106,4 @@ def tile_quality(labels: DataFrame, tiles: DataFrame, expected: float, shape: tu
     room = F.greatest(F.col("valid").cast("double") if "valid" in tiles.columns else F.lit(voxels), F.lit(1.0))
     if "blobs" in tiles.columns:
         out = out.withColumn("ratio_to_blobs", F.when((F.col("n_objects") > 0) & (F.col("blobs") > 0), F.col("n_objects") / F.when(F.col("blobs") > 0, F.col("blobs"))))
-    return out.withColumn("per_mvox", F.col("n_objects") / (room / 1e6)).withColumn("labelled_frac", F.coalesce("labelled", F.lit(0)) / room).drop("labelled")
+    return out.withColumn("per_mvox", F.col("n_objects") / (room / 1e6)).withColumn("labelled_frac", F.coalesce("labelled", F.lit(0)) / voxels).drop("labelled")

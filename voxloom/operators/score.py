@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import ratio
+from ..sources.session import importable
 from .graph import component_ids, settled
 
 VOXEL = ["roi", "z", "y", "x"]
@@ -74,6 +75,7 @@ def hungarian(pairs: DataFrame, edge: float = 0.25, least: float = 0.5) -> DataF
 
     The bipartite graph is split into components first, so each assignment is a small matrix; non-edges cost 1.
     """
+    importable(pairs.sparkSession)
     e = settled(pairs.where(F.col("iou") >= edge))
     node = lambda side: F.concat_ws(":", F.lit(side), F.col("roi").cast("string"), F.col("gt" if side == "g" else "pred").cast("string"))
     links = e.select(node("g").alias("a"), node("p").alias("b"))

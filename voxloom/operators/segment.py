@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from . import kernels as K
 from . import objects as O
 from .project import assembled, halo, owned
+from ..sources.session import importable
+from .settings import Settings
 from .shared import settled
 
 
@@ -52,6 +54,7 @@ def per_tile(
     dropped, so a kernel that reaches no farther than the margin gives the same as over the whole roi.  Without it a roi is one tile.
     Blocks are made inside the task from sparse rows; voxels that aren't there are 0, and don't change a block's size.
     """
+    importable(voxels.sparkSession)
     roi = dict(voxels.dtypes)["roi"]
     voxels, keys, dense = _blocks(voxels, tile, margin, shape)
 
@@ -72,15 +75,17 @@ def segmented(voxels: DataFrame, shape: tuple[int, int, int] | None = None, **co
     return per_tile(voxels, lambda a: K.segment(a, **config)[1], "label", shape=shape)
 
 
-def tiled_segmentation(voxels: DataFrame, shape: tuple[int, int, int], tile: int = 128, margin: int = 16, expected: float = 500.0, screen: dict | None = None, **config) -> tuple[DataFrame, DataFrame]:
-    """Objects of volumes of any size: (label voxels (roi, z, y, x, gid), objects (roi, tz, ty, tx, label, gid, area, reasons, accepted, ...)).
+def tiled_segmentation(voxels: DataFrame, shape: tuple[int, int, int], tile: int = 128, margin: int = 16, settings: Settings = Settings()) -> tuple[DataFrame, DataFrame]:  # noqa: B008
+    """Objects of volumes of any size: (label voxels (roi, z, y, x, gid), objects (roi, tz, ty, tx, label, gid, area, solidity, reasons, accepted, ...)).
 
     Each tile is segmented with ``margin`` voxels of its neighbours around it; voxels that aren't there are invalid and never foreground.  Objects are screened among those of
-    their block (``screen`` is passed to ``objects.reasons``); an accepted one is kept by the tile that holds its centroid, so an object on a
+    their block, by solidity, volume and length; an accepted one is kept by the tile that holds its centroid, so an object on a
     boundary is found once, and where kept objects meet, the tile's own comes first.  No task holds more than one block.
     """
+    importable(voxels.sparkSession)
     roi = dict(voxels.dtypes)["roi"]
     blocks, keys, dense = _blocks(voxels, tile, margin, shape)
+    config = settings.kernel()
 
     def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         lo, a, there = dense(key, g)
@@ -89,48 +94,61 @@ def tiled_segmentation(voxels: DataFrame, shape: tuple[int, int, int], tile: int
         return pd.DataFrame({**dict(zip(keys, key, strict=True)), **{c: pick[i] + lo[i] for i, c in enumerate("zyx")}, "label": r[tuple(pick)]})
 
     found = settled(blocks.groupBy(*keys).applyInPandas(run, f"roi {roi}, tz long, ty long, tx long, z long, y long, x long, label long"))
-    stats = O.accepted(O.reasons(O.statistics(found, (*keys, "label")), expected, keys=tuple(keys), **(screen or {})))
+    stats = settled(screened(found, settings, tuple(keys)))
     own = settled(owned(stats.where("accepted"), tile))
     code = lambda p: F.struct(*[(F.floor(F.col(c) / tile) * tile).cast("long").alias(t) for c, t in zip(p, BLOCK, strict=True)])
     pieces = found.join(own.select(*keys, "label", "gid"), [*keys, "label"]).select("roi", "z", "y", "x", code("zyx").alias("target"), F.struct(*BLOCK).alias("source"), "gid")
     return assembled(pieces), stats.join(own.select(*keys, "label", "gid"), [*keys, "label"], "left")
 
 
-def blob_density(voxels: DataFrame, diameter: float = 8.0) -> DataFrame:
-    """(roi, blobs, blobs_per_mvox): peaks of the smoothed block above median + 3 MAD of its non-zero values."""
-    roi = dict(voxels.dtypes)["roi"]
+def screened(labels: DataFrame, settings: Settings = Settings(), keys: tuple[str, ...] = ("roi",)) -> DataFrame:  # noqa: B008
+    """Statistics of the objects of each block (``keys``) with their reasons for doubt and whether they are accepted."""
+    stats = O.statistics(labels, (*keys, "label"))
+    stats = solidity(labels, stats, settings.solidity_thresh, (*keys, "label"))
+    return O.accepted(O.reasons(stats, keys=keys, **settings.screen()), settings.accept_big_side_flags)
+
+
+def accepted_labels(voxels: DataFrame, settings: Settings = Settings(), shape: tuple[int, int, int] | None = None) -> DataFrame:  # noqa: B008
+    """Label voxels of accepted objects where each roi is one tile."""
+    found = settled(segmented(voxels, shape, **settings.kernel()))
+    return found.join(screened(found, settings).where("accepted").select("roi", "label"), ["roi", "label"], "left_semi")
+
+
+def blob_density(voxels: DataFrame, shape: tuple[int, int, int], diameter: float = 15.0, keys: tuple[str, ...] = ("roi",)) -> DataFrame:
+    """(keys, n_blobs, blobs_per_mvox) of every tile, of the declared shape: peaks of the smoothed tile (``kernels.blobs``); null for a tile of fewer than 1,000 non-zero voxels.
+
+    A tile is what ``keys`` name; where they hold its origin (tz, ty, tx), voxels lie relative to that.
+    """
+    importable(voxels.sparkSession)
+    kinds = dict(voxels.dtypes)
 
     def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        n = g[["z", "y", "x"]].max().to_numpy() + 1
-        a = np.zeros(tuple(n))
-        a[g["z"], g["y"], g["x"]] = g["v"]
-        s = K.gaussian(a, (diameter / 5,) * 3)
-        pos = s[a != 0]
-        mid = np.median(pos) if len(pos) else 0.0
-        level = mid + 3 * np.median(np.abs(pos - mid)) if len(pos) else np.inf
-        r = range(-max(1, int(diameter // 3)), max(1, int(diameter // 3)) + 1)
-        p = K.peaks(np.round(s, 6), s > level, [(i, j, k) for i in r for j in r for k in r])
-        k = int(K.components(p, 26).max()) if p.any() else 0
-        return pd.DataFrame([[key[0], k, k / (a.size / 1e6)]], columns=["roi", "blobs", "blobs_per_mvox"])
-
-    return voxels.groupBy("roi").applyInPandas(run, f"roi {roi}, blobs long, blobs_per_mvox double")
-
-
-def solidity(labels: DataFrame, stats: DataFrame, threshold: float) -> DataFrame:
+        lo = [key[keys.index(t)] if t in keys else 0 for t in BLOCK]
+        a = np.zeros(shape)
+        a[tuple(g[c].to_numpy() - l for c, l in zip("zyx", lo, strict=True))] = g["v"]
+        n, density = K.blobs(a, diameter) or (None, None)
+        return pd.DataFrame([[*key, n, density]], columns=[*keys, "n_blobs", "blobs_per_mvox"]).astype({"n_blobs": "Int64", "blobs_per_mvox": "float64"})
+
+    return voxels.groupBy(*keys).applyInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", n_blobs long, blobs_per_mvox double")
+
+
+def solidity(labels: DataFrame, stats: DataFrame, threshold: float, keys: tuple[str, ...] = ("roi", "label")) -> DataFrame:
     """Adds solidity to statistics, and solid: whether it reaches the threshold.
 
     Two bounds come before an exact hull: area over box volume never exceeds solidity and needs only the statistics; for what it leaves, the hulls of the
     three projections.  An object that a bound clears is solid without a solidity.
     """
+    importable(labels.sparkSession)
     bound = O.box_bound(stats).withColumnRenamed("solidity_bound", "bound")
-    doubt = bound.where(F.col("bound") < threshold).select("roi", "label")
+    doubt = bound.where(F.col("bound") < threshold).select(*keys)
     kinds = dict(labels.dtypes)
 
     def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         p = g[["z", "y", "x"]].to_numpy()
         clear = K.projections_clear(p, threshold)
-        return pd.DataFrame([[*key, None if clear else len(p) / K.hull_volume(p.astype(float)), clear]], columns=["roi", "label", "solidity", "clear"])
+        return pd.DataFrame([[*key, None if clear else len(p) / K.hull_volume(p.astype(float)), clear]], columns=[*keys, "solidity", "clear"])
 
-    hull = labels.join(doubt, ["roi", "label"], "left_semi").groupBy("roi", "label").applyInPandas(run, f"roi {kinds['roi']}, label {kinds['label']}, solidity double, clear boolean")
-    out = bound.join(hull, ["roi", "label"], "left")
+    fields = ", ".join(f"{k} {kinds[k]}" for k in keys)
+    hull = labels.select(*dict.fromkeys([*keys, "z", "y", "x"])).join(doubt, list(keys), "left_semi").groupBy(*keys).applyInPandas(run, f"{fields}, solidity double, clear boolean")
+    out = bound.join(hull, list(keys), "left")
     return out.withColumn("solid", F.coalesce(F.col("clear") | (F.col("solidity") >= threshold), F.col("clear"), F.col("bound") >= threshold)).drop("clear")

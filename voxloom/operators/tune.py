@@ -2,30 +2,94 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import log_distance, ratio
-from .kernels import segment
+from ..sources.session import importable
+from .kernels import accepted, segment
+from .masks import z_window
 from .score import hungarian, overlaps
+from .settings import Settings
 from .shared import settled
 
 LIMIT = 0.75
+#: The descriptors that tiles are compared by.
+MATCH_KEYS = ("fg_frac_k3", "blobs_per_mvox", "contrast_p99")
+#: As many exemplars as are compared with every query at once.
+FEW = 1_000
 
 
-def nearest_exemplar(queries: DataFrame, exemplars: DataFrame, keys: list[str], limit: float = LIMIT, id_col: str = "vec_id") -> DataFrame:
-    """(id, nearest, distance, matched): the exemplar of least log distance, ties to the smaller id.
+def nearest_exemplar(queries: DataFrame, exemplars: DataFrame, keys: list[str], limit: float = LIMIT, id_col: str = "vec_id", apart: bool = False, few: int = FEW) -> DataFrame:
+    """(id, nearest, distance, matched): the exemplar of least log distance, ties to the smaller id; ``apart`` leaves out an exemplar of the query's own id.
 
-    Exemplars are hand-made and few: their table is broadcast, and more than 10,000 are refused.
+    Up to ``few`` exemplars are broadcast.  More are laid out in cells of log space; a query asks its own cell and those around it, and what it finds is final when no farther away than a cell is
+    wide.  Queries without such an exemplar go on to cells of twice the width, so each meets about as many exemplars as its neighbourhood holds.
+    A query with a null descriptor has no nearest exemplar.
+    """
+    ex = exemplars.select(F.col(id_col).alias("exemplar"), *[F.col(k).alias(f"e_{k}") for k in keys]).dropna()
+    far = log_distance([F.col(k) for k in keys], [F.col(f"e_{k}") for k in keys])
+    other = F.col(id_col) != F.col("exemplar") if apart else F.lit(True)
+    ask = queries.select(id_col, *keys).dropna()
+    best = lambda d: d.groupBy(id_col).agg(F.min(F.struct(far.alias("distance"), "exemplar")).alias("b"))
+    if exemplars.limit(few + 1).count() <= few:
+        found = best(ask.join(F.broadcast(ex)).where(other))
+    else:
+        found = _by_rings(ask, settled(ex), keys, id_col, other, best)
+    found = found.select(id_col, F.col("b.exemplar").alias("nearest"), F.col("b.distance").alias("distance"))
+    return queries.select(id_col).join(found, id_col, "left").withColumn("matched", F.coalesce(F.col("distance") <= limit, F.lit(False)))
+
+
+def _by_rings(ask: DataFrame, ex: DataFrame, keys: list[str], id_col: str, other: Column, best: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    at = lambda c, side: F.floor(F.log(F.greatest(F.col(c).cast("double"), F.lit(1e-6))) / side)
+    # Of exemplars with the same descriptors the smallest ids stay: two of them, as one may be the query's own.
+    same = Window.partitionBy(*[f"e_{k}" for k in keys]).orderBy("exemplar")
+    ex = settled(ex.withColumn("_k", F.row_number().over(same)).where("_k <= 2").drop("_k"))
+    ends = ex.agg(*[f(F.log(F.greatest(F.col(f"e_{k}").cast("double"), F.lit(1e-6)))) for k in keys for f in (F.min, F.max)]).first()
+    widest = max(hi - lo for lo, hi in zip(ends[::2], ends[1::2], strict=True))
+    side, done = max(widest / 2 ** max(1.0, math.log2(ex.count()) / len(keys)), 1e-6), None
+    while True:
+        around = ex
+        for k in keys:
+            around = around.withColumn(f"c_{k}", F.explode(F.array(*[at(f"e_{k}", side) + d for d in (-1, 0, 1)])))
+        cells = ask
+        for k in keys:
+            cells = cells.withColumn(f"c_{k}", at(k, side))
+        found = best(cells.join(around, [f"c_{k}" for k in keys]).where(other))
+        last = side > widest
+        # Beyond the widest cell only queries outside the range of all exemplars are left: they are compared with all.
+        found = settled(best(ask.join(ex).where(other)) if last else found.where(F.col("b.distance") <= side))
+        done = found if done is None else done.unionByName(found)
+        if last:
+            return done
+        ask = settled(ask.join(found.select(id_col), id_col, "left_anti"))
+        if not ask.limit(1).count():
+            return done
+        side *= 2
+
+
+def chosen(tiles: DataFrame, exemplars: DataFrame, keys: tuple[str, ...] = MATCH_KEYS, limit: float = LIMIT, id_col: str = "chunk", name: str = "name") -> DataFrame:
+    """(id, nearest, distance, source, reason): which settings each tile gets, and why.
+
+    A usable tile within ``limit`` of an exemplar takes that exemplar's settings; one farther away, one of padding, or all of them without exemplars, the default ones.
     """
-    ex = exemplars.select(F.col(id_col).alias("exemplar"), *[F.col(k).alias(f"e_{k}") for k in keys])
-    if exemplars.limit(10_001).count() > 10_000:
-        raise ValueError("more than 10,000 exemplars; they are meant to be hand-made and few")
-    d = queries.join(F.broadcast(ex)).withColumn("distance", log_distance([F.col(k) for k in keys], [F.col(f"e_{k}") for k in keys]))
-    best = d.groupBy(id_col).agg(F.min(F.struct("distance", "exemplar")).alias("b"))
-    return best.select(id_col, F.col("b.exemplar").alias("nearest"), F.col("b.distance").alias("distance"), (F.col("b.distance") <= limit).alias("matched"))
+    ex = exemplars.select(F.col(name).alias(id_col), *keys)
+    near = nearest_exemplar(tiles.where("usable").select(id_col, *keys), ex, list(keys), limit, id_col)
+    out = tiles.select(id_col, "usable").join(near, id_col, "left")
+    usable = F.coalesce("usable", F.lit(False))
+    source = F.when(F.coalesce("matched", F.lit(False)), F.concat(F.lit("exemplar:"), F.col("nearest").cast("string"))).otherwise("global-default")
+    reason = F.when(~usable, "chunk mostly zero padding").when(F.col("nearest").isNull(), "no examples registered").when(F.col("matched"), "within match distance").otherwise("nearest example too far away")
+    return out.select(id_col, "nearest", "distance", source.alias("source"), reason.alias("reason"))
+
+
+def source_tally(choices: DataFrame) -> DataFrame:
+    """(source, n), most frequent first."""
+    return choices.groupBy("source").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "source")
 
 
 def merged_overrides(base: dict, overrides: DataFrame) -> DataFrame:
@@ -43,30 +107,42 @@ def registered(exemplars: DataFrame, new: DataFrame) -> DataFrame:
     return exemplars.join(good.select("name"), "name", "left_anti").unionByName(good)
 
 
-def swept(raw: DataFrame, gt: DataFrame, settings: DataFrame, shape: tuple[int, int, int], memo: DataFrame | None = None, edge: float = 0.25) -> DataFrame:
-    """(item, setting, f1, iou, fp, matched) of every tile (roi) of ``raw`` segmented under every row of ``settings`` and scored against ``gt``.
+def swept(
+    raw: DataFrame, gt: DataFrame, settings: DataFrame, shape: tuple[int, int, int], base: Settings = Settings(), memo: DataFrame | None = None, z_range: str = ":", edge: float = 0.25, spread: int = 1,  # noqa: B008
+) -> DataFrame:
+    """(item, setting, f1, iou, fp, matched) of every tile (roi) of ``raw`` segmented under every row of ``settings``; its *accepted* objects inside ``z_range`` are scored against ``gt``.
 
-    ``settings`` has setting and, as further columns, arguments of ``kernels.segment``; it is hand-made and small.  A (tile, setting) is one group.  Pairs that
-    ``memo``, an earlier result, holds are not computed again.  Matching is of largest total IoU from ``edge`` on.
+    ``settings`` has setting and, as further columns, fields of ``Settings`` to put in place of those of ``base`` (nulls leave them); it is hand-made, at most 10,000 rows.  A tile is read once and segmented
+    under all its settings, or ``spread`` times under a part of them each.  Pairs that ``memo``, an earlier result, holds are not computed again.  Matching is of largest total IoU from ``edge`` on.
     """
-    names = [c for c in settings.columns if c != "setting"]
-    todo = raw.select("roi").distinct().join(F.broadcast(settings))
-    if memo is not None:
-        todo = todo.join(memo.select(F.col("item").alias("roi"), "setting"), ["roi", "setting"], "left_anti")
-    todo = settled(todo)
-
-    def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        a = np.zeros(shape)
-        a[g["z"], g["y"], g["x"]] = g["v"]
-        r = segment(a, **{n: g[n].iloc[0] for n in names})[1]
-        at = np.array(np.nonzero(r))
-        return pd.DataFrame({"roi": key[0], "setting": key[1], **{c: at[i] for i, c in enumerate("zyx")}, "label": r[tuple(at)]})
-
+    importable(raw.sparkSession)
+    rows = settings.limit(10_001).collect()
+    if len(rows) > 10_000:
+        raise ValueError("more than 10,000 settings")
+    grid = {r["setting"]: base.with_(**{k: tuple(v) if isinstance(v, list) else v for k, v in r.asDict().items() if k != "setting" and v is not None}) for r in rows}
     kinds = dict(raw.dtypes)
-    pred = raw.join(F.broadcast(todo), "roi").groupBy("roi", "setting").applyInPandas(run, f"roi {kinds['roi']}, setting long, z long, y long, x long, label long")
+    # Which pairs are left: settings are literals, and what the memo holds of a tile is one short list.
+    done = memo.groupBy(F.col("item").alias("roi")).agg(F.collect_set("setting").alias("done")) if memo is not None else raw.select("roi", F.array().cast("array<long>").alias("done")).limit(0)
+    items = raw.select("roi").distinct().join(done, "roi", "left")
+    todo = settled(items.select("roi", F.explode(F.array_except(F.array(*[F.lit(int(k)).cast("long") for k in grid]), F.coalesce("done", F.array().cast("array<long>")))).alias("setting")))
+    parts = todo.groupBy("roi", F.pmod("setting", F.lit(spread)).alias("part")).agg(F.collect_set("setting").alias("settings"))
+
+    def run(key: tuple, g: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        out, a = [], np.zeros(shape)
+        if len(g):
+            a[g["z"], g["y"], g["x"]] = g["v"]
+        for k in sorted(asked["settings"].iloc[0]) if len(asked) and len(g) else ():
+            r = accepted(segment(a, **grid[k].kernel())[1], grid[k])
+            at = np.array(np.nonzero(r))
+            out.append(pd.DataFrame({"roi": key[0], "setting": k, **{c: at[i] for i, c in enumerate("zyx")}, "label": r[tuple(at)]}))
+        return pd.concat(out) if out else pd.DataFrame(columns=["roi", "setting", "z", "y", "x", "label"])
+
+    copies = raw.withColumn("part", F.explode(F.array(*[F.lit(p).cast("long") for p in range(spread)])))
+    pred = copies.groupBy("roi", "part").cogroup(parts.groupBy("roi", "part")).applyInPandas(run, f"roi {kinds['roi']}, setting long, z long, y long, x long, label long")
     run_of = F.to_json(F.struct("roi", "setting")).alias("roi")
     at = ["z", "y", "x", "label"]
-    pred, truth = settled(pred.select(run_of, *at)), gt.select("roi", *at).join(F.broadcast(todo.select("roi", "setting")), "roi").select(run_of, *at)
+    pred = z_window(settled(pred.select(run_of, *at)), z_range, shape[0])
+    truth = z_window(gt.select("roi", *at), z_range, shape[0]).join(todo, "roi").select(run_of, *at)
     hit = hungarian(overlaps(truth, pred), edge, edge).groupBy("roi").agg(F.count("*").alias("matched"), F.avg("iou").alias("iou"))
     n = [d.groupBy("roi").agg(F.countDistinct("label").alias(c)) for d, c in ((truth, "n_gt"), (pred, "n_pred"))]
     out = todo.select(F.col("roi").alias("item"), "setting", run_of).join(hit, "roi", "left").join(n[0], "roi", "left").join(n[1], "roi", "left").na.fill(0, ["matched", "n_gt", "n_pred"]).na.fill(0.0, ["iou"])
@@ -74,6 +150,12 @@ def swept(raw: DataFrame, gt: DataFrame, settings: DataFrame, shape: tuple[int,
     return out if memo is None else out.unionByName(memo.select(out.columns))
 
 
+def left_out(scores: DataFrame, described: DataFrame, default: int, keys: tuple[str, ...] = MATCH_KEYS, limit: float = LIMIT) -> DataFrame:
+    """Leave-one-out dispatch from a sweep and the descriptors (item, keys) of its tiles: each tile takes the best setting of the nearest other tile."""
+    near = nearest_exemplar(described, described, list(keys), limit, "item", apart=True).where("matched")
+    return dispatch(scores, near.select("item", F.col("nearest").alias("other")), default)
+
+
 def ranked(scores: DataFrame, top: int = 10) -> DataFrame:
     """The best settings by falling F1, then IoU, with how many settings are within 0.01 of the best."""
     best = scores.agg(F.max("f1").alias("best"))
@@ -92,11 +174,12 @@ def conservative(scores: DataFrame) -> DataFrame:
 def dispatch(scores: DataFrame, nearest: DataFrame, default: int) -> DataFrame:
     """Leave one out: F1 of the default setting, of the best own setting, of the nearest other item's best, and the share of the gap closed.
 
-    scores: (item, setting, f1, iou); nearest: (item, other), one row for each matched item; unmatched items take the default.
+    scores: (item, setting, f1, matched), the best by F1, then by matched objects, then the first; the ``default`` setting is not of the grid that the best are searched in.
+    nearest: (item, other), one row for each matched item; unmatched items take the default.
     ``shuffled`` is the mean F1 of the best settings of all other items: dispatch must beat it for the choice of item to matter.
     """
-    w = Window.partitionBy("item").orderBy(F.desc("f1"), F.desc("iou"), "setting")
-    own = scores.withColumn("k", F.row_number().over(w)).where("k = 1").select("item", F.col("setting").alias("best_setting"), F.col("f1").alias("oracle"))
+    w = Window.partitionBy("item").orderBy(F.desc("f1"), F.desc("matched"), "setting")
+    own = scores.where(F.col("setting") != default).withColumn("k", F.row_number().over(w)).where("k = 1").select("item", F.col("setting").alias("best_setting"), F.col("f1").alias("oracle"))
     glob = scores.where(F.col("setting") == default).select("item", F.col("f1").alias("global"))
     given = nearest.join(own.select(F.col("item").alias("other"), "best_setting"), "other").select("item", F.col("best_setting").alias("setting"))
     disp = given.join(scores, ["item", "setting"]).select("item", F.col("f1").alias("dispatched"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import graph, masks, objects, project, qc, score, segment, tune
+from ..operators.settings import Settings
 from ..operators.shared import settled
 from ..sources import files
 from ..operators import kernels as K
@@ -18,6 +19,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 TILE = 24
 SHAPE = (48, 48, 48)
+#: Settings for the small spheres of the fixtures: nuclei of 8 voxels on cubic voxels.
+SMALL = Settings(nucleus_diameter_vox=8.0, voxel_size=(1.0, 1.0, 1.0), min_seed_distance=3, seed_prominence=0.0, seed_landscape_smooth_um=1.0, min_object_voxels=60, solidity_thresh=0.55)
 
 
 def query(sql: str | None = None, fixtures: tuple[str, ...] = ()):
@@ -121,17 +124,17 @@ def exemplar_json_round_trip(spark, sf):
 
 # --- masks -----------------------------------------------------------------------------------------
 
-_FLOOR = "m as (select roi, median(v) as mid, count(*) as n from raw where v > 0 group by roi), d as (select roi, median(abs(v - mid)) as mad from raw join m using (roi) where v > 0 group by roi), fl as (select roi, n, case when n < 100 then '-Infinity'::double else mid + {k} * 1.4826 * mad end as f from m join d using (roi))"
+_FLOOR = "m as (select roi, z, median(v) as mid, count(*) as n from raw where v > 0 group by roi, z), d as (select roi, z, median(abs(v - mid)) as mad from raw join m using (roi, z) where v > 0 group by roi, z), fl as (select roi, z, n, case when n < 100 then '-Infinity'::double else mid + {k} * 1.4826 * mad end as f from m join d using (roi, z))"
 
 
-@query("with " + _FLOOR.format(k="1.5e0") + " select roi, n as n_positive, round(f, 6) as floor from fl", ("gt", "raw"))
+@query("with " + _FLOOR.format(k="1.5e0") + " select roi, z, n as n_positive, round(f, 6) as floor from fl", ("gt", "raw"))
 def slice_floor(spark, sf):
-    return masks.background_floor(X.raw(spark, sf), 1.5).select("roi", F.col("n_positive").cast("long").alias("n_positive"), F.round("floor", 6).alias("floor"))
+    return masks.background_floor(X.raw(spark, sf), 1.5).select("roi", "z", F.col("n_positive").cast("long").alias("n_positive"), F.round("floor", 6).alias("floor"))
 
 
 @query(
     "with " + _FLOOR.format(k="1.5e0") + ", t as (select roi, z, quantile_cont(v, 0.9) as t, min(v) as lo, max(v) as hi from raw group by roi, z), "
-    "k as (select r.roi, r.z, r.y, r.x from raw r join t on t.roi = r.roi and t.z = r.z join fl on fl.roi = r.roi where lo < hi and v > greatest(t.t, fl.f)) select roi, z, count(*) as n, sum(y * 48 + x)::bigint as s from k group by roi, z",
+    "k as (select r.roi, r.z, r.y, r.x from raw r join t on t.roi = r.roi and t.z = r.z join fl on fl.roi = r.roi and fl.z = r.z where lo < hi and v > greatest(t.t, fl.f)) select roi, z, count(*) as n, sum(y * 48 + x)::bigint as s from k group by roi, z",
     ("gt", "raw"),
 )
 def slice_percentile_mask(spark, sf):
@@ -288,17 +291,31 @@ def seed_peaks_kernel(spark, sf):
 @query()
 def tiled_segmentation(spark, sf):
     """Tiles with halos to objects of whole rois: segmented, screened, owned, assembled."""
-    labels, _ = segment.tiled_segmentation(X.raw(spark, sf), SHAPE, TILE, 12, expected=300.0, screen={"z_limit": 9.0, "too_small": 0.1, "too_big": 0.0}, percentile=90.0, floor_k=1.5, min_distance=3, min_voxels=60)
+    labels, _ = segment.tiled_segmentation(X.raw(spark, sf), SHAPE, TILE, 12, SMALL)
     return objects.statistics(labels.withColumnRenamed("gid", "label")).select("roi", F.col("label").alias("gid"), "area", *[F.round(f"c{a}", 6).alias(f"c{a}") for a in "zyx"])
 
 
 @query()
 def tune_sweep(spark, sf):
     """Every roi segmented and scored under four settings; the scores of the first two come from a memo."""
-    settings = spark.createDataFrame([(k, p, d, 1.0) for k, (p, d) in enumerate((p, d) for p in (85.0, 92.0) for d in (3, 5))], "setting long, percentile double, min_distance int, smooth_um double")
     raw, gt = X.raw(spark, sf), X.truth(spark, sf)
-    memo = settled(tune.swept(raw, gt, settings.where("setting < 2"), SHAPE))
-    return tune.swept(raw, gt, settings, SHAPE, memo).withColumns({c: F.round(c, 6) for c in ("f1", "iou")})
+    memo = settled(tune.swept(raw, gt, _settings(spark).where("setting < 2"), SHAPE, SMALL, z_range="2:46"))
+    return tune.swept(raw, gt, _settings(spark), SHAPE, SMALL, memo, "2:46").withColumns({c: F.round(c, 6) for c in ("f1", "iou")})
+
+
+def _settings(spark):
+    """A grid of four settings, and the base itself as -1."""
+    grid = [(k, p, d) for k, (p, d) in enumerate((p, d) for p in (85.0, 92.0) for d in (3, 5))]
+    return spark.createDataFrame([*grid, (-1, None, None)], "setting long, target_foreground_percentile double, min_seed_distance int")
+
+
+@query()
+def dispatch_sweep(spark, sf):
+    """Leave one out, end to end: every tile segmented under every setting, its accepted objects scored, its descriptors matched to the nearest other tile."""
+    raw, gt = X.raw(spark, sf), X.truth(spark, sf)
+    scores = settled(tune.swept(raw, gt, _settings(spark), SHAPE, SMALL, z_range="2:46"))
+    d = objects.descriptors(raw).join(segment.blob_density(raw, SHAPE, 8.0), "roi").where("usable").withColumnRenamed("roi", "item")
+    return tune.left_out(scores, d, -1).withColumns({c: F.round(c, 6) for c in ("global", "oracle", "dispatch", "shuffled", "gap_closed")})
 
 
 @query()
@@ -564,24 +581,28 @@ def descriptors(spark, sf):
 
 @query()
 def blob_density(spark, sf):
-    return segment.blob_density(X.raw(spark, sf))
+    """Blobs of every tile of the fixtures."""
+    t = tiles_.cut(X.raw(spark, sf), TILE)
+    return segment.blob_density(t, (TILE,) * 3, 8.0, ("roi", "tz", "ty", "tx")).withColumn("blobs_per_mvox", F.round("blobs_per_mvox", 6))
 
 
 @query(
     "with " + _STATS + ", g as (select roi, count(*) as n_objects, sum(area)::bigint as labelled, median(area) as median_volume, avg(case when area > 3 * 150 then 1e0 else 0e0 end) as oversized_frac, avg(case when area < 0.2 * 150 then 1e0 else 0e0 end) as tiny_frac, avg(case when z0 = 0 or z1 = 48 or y0 = 0 or y1 = 48 or x0 = 0 or x1 = 48 then 1e0 else 0e0 end) as border_frac from st group by roi) "
-    "select r.roi, coalesce(n_objects, 0) as n_objects, round(median_volume, 6) as median_volume, round(oversized_frac, 6) as oversized_frac, round(tiny_frac, 6) as tiny_frac, round(border_frac, 6) as border_frac, round(coalesce(n_objects, 0) / 0.110592e0, 6) as per_mvox, round(coalesce(labelled, 0) / 110592e0, 6) as labelled_frac from rois r left join g on g.roi = r.roi",
+    "select r.roi, coalesce(n_objects, 0) as n_objects, round(median_volume, 6) as median_volume, round(oversized_frac, 6) as oversized_frac, round(tiny_frac, 6) as tiny_frac, round(border_frac, 6) as border_frac, round(coalesce(n_objects, 0) / (valid / 1e6), 6) as per_mvox, round(coalesce(labelled, 0) / 110592e0, 6) as labelled_frac, round(case when n_objects > 0 and blobs > 0 then n_objects / blobs end, 6) as ratio_to_blobs "
+    "from (select roi, count(*) filter (v > 0) as valid, count(*) filter (v > 4300) as blobs from raw group by roi) r left join g on g.roi = r.roi",
     ("gt", "raw"),
 )
 def tile_quality(spark, sf):
-    rois = X.table(spark, sf, "supplier").selectExpr("s_suppkey div 25 as roi").distinct()
+    """Densities over voxels that aren't padding; bright voxels stand for blobs here, so that SQL can count them (``blob_density`` has the real ones)."""
+    rois = X.raw(spark, sf).groupBy("roi").agg(F.count(F.when(F.col("v") > 0, 1)).alias("valid"), F.count(F.when(F.col("v") > 4300, 1)).alias("blobs"))
     q = objects.tile_quality(X.truth(spark, sf), rois, 150, (48, 48, 48))
-    return q.select("roi", "n_objects", *[F.round(c, 6).alias(c) for c in ("median_volume", "oversized_frac", "tiny_frac", "border_frac", "per_mvox", "labelled_frac")])
+    return q.select("roi", "n_objects", *[F.round(c, 6).alias(c) for c in ("median_volume", "oversized_frac", "tiny_frac", "border_frac", "per_mvox", "labelled_frac", "ratio_to_blobs")])
 
 
 @query(
     "with " + _STATS + ", u as (select z1 - z0 as ez, y1 - y0 as ey, x1 - x0 as ex from st where not (z0 = 0 or z1 = 48 or y0 = 0 or y1 = 48 or x0 = 0 or x1 = 48) and (z1 - z0) * (y1 - y0) * (x1 - x0) >= 30), "
-    "e as (select count(*) as n, avg(ez) as mz, avg(ey) as my, avg(ex) as mx, median(ez) as dz, median(ey) as dy, median(ex) as dx from u), r as (select 'z' as axis, n, mz as mean, dz as median, dy, 2.0::double as voxel from e union all select 'y', n, my, dy, dy, 1.0 from e union all select 'x', n, mx, dx, dy, 1.0 from e) "
-    "select axis, n, round(mean, 6) as mean, round(median, 6) as median, case when n >= 20 then round(median * voxel / dy, 6) end as ratio, case when n >= 20 then round(dy / median, 6) end as implied_voxel, case when n >= 20 then abs(median * voxel / dy - 1) > 0.25 end as doubtful from r",
+    "c20 as (select count(*) as uncut from st where not (z0 = 0 or z1 = 48 or y0 = 0 or y1 = 48 or x0 = 0 or x1 = 48)), e as (select count(*) as n, (select uncut from c20) as uncut, avg(ez) as mz, avg(ey) as my, avg(ex) as mx, median(ez) as dz, median(ey) as dy, median(ex) as dx from u), r as (select 'z' as axis, n, uncut, mz as mean, dz as median, dy, 2.0::double as voxel from e union all select 'y', n, uncut, my, dy, dy, 1.0 from e union all select 'x', n, uncut, mx, dx, dy, 1.0 from e) "
+    "select axis, n, round(mean, 6) as mean, round(median, 6) as median, case when uncut >= 20 then round(median * voxel / dy, 6) end as ratio, case when uncut >= 20 then round(dy / median, 6) end as implied_voxel, case when uncut >= 20 then abs(median * voxel / dy - 1) > 0.25 end as doubtful from r",
     ("gt",),
 )
 def voxel_scale_check(spark, sf):
@@ -607,11 +628,6 @@ def distinct_objects(spark, sf):
     return g.join(p)
 
 
-@query("select event_type as source, count(*) as n from events group by event_type order by n desc, source")
-def config_source_tally(spark, sf):
-    return X.table(spark, sf, "events").groupBy(F.col("event_type").alias("source")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "source")
-
-
 @query("select event_type, event_id, round(value, 6) as value from events qualify row_number() over (partition by event_type order by value desc, event_id) = 1")
 def argmax_row(spark, sf):
     e = X.table(spark, sf, "events").where("value is not null")

@@ -172,6 +172,20 @@ def nearest_exemplar(spark, sf):
     return tune.nearest_exemplar(qu, ex, KEYS).withColumn("distance", F.round("distance", 6))
 
 
+@query("with " + _NE + ", u as (select vec_id, vec_id % 11 <> 0 as usable from qu), c as (select u.vec_id, case when usable then nearest end as nearest, case when usable then round(distance, 6) end as distance, case when usable and distance <= 0.75 then 'exemplar:' || nearest else 'global-default' end as source, "
+       "case when not usable then 'chunk mostly zero padding' when distance <= 0.75 then 'within match distance' else 'nearest example too far away' end as reason from u join ne using (vec_id)) select * from c", ("ex",))
+def config_choice(spark, sf):
+    """Which settings each tile gets, and why."""
+    ex, qu = X.exemplars(spark, sf)
+    return tune.chosen(qu.withColumn("usable", F.col("vec_id") % 11 != 0), ex, KEYS, id_col="vec_id", name="vec_id").withColumn("distance", F.round("distance", 6))
+
+
+@query("with " + _NE + " select case when vec_id % 11 <> 0 and distance <= 0.75 then 'exemplar:' || nearest else 'global-default' end as source, count(*) as n from ne group by 1", ("ex",))
+def config_source_tally(spark, sf):
+    ex, qu = X.exemplars(spark, sf)
+    return tune.source_tally(tune.chosen(qu.withColumn("usable", F.col("vec_id") % 11 != 0), ex, KEYS, id_col="vec_id", name="vec_id"))
+
+
 @query("select label as name, coalesce(case when label % 2 = 0 then 94e0 end, 90e0) as percentile, coalesce(case when label % 3 = 0 then 17 end, 12)::int as min_seed_distance, case when label % 4 = 0 then '2:8' end as mask_bandpass_um from ex", ("ex",))
 def override_merge(spark, sf):
     ex, _ = X.exemplars(spark, sf)
@@ -189,7 +203,7 @@ def exemplar_upsert(spark, sf):
 
 _GRID = (
     "g as (select (pi * 12 + si * 6 + mi * 3 + bi)::bigint as setting from (values (0), (1)) p(pi), (values (0), (1)) s(si), (values (0), (1)) m(mi), (values (0), (1), (2)) b(bi)), "
-    "it as (select r_regionkey::bigint as item from region), gs as (select item, setting, round(0.5 + ((item * 31 + setting * 17) % 23) / 100e0, 2) as f1, round(0.4 + ((item * 13 + setting * 7) % 11) / 100e0, 2) as iou, (item * 5 + setting * 3) % 19 as fp from it, g)"
+    "it as (select r_regionkey::bigint as item from region), gs as (select item, setting, round(0.5 + ((item * 31 + setting * 17) % 23) / 100e0, 2) as f1, round(0.4 + ((item * 13 + setting * 7) % 11) / 100e0, 2) as iou, (item * 5 + setting * 3) % 19 as fp, (item * 3 + setting * 5) % 7 as matched from it, g)"
 )
 
 
@@ -201,7 +215,7 @@ def _grid(spark, sf):
     g = spark.createDataFrame(settings, "setting long")
     it = X.table(spark, sf, "region").select(F.col("r_regionkey").cast("long").alias("item"))
     d = it.join(F.broadcast(g))
-    return d.withColumns({"f1": F.expr("round(5e-1 + ((item * 31 + setting * 17) % 23) / 100e0, 2)"), "iou": F.expr("round(4e-1 + ((item * 13 + setting * 7) % 11) / 100e0, 2)"), "fp": F.expr("(item * 5 + setting * 3) % 19")})
+    return d.withColumns({"f1": F.expr("round(5e-1 + ((item * 31 + setting * 17) % 23) / 100e0, 2)"), "iou": F.expr("round(4e-1 + ((item * 13 + setting * 7) % 11) / 100e0, 2)"), "fp": F.expr("(item * 5 + setting * 3) % 19"), "matched": F.expr("(item * 3 + setting * 5) % 7")})
 
 
 @query("with " + _GRID + ", a as (select setting, round(avg(f1), 6) as f1, round(avg(iou), 6) as iou, sum(fp)::bigint as fp from gs group by setting), b as (select *, f1 >= (select max(f1) from a) - 0.01 as near from a) select setting, f1, iou, fp, near, (select count(*) from b where near) as flatness from b order by f1 desc, iou desc, setting limit 10")
@@ -217,7 +231,7 @@ def tune_conservative(spark, sf):
 
 
 @query(
-    "with " + _GRID + ", nn as (select item, (item + 2) % 5 as other from it where item <> 3), bs as (select item, setting as best_setting, f1 as oracle from gs qualify row_number() over (partition by item order by f1 desc, iou desc, setting) = 1), gl as (select item, f1 as global from gs where setting = 4), "
+    "with " + _GRID + ", nn as (select item, (item + 2) % 5 as other from it where item <> 3), bs as (select item, setting as best_setting, f1 as oracle from gs where setting <> 4 qualify row_number() over (partition by item order by f1 desc, matched desc, setting) = 1), gl as (select item, f1 as global from gs where setting = 4), "
     "di as (select nn.item, gs.f1 as dispatched from nn join bs on bs.item = nn.other join gs on gs.item = nn.item and gs.setting = bs.best_setting), "
     "sh as (select a.item, round(avg(gs.f1), 6) as shuffled from bs a join bs b on a.item <> b.item join gs on gs.item = a.item and gs.setting = b.best_setting group by a.item) "
     "select bs.item, global, oracle, coalesce(dispatched, global) as dispatch, shuffled, dispatched is not null as matched, case when oracle - global > 1e-9 then round((coalesce(dispatched, global) - global) / (oracle - global), 6) end as gap_closed from bs join gl using (item) left join di using (item) left join sh using (item)"

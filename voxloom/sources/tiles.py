@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import parse_tile_name
+from .session import importable
 
 
 def parsed(names: DataFrame, column: str = "name") -> DataFrame:
@@ -109,6 +110,8 @@ def to_blobs(voxels: DataFrame, size: int) -> DataFrame:
     import numpy as np
     import pandas as pd
 
+    importable(voxels.sparkSession)
+
     def pack(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         a = np.zeros((size, size, size), np.uint16)
         a[g["lz"], g["ly"], g["lx"]] = g["v"]
@@ -122,6 +125,8 @@ def from_blobs(blobs: DataFrame) -> DataFrame:
     import numpy as np
     import pyarrow as pa
 
+    importable(blobs.sparkSession)
+
     def run(batches):
         for b in batches:
             for r in b.to_pylist():
@@ -146,6 +151,7 @@ def tiff_tiles(spark: SparkSession, files: DataFrame) -> DataFrame:
                 a = tifffile.imread(io.BytesIO(r["content"]))
                 yield pa.RecordBatch.from_pylist([{"roi": r["roi"], **{c: r[c] for c in "zyx"}, "nz": a.shape[0], "ny": a.shape[1], "nx": a.shape[2], "dtype": str(a.dtype), "data": a.tobytes()}])
 
+    importable(spark)
     one = files.select(F.regexp_replace("path", r"/[^/]+$", "").alias("folder")).distinct().limit(1000).collect()  # folders, not files
     if len(one) == 1000:
         raise ValueError("tiles lie in 1,000 folders or more: read them by common parent folders")
