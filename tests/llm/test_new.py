@@ -168,3 +168,21 @@ def test_fill_in_middle_matches_brute_force(spark, monkeypatch):
     assert {x["form"] for x in got} == {"plain", "spm", "psm"} and {x["leaf"] for x in got} == {"clash"}
     assert fim.restored(fim.fill_in_middle(d.limit(0))).count() == 0
     assert fim.fill_in_middle(d, rate=0).where("form <> 'plain'").count() == 0
+
+
+# --- components ---
+
+
+def test_contracted_links_keep_components_and_are_fewer(spark):
+    from voxloom.llm import graph
+
+    r = np.random.default_rng(9)
+    pairs = [(int(p), int(m)) for m in range(100, 700) for p in r.choice(12, 6, replace=False)] + [(1000, 1001), (1003, 1002), (5, 5), (1001, 1000)]
+    links = spark.createDataFrame(pairs, "a long, b long")
+    root = {i: i for p in pairs for i in p}
+    find = lambda i: i if root[i] == i else find(root[i])
+    for a, b in pairs:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    assert {x["id"]: x["label"] for x in graph.components(links).collect()} == {i: find(i) for i in root if i != 5 or find(5) != 5}
+    assert graph.contracted(links).count() < 700 < len(pairs)
