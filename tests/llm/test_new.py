@@ -186,3 +186,35 @@ def test_contracted_links_keep_components_and_are_fewer(spark):
         root[max(a, b)] = min(a, b)
     assert {x["id"]: x["label"] for x in graph.components(links).collect()} == {i: find(i) for i in root if i != 5 or find(5) != 5}
     assert graph.contracted(links).count() < 700 < len(pairs)
+
+
+# --- packages of other writers ---
+
+
+def test_package_of_another_writer_is_read(spark, tmp_path):
+    import gzip
+    import zipfile
+
+    from voxloom.llm import warc
+
+    records = [warc.record(5, "http://a/", b"x" * 200, 200, sha("x" * 200), None), warc.record(7, "http://b/", b"y", 1, sha("y"), None)]
+    other = records[1].replace(b"<urn:voxloom:page:7>", b"<urn:uuid:1-2>").replace(b"WARC-Payload-Digest: sha256:" + sha("y").encode(), b"WARC-Payload-Digest: sha1:ABC")
+    parts = {"a.warc.gz": [gzip.compress(records[0])], "b.warc.gz": [b"junk", gzip.compress(other), b"gap", gzip.compress(records[1])]}
+    lines = ["!meta 0 {\"format\": \"cdxj\"}"]
+    for name, chunks in parts.items():
+        at = 0
+        for c in chunks:
+            if c[:2] == b"\x1f\x8b":
+                lines.append(f'com,a)/ 2024 {{"offset": "{at}", "length": {len(c)}, "filename": "{name}"}}')
+            at += len(c)
+    path = tmp_path / "other.wacz"
+    with zipfile.ZipFile(path, "w") as z:
+        for name, chunks in parts.items():
+            z.writestr(f"archive/{name}", b"".join(chunks))
+        z.writestr("indexes/index.cdx.gz", gzip.compress("\n".join(lines).encode()))
+    got = warc.read_archives(spark.createDataFrame([(f"file://{path}",)], "path string")).collect()
+    assert sorted((str(r["page_id"]), r["payload"], r["payload_digest"]) for r in got) == [("5", "x" * 200, sha("x" * 200)), ("7", "y", sha("y")), ("None", "y", sha("y"))]
+    with zipfile.ZipFile(path, "w") as z:
+        z.writestr("archive/a.warc.gz", b"")
+    with pytest.raises(Exception, match="no index"):
+        warc.read_archives(spark.createDataFrame([(f"file://{path}",)], "path string")).collect()

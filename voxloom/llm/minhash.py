@@ -220,7 +220,10 @@ def _compare(least: int):
 
 
 def _signed(docs: DataFrame, least: int) -> DataFrame:
-    """(doc_id, text_hash, n_shingles, component, first_id) for every row: the component as a number of its own, and its smallest id."""
+    """(doc_id, text_hash, n_shingles, component, first_id) for every row: the component as a number of its own, and its smallest id.
+
+    Shingles stand as 64-bit hashes in the sets that links are confirmed on, and texts go by a 64-bit hash.
+    """
     importable(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
     signed = written(docs.mapInArrow(_sign, "doc_id long, text_hash long, n_shingles long, s0 long, s1 long, sig binary"), "signatures")

@@ -2,7 +2,7 @@
 
 A written table is the unit of recovery: a later stage rereads it, so a lost executor costs only the
 tasks that ran there.  The folder is the one the session names in ``spark.checkpoint.dir``; only where
-that is unset (tests on one machine) is a temporary folder made and set.
+that is unset, on one machine, is a temporary folder made and set; on a cluster it must be set.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ def shared_dir(spark: SparkSession) -> str:
         got = sc._jsc.sc().getCheckpointDir()
         base = got.get() if got.isDefined() else None
     if not base:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="voxloom-shared-")
         sc.setCheckpointDir(base)
     return f"{base.rstrip('/')}/voxloom-{sc.applicationId}/{uuid.uuid4().hex}"

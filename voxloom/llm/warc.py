@@ -1,9 +1,10 @@
 """Web archives: WARC records in ZIP packages, written once and range-read through their indexes.
 
-An archive is a ZIP file whose members are stored, not compressed: ``archive/data.warc.gz`` (one gzip member for each
-record) and ``indexes/index.cdxj`` (a line for each record with its offset and length in the former).  The reader finds the
-end-of-directory record, follows the ZIP64 locator where there is one, parses the central directory, and reads the index
-member and then runs of records by range; nothing is extracted.
+An archive is a ZIP file whose members are stored, not compressed: ``archive/*.warc.gz`` (one gzip member for each
+record) and ``indexes/*.cdxj`` (a line for each record with the file it is in, its offset and length; ``.cdx`` and gzip too).  The reader finds the
+end-of-directory record, follows the ZIP64 locator where there is one, parses the central directory, finds indexes and archives by it, and reads the index
+members and then runs of records by range; nothing is extracted.  Packages of other writers are read too: ids and digests of other
+forms are null or not checked.
 
 Of rows with equal payloads of at least ``least_bytes`` the smallest id is a response, larger ids revisit it; rows of
 that same smallest id are all responses.  A null payload is an empty one.  A null id counts as larger than every id and stays
@@ -13,8 +14,8 @@ manifest, so it is never read.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
-import io
 import json
 import struct
 import uuid
@@ -179,6 +180,30 @@ def member(read, entry: tuple[int, int, int, int]) -> tuple[int, int]:
     return local + 30 + n + m, packed
 
 
+def located(read, size: int) -> dict[str, tuple[int, list[tuple[int, int]]]]:
+    """Archive members that the package's indexes name: offset of the member's bytes, and (offset, length) of its records in order."""
+    members = directory(read, size)
+    indexes = sorted(n for n in members if n.startswith("indexes/") and n.removesuffix(".gz").endswith((".cdxj", ".cdx")))
+    if not indexes:
+        raise ValueError("the package has no index")
+    spans: dict[str, list[tuple[int, int]]] = {}
+    for name in indexes:
+        at, length = member(read, members[name])
+        lines = read(at, length)
+        for line in (gzip.decompress(lines) if name.endswith(".gz") else lines).splitlines():
+            _, brace, rest = line.partition(b"{")
+            entry = json.loads(brace + rest) if brace else {}
+            if "offset" in entry and "length" in entry:
+                spans.setdefault(entry["filename"], []).append((int(entry["offset"]), int(entry["length"])))
+    found = {}
+    for file, of in spans.items():
+        name = next((n for n in (file, f"archive/{file}") if n in members), None)
+        if name is None:
+            raise ValueError(f"the index names {file}, which is not in the package")
+        found[name] = (member(read, members[name])[0], sorted(of))
+    return found
+
+
 def parse(raw: bytes) -> dict:
     """One record of a gzip member."""
     head, _, rest = raw.partition(b"\r\n\r\n")
@@ -186,10 +211,11 @@ def parse(raw: bytes) -> dict:
     block = rest[: int(fields["content-length"])]
     http, _, payload = block.partition(b"\r\n\r\n")
     size = next((int(x.partition(b":")[2]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")), len(payload))
-    number = lambda v: None if v is None or v.strip("<>") == f"{ID}null" else int(v.strip("<>").removeprefix(ID))
+    number = lambda v: int(n) if v and (n := v.strip("<>").removeprefix(ID)).removeprefix("-").isdigit() else None
     revisit = fields["warc-type"] == "revisit"
-    digest = fields["warc-payload-digest"].removeprefix("sha256:") if revisit else hashlib.sha256(payload).hexdigest()
-    if digest != fields["warc-payload-digest"].removeprefix("sha256:"):
+    own, _, given = fields.get("warc-payload-digest", "").partition(":")
+    digest = hashlib.sha256(payload).hexdigest() if not revisit else given if own == "sha256" else None
+    if own == "sha256" and digest != given:
         raise ValueError(f"payload of {fields['warc-record-id']} doesn't have its digest")
     return {
         "page_id": number(fields["warc-record-id"]), "url": fields.get("warc-target-uri"), "payload_bytes": size if revisit else len(payload), "payload_digest": digest,
@@ -203,17 +229,16 @@ def _ranges(run_bytes: int):
             for path in b.column("path").to_pylist():
                 fs, name = _open(path)
                 with fs.open_input_file(name) as f:
-                    read = lambda o, n: f.read_at(n, o)  # noqa: B023, E731
-                    members = directory(read, f.size())
-                    base, _ = member(read, members[DATA])
-                    at, length = member(read, members[INDEX])
-                    spans = sorted((e["offset"], e["length"]) for e in (json.loads(x.split(b" ", 2)[2]) for x in io.BytesIO(read(at, length)).read().splitlines()))
-                starts, lengths, first = [], [], 0
-                for k, (o, n) in enumerate(spans):
-                    if k + 1 == len(spans) or o + n - spans[first][0] >= run_bytes:
-                        starts.append(spans[first][0] + base)
-                        lengths.append([m for _, m in spans[first : k + 1]])
-                        first = k + 1
+                    files = located(lambda o, n: f.read_at(n, o), f.size())  # noqa: B023
+                starts, lengths = [], []
+                for base, spans in files.values():
+                    first = 0
+                    for k, (o, n) in enumerate(spans):
+                        # Records of a run follow each other without a gap, so that one range holds them all.
+                        if k + 1 == len(spans) or o + n - spans[first][0] >= run_bytes or spans[k + 1][0] != o + n:
+                            starts.append(spans[first][0] + base)
+                            lengths.append([m for _, m in spans[first : k + 1]])
+                            first = k + 1
                 yield pa.RecordBatch.from_arrays([pa.array([path] * len(starts)), pa.array(starts, pa.int64()), pa.array(lengths, pa.list_(pa.int64()))], names=["path", "start", "lengths"])
 
     return run
