@@ -6,7 +6,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .masks import offsets
+from ..sources.session import importable
+from .exact import border_links, local_components
 from .shared import settled
 
 
@@ -23,20 +24,16 @@ def component_ids(links: DataFrame) -> DataFrame:
     return labels.select("id", "component")
 
 
-def components(mask: DataFrame, connectivity: int = 26) -> DataFrame:
-    """(roi, z, y, x, component) of foreground voxels; component is the id of its first voxel in (z, y, x) order.
+def components(mask: DataFrame, connectivity: int = 26, tile: int = 64) -> DataFrame:
+    """(roi, z, y, x, root) of foreground voxels; root is the first voxel of the component in (z, y, x) order.
 
-    Neighbours are found by equi-joins on shifted coordinates, one for each half of the offsets.
+    Two levels: components inside each tile, then components of those by their links over faces, edges and corners of tiles.  So voxels inside tiles are shuffled once, and links are
+    as many as touching pairs of components, not of voxels.
     """
-    code = lambda p="": F.struct(*[F.col(f"{p}{a}") for a in ("roi", "z", "y", "x")])
-    half = [o for o in offsets(connectivity) if o > (0, 0, 0)]
-    m = settled(mask.select("roi", "z", "y", "x").distinct())
-    o = F.explode(F.array(*[F.struct(*[F.lit(int(v)).alias(f"d{a}") for a, v in zip("zyx", x, strict=True)]) for x in half]))
-    moved = m.select("roi", *[F.col(a).alias(f"f{a}") for a in "zyx"], o.alias("o")).select("roi", "fz", "fy", "fx", *[(F.col(f"f{a}") + F.col(f"o.d{a}")).alias(a) for a in "zyx"])
-    links = moved.join(m, ["roi", "z", "y", "x"]).select(F.struct("roi", F.col("fz").alias("z"), F.col("fy").alias("y"), F.col("fx").alias("x")).alias("a"), code().alias("b"))
-    ids = component_ids(links)
-    out = m.withColumn("id", code()).join(ids, "id", "left")
-    return out.select("roi", "z", "y", "x", F.coalesce("component", "id").alias("root"))
+    local = settled(local_components(mask, connectivity, tile))
+    ids = component_ids(border_links(local, connectivity, tile))
+    out = local.select("roi", "z", "y", "x", F.struct("roi", *[F.col(f"f{a}").alias(a) for a in "zyx"]).alias("id"))
+    return out.join(ids, "id", "left").select("roi", "z", "y", "x", F.coalesce("component", "id").alias("root"))
 
 
 def numbered(comp: DataFrame) -> DataFrame:
@@ -99,28 +96,20 @@ def cap_of(given: float | None, configured: float | None) -> float:
     return float(given if given is not None else configured or 60.0)
 
 
-def stitched(tiles: DataFrame, size: int, cap_um: float = 60.0, voxel: tuple[float, float, float] = (1.0, 1.0, 1.0), least_pixels: int = 10, least_share: float = 0.5) -> DataFrame:
-    """(roi, tz, ty, tx, local, root): objects merged across faces in order of falling containment, refused where the merged box would be longer than the cap (0: no cap).
+BOX = [f"{a}{s}" for s in "01" for a in "zyx"]
+#: Components of up to so many edges are merged in one task each.
+GROUP_EDGES = 50_000
+
+
+def _too_long(lo: tuple, hi: tuple, cap: float, voxel: tuple[float, float, float]) -> bool:
+    return bool(cap) and max((h - x) * v for h, x, v in zip(hi, lo, voxel, strict=True)) > cap
 
-    The order matters only inside a component of the edge graph, so each component is one group; its size is bounded by the
-    objects that face overlaps chain together.
-    """
-    e = face_edges(tiles, size, least_pixels, least_share).withColumns({"na_": node("az", "ay", "ax", "a"), "nb_": node("bz", "by", "bx", "b")})
-    e = settled(e.select("axis", "pixels", "containment", F.col("na_").alias("a"), F.col("nb_").alias("b")))
-    objects = settled(tile_objects(tiles))
-    comp = component_ids(e.select("a", "b")).withColumnsRenamed({"id": "node", "component": "comp"})
-    grouped = objects.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node")).withColumn("key", F.to_json("comp"))
-    alone = grouped.join(comp.select("node"), "node", "left_anti")
-    linked = grouped.join(comp.select("node"), "node", "left_semi")
-    edges = e.join(comp.select(F.col("node").alias("a"), "comp"), "a").withColumn("key", F.to_json("comp"))
-    flat = lambda df, c, p: [F.col(f"{c}.{f}").alias(f"{p}{f}") for f in ("tz", "ty", "tx", "local")]  # noqa: E731, ARG005
-    obj = linked.select("key", *KEY, "local", *[f"{a}{s}" for a in "zyx" for s in "01"])
-    edg = edges.select("key", "axis", "pixels", "containment", *flat(edges, "a", "a_"), *flat(edges, "b", "b_"))
-
-    def merge(o: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
-        names = list(zip(o["tz"], o["ty"], o["tx"], o["local"], strict=True))
-        box = {k: [tuple(r[:3]), tuple(r[3:])] for k, r in zip(names, o[["z0", "y0", "x0", "z1", "y1", "x1"]].itertuples(index=False, name=None), strict=True)}
-        root = {k: k for k in names}
+
+def _merge(cap: float, voxel: tuple[float, float, float]):
+    def run(o: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
+        """The edges of one component in their order: roots are merged unless their common box is too long."""
+        box = {r[0]: (tuple(r[1:4]), tuple(r[4:])) for r in o[["id", *BOX]].itertuples(index=False, name=None)}
+        root = {k: k for k in box}
 
         def find(k):
             while root[k] != k:
@@ -128,29 +117,89 @@ def stitched(tiles: DataFrame, size: int, cap_um: float = 60.0, voxel: tuple[flo
                 k = root[k]
             return k
 
-        rows = [((r.a_tz, r.a_ty, r.a_tx, r.a_local), (r.b_tz, r.b_ty, r.b_tx, r.b_local), r.axis, r.containment, r.pixels) for r in g.itertuples(index=False)]
-        rows.sort(key=lambda r: (-r[3], -r[4], r[0][:3], r[2], r[0][3], r[1][3]))
-        for a, b, *_ in rows:
+        for a, b in g.sort_values(ORDER)[["a", "b"]].itertuples(index=False, name=None):
             ra, rb = find(a), find(b)
             if ra == rb:
                 continue
-            lo = tuple(map(min, box[ra][0], box[rb][0]))
-            hi = tuple(map(max, box[ra][1], box[rb][1]))
-            if cap_um and max((h - x) * v for h, x, v in zip(hi, lo, voxel, strict=True)) > cap_um:
-                continue
-            root[rb] = ra
-            box[ra] = [lo, hi]
-        out = o[["roi", "tz", "ty", "tx", "local"]].copy()
-        tops = [find(k) for k in names]
-        for i, c in enumerate(("rz", "ry", "rx", "rlocal")):
-            out[c] = [t[i] for t in tops]
-        return out
+            lo, hi = tuple(map(min, box[ra][0], box[rb][0])), tuple(map(max, box[ra][1], box[rb][1]))
+            if not _too_long(lo, hi, cap, voxel):
+                root[rb], box[ra] = ra, (lo, hi)
+        return pd.DataFrame({"id": list(root), "root": [find(k) for k in root]})
+
+    return run
 
+
+#: The order of edges: falling containment, falling pixels, then tile, axis and labels.
+ORDER = [f"o{k}" for k in range(8)]
+
+
+def capped_merge(edges: DataFrame, boxes: DataFrame, cap: float, voxel: tuple[float, float, float] = (1.0, 1.0, 1.0), most: int = GROUP_EDGES) -> DataFrame:
+    """(id, root) of every id of ``boxes`` (id, box) after its ``edges`` (a, b, order columns) were merged in order, but where the common box would be longer than ``cap`` (0: no cap).
+
+    1. An edge whose two boxes are too long together is refused now, as boxes only grow.
+    2. Components of the edges that are left, of up to ``most`` edges, are merged in one task each.
+    3. In larger ones, an edge that is first in order among the edges of both its roots is decided: no earlier one can touch either root.  Such edges share no root, so all of them are decided at once,
+       round by round; then the first step goes on with what is left.
+    The result is that of one pass over all edges in order.  Rounds of step 3 are as many as edges in rising order hang together in one chain.
+    """
+    importable(edges.sparkSession)
+    order = F.struct(*ORDER)
+    roots = settled(boxes.select("id", F.col("id").alias("root")))
+    boxes, edges = settled(boxes.select("id", *BOX)), settled(edges.select("a", "b", *ORDER))
+    done = None
+
+    def followed(table: DataFrame, moved: DataFrame, *columns: str) -> DataFrame:
+        for c in columns:
+            table = table.join(moved.select(F.col("id").alias(c), F.col("root").alias("_to")), c, "left").withColumn(c, F.coalesce("_to", c)).drop("_to")
+        return table
+
+    def fitting(edges: DataFrame, boxes: DataFrame) -> DataFrame:
+        two = edges.where("a <> b")
+        for side in "ab":
+            two = two.join(boxes.select(F.col("id").alias(side), *[F.col(c).alias(f"{side}{c}") for c in BOX]), side)
+        if cap:
+            two = two.where(F.greatest(*[(F.greatest(f"a{c}1", f"b{c}1") - F.least(f"a{c}0", f"b{c}0")) * F.lit(float(v)) for c, v in zip("zyx", voxel, strict=True)]) <= cap)
+        return two
+
+    while True:
+        edges = settled(fitting(edges, boxes).select("a", "b", *ORDER))
+        if not edges.limit(1).count():
+            return roots if done is None else settled(followed(roots, done, "root"))
+        comp, roots = component_ids(edges), settled(roots)
+        of = edges.join(comp.withColumnRenamed("id", "a"), "a")
+        small = settled(of.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") <= most).select("component"))
+        inside = boxes.join(comp.select("id", F.col("component").alias("part")), "id").join(small.select(F.col("component").alias("part")), "part", "left_semi")
+        merged = settled(inside.groupBy("part").cogroup(of.join(small, "component", "left_semi").groupBy("component")).applyInPandas(_merge(cap, voxel), "id string, root string"))
+        done = merged if done is None else settled(done.unionByName(merged))
+        edges = settled(of.join(small, "component", "left_anti").select("a", "b", *ORDER))
+        for _ in range(8):
+            if not edges.limit(1).count():
+                break
+            first = edges.select(F.explode(F.array("a", "b")).alias("id"), order.alias("o")).groupBy("id").agg(F.min("o").alias("first"))
+            take = edges.withColumn("o", order)
+            for side in "ab":
+                take = take.join(first.select(F.col("id").alias(side), F.col("first").alias(f"{side}_first")), side)
+            take = settled(fitting(take.where("o = a_first and o = b_first"), boxes))
+            moved = take.select(F.col("b").alias("id"), F.col("a").alias("root"))
+            grown = take.select(F.col("a").alias("id"), *[F.least(f"a{c}", f"b{c}").alias(c) if c[1] == "0" else F.greatest(f"a{c}", f"b{c}").alias(c) for c in BOX])
+            gone = take.select(F.explode(F.array("a", "b")).alias("id"))
+            boxes = settled(boxes.join(gone, "id", "left_anti").unionByName(grown))
+            roots = followed(roots, moved, "root")
+            edges = settled(fitting(followed(edges, moved, "a", "b"), boxes).select("a", "b", *ORDER))
+
+
+def stitched(tiles: DataFrame, size: int, cap_um: float = 60.0, voxel: tuple[float, float, float] = (1.0, 1.0, 1.0), least_pixels: int = 10, least_share: float = 0.5, most: int = GROUP_EDGES) -> DataFrame:
+    """(roi, tz, ty, tx, local, rz, ry, rx, rlocal): objects merged across faces in order of falling containment, refused where the merged box would be longer than the cap (0: no cap)."""
+    e = face_edges(tiles, size, least_pixels, least_share)
+    order = [-F.col("containment"), -F.col("pixels"), F.col("az"), F.col("ay"), F.col("ax"), F.col("axis"), F.col("a"), F.col("b")]
+    e = settled(e.select(F.to_json(node("az", "ay", "ax", "a")).alias("a"), F.to_json(node("bz", "by", "bx", "b")).alias("b"), *[c.cast("double").alias(n) for c, n in zip(order, ORDER, strict=True)]))
+    objects = settled(tile_objects(tiles).withColumn("id", F.to_json("node")))
+    linked = e.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    merged = capped_merge(e, objects.join(linked, "id", "left_semi"), cap_um, voxel, most)
     roi = dict(tiles.dtypes)["roi"]
-    fields = f"roi {roi}, tz long, ty long, tx long, local long, rz long, ry long, rx long, rlocal long"
-    done = obj.groupBy("key").cogroup(edg.groupBy("key")).applyInPandas(merge, fields)
-    single = alone.select(*KEY, "local", *[F.col(f"t{a}").alias(f"r{a}") for a in "zyx"], F.col("local").alias("rlocal"))
-    return done.unionByName(single)
+    top = F.from_json(F.col("root"), f"roi {roi}, tz long, ty long, tx long, local long")
+    out = objects.join(merged, "id", "left").withColumn("top", F.when(F.col("root").isNull(), F.col("node")).otherwise(top))
+    return out.select(*KEY, "local", *[F.col(f"top.t{a}").alias(f"r{a}") for a in "zyx"], F.col("top.local").alias("rlocal"))
 
 
 def global_ids(merged: DataFrame) -> DataFrame:

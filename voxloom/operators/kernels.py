@@ -165,6 +165,69 @@ def watershed(height: np.ndarray, markers: np.ndarray, mask: np.ndarray) -> np.n
     return np.array(lab, np.int64).reshape(wide.shape)[1:-1, 1:-1, 1:-1]
 
 
+def flood(height: np.ndarray, markers: np.ndarray, mask: np.ndarray, rim: tuple[np.ndarray, ...] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(level, hop, label) of a flood from markers inside the mask over faces, in an order that doesn't depend on how a volume is cut.
+
+    A voxel takes the label of its neighbour that is first by (level, hop, label): level is the height that had to be passed to reach it, hop the steps made on that level.  Its own
+    level is the higher of that and its height, its hop one more or, where its height raised the level, 0.  A marker has its height and hop 0.
+    ``rim`` (flat index, level, hop, label) are voxels outside the mask whose state is known.
+    """
+    wide = tuple(n + 2 for n in height.shape)
+    pad = lambda p: np.ravel_multi_index(tuple(i + 1 for i in np.unravel_index(p, height.shape)), wide)
+    steps = [(a * wide[1] + b) * wide[2] + c for a, b, c in neighbours(6)]
+    h, open_ = np.pad(height.astype(np.float64), 1).ravel().tolist(), bytearray(np.pad(mask, 1).ravel().tobytes())
+    seeds = np.flatnonzero(mask & (markers > 0))
+    heap = [(v, 0, m, p) for v, m, p in zip(height.ravel()[seeds].tolist(), markers.ravel()[seeds].tolist(), pad(seeds).tolist(), strict=True)]
+    if rim is not None:
+        heap += [(v, k, m, p) for v, k, m, p in zip(rim[1].tolist(), rim[2].tolist(), rim[3].tolist(), pad(rim[0]).tolist(), strict=True)]
+    level, hop, label = np.zeros(len(h)), np.zeros(len(h), np.int64), np.zeros(len(h), np.int64)
+    for v, k, m, p in heap:
+        level[p], hop[p], label[p], open_[p] = v, k, m, 0
+    heapq.heapify(heap)
+    pop, push = heapq.heappop, heapq.heappush
+    while heap:
+        v, k, m, p = pop(heap)
+        for s in steps:
+            q = p + s
+            if open_[q]:
+                open_[q] = 0
+                up = h[q] > v
+                level[q], hop[q], label[q] = state = (h[q], 0, m) if up else (v, k + 1, m)
+                push(heap, (*state, q))
+    cut = lambda x: x.reshape(wide)[1:-1, 1:-1, 1:-1]
+    return cut(level), cut(hop), cut(label)
+
+
+def envelope(f: np.ndarray, spacing: float) -> np.ndarray:
+    """For every line of f: min over q of f[q] + ((p - q) * spacing) ** 2, by the lower envelope of parabolas; all lines go through it together."""
+    lines, n = f.shape
+    every, s2 = np.arange(lines), spacing * spacing
+    top = np.full(lines, -1)  # parabolas on each line's envelope, less one
+    where, start = np.zeros((lines, n), np.int64), np.full((lines, n + 1), np.inf)
+    for q in range(n):
+        rise = every[np.isfinite(f[:, q])]
+        begin = np.full(lines, -np.inf)
+        left = rise[top[rise] >= 0]
+        while len(left):
+            v = where[left, top[left]]
+            cross = ((f[left, q] + s2 * q * q) - (f[left, v] + s2 * v * v)) / (2 * s2 * (q - v))
+            under = cross <= start[left, top[left]]
+            begin[left[~under]] = cross[~under]
+            top[left[under]] -= 1
+            left = left[under]
+            left = left[top[left] >= 0]
+        top[rise] += 1
+        where[rise, top[rise]], start[rise, top[rise]], start[rise, top[rise] + 1] = q, np.where(top[rise] == 0, -np.inf, begin[rise]), np.inf
+    out, k = np.full(f.shape, np.inf), np.zeros(lines, np.int64)
+    some = every[top >= 0]
+    for p in range(n):
+        while len(on := some[start[some, k[some] + 1] < p]):
+            k[on] += 1
+        v = where[some, k[some]]
+        out[some, p] = f[some, v] + s2 * (p - v) ** 2
+    return out
+
+
 def grey_open(a: np.ndarray, offs: list[tuple[int, int, int]]) -> np.ndarray:
     """Grey opening: minimum, then maximum, over a footprint."""
     low = -footprint_max(-a.astype(np.float64), offs)

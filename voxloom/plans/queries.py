@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import graph, masks, objects, project, qc, score, segment, tune
+from ..operators import exact, graph, masks, objects, project, qc, score, segment, tune
 from ..operators.settings import Settings
 from ..operators.shared import settled
 from ..sources import files
@@ -246,9 +246,8 @@ _EDT = (
 
 @query(_EDT, ("gt", "raw"))
 def distance_transform(spark, sf):
-    """By tile: no object here is thicker than the margin, so the nearest background is inside every block."""
-    t = X.truth(spark, sf).select("roi", "z", "y", "x", F.lit(1).alias("v"))
-    return segment.per_tile(t, lambda a: K.distance(a > 0, (2.0, 1.0, 1.0)), "distance", "double", tile=TILE, margin=16, shape=SHAPE).select("roi", "z", "y", "x", F.round("distance", 6).alias("distance"))
+    """Line by line along each axis, so objects may be of any thickness."""
+    return exact.distance(X.truth(spark, sf), SHAPE, (2.0, 1.0, 1.0), TILE).withColumn("distance", F.round("distance", 6))
 
 
 @query()
@@ -288,6 +287,15 @@ def seed_peaks_kernel(spark, sf):
     return segment.per_tile(X.raw(spark, sf), lambda a: a * K.peaks(a, a > 3900, _SEED_BALL), "v", tile=TILE, margin=2, shape=SHAPE).select("roi", "z", "y", "x", "v")
 
 
+@query()
+def watershed_tiles(spark, sf):
+    """Spheres flooded from their centres down the distance to the background, across tiles until no border changes."""
+    t = X.truth(spark, sf)
+    seeds = t.where("d2 = 0").select("roi", "z", "y", "x", F.col("label").alias("marker"))
+    d = exact.distance(t, SHAPE, lines=TILE).select("roi", "z", "y", "x", (-F.round("distance", 6)).alias("height"))
+    return exact.watershed(d.join(seeds, ["roi", "z", "y", "x"], "left"), TILE).groupBy("roi", "label").agg(F.count("*").alias("n"))
+
+
 @query()
 def tiled_segmentation(spark, sf):
     """Tiles with halos to objects of whole rois: segmented, screened, owned, assembled."""
