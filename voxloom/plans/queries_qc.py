@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.columns import wilson
-from ..operators import graph, objects, project, qc, tune
+from ..operators import graph, objects, predict, project, qc, tune
 from ..sources import fixtures as X
 from .queries import _T, TILE, query
 
@@ -312,6 +312,37 @@ def tiled_merge(spark, sf):
     return m.groupBy("roi", "z").agg(F.count("*").alias("n"))
 
 
+# An axis of 48 voxels: order 1 to 60 voxels for y, and to 36 for z, which is smoothed by a Gaussian of 1/6 voxel (its radius is 1) first.
+_RESIZE = (
+    "wy as (select o, i, sum(w) as w from (select o, abs(floor(p)::int) as i, 1 - (p - floor(p)) as w from (select range as o, (range + 0.5) * 0.8 - 0.5 as p from range(60)) union all "
+    "select o, case when floor(p)::int + 1 > 47 then 94 - floor(p)::int - 1 else floor(p)::int + 1 end, p - floor(p) from (select range as o, (range + 0.5) * 0.8 - 0.5 as p from range(60))) group by o, i), "
+    "lz as (select o, floor(p)::int as i, 1 - (p - floor(p)) as w from (select range as o, (range + 0.5) * 4 / 3.0::double - 0.5 as p from range(36)) union all select o, floor(p)::int + 1, p - floor(p) from (select range as o, (range + 0.5) * 4 / 3.0::double - 0.5 as p from range(36))), "
+    "gk as (select d, exp(-0.5 * power(d * 6.0::double, 2)) / (1 + 2 * exp(-18.0::double)) as g from (values (-1), (0), (1)) t(d)), "
+    "wz as (select o, i2 as i, sum(w * g) as w from (select o, w, g, case when i + d < 0 then -(i + d) when i + d > 47 then 94 - (i + d) else i + d end as i2 from lz, gk) group by o, i2), "
+    "rz as (select roi, o as z, y, x, sum(v * w) as v from raw join wz on wz.i = raw.z group by all), ry as (select roi, z, o as y, x, sum(v * w) as v from rz join wy on wy.i = rz.y group by all)"
+)
+
+
+@query("with " + _RESIZE + " select roi, z, round(sum(v), 3) as total, round(max(v), 3) as most from ry group by roi, z", ("gt", "raw"))
+def resample(spark, sf):
+    """Volumes at another voxel size: fewer slices, more rows."""
+    r = predict.resampled(X.raw(spark, sf), (48, 48, 48), (36, 60, 48))
+    return r.groupBy("roi", "z").agg(F.round(F.sum("v"), 3).alias("total"), F.round(F.max("v"), 3).alias("most"))
+
+
+def _bright():
+    """A model of one voxel: a logistic function of its value."""
+    import numpy as np
+
+    return lambda p: 1 / (1 + np.exp(-(p.astype(np.float64) - 3550) / 40))
+
+
+@query("with m as (select *, v > 3550 as f, min(v) over (partition by roi, z // 4, y // 4, x // 4) > 3550 as whole from raw) select roi, z, count(*) as n from m where f and not whole group by roi, z", ("gt", "raw"))
+def patch_inference(spark, sf):
+    """A caller's model over patches of chunks; patches whose outputs are constant are left out."""
+    return predict.predicted(X.raw(spark, sf), (48, 48, 48), _bright, chunk=24, patch=4).groupBy("roi", "z").agg(F.count("*").alias("n"))
+
+
 @query("select label, round(avg(z) * 2.0 / 1.34, 6) as z, round(avg(y) * 0.5616 / 1.54, 6) as y, round(avg(x) * 0.528 / 2.0, 6) as x from gt group by label", ("gt",))
 def centroid_rescale(spark, sf):
     s = objects.statistics(X.truth(spark, sf))
