@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import exact, graph, masks, objects, project, qc, score, segment, tune
 from ..operators.settings import Settings
 from ..operators.shared import settled
-from ..sources import files
+from ..sources import files, tilefiles
 from ..operators import kernels as K
 from ..sources import fixtures as X
 from ..sources import tiles as tiles_
@@ -103,6 +103,16 @@ def tile_blob_round_trip(spark, sf):
     return tiles_.from_blobs(tiles_.to_blobs(t, TILE)).withColumn("roi", F.col("roi").cast("long"))
 
 
+@query("select roi::varchar as roi, z, y, x, label as v from gt where roi >= 0 and z >= 24 and x < 24", ("gt",))
+def tile_files(spark, sf):
+    """Tiles written as files and read back, those of a box only."""
+    from ..operators.shared import scratch
+
+    folder = scratch(spark)
+    tilefiles.write_tiles(tiles_.to_blobs(X.truth(spark, sf).select("roi", "z", "y", "x", F.col("label").alias("v")), TILE), folder)
+    return tiles_.from_blobs(tilefiles.read_tiles(spark, folder).where("z >= 24 and x < 24"))
+
+
 @query("select roi, case when max(label) <= 255 then 'uint8' when max(label) <= 65535 then 'uint16' else 'uint32' end as dtype from pred group by roi", ("pred",))
 def label_dtype(spark, sf):
     return tiles_.label_type(X.predicted(spark, sf))
