@@ -51,6 +51,27 @@ def otsu_mask(voxels: DataFrame, keys: list[str] = TILE) -> DataFrame:
     return voxels.join(otsu_threshold(voxels, keys), keys).where("v > threshold").select("roi", "z", "y", "x")
 
 
+def above(probabilities: DataFrame, threshold: float = 0.5, value: str = "p") -> DataFrame:
+    """Adds mask: 255 where the probability is above the threshold, else 0, nulls included."""
+    return probabilities.withColumn("mask", F.when(F.col(value) > threshold, 255).otherwise(0))
+
+
+def around(points: DataFrame, voxels: DataFrame, offs: list[tuple[int, int, int]], value: str = "v") -> DataFrame:
+    """Points (roi, z, y, x, ...) with each voxel of ``voxels`` at an offset from them, as ``near`` its value: an explode of offsets and an equi-join."""
+    o = F.explode(F.array(*[F.struct(*[F.lit(int(v)).alias(f"d{a}") for a, v in zip("zyx", x, strict=True)]) for x in offs]))
+    rest = [c for c in points.columns if c not in ("roi", "z", "y", "x")]
+    spread = points.withColumn("_o", o).select("roi", *[(F.col(a) + F.col(f"_o.d{a}")).alias(a) for a in "zyx"], *[F.col(a).alias(f"c{a}") for a in "zyx"], *rest)
+    near = voxels.select("roi", "z", "y", "x", F.col(value).alias("near"))
+    return spread.join(near, ["roi", "z", "y", "x"]).select("roi", *[F.col(f"c{a}").alias(a) for a in "zyx"], *rest, "near")
+
+
+def peaks(voxels: DataFrame, level: float, offs: list[tuple[int, int, int]]) -> DataFrame:
+    """Voxels above ``level`` without a larger one in their footprint: the definition of a seed, as a left anti join."""
+    candidates = voxels.where(F.col("v") > level)
+    larger = around(candidates, voxels, offs).where("near > v").select("roi", "z", "y", "x").distinct()
+    return candidates.join(larger, ["roi", "z", "y", "x"], "left_anti").select("roi", "z", "y", "x", "v")
+
+
 def offsets(connectivity: int) -> list[tuple[int, int, int]]:
     """Neighbour offsets of 6-, 18- or 26-connectivity."""
     most = {6: 1, 18: 2, 26: 3}[connectivity]

@@ -77,6 +77,11 @@ def mapped_back(points: DataFrame, voxel: tuple[float, float, float], model_voxe
     return points.withColumns({a: F.col(a) * F.lit(m / v) for a, v, m in zip(AT, voxel, model_voxel, strict=True)})
 
 
+def merged(patches: DataFrame, threshold: float) -> DataFrame:
+    """Foreground voxels of overlapping patches (roi, z, y, x, p): the largest probability at each voxel, above the threshold."""
+    return patches.groupBy("roi", *AT).agg(F.max("p").alias("p")).where(F.col("p") > threshold)
+
+
 def patch_mask(chunk: np.ndarray, model: Callable[[np.ndarray], np.ndarray], patch: int, threshold: float, step: int | None = None) -> np.ndarray:
     """Foreground of one chunk: the model's output over patches, merged by maximum where patches overlap.
 

@@ -97,6 +97,14 @@ def review_list(t: DataFrame) -> DataFrame:
     return t.where(F.col("status").isin("REVIEW", "MISSING", "WATCH")).orderBy(F.desc("priority"), "chunk")
 
 
+def timings(seconds: DataFrame, keys: tuple[str, ...] = ("roi",)) -> DataFrame:
+    """(keys, n, upper_median, slowest, mean) of seconds by tile; the order statistic comes from a histogram, so no list is gathered."""
+    h = seconds.groupBy(*keys, "seconds").agg(F.count("*").alias("c"))
+    h = h.withColumns({"upto": F.sum("c").over(Window.partitionBy(*keys).orderBy("seconds")), "n": F.sum("c").over(Window.partitionBy(*keys))})
+    upper = F.min(F.when(F.col("upto") > F.floor(F.col("n") / 2), F.col("seconds")))
+    return h.groupBy(*keys).agg(F.max("n").alias("n"), upper.alias("upper_median"), F.max("seconds").alias("slowest"), (F.sum(F.col("seconds") * F.col("c")) / F.max("n")).alias("mean"))
+
+
 #: Statuses in the order of the summary.
 STATUSES = ("OK", "WATCH", "REVIEW", "MISSING", "PADDING")
 

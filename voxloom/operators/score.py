@@ -109,6 +109,13 @@ def detection(matches: DataFrame, gt: DataFrame, pred: DataFrame) -> DataFrame:
     })
 
 
+def mask_dice(gt: DataFrame, pred: DataFrame) -> DataFrame:
+    """(roi, dice) of the foregrounds of two label volumes; a roi with neither has no row."""
+    g, p = (d.select(*VOXEL, F.lit(1).alias(n)).distinct() for d, n in ((gt, "g"), (pred, "p")))
+    both = F.count(F.when(F.col("g").isNotNull() & F.col("p").isNotNull(), 1))
+    return g.join(p, VOXEL, "full_outer").groupBy("roi").agg((2 * both / (F.count("g") + F.count("p"))).alias("dice"))
+
+
 def splits_merges(pairs: DataFrame, share: float = 0.15) -> DataFrame:
     """How many gt objects two predictions each cover by ``share`` of the object, and how many predictions merge two objects."""
     split = pairs.groupBy("roi", "gt").agg(F.sum(F.when(F.col("both") >= share * F.col("gt_area"), 1).otherwise(0)).alias("k")).where("k >= 2").agg(F.count("*").alias("split"))

@@ -192,6 +192,18 @@ def dispatch(scores: DataFrame, nearest: DataFrame, default: int) -> DataFrame:
     return out.select("item", "global", "oracle", "dispatch", "shuffled", "matched", F.when(room > 1e-9, (F.col("dispatch") - F.col("global")) / F.when(room > 1e-9, room)).alias("gap_closed"))
 
 
+def best_rows(df: DataFrame, group: str, value: str, id_col: str) -> DataFrame:
+    """(group, id, value): the row of the largest value of each group, ties to the smaller id; nulls don't count."""
+    best = df.where(F.col(value).isNotNull()).groupBy(group).agg(F.max(F.struct(F.col(value).alias("v"), (-F.col(id_col)).alias("m"))).alias("b"))
+    return best.select(group, (-F.col("b.m")).alias(id_col), F.col("b.v").alias(value))
+
+
+def compared(scores: DataFrame, preset: int, base: int) -> DataFrame:
+    """(item, preset, base, gain): F1 of a preset beside that of the base setting, for items scored under both."""
+    one = lambda k, n: scores.where(F.col("setting") == k).select("item", F.col("f1").alias(n))
+    return one(preset, "preset").join(one(base, "base"), "item").withColumn("gain", F.col("preset") - F.col("base"))
+
+
 def mean_gap(dispatched: DataFrame) -> DataFrame:
     """(matched, items, mean_gap): the mean share of the gap closed over matched items only."""
     return dispatched.agg(F.sum(F.when(F.col("matched"), 1).otherwise(0)).alias("matched"), F.count("*").alias("items"), F.avg(F.when(F.col("matched"), F.col("gap_closed"))).alias("mean_gap"))

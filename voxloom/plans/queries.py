@@ -121,7 +121,7 @@ def label_dtype(spark, sf):
 @query("select event_id, case when value - floor(value) > 0.5 then 255 else 0 end as mask from events")
 def probability_threshold(spark, sf):
     e = X.table(spark, sf, "events").withColumn("p", F.col("value") - F.floor("value"))
-    return e.select("event_id", F.when(F.col("p") > 0.5, 255).otherwise(0).alias("mask"))
+    return masks.above(e, 0.5).select("event_id", "mask")
 
 
 @query("select vec_id, label, round(d0, 6) as d0, round(d1, 6) as d1, round(d2, 6) as d2 from ex", ("ex",))
@@ -265,11 +265,16 @@ def gaussian_smooth(spark, sf):
     return segment.per_tile(X.raw(spark, sf), lambda a: K.gaussian(a, (1.0, 1.5, 1.5)), "s", "double", tile=TILE, margin=7, shape=SHAPE).groupBy("roi", "z").agg(F.round(F.sum("s"), 3).alias("total"))
 
 
-@query("select z.i - 8 as dz, y.i - 8 as dy, x.i - 8 as dx from ax z, ax y, ax x where z.i <= 16 and y.i <= 16 and x.i <= 16 and ((z.i - 8) * 2) * ((z.i - 8) * 2) + (y.i - 8) * (y.i - 8) + (x.i - 8) * (x.i - 8) <= 16", ("gt",))
+@query(
+    "with o as (select z.i - 8 as dz, y.i - 8 as dy, x.i - 8 as dx from ax z, ax y, ax x where z.i <= 16 and y.i <= 16 and x.i <= 16 and ((z.i - 8) * 2) * ((z.i - 8) * 2) + (y.i - 8) * (y.i - 8) + (x.i - 8) * (x.i - 8) <= 16), "
+    "c as (select roi, z, y, x, label from gt where d2 = 0) select c.roi, c.label, count(*) as n, count(*) filter (g.label = c.label) as own from c cross join o join gt g on g.roi = c.roi and g.z = c.z + dz and g.y = c.y + dy and g.x = c.x + dx group by c.roi, c.label",
+    ("gt",),
+)
 def sphere_footprint(spark, sf):
-    a = F.explode(F.sequence(F.lit(-8).cast("long"), F.lit(8).cast("long")))
-    g = spark.range(1).select(a.alias("dz")).withColumn("dy", a).withColumn("dx", a)
-    return g.where("(dz * 2) * (dz * 2) + dy * dy + dx * dx <= 16").select("dz", "dy", "dx")
+    """Labelled voxels in the physical sphere around each object's centre."""
+    t = X.truth(spark, sf)
+    near = masks.around(t.where("d2 = 0").select("roi", "z", "y", "x", "label"), t, K.sphere_offsets(4, (2.0, 1.0, 1.0)), "label")
+    return near.groupBy("roi", "label").agg(F.count("*").alias("n"), F.count(F.when(F.col("near") == F.col("label"), 1)).alias("own"))
 
 
 _SEEDS = (
@@ -283,12 +288,7 @@ _SEED_BALL = [(a, b, d) for a in range(-2, 3) for b in range(-2, 3) for d in ran
 @query(_SEEDS, ("gt", "raw"))
 def seed_peaks(spark, sf):
     """Candidates without a larger voxel in their footprint: the definition as a left anti join."""
-    r = X.raw(spark, sf)
-    c = r.where("v > 3900")
-    o = F.explode(F.array(*[F.struct(*[F.lit(v).alias(f"d{n}") for n, v in zip("zyx", x, strict=True)]) for x in _SEED_BALL]))
-    near = c.select("roi", *[F.col(a).alias(f"c{a}") for a in "zyx"], F.col("v").alias("cv"), o.alias("o")).select("roi", "cz", "cy", "cx", "cv", *[(F.col(f"c{a}") + F.col(f"o.d{a}")).alias(a) for a in "zyx"])
-    larger = near.join(r, ["roi", "z", "y", "x"]).where("v > cv").select("roi", *[F.col(f"c{a}").alias(a) for a in "zyx"]).distinct()
-    return c.join(larger, ["roi", "z", "y", "x"], "left_anti").select("roi", "z", "y", "x", "v")
+    return masks.peaks(X.raw(spark, sf), 3900, _SEED_BALL)
 
 
 @query(_SEEDS, ("gt", "raw"))
@@ -630,13 +630,8 @@ def voxel_scale_check(spark, sf):
 
 @query("with s as (select l_returnflag as roi, (l_orderkey % 97)::double as seconds from lineitem) select roi, count(*) as n, list_sort(list(seconds))[count(*) // 2 + 1] as upper_median, max(seconds) as slowest, round(sum(seconds) / count(*), 6) as mean from s group by roi")
 def timing_summary(spark, sf):
-    """Upper median, maximum and mean of seconds; the order statistic comes from a histogram, so no list is gathered."""
-    from pyspark.sql import Window
-
     s = X.table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("roi"), (F.col("l_orderkey") % 97).cast("double").alias("seconds"))
-    h = s.groupBy("roi", "seconds").agg(F.count("*").alias("c"))
-    h = h.withColumns({"upto": F.sum("c").over(Window.partitionBy("roi").orderBy("seconds")), "n": F.sum("c").over(Window.partitionBy("roi"))})
-    return h.groupBy("roi").agg(F.max("n").alias("n"), F.min(F.when(F.col("upto") > F.floor(F.col("n") / 2), F.col("seconds"))).alias("upper_median"), F.max("seconds").alias("slowest"), F.round(F.sum(F.col("seconds") * F.col("c")) / F.max("n"), 6).alias("mean"))
+    return qc.timings(s).withColumn("mean", F.round("mean", 6))
 
 
 @query("with g as (select label from gt), p as (select label from pred) select (select count(distinct label) from g) as gt_objects, (select count(distinct label) from p) as pred_objects, (select max(label) from p) as pred_max_id", ("gt", "pred"))
@@ -648,8 +643,7 @@ def distinct_objects(spark, sf):
 
 @query("select event_type, event_id, round(value, 6) as value from events qualify row_number() over (partition by event_type order by value desc, event_id) = 1")
 def argmax_row(spark, sf):
-    e = X.table(spark, sf, "events").where("value is not null")
-    return e.groupBy("event_type").agg(F.max(F.struct("value", (-F.col("event_id")).alias("m"))).alias("b")).select("event_type", (-F.col("b.m")).alias("event_id"), F.round("b.value", 6).alias("value"))
+    return tune.best_rows(X.table(spark, sf, "events"), "event_type", "value", "event_id").withColumn("value", F.round("value", 6))
 
 
 # --- scoring ---------------------------------------------------------------------------------------
@@ -785,10 +779,7 @@ def overlap_contingency(spark, sf):
 
 @query("select roi, round(2 * count(case when g is not null and p is not null then 1 end) / (count(g) + count(p)), 6) as dice from (select coalesce(g.roi, p.roi) as roi, g.label as g, p.label as p from gt g full join pred p on g.roi = p.roi and g.z = p.z and g.y = p.y and g.x = p.x) group by roi", ("gt", "pred"))
 def mask_dice(spark, sf):
-    g, p = (d.select("roi", "z", "y", "x", F.lit(1).alias(n)) for d, n in zip(_both(spark, sf), "gp", strict=True))
-    v = g.join(p, ["roi", "z", "y", "x"], "full_outer")
-    both = F.sum(F.when(F.col("g").isNotNull() & F.col("p").isNotNull(), 1).otherwise(0))
-    return v.groupBy("roi").agg(F.round(2 * both / (F.count("g") + F.count("p")), 6).alias("dice"))
+    return score.mask_dice(*_both(spark, sf)).withColumn("dice", F.round("dice", 6))
 
 
 @query(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import wilson
 from ..operators import graph, objects, predict, project, qc, tune
 from ..sources import fixtures as X
+from ..sources import tiles as tiles_
 from .queries import _T, TILE, query
 
 _NEAR = (
@@ -242,10 +243,9 @@ def dispatch_loo(spark, sf):
     return tune.dispatch(g, near, 4).withColumns({c: F.round(c, 6) for c in ("gap_closed", "shuffled")})
 
 
-@query("with " + _GRID + " select setting, round(avg(case when item < 2 then f1 end), 6) as preset, round(avg(case when item >= 2 then f1 end), 6) as base from gs where setting in (0, 13) group by setting")
+@query("with " + _GRID + " select a.item, a.f1 as preset, b.f1 as base, round(a.f1 - b.f1, 6) as gain from gs a join gs b on a.item = b.item and a.setting = 13 and b.setting = 0")
 def preset_compare(spark, sf):
-    g = _grid(spark, sf).where("setting in (0, 13)")
-    return g.groupBy("setting").agg(F.round(F.avg(F.when(F.col("item") < 2, F.col("f1"))), 6).alias("preset"), F.round(F.avg(F.when(F.col("item") >= 2, F.col("f1"))), 6).alias("base"))
+    return tune.compared(_grid(spark, sf), 13, 0).withColumns({c: F.round(c, 6) for c in ("preset", "base", "gain")})
 
 
 @query("with " + _GRID + ", r as (select item, rank() over (partition by item order by f1) + (count(*) over (partition by item, f1) - 1) / 2.0 as ra, rank() over (partition by item order by iou) + (count(*) over (partition by item, iou) - 1) / 2.0 as rb from gs) select item, round(corr(ra, rb), 6) as spearman from r group by item")
@@ -255,8 +255,7 @@ def spearman(spark, sf):
 
 @query("with t as (select count(*) as n, sum((abs(doc_id * 2654435761) % 100 < 80)::int)::bigint as train from documents) select n, train, n - train as val from t")
 def seeded_split(spark, sf):
-    """A split by a fixed hash of the id: the same rows on every run and every engine."""
-    d = X.table(spark, sf, "documents").withColumn("train", F.abs(F.col("doc_id") * 2654435761) % 100 < 80)
+    d = tiles_.split(X.table(spark, sf, "documents"), "doc_id")
     return d.agg(F.count("*").alias("n"), F.sum(F.when(F.col("train"), 1).otherwise(0)).alias("train")).withColumn("val", F.col("n") - F.col("train"))
 
 
@@ -308,8 +307,7 @@ def tiled_merge(spark, sf):
     r = X.raw(spark, sf)
     a = r.select("roi", "z", "y", "x", (F.col("v") / F.lit(6000.0)).alias("p"))
     b = r.where("z % 12 >= 9").select("roi", "z", "y", "x", (F.col("v") / F.lit(7000.0)).alias("p"))
-    m = a.unionByName(b).groupBy("roi", "z", "y", "x").agg(F.max("p").alias("p")).where("p > 6e-1")
-    return m.groupBy("roi", "z").agg(F.count("*").alias("n"))
+    return predict.merged(a.unionByName(b), 0.6).groupBy("roi", "z").agg(F.count("*").alias("n"))
 
 
 # An axis of 48 voxels: order 1 to 60 voxels for y, and to 36 for z, which is smoothed by a Gaussian of 1/6 voxel (its radius is 1) first.

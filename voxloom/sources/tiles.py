@@ -102,6 +102,11 @@ def label_type(labels: DataFrame) -> DataFrame:
     return m.select("roi", F.when(F.col("m") <= 255, "uint8").when(F.col("m") <= 65535, "uint16").otherwise("uint32").alias("dtype"))
 
 
+def split(rows: DataFrame, id_col: str, share: int = 80) -> DataFrame:
+    """Adds train: a split by a fixed hash of the id, about ``share`` of 100 rows, the same on every run and every engine."""
+    return rows.withColumn("train", F.abs(F.col(id_col) * 2654435761) % 100 < share)
+
+
 BLOB = T.StructType([T.StructField("roi", T.StringType()), *[T.StructField(a, T.LongType()) for a in ("z", "y", "x", "nz", "ny", "nx")], T.StructField("dtype", T.StringType()), T.StructField("data", T.BinaryType())])
 
 
