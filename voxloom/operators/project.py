@@ -80,15 +80,15 @@ def deskew_labels(labels: DataFrame, shear: float = SHEAR) -> DataFrame:
     return labels.withColumn("x", F.floor(F.col("x") + F.lit(shear) * F.col("z") + 0.5).cast("long"))
 
 
-def deskew_raw(voxels: DataFrame, depth: int, width: int, shear: float = SHEAR) -> DataFrame:
-    """Linear interpolation along x on the widened grid; valid where the weights of source voxels sum to more than 0.999."""
+def deskew_raw(voxels: DataFrame, depth: int, width: int, shear: float = SHEAR, whole: bool = True) -> DataFrame:
+    """Linear interpolation along x on the widened grid, rounded for ``whole`` numbers; valid where the weights of source voxels sum to more than 0.999."""
     at = F.col("x") + F.lit(shear) * F.col("z")
     lo = F.floor(at).cast("long")
     w = at - lo
     two = voxels.select("roi", "z", "y", "v", F.inline(F.array(F.struct(lo.alias("x"), (1 - w).alias("w")), F.struct((lo + 1).alias("x"), w.alias("w")))))
     wide = width + math.ceil(shear * (depth - 1))
     out = two.where((F.col("x") >= 0) & (F.col("x") < wide)).groupBy("roi", "z", "y", "x").agg(F.sum(F.col("v") * F.col("w")).alias("s"), F.sum("w").alias("w"))
-    return out.select("roi", "z", "y", "x", F.rint("s").cast("long").alias("v"), (F.col("w") > 0.999).alias("valid"))
+    return out.select("roi", "z", "y", "x", (F.rint("s").cast("long") if whole else F.col("s")).alias("v"), (F.col("w") > 0.999).alias("valid"))
 
 
 def halo(voxels: DataFrame, size: int, margin: int | tuple[int, int, int]) -> DataFrame:

@@ -277,7 +277,7 @@ def mip(spark, sf):
     return project.projection(X.raw(spark, sf))
 
 
-@query("select roi, y, x, label from raw join gt using (roi, z, y, x) qualify row_number() over (partition by roi, y, x order by v desc, z) = 1".replace("select roi, y, x, label", "select roi, y, x, gt.label"), ("gt", "raw"))
+@query("select roi, y, x, gt.label from raw join gt using (roi, z, y, x) qualify row_number() over (partition by roi, y, x order by v desc, z) = 1", ("gt", "raw"))
 def brightest_label(spark, sf):
     return project.brightest_label(X.raw(spark, sf), X.truth(spark, sf))
 
@@ -301,7 +301,7 @@ def golden_colours(spark, sf):
     return project.coloured(X.truth(spark, sf).select("label").distinct())
 
 
-@query("with p as (select roi, z, y, x, v, unnest([0, 1]) as k from raw where z < 24), s as (select roi, (z // 12) * 12 as pz, z, y, x, v / 6000e0 as p from raw union all select roi, (z // 12) * 12 + 12, z, y, x, v / 7000e0 from raw where z % 12 >= 9) select roi, z, count(*) as n from (select roi, z, y, x, max(p) as p from s group by roi, z, y, x) where p > 0.6 group by roi, z".replace("p as (select roi, z, y, x, v, unnest([0, 1]) as k from raw where z < 24), ", ""), ("gt", "raw"))
+@query("with s as (select roi, z, y, x, v / 6000e0 as p from raw union all select roi, z, y, x, v / 7000e0 from raw where z % 12 >= 9) select roi, z, count(*) as n from (select roi, z, y, x, max(p) as p from s group by roi, z, y, x) where p > 0.6 group by roi, z", ("gt", "raw"))
 def tiled_merge(spark, sf):
     """Overlapping patches of a probability merged by maximum, then thresholded."""
     r = X.raw(spark, sf)
