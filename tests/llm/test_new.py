@@ -218,3 +218,59 @@ def test_package_of_another_writer_is_read(spark, tmp_path):
         z.writestr("archive/a.warc.gz", b"")
     with pytest.raises(Exception, match="no index"):
         warc.read_archives(spark.createDataFrame([(f"file://{path}",)], "path string")).collect()
+
+
+# --- classifiers against their formulas ---
+
+
+def _texts(words, n=60):
+    r = np.random.default_rng(10)
+    sep = list(" \n\t.!?;,\"")
+    return ["", " ", "ab", "é", *["".join(f"{w}{s}" for w, s in zip(r.choice(words, k), r.choice(sep, k), strict=True)) for k in r.integers(1, 80, n)]]
+
+
+def test_quality_score_is_the_mean_of_its_features():
+    import pyarrow as pa
+
+    from voxloom.llm import quality
+    from voxloom.llm import text as T
+
+    r = np.random.default_rng(11)
+    model = quality.Model(r.normal(0, 3, (2, 1 << quality.BITS)), 0.25)
+    texts = [*_texts(["alpha", "beta", "beta", "gé", "x1", "delta"]), "same same same"]
+
+    def brute(t):
+        data = t.encode()
+        words = re.findall(rb"[^\x20\x09-\x0d]+", data)
+        h = [int(T.word_hashes(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]))[0]) for w in words]
+        group = [v >> (64 - quality.BITS) for v in h]
+        group += [quality.REPEAT if a == b else int(T.ngrams(np.array([a, b], np.uint64), 2)[0]) >> (64 - quality.BITS) for a, b in zip(h, h[1:], strict=False)]
+        grams = [(int.from_bytes(data[i : i + n], "little") * (0x9E3779B97F4A7C15 + 2 * n) % 2**64) >> (64 - quality.BITS) for n in quality.GRAMS for i in range(len(data) - n + 1)]
+        total = model.bias + sum(sum(model.table[side][b] for b in g) / len(g) for side, g in enumerate((group, grams)) if g)
+        return 1 / (1 + np.exp(-np.clip(total, -40, 40)))
+
+    assert np.allclose(model.score(pa.array(texts)), [brute(t) for t in texts])
+
+
+def test_toxicity_score_is_that_of_clauses_one_by_one():
+    import pyarrow as pa
+
+    from voxloom.llm import toxicity
+
+    lexicon = toxicity.Lexicon({b"zork": 1.5}, {b"flim": 0.7, b"snorkel": 2.0})
+    weights = tuple(np.linspace(-1, 2, 3 + len(toxicity.CHANNELS)))
+    model = toxicity.Model(lexicon, weights, -0.5)
+    texts = _texts(["zorkling", "flim", "Snorkel", "you", "not", "said", "kill", "house", "é", "they"])
+
+    def brute(t):
+        channel, total, largest = np.zeros(len(toxicity.CHANNELS)), 0.0, 0.0
+        for clause in re.split(rb"[.!?;\n]", t.encode()):
+            c, _ = toxicity.channels(clause, lexicon)
+            channel += c
+            total, largest = total + c @ np.array(toxicity.PRIOR), max(largest, c @ np.array(toxicity.PRIOR))
+        words = len(re.findall(rb"[A-Za-z\x80-\xff]+", t.encode()))
+        x = [min(total, 12) / 4, min(largest, 8) / 4, min(total / np.sqrt(words + 9), 1.0), *np.minimum(channel, 6) / 6]
+        return 1 / (1 + np.exp(-(np.dot(x, weights) - 0.5)))
+
+    got = model.score(toxicity.evidence(pa.array(texts), lexicon))
+    assert np.allclose(got, [brute(t) for t in texts]) and got.max() > 0.6 > got.min()
