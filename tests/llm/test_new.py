@@ -274,3 +274,14 @@ def test_toxicity_score_is_that_of_clauses_one_by_one():
 
     got = model.score(toxicity.evidence(pa.array(texts), lexicon))
     assert np.allclose(got, [brute(t) for t in texts]) and got.max() > 0.6 > got.min()
+
+
+def test_written_tables_can_be_removed(spark, tmp_path, monkeypatch):
+    from pathlib import Path
+
+    from voxloom.llm import shared
+
+    monkeypatch.setattr(shared, "shared_dir", lambda spark: f"file://{tmp_path}/voxloom-app/table")
+    assert shared.written(spark.range(3)).count() == 3 and Path(tmp_path, "voxloom-app").exists()
+    shared.clear(spark)
+    assert not Path(tmp_path, "voxloom-app").exists() and tmp_path.exists()

@@ -32,6 +32,12 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/voxloom-{sc.applicationId}/{uuid.uuid4().hex}"
 
 
+def clear(spark: SparkSession) -> None:
+    """Remove the tables that this application has written to its shared folder; results that read them must be written before."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark)).getParent()
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame, name: str = "table") -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read back: durable, lineage cut."""
     spark = df.sparkSession
