@@ -84,6 +84,10 @@ def test_stream_handles_each_tile_once(spark, tmp_path):
         s = stream.tile_stream(spark, src, "chunk string, n long", 1)
         stream.process(s, lambda d: d.withColumn("done", F.lit(True)), out, ck).awaitTermination()
     assert sorted(r["chunk"] for r in spark.read.parquet(out).collect()) == ["a", "b", "c"]
+    spark.createDataFrame([("c", 9), ("d", 9)], "chunk string, n long").coalesce(1).write.mode("append").parquet(src)
+    s = stream.tile_stream(spark, src, "chunk string, n long", 1)
+    stream.process(s, lambda d: d.withColumn("done", F.lit(True)), out, ck).awaitTermination()
+    assert sorted((r["chunk"], r["n"]) for r in spark.read.parquet(out).collect()) == [("a", 1), ("b", 1), ("c", 1), ("d", 9)]
 
 
 def test_missing_neighbours_and_empty(spark):

@@ -17,6 +17,12 @@ def scratch(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/voxloom-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
 
 
+def clear(spark: SparkSession) -> None:
+    """Remove what this application has left in its shared folder; results that read it must be written before."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch(spark)).getParent()
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def settled(df: DataFrame) -> DataFrame:
     """``df`` computed once: checkpointed in the shared folder where one is set; without one, on a single machine only, a table of the session's warehouse."""
     spark = df.sparkSession

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def tile_stream(spark: SparkSession, folder: str, schema, files_per_batch: int = 16) -> DataFrame:
@@ -14,18 +13,12 @@ def tile_stream(spark: SparkSession, folder: str, schema, files_per_batch: int =
 
 
 def process(stream: DataFrame, work: Callable[[DataFrame], DataFrame], out: str, checkpoint: str):
-    """Apply ``work`` to the tiles of each batch whose chunk isn't in ``out`` yet, append, and stop when the input is used up.
+    """Apply ``work`` to the tiles of each batch whose chunk came in no earlier one, and stop when the input is used up.
 
-    The checkpoint makes a batch run again after a failure; the anti join makes that harmless.
+    Which chunks came is keyed state of the query, so the output is never read again.  A batch writes its own folder, and writes it anew when it runs again after a failure, so each tile is there once.
     """
 
     def batch(df: DataFrame, number: int) -> None:
-        spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(out)
-        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-        new = df.dropDuplicates(["chunk"])
-        if fs.exists(path):
-            new = new.join(spark.read.parquet(out).select("chunk"), "chunk", "left_anti")
-        work(new).withColumn("batch", F.lit(number)).write.mode("append").parquet(out)
-
-    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        work(df).write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    return stream.dropDuplicates(["chunk"]).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
