@@ -172,7 +172,29 @@ def otsu_mask(spark, sf):
     return masks.otsu_threshold(r).join(n, "roi")
 
 
-@query()
+def _gauss(name: str, sigma: float) -> str:
+    """A table (o, i, w): weights of a Gaussian along an axis of 48 voxels, cut at four sigmas, edges reflected."""
+    r = int(4 * sigma + 0.5)
+    return (
+        f"{name}_k as (select d, exp(-0.5 * power(d / {sigma}e0, 2)) as g from (select unnest(range({-r}, {r + 1})) as d)), "
+        f"{name} as (select o, case when o + d < 0 then -(o + d) - 1 when o + d > 47 then 95 - (o + d) else o + d end as i, sum(g / (select sum(g) from {name}_k)) as w from (select range as o from range(48)), {name}_k group by all)"
+    )
+
+
+def _blurred(out: str, source: str, value: str, z: str | None, y: str, x: str) -> str:
+    """``source`` smoothed along its axes by tables of weights."""
+    steps, last, v = [], source, value
+    for axis, w in (("z", z), ("y", y), ("x", x)):
+        if w is None:
+            continue
+        keep = ", ".join(f"s.{a}" if a != axis else f"w.o as {a}" for a in "zyx")
+        name = out if axis == "x" else f"{out}_{axis}"
+        steps.append(f"{name} as (select s.roi, {keep}, sum(s.{v} * w.w) as b from {last} s join {w} w on w.i = s.{axis} group by all)")
+        last, v = name, "b"
+    return ", ".join(steps)
+
+
+@query("with " + _gauss("gl", 50 / 6) + ", " + _blurred("bl", "raw", "v", None, "gl", "gl") + ", fs as (select roi, z from raw group by roi, z having min(v) < max(v)) select r.roi, r.z, count(*) as n from raw r join bl using (roi, z, y, x) semi join fs using (roi, z) where r.v > bl.b group by r.roi, r.z", ("gt", "raw"))
 def local_mask(spark, sf):
     return segment.per_tile(X.raw(spark, sf), lambda a: K.local_mask(a, 51), "fg", tile=TILE, margin=(0, 34, 34), shape=SHAPE).groupBy("roi", "z").agg(F.count("*").alias("n"))
 
@@ -182,7 +204,11 @@ def top_hat(spark, sf):
     return segment.per_tile(X.raw(spark, sf), lambda a: K.top_hat(a, 8), "h", "double", tile=TILE, margin=16, shape=SHAPE).groupBy("roi", "z").agg(F.sum("h").alias("total"))
 
 
-@query()
+@query(
+    "with " + _gauss("g1", 1.0) + ", " + _gauss("g4", 4.0) + ", rv as (select roi, z, y, x, v from raw where x < 46), " + _blurred("lo", "rv", "v", "g1", "g1", "g1") + ", " + _blurred("hi", "rv", "v", "g4", "g4", "g4")
+    + ", bp as (select roi, z, y, x, lo.b - hi.b as b from lo join hi using (roi, z, y, x) where x < 46), lv as (select roi, quantile_cont(b, 0.9) as level from bp group by roi) select roi, z, count(*) as n from bp join lv using (roi) where b > level group by roi, z",
+    ("gt", "raw"),
+)
 def bandpass_mask(spark, sf):
     """One percentile of the band-passed values of each roi: the values by tile, the percentile over all of them that are valid."""
     b = settled(segment.per_tile(X.raw(spark, sf).where("x < 46"), lambda a: K.bandpass(a, 1.0, 4.0, (1.0, 1.0, 1.0)), "b", "double", keep_zero=True, tile=TILE, margin=17, shape=SHAPE).where("x < 46"))
@@ -260,7 +286,7 @@ def distance_transform(spark, sf):
     return exact.distance(X.truth(spark, sf), SHAPE, (2.0, 1.0, 1.0), TILE).withColumn("distance", F.round("distance", 6))
 
 
-@query()
+@query("with " + _gauss("g1", 1.0) + ", " + _gauss("g15", 1.5) + ", " + _blurred("bl", "raw", "v", "g1", "g15", "g15") + " select roi, z, round(sum(b), 3) as total from bl group by roi, z", ("gt", "raw"))
 def gaussian_smooth(spark, sf):
     return segment.per_tile(X.raw(spark, sf), lambda a: K.gaussian(a, (1.0, 1.5, 1.5)), "s", "double", tile=TILE, margin=7, shape=SHAPE).groupBy("roi", "z").agg(F.round(F.sum("s"), 3).alias("total"))
 
