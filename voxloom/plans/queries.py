@@ -362,12 +362,20 @@ def dispatch_sweep(spark, sf):
     return tune.left_out(scores, d, -1).withColumns({c: F.round(c, 6) for c in ("global", "oracle", "dispatch", "shuffled", "gap_closed")})
 
 
-@query()
+@query(
+    "with " + ", ".join([_gauss("g1", 1.0), _gauss("g3", 3.0), _blurred("ga", "raw", "v", "g1", "g1", "g1"), _blurred("gi", "raw", "v", None, "g1", "g1"), _blurred("gb", "raw", "v", "g3", "g3", "g3")])
+    + ", nb as (select o, least(greatest(o + d, 0), 47) as i from (select range as o from range(48)), (values (-1), (0), (1)) t(d)), me as (select roi, o.o as z, p.o as y, q.o as x, median(v) as b from raw join nb o on o.i = z join nb p on p.i = y join nb q on q.i = x group by all), "
+    "mi as (select roi, z, p.o as y, q.o as x, median(v) as b from raw join nb p on p.i = y join nb q on q.i = x group by all), "
+    "un as (select 'gauss_um=1.0' as filter, roi, b from ga union all select 'gauss_inplane=1.0', roi, b from gi union all select 'median3', roi, b from me union all select 'median_inplane', roi, b from mi "
+    "union all select 'bgsub=3', raw.roi, greatest(v - b, 0) from raw join gb using (roi, z, y, x) union all select 'gauss_inplane=1.0+bgsub=3', gi.roi, greatest(gi.b - gb.b, 0) from gi join gb using (roi, z, y, x)) "
+    "select filter, roi, round(sum(b), 1) as total from un group by filter, roi",
+    ("gt", "raw"),
+)
 def denoise_bank(spark, sf):
     """Every filter of the bank over every roi, by tile."""
     raw, out = X.raw(spark, sf), None
     for name, margin in (("gauss_um=1.0", 9), ("gauss_inplane=1.0", 9), ("median3", 2), ("median_inplane", 2), ("bgsub=3", 13), ("gauss_inplane=1.0+bgsub=3", 13)):
-        one = segment.per_tile(raw, lambda a, name=name: K.denoise(a, name, (1.0, 1.0, 1.0)), "s", "double", tile=TILE, margin=margin, shape=SHAPE).groupBy("roi").agg(F.round(F.sum("s"), 2).alias("total")).withColumn("filter", F.lit(name))
+        one = segment.per_tile(raw, lambda a, name=name: K.denoise(a, name, (1.0, 1.0, 1.0)), "s", "double", tile=TILE, margin=margin, shape=SHAPE).groupBy("roi").agg(F.round(F.sum("s"), 1).alias("total")).withColumn("filter", F.lit(name))
         out = one if out is None else out.unionByName(one)
     return out
 
