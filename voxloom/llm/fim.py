@@ -70,7 +70,7 @@ def _asked(sql: str, given: dict[str, str], added: dict[str, str], values: dict)
                 rows = b.slice(i, j - i)
                 held = pa.table({"nth": pa.array(range(j - i), pa.int64())} | {n: rows.column(c) for n, c in given.items()})
                 con.register("slice", held)
-                answer = con.execute(sql, values).to_arrow_table().sort_by("nth")
+                answer = con.sql(sql, params=values or None).to_arrow_table().sort_by("nth")
                 con.unregister("slice")
                 got = {c: answer.column(c).cast(TYPES[t]).combine_chunks() for c, t in added.items()}
                 out = {c: rows.column(c) for c in rows.schema.names if c not in added and not c.startswith("__fim_")} | got
