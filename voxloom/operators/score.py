@@ -70,31 +70,127 @@ def assignment(cost: np.ndarray) -> list[tuple[int, int]]:
     return [(b, a) for a, b in out] if flip else out
 
 
-def hungarian(pairs: DataFrame, edge: float = 0.25, least: float = 0.5) -> DataFrame:
-    """Matching of largest total IoU over pairs of at least ``edge``, then those of at least ``least``.
-
-    The bipartite graph is split into components first, so each assignment is a small matrix; non-edges cost 1.
+def _solved(g: pd.DataFrame) -> pd.DataFrame:
+    """The edges (a, b, w) of one component that are in its assignment of largest total."""
+    a, b = sorted(g["a"].unique()), sorted(g["b"].unique())
+    cost = np.ones((len(a), len(b)))
+    ia, ib = {x: i for i, x in enumerate(a)}, {x: i for i, x in enumerate(b)}
+    rows = {}
+    for k, (x, y, w) in enumerate(zip(g["a"], g["b"], g["w"], strict=True)):
+        cost[ia[x], ib[y]] = 1 - w
+        rows[ia[x], ib[y]] = k
+    return g.iloc[[rows[p] for p in assignment(cost) if p in rows]][["a", "b"]]
+
+
+#: Components of up to so many edges are assigned in one task each; its matrix has at most 4 million cells then.
+GROUP_EDGES = 4_000
+
+
+def heaviest(edges: DataFrame, epsilon: float = 1e-3, most: int = GROUP_EDGES) -> DataFrame:
+    """(a, b): a matching of largest total weight over edges (a, b, w), ids as strings, 0 < w <= 1.
+
+    1. Components of up to ``most`` edges are solved in one task each.
+    2. In larger ones, an edge that weighs as much as the heaviest others at its two ends together is in some best matching: whoever leaves it out takes those two at most.  Such edges are taken, with what they touch.
+       A node with one edge is then folded into its partner: the partner's other edges are worth what they weigh more, and where it takes none of them it takes the folded one in the end.  Both take components
+       apart, round by round; a tree goes entirely.  Then the first step goes on with what is left.
+    3. Where neither finds anything, ``auction`` decides the rest by rounds of joins.
+    So the total is the largest there is, but for ``epsilon`` for each node of a component that came to step 3.
+    """
+    importable(edges.sparkSession)
+    left, taken, folds = settled(edges.select("a", "b", "w")), None, []
+
+    def take(more: DataFrame) -> None:
+        nonlocal taken
+        taken = more if taken is None else settled(taken.unionByName(more))
+
+    stuck = False
+    while not stuck and left.limit(1).count():
+        comp = component_ids(left.select(F.concat(F.lit("a"), "a").alias("a"), F.concat(F.lit("b"), "b").alias("b")))
+        of = settled(left.join(comp.where("id like 'a%'").select(F.expr("substr(id, 2)").alias("a"), "component"), "a"))
+        small = settled(of.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") <= most).select("component"))
+        take(settled(of.join(small, "component", "left_semi").groupBy("component").applyInPandas(_solved, "a string, b string")))
+        left = settled(of.join(small, "component", "left_anti").select("a", "b", "w"))
+        for _ in range(8):
+            if not left.limit(1).count():
+                break
+            top = _dominant(left)
+            rest = left.join(top.select("a"), "a", "left_anti").join(top.select("b"), "b", "left_anti")
+            leaf, folded = _folded(rest)
+            take(top)
+            folds.append(leaf)
+            if not top.unionByName(leaf).limit(1).count():
+                take(auction(left, epsilon))
+                stuck = True
+                break
+            left = folded
+    for leaf in reversed(folds):  # the last fold is undone first
+        free = leaf.join(taken.select("b"), "b", "left_anti").join(taken.select("a"), "a", "left_anti")
+        take(free)
+    return left.select("a", "b") if taken is None else taken
+
+
+def _folded(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The heaviest edge to a node with no other, for each partner (a, b), and the edges left with what they are worth beyond it."""
+    n = {s: F.count("*").over(Window.partitionBy(s)) for s in "ab"}
+    e = settled(edges.withColumns({f"n{s}": c for s, c in n.items()}))
+    # An edge alone in its component stays: it is heavy enough to be taken in the next round.
+    tips = []
+    for hub, tip in (("a", "b"), ("b", "a")):
+        w = Window.partitionBy(hub).orderBy(F.desc("w"), tip)
+        tips.append(e.where(f"n{tip} = 1 and n{hub} > 1").withColumn("k", F.row_number().over(w)).where("k = 1").select("a", "b", "w", F.lit(hub).alias("hub")))
+    leaf = settled(tips[0].unionByName(tips[1]))
+    left = e.where("(na > 1) = (nb > 1)").select("a", "b", "w")
+    for hub in "ab":
+        less = leaf.where(F.col("hub") == hub).select(hub, F.col("w").alias("_less"))
+        left = left.join(less, hub, "left").withColumn("w", F.col("w") - F.coalesce("_less", F.lit(0.0))).drop("_less")
+    return leaf.select("a", "b"), settled(left.where("w > 0").select("a", "b", "w"))
+
+
+def _dominant(edges: DataFrame) -> DataFrame:
+    """Edges at least as heavy as the heaviest others at both ends together; of two that touch (equal, with no third), the first by (a, b)."""
+    e = edges
+    for side, other in (("a", "b"), ("b", "a")):
+        w = Window.partitionBy(side).orderBy(F.desc("w"), other)
+        e = e.withColumns({f"r{side}": F.row_number().over(w), f"n{side}": F.coalesce(F.lead("w").over(w), F.lit(0.0))})
+    # Only an edge that is first at both ends can be so heavy, or tie with one that is.
+    return settled(e.where("ra = 1 and rb = 1 and w >= na + nb").select("a", "b"))
+
+
+def auction(edges: DataFrame, epsilon: float = 1e-3, step: float = 5.0) -> DataFrame:
+    """(a, b): a matching over edges (a, b, w) whose total is the largest there is, but for ``epsilon`` for each node.
+
+    Nodes bid in rounds of joins.  Each edge is there twice, once from either side, and each node may also have its own twin at weight 0; so everyone can be served, and prices may start anywhere: they are found coarsely first, with
+    large raises, then anew from there with raises smaller by ``step``, until they are ``epsilon``.  In a round everyone without a partner bids for what is worth most beyond its price, by the distance to the second
+    best and the raise; the highest bid wins, the one who had it goes free.  No task sees more than one node's edges.
     """
-    importable(pairs.sparkSession)
+    e = edges.select(F.concat(F.lit("a"), "a").alias("a"), F.concat(F.lit("b"), "b").alias("b"), "w")
+    twin = lambda x: e.select(F.col(x).alias("bidder"), F.col(x).alias("thing"), F.lit(0.0).alias("w")).distinct()
+    offers = e.select(F.col("a").alias("bidder"), F.col("b").alias("thing"), "w").unionByName(e.select(F.col("b").alias("bidder"), F.col("a").alias("thing"), "w"))
+    offers = settled(offers.unionByName(twin("a")).unionByName(twin("b")))
+    raises = [epsilon]
+    while raises[-1] * step < 0.25:
+        raises.append(raises[-1] * step)
+    held = settled(offers.select("thing", F.lit(0.0).alias("price"), F.lit(None).cast("string").alias("owner")).distinct())
+    best = Window.partitionBy("bidder").orderBy(F.desc("value"), F.xxhash64("bidder", "thing"))
+    for least in reversed(raises):
+        held = settled(held.withColumn("owner", F.lit(None).cast("string")))
+        while held.where("owner is null").limit(1).count():
+            free = offers.join(held.select(F.col("owner").alias("bidder")).where("bidder is not null"), "bidder", "left_anti")
+            worth = free.join(held.select("thing", "price"), "thing").withColumn("value", F.col("w") - F.col("price"))
+            worth = worth.withColumns({"k": F.row_number().over(best), "next": F.coalesce(F.lead("value").over(best), F.col("value"))}).where("k = 1")
+            bids = worth.select("thing", (F.col("price") + F.col("value") - F.col("next") + least).alias("bid"), "bidder")
+            won = bids.groupBy("thing").agg(F.max(F.struct("bid", "bidder")).alias("won"))
+            held = held.join(won, "thing", "left").select("thing", F.coalesce("won.bid", "price").alias("price"), F.coalesce("won.bidder", "owner").alias("owner"))
+            held = settled(held)
+    return settled(held.where("owner like 'a%' and thing like 'b%'").select(F.expr("substr(owner, 2)").alias("a"), F.expr("substr(thing, 2)").alias("b")))
+
+
+def hungarian(pairs: DataFrame, edge: float = 0.25, least: float = 0.5, epsilon: float = 1e-3, most: int = GROUP_EDGES) -> DataFrame:
+    """Matching of largest total IoU over pairs of at least ``edge``, then those of at least ``least``; see ``heaviest``."""
     e = settled(pairs.where(F.col("iou") >= edge))
-    node = lambda side: F.concat_ws(":", F.lit(side), F.col("roi").cast("string"), F.col("gt" if side == "g" else "pred").cast("string"))
-    links = e.select(node("g").alias("a"), node("p").alias("b"))
-    comp = component_ids(links).withColumnRenamed("id", "a")
-    grouped = e.withColumn("a", node("g")).join(comp, "a").drop("a")
-
-    def solve(g: pd.DataFrame) -> pd.DataFrame:
-        a, b = sorted(g["gt"].unique()), sorted(g["pred"].unique())
-        cost = np.ones((len(a), len(b)))
-        ia, ib = {x: i for i, x in enumerate(a)}, {x: i for i, x in enumerate(b)}
-        rows = {}
-        for k, (x, y, v) in enumerate(zip(g["gt"], g["pred"], g["iou"], strict=True)):
-            cost[ia[x], ib[y]] = 1 - v
-            rows[ia[x], ib[y]] = k
-        keep = [rows[p] for p in assignment(cost) if p in rows]
-        return g.iloc[keep].drop(columns="component")
-
-    fields = ", ".join(f"{n} {t}" for n, t in pairs.dtypes)
-    return grouped.groupBy("component").applyInPandas(solve, fields).where(F.col("iou") >= least)
+    node = lambda side: F.concat_ws(":", F.col("roi").cast("string"), F.col(side).cast("string"))
+    e = e.withColumns({"a": node("gt"), "b": node("pred")})
+    return e.join(heaviest(e.select("a", "b", F.col("iou").alias("w")), epsilon, most), ["a", "b"]).where(F.col("iou") >= least).select(*pairs.columns)
 
 
 def detection(matches: DataFrame, gt: DataFrame, pred: DataFrame) -> DataFrame:
