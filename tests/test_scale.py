@@ -21,3 +21,21 @@ def test_raw_volumes_broadcast_nothing(spark):
     assert "Broadcast" not in plan(r)
     n = [r["count"] for r in r.groupBy(F.spark_partition_id()).count().collect()]
     assert len(n) == 4 and sum(n) == 40 * 48**3 and max(n) < sum(n) / 2
+
+
+def test_joins_of_voxels_broadcast_no_volume(spark):
+    from voxloom.operators import masks, project, score
+
+    gt, pred, raw = X.truth(spark, SF), X.predicted(spark, SF), X.raw(spark, SF)
+    assert "Broadcast" not in plan(score.overlaps(gt, pred))
+    assert "Broadcast" not in plan(project.brightest_label(raw, gt))
+    assert "Broadcast" not in plan(masks.peaks(raw, 3900, [(0, 0, 1), (0, 0, -1)]))
+    assert "Broadcast" not in plan(masks.drop_small(gt, 200))
+    assert "Broadcast" not in plan(masks.renumbered(gt, 200))
+
+
+def test_peaks_read_the_volume_for_candidates_only(spark):
+    v = spark.createDataFrame([(0, 0, 0, 0, 5), (0, 0, 0, 1, 9), (0, 0, 0, 3, 5), (0, 0, 0, 4, 4), (0, 0, 0, 6, 3)], "roi int, z int, y int, x int, v int")
+    from voxloom.operators import masks
+
+    assert sorted(r["x"] for r in masks.peaks(v, 3, [(0, 0, 1), (0, 0, -1)]).collect()) == [1, 3]

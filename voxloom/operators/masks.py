@@ -62,14 +62,14 @@ def around(points: DataFrame, voxels: DataFrame, offs: list[tuple[int, int, int]
     rest = [c for c in points.columns if c not in ("roi", "z", "y", "x")]
     spread = points.withColumn("_o", o).select("roi", *[(F.col(a) + F.col(f"_o.d{a}")).alias(a) for a in "zyx"], *[F.col(a).alias(f"c{a}") for a in "zyx"], *rest)
     near = voxels.select("roi", "z", "y", "x", F.col(value).alias("near"))
-    return spread.join(near, ["roi", "z", "y", "x"]).select("roi", *[F.col(f"c{a}").alias(a) for a in "zyx"], *rest, "near")
+    return spread.join(near.hint("merge"), ["roi", "z", "y", "x"]).select("roi", *[F.col(f"c{a}").alias(a) for a in "zyx"], *rest, "near")
 
 
 def peaks(voxels: DataFrame, level: float, offs: list[tuple[int, int, int]]) -> DataFrame:
-    """Voxels above ``level`` without a larger one in their footprint: the definition of a seed, as a left anti join."""
+    """Voxels above ``level`` without a larger one in their footprint: the definition of a seed, as a left anti join.  What is larger is above ``level`` too."""
     candidates = voxels.where(F.col("v") > level)
-    larger = around(candidates, voxels, offs).where("near > v").select("roi", "z", "y", "x").distinct()
-    return candidates.join(larger, ["roi", "z", "y", "x"], "left_anti").select("roi", "z", "y", "x", "v")
+    larger = around(candidates, candidates, offs).where("near > v").select("roi", "z", "y", "x").distinct()
+    return candidates.join(larger.hint("merge"), ["roi", "z", "y", "x"], "left_anti").select("roi", "z", "y", "x", "v")
 
 
 def offsets(connectivity: int) -> list[tuple[int, int, int]]:
@@ -117,14 +117,14 @@ def z_window(labels: DataFrame, spec: str, depth: int) -> DataFrame:
 def drop_small(labels: DataFrame, least: int) -> DataFrame:
     """Voxels of objects of at least ``least`` voxels."""
     sizes = labels.groupBy("roi", "label").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("roi", "label")
-    return labels.join(sizes, ["roi", "label"], "left_semi")
+    return labels.join(sizes.hint("merge"), ["roi", "label"], "left_semi")
 
 
 def renumbered(labels: DataFrame, least: int = 0, keys: list[str] = TILE) -> DataFrame:
     """Objects of at least ``least`` voxels, numbered 1..n by label inside each tile; objects are not split."""
     sizes = labels.groupBy(*keys, "label").agg(F.count("*").alias("n")).where(F.col("n") >= least)
     ids = sizes.select(*keys, "label", F.dense_rank().over(Window.partitionBy(*keys).orderBy("label")).cast("long").alias("new_label"))
-    return labels.join(ids, [*keys, "label"])
+    return labels.join(ids.hint("merge"), [*keys, "label"])
 
 
 def stretched(voxels: DataFrame, lo: float = 1.0, hi: float = 99.0, keys: list[str] = TILE) -> DataFrame:

@@ -43,7 +43,7 @@ def projection(voxels: DataFrame, axis: str = "z") -> DataFrame:
 
 def brightest_label(voxels: DataFrame, labels: DataFrame, axis: str = "z") -> DataFrame:
     """Label of the brightest labelled voxel along an axis, the first on a tie."""
-    both = voxels.join(labels.select("roi", "z", "y", "x", "label"), ["roi", "z", "y", "x"])
+    both = voxels.join(labels.select("roi", "z", "y", "x", "label").hint("merge"), ["roi", "z", "y", "x"])
     return both.groupBy("roi", *[a for a in "zyx" if a != axis]).agg(F.max(F.struct("v", (-F.col(axis)).alias("m"), "label"))["label"].alias("label"))
 
 

@@ -15,11 +15,14 @@ VOXEL = ["roi", "z", "y", "x"]
 
 
 def overlaps(gt: DataFrame, pred: DataFrame) -> DataFrame:
-    """(roi, gt, pred, both, gt_area, pred_area, iou) of every overlapping pair: one join on the voxel, one count."""
+    """(roi, gt, pred, both, gt_area, pred_area, iou) of every overlapping pair: one join on the voxel, one count.
+
+    Volumes made from few rows look small to the planner, so joins of voxels name the join by shuffle.
+    """
     a = gt.groupBy("roi", F.col("label").alias("gt")).agg(F.count("*").alias("gt_area"))
     b = pred.groupBy("roi", F.col("label").alias("pred")).agg(F.count("*").alias("pred_area"))
-    c = gt.select(*VOXEL, F.col("label").alias("gt")).join(pred.select(*VOXEL, F.col("label").alias("pred")), VOXEL).groupBy("roi", "gt", "pred").agg(F.count("*").alias("both"))
-    return c.join(a, ["roi", "gt"]).join(b, ["roi", "pred"]).select("roi", "gt", "pred", "both", "gt_area", "pred_area", (F.col("both") / (F.col("gt_area") + F.col("pred_area") - F.col("both"))).alias("iou"))
+    c = gt.select(*VOXEL, F.col("label").alias("gt")).join(pred.select(*VOXEL, F.col("label").alias("pred")).hint("merge"), VOXEL).groupBy("roi", "gt", "pred").agg(F.count("*").alias("both"))
+    return c.join(a.hint("merge"), ["roi", "gt"]).join(b.hint("merge"), ["roi", "pred"]).select("roi", "gt", "pred", "both", "gt_area", "pred_area", (F.col("both") / (F.col("gt_area") + F.col("pred_area") - F.col("both"))).alias("iou"))
 
 
 def greedy(pairs: DataFrame, least: float = 0.5) -> DataFrame:
@@ -34,7 +37,7 @@ def greedy(pairs: DataFrame, least: float = 0.5) -> DataFrame:
         best = left.withColumn("a", F.row_number().over(Window.partitionBy("roi", "gt").orderBy(*order))).withColumn("b", F.row_number().over(Window.partitionBy("roi", "pred").orderBy(*order)))
         best = settled(best.where("a = 1 and b = 1").drop("a", "b"))
         taken = best if taken is None else taken.unionByName(best)
-        left = settled(left.join(best.select("roi", "gt"), ["roi", "gt"], "left_anti").join(best.select("roi", "pred"), ["roi", "pred"], "left_anti"))
+        left = settled(left.join(best.select("roi", "gt").hint("merge"), ["roi", "gt"], "left_anti").join(best.select("roi", "pred").hint("merge"), ["roi", "pred"], "left_anti"))
     return left if taken is None else taken
 
 
