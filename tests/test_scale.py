@@ -39,3 +39,26 @@ def test_peaks_read_the_volume_for_candidates_only(spark):
     from voxloom.operators import masks
 
     assert sorted(r["x"] for r in masks.peaks(v, 3, [(0, 0, 1), (0, 0, -1)]).collect()) == [1, 3]
+
+
+def test_halo_pieces_meet_their_objects_by_shuffle(spark):
+    from voxloom.plans.queries import QUERIES
+
+    assert "BuildLeft" not in plan(QUERIES["halo_assemble"](spark, SF))
+
+
+def test_audit_size_draws_a_twentieth_and_twenty_at_least(spark):
+    from voxloom.plans.queries import QUERIES
+    from voxloom.plans import queries_qc  # noqa: F401
+
+    one = QUERIES["audit_size"](spark, "/root/testdata/sf0.001").first()
+    assert one["pool"] > 20 and one["n"] == max(20, -(-one["pool"] // 20))
+
+
+def test_median_filter_reads_its_volume_once(spark):
+    from voxloom.operators import masks
+
+    m = masks.median_filter(X.raw(spark, SF), masks.offsets(6))
+    assert "Broadcast" not in plan(m) and plan(m).count("FileScan") == plan(X.raw(spark, SF)).count("FileScan")
+    v = spark.createDataFrame([(0, 0, 0, 0, 5), (0, 0, 0, 1, 9), (0, 0, 0, 3, 5)], "roi int, z int, y int, x int, v int")
+    assert sorted((r["x"], r["median"]) for r in masks.median_filter(v, [(0, 0, 1), (0, 0, -1)]).collect()) == [(0, 7.0), (1, 7.0), (3, 5.0)]

@@ -121,10 +121,10 @@ def qc_summary(spark, sf):
     return qc.summary(t, qc.main_picks(t), qc.audit_result(_sheet(spark, sf)), timings).withColumn("value", F.round("value", 6))
 
 
-@query("with " + _ALL + " select count(*) as pool, least(count(*), greatest(10, ceil(0.015 * count(*))))::bigint as n from ass where usable and has_output", ("qc",))
+@query("with " + _ALL + " select count(*) as pool, least(count(*), greatest(20, ceil(0.05 * count(*))))::bigint as n from ass where usable and has_output", ("qc",))
 def audit_size(spark, sf):
     t = _assessed(spark, sf)
-    s = qc.audit_sample(t)
+    s = qc.audit_sample(t, least=20, share=0.05)
     return t.where("usable and has_output").agg(F.count("*").alias("pool")).join(s.agg(F.count("*").alias("n")))
 
 
