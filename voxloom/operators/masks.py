@@ -150,7 +150,8 @@ def strided(voxels: DataFrame, dz: int, dxy: int, tile: int = 24) -> DataFrame:
 
 
 def median_filter(voxels: DataFrame, offs: list[tuple[int, int, int]]) -> DataFrame:
-    """Median over each voxel and its neighbours inside the volume."""
+    """Median over each voxel and its neighbours inside the volume; a place that no voxel holds is only seen by its neighbours and left out."""
     o = F.explode(F.array(*[F.struct(*[F.lit(int(v)).alias(f"d{a}") for a, v in zip("zyx", x, strict=True)]) for x in [(0, 0, 0), *offs]]))
-    spread = voxels.select("roi", "z", "y", "x", "v", o.alias("o")).select("roi", *[(F.col(a) + F.col(f"o.d{a}")).alias(a) for a in "zyx"], "v")
-    return spread.groupBy("roi", "z", "y", "x").agg(F.median("v").alias("median")).join(voxels.select("roi", "z", "y", "x"), ["roi", "z", "y", "x"], "left_semi")
+    here = (F.col("o.dz") == 0) & (F.col("o.dy") == 0) & (F.col("o.dx") == 0)
+    spread = voxels.select("roi", "z", "y", "x", "v", o.alias("o")).select("roi", *[(F.col(a) + F.col(f"o.d{a}")).alias(a) for a in "zyx"], "v", here.alias("here"))
+    return spread.groupBy("roi", "z", "y", "x").agg(F.median("v").alias("median"), F.max("here").alias("here")).where("here").drop("here")
