@@ -111,7 +111,7 @@ def owned(objects: DataFrame, size: int) -> DataFrame:
     kept = objects.where(inside)
     tiles = objects.select("roi", "tz", "ty", "tx").distinct()
     ordinal = numbered(tiles, "ordinal", ("tz", "ty", "tx"))
-    kept = kept.join(ordinal, ["roi", "tz", "ty", "tx"]).withColumn("j", F.row_number().over(Window.partitionBy("roi", "tz", "ty", "tx").orderBy("label")))
+    kept = kept.join(ordinal.hint("merge"), ["roi", "tz", "ty", "tx"]).withColumn("j", F.row_number().over(Window.partitionBy("roi", "tz", "ty", "tx").orderBy("label")))
     gid = F.when(F.col("j") < 4096, F.col("ordinal").cast("long") * 4096 + F.col("j")).otherwise(F.raise_error(F.lit("4096 objects or more in a tile")).cast("long"))
     return kept.withColumn("gid", gid).drop("ordinal", "j")
 

@@ -46,7 +46,7 @@ def numbered(tiles: DataFrame, name: str = "k", within: tuple[str, ...] = ("z",
     counts = tiles.groupBy("roi").agg(F.count("*").alias("n"))
     shift = counts.select(F.col("roi").alias("roi_"), F.coalesce(F.sum("n").over(Window.orderBy("roi").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     inside = tiles.withColumn(name, F.row_number().over(Window.partitionBy("roi").orderBy(*within)) - 1)
-    return inside.join(shift, F.col("roi") == F.col("roi_")).withColumn(name, F.col(name) + F.col("before")).drop("roi_", "before")
+    return inside.join(shift.hint("merge"), F.col("roi") == F.col("roi_")).withColumn(name, F.col(name) + F.col("before")).drop("roi_", "before")
 
 
 def every_nth(tiles: DataFrame, n: int) -> DataFrame:
