@@ -34,6 +34,15 @@ def test_joins_of_voxels_broadcast_no_volume(spark):
     assert "Broadcast" not in plan(masks.renumbered(gt, 200))
 
 
+def test_levels_of_rois_meet_voxels_by_shuffle(spark):
+    from voxloom.operators import masks, objects
+
+    raw = X.raw(spark, SF)
+    assert "Broadcast" not in plan(objects.descriptors(raw))
+    assert "Broadcast" not in plan(masks.stretched(raw))
+    assert "Broadcast" not in plan(masks.otsu_mask(raw))
+
+
 def test_peaks_read_the_volume_for_candidates_only(spark):
     v = spark.createDataFrame([(0, 0, 0, 0, 5), (0, 0, 0, 1, 9), (0, 0, 0, 3, 5), (0, 0, 0, 4, 4), (0, 0, 0, 6, 3)], "roi int, z int, y int, x int, v int")
     from voxloom.operators import masks

@@ -34,7 +34,7 @@ def percentile_mask(voxels: DataFrame, percentile: float = 90.0, floor_k: float
     t = h.groupBy(*SLICE).agg(F.percentile("v", percentile / 100, F.col("c")).alias("t"), F.min("v").alias("lo"), F.max("v").alias("hi")).where("lo < hi").select(*SLICE, "t")
     if floor_k > 0:
         t = t.join(background_floor(h, floor_k), SLICE).select(*SLICE, F.greatest("t", "floor").alias("t"))
-    return v.join(t, SLICE).where("v > t").select("roi", "z", "y", "x")
+    return v.join(t.hint("shuffle_hash"), SLICE).where("v > t").select("roi", "z", "y", "x")
 
 
 def otsu_threshold(voxels: DataFrame, keys: list[str] = TILE) -> DataFrame:
@@ -48,7 +48,7 @@ def otsu_threshold(voxels: DataFrame, keys: list[str] = TILE) -> DataFrame:
 
 
 def otsu_mask(voxels: DataFrame, keys: list[str] = TILE) -> DataFrame:
-    return voxels.join(otsu_threshold(voxels, keys), keys).where("v > threshold").select("roi", "z", "y", "x")
+    return voxels.join(otsu_threshold(voxels, keys).hint("shuffle_hash"), keys).where("v > threshold").select("roi", "z", "y", "x")
 
 
 def above(probabilities: DataFrame, threshold: float = 0.5, value: str = "p") -> DataFrame:
@@ -130,7 +130,7 @@ def renumbered(labels: DataFrame, least: int = 0, keys: list[str] = TILE) -> Dat
 def stretched(voxels: DataFrame, lo: float = 1.0, hi: float = 99.0, keys: list[str] = TILE) -> DataFrame:
     """Values scaled to [0, 1] between two percentiles, and standardised by mean and sample deviation."""
     s = voxels.groupBy(*keys).agg(F.percentile("v", lo / 100).alias("lo"), F.percentile("v", hi / 100).alias("hi"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("sd"))
-    out = voxels.join(s, keys)
+    out = voxels.join(s.hint("shuffle_hash"), keys)
     unit = F.when(F.col("hi") > F.col("lo"), F.least(F.greatest((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")), F.lit(0.0)), F.lit(1.0))).otherwise(0.0)
     return out.withColumn("unit", unit).withColumn("standard", F.when(F.col("sd") > 0, (F.col("v") - F.col("mean")) / F.col("sd")))
 
