@@ -193,7 +193,7 @@ def hungarian(pairs: DataFrame, edge: float = 0.25, least: float = 0.5, epsilon:
     e = settled(pairs.where(F.col("iou") >= edge))
     node = lambda side: F.concat_ws(":", F.col("roi").cast("string"), F.col(side).cast("string"))
     e = e.withColumns({"a": node("gt"), "b": node("pred")})
-    return e.join(heaviest(e.select("a", "b", F.col("iou").alias("w")), epsilon, most), ["a", "b"]).where(F.col("iou") >= least).select(*pairs.columns)
+    return e.join(heaviest(e.select("a", "b", F.col("iou").alias("w")), epsilon, most).hint("merge"), ["a", "b"]).where(F.col("iou") >= least).select(*pairs.columns)
 
 
 def detection(matches: DataFrame, gt: DataFrame, pred: DataFrame) -> DataFrame:

@@ -142,7 +142,7 @@ def swept(
     run_of = F.to_json(F.struct("roi", "setting")).alias("roi")
     at = ["z", "y", "x", "label"]
     pred = z_window(settled(pred.select(run_of, *at)), z_range, shape[0])
-    truth = z_window(gt.select("roi", *at), z_range, shape[0]).join(todo, "roi").select(run_of, *at)
+    truth = z_window(gt.select("roi", *at), z_range, shape[0]).join(todo.hint("merge"), "roi").select(run_of, *at)
     hit = hungarian(overlaps(truth, pred), edge, edge).groupBy("roi").agg(F.count("*").alias("matched"), F.avg("iou").alias("iou"))
     n = [d.groupBy("roi").agg(F.countDistinct("label").alias(c)) for d, c in ((truth, "n_gt"), (pred, "n_pred"))]
     out = todo.select(F.col("roi").alias("item"), "setting", run_of).join(hit, "roi", "left").join(n[0], "roi", "left").join(n[1], "roi", "left").na.fill(0, ["matched", "n_gt", "n_pred"]).na.fill(0.0, ["iou"])
