@@ -71,3 +71,46 @@ def test_median_filter_reads_its_volume_once(spark):
     assert "Broadcast" not in plan(m) and plan(m).count("FileScan") == plan(X.raw(spark, SF)).count("FileScan")
     v = spark.createDataFrame([(0, 0, 0, 0, 5), (0, 0, 0, 1, 9), (0, 0, 0, 3, 5)], "roi int, z int, y int, x int, v int")
     assert sorted((r["x"], r["median"]) for r in masks.median_filter(v, [(0, 0, 1), (0, 0, -1)]).collect()) == [(0, 7.0), (1, 7.0), (3, 5.0)]
+
+
+def test_lines_of_raw_volumes_hold_the_voxels_of_raw(spark):
+    sf = "/root/testdata/sf0.001"
+    lines = X.raw_lines(spark, sf)
+    assert "Broadcast" not in plan(lines)
+    back = lines.select("roi", "z", "y", F.inline(F.arrays_zip("xs", "vs"))).withColumnsRenamed({"xs": "x", "vs": "v"})
+    raw = X.raw(spark, sf)
+    assert back.count() == raw.count() and not back.exceptAll(raw).count()
+
+
+def test_kernels_by_tile_copy_lines_not_voxels(spark):
+    from voxloom.operators import segment
+
+    raw = X.raw(spark, "/root/testdata/sf0.001")
+    for voxels in (raw, X.raw_lines(spark, "/root/testdata/sf0.001")):
+        blocks = segment._blocks(voxels, 24, 7, (48, 48, 48))[0]
+        assert blocks.count() * 5 < raw.count()
+
+
+def test_lines_and_voxels_make_the_same_blocks(spark):
+    import numpy as np
+    from voxloom.operators import project, segment
+    from voxloom.sources import tiles
+
+    rng = np.random.default_rng(3)
+    rows = [("a", *map(int, p), int(rng.integers(1, 99))) for p in np.argwhere(rng.random((9, 10, 23)) < 0.2) if not 4 <= p[2] < 15]  # nothing lies in the middle
+    v = spark.createDataFrame(rows, "roi string, z long, y long, x long, v long")
+    kept = {r["tx"] for r in project.halo(v, 4, 2).select("tx").distinct().collect()}
+    both = [segment.per_tile(d, lambda a: np.full(a.shape, a.sum()), "s", keep_zero=True, tile=4, margin=2, shape=(9, 10, 23)) for d in (v, tiles.lines(v), tiles.lines(v, size=4))]
+    one = sorted(map(tuple, both[0].collect()))
+    assert {x // 4 * 4 for _, _, _, x, _ in one} == {t for t in kept if 0 <= t < 23}  # a tile without voxels in reach has no block
+    assert all(sorted(map(tuple, b.collect())) == one for b in both[1:])
+    box = lambda z, y, x: sum(r[4] for r in rows if all(t - 2 <= c < t + 6 for c, t in zip(r[1:4], (z // 4 * 4, y // 4 * 4, x // 4 * 4), strict=True)))
+    assert all(s == box(z, y, x) for _, z, y, x, s in one[::97])
+
+
+def test_objects_of_tiles_meet_their_voxels_by_shuffle(spark):
+    from voxloom.operators import segment
+    from voxloom.plans.queries import SMALL
+
+    labels, found = segment.tiled_segmentation(X.raw_lines(spark, "/root/testdata/sf0.001"), (48, 48, 48), 24, 12, SMALL)
+    assert "BroadcastHashJoin" not in plan(labels) and "BroadcastHashJoin" not in plan(found)

@@ -103,6 +103,16 @@ def halo(voxels: DataFrame, size: int, margin: int | tuple[int, int, int]) -> Da
     return out
 
 
+def halo_lines(lines: DataFrame, size: int, margin: int | tuple[int, int, int]) -> DataFrame:
+    """``halo`` for lines along x (roi, z, y, xs, vs): each copied to the tiles that need some of it, with the voxels that such a tile needs; a copy may be empty."""
+    mz, my, mx = margin if isinstance(margin, tuple) else (margin,) * 3
+    out = lines
+    for a, first, last in (("z", F.col("z") - mz, F.col("z") + mz), ("y", F.col("y") - my, F.col("y") + my), ("x", F.array_min("xs") - mx, F.array_max("xs") + mx)):
+        out = out.withColumn(f"t{a}", F.explode(F.sequence(F.floor(first / size), F.floor(last / size)))).withColumn(f"t{a}", (F.col(f"t{a}") * size).cast("long"))
+    near = lambda x: (x >= F.col("tx") - mx) & (x < F.col("tx") + size + mx)
+    return out.withColumn("vs", F.filter("vs", lambda v, i: near(F.get("xs", i)))).withColumn("xs", F.filter("xs", near))
+
+
 def owned(objects: DataFrame, size: int) -> DataFrame:
     """Objects of halo blocks (roi, tz, ty, tx, label, cz, cy, cx) kept where the centroid lies in the block's own tile; adds gid = tile ordinal * 4096 + rank."""
     inside = F.lit(True)

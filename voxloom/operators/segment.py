@@ -1,4 +1,4 @@
-"""Kernels applied to tiles: one grouped map for each tile; rows in, sparse rows out."""
+"""Kernels applied to tiles: one grouped map for each tile; lines of voxels in, sparse rows out."""
 
 from __future__ import annotations
 
@@ -6,13 +6,18 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import kernels as K
 from . import objects as O
-from .project import assembled, halo, owned
+from .project import assembled, halo_lines, owned
 from ..sources.session import importable
+from ..sources.tiles import lines
 from .settings import Settings
 from .shared import settled
 
@@ -21,53 +26,81 @@ BLOCK = ("tz", "ty", "tx")
 
 
 def _blocks(voxels: DataFrame, tile: int | None, margin: int | tuple[int, int, int], shape: tuple[int, int, int] | None) -> tuple[DataFrame, list[str], Callable]:
-    """Voxels by block, the block's key, and a function (key, rows) -> (lowest corner, values, which voxels are there)."""
+    """Voxels as lines by block, the block's key, and a function (key, lines) -> (lowest corner, values, which voxels are there), None for a block without voxels.
+
+    Voxels (roi, z, y, x, v) are put into lines along x first, unless they come as such (``tiles.lines``): what is copied, shuffled and sorted are lines, not voxels.
+    """
     keys, margins = ["roi"], margin if isinstance(margin, tuple) else (margin,) * 3
+    runs = voxels if "xs" in voxels.columns else lines(voxels, size=tile)
     if tile:
-        voxels, keys = halo(voxels, tile, margins), ["roi", *BLOCK]
+        runs, keys = halo_lines(runs, tile, margins), ["roi", *BLOCK]
         for t, n in zip(BLOCK, shape or (None,) * 3, strict=True):
-            voxels = voxels.where((F.col(t) >= 0) & (F.col(t) < n)) if n else voxels.where(F.col(t) >= 0)
+            runs = runs.where((F.col(t) >= 0) & (F.col(t) < n)) if n else runs.where(F.col(t) >= 0)
 
-    def dense(key: tuple, g: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        lo, hi = np.zeros(3, int), np.array(shape) if shape else g[["z", "y", "x"]].max().to_numpy() + 1
+    def dense(key: tuple, g: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+        at, v = unpacked(g)
+        if not len(v):
+            return None
+        lo, hi = np.zeros(3, int), np.array(shape) if shape else at.max(axis=1) + 1
         if tile:
             o = np.array(key[1:])
             lo = np.maximum(lo, o - margins)
             hi = np.minimum(hi, o + tile + margins) if shape else o + tile + margins
         elif not shape:
-            lo = g[["z", "y", "x"]].min().to_numpy()
+            lo = at.min(axis=1)
         a, there = np.zeros(tuple(hi - lo)), np.zeros(tuple(hi - lo), bool)
-        at = tuple(g[c].to_numpy() - l for c, l in zip("zyx", lo, strict=True))
-        a[at], there[at] = g["v"].to_numpy(), True
+        at = tuple(at - lo[:, None])
+        a[at], there[at] = v, True
         return lo, a, there
 
-    return voxels, keys, dense
+    return runs, keys, dense
+
+
+def unpacked(g: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Places (3, n) and values of the voxels of lines (z, y, xs, vs)."""
+    n = pc.list_value_length(g["xs"]).to_numpy()
+    flat = lambda c: pc.list_flatten(g[c]).to_numpy()
+    return np.array([np.repeat(g["z"].to_numpy(), n), np.repeat(g["y"].to_numpy(), n), flat("xs")]), flat("vs")
 
 
 def per_tile(
-    voxels: DataFrame, kernel: Callable[[np.ndarray], np.ndarray], value: str = "v", out: str = "long", keep_zero: bool = False, tile: int | None = None, margin: int | tuple[int, int, int] = 0,
+    voxels: DataFrame, kernel: Callable[[np.ndarray], np.ndarray | tuple[np.ndarray, ...]], value: str | tuple[str, ...] = "v", out: str = "long", keep_zero: bool = False, tile: int | None = None, margin: int | tuple[int, int, int] = 0,
     shape: tuple[int, int, int] | None = None,
 ) -> DataFrame:
-    """A kernel over each tile's dense block: (roi, z, y, x, value), zeros left out.
+    """A kernel over each tile's dense block: (roi, z, y, x, value), zeros left out; voxels come as rows (roi, z, y, x, v) or as ``tiles.lines``.
 
     With ``tile`` a block is a tile of that side and ``margin`` voxels around it, inside ``shape``, the declared size of a roi; what the kernel gives in the margin is
     dropped, so a kernel that reaches no farther than the margin gives the same as over the whole roi.  Without it a roi is one tile.
-    Blocks are made inside the task from sparse rows; voxels that aren't there are 0, and don't change a block's size.
+    Blocks are made inside the task from sparse lines; voxels that aren't there are 0, and don't change a block's size.
+    A kernel that gives several arrays has as many names in ``value``, and a voxel is left out where all are 0.
     """
     importable(voxels.sparkSession)
-    roi = dict(voxels.dtypes)["roi"]
-    voxels, keys, dense = _blocks(voxels, tile, margin, shape)
-
-    def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        lo, a, _ = dense(key, g)
+    names = [value] if isinstance(value, str) else list(value)
+    fields = T.StructType.fromDDL(f"roi {dict(voxels.dtypes)['roi']}, z long, y long, x long, " + ", ".join(f"{v} {out}" for v in names))
+    kinds, (voxels, keys, dense) = to_arrow_schema(fields), _blocks(voxels, tile, margin, shape)
+
+    def run(key: tuple, g: pa.Table) -> pa.Table:
+        key = [k.as_py() for k in key]
+        block = dense(key, g)
+        if block is None:
+            return kinds.empty_table()
+        lo, a, _ = block
         r = kernel(a)
+        r = [r] if isinstance(value, str) else list(r)
         if tile:
             core = tuple(slice(max(0, o - l), o - l + tile) for o, l in zip(key[1:], lo, strict=True))
-            r, lo = r[core], np.array([l + s.start for l, s in zip(lo, core, strict=True)])
-        pick = np.indices(r.shape).reshape(3, -1) if keep_zero else np.array(np.nonzero(r))
-        return pd.DataFrame({"roi": key[0], **{c: pick[i] + lo[i] for i, c in enumerate("zyx")}, value: r[tuple(pick)]})
+            r, lo = [one[core] for one in r], np.array([l + s.start for l, s in zip(lo, core, strict=True)])
+        pick = np.indices(r[0].shape).reshape(3, -1) if keep_zero else np.array(np.nonzero(np.any([one != 0 for one in r], axis=0)))
+        return table(kinds, {"roi": key[0], **{c: pick[i] + lo[i] for i, c in enumerate("zyx")}, **{n: one[tuple(pick)] for n, one in zip(names, r, strict=True)}})
 
-    return voxels.groupBy(*keys).applyInPandas(run, f"roi {roi}, z long, y long, x long, {value} {out}")
+    return voxels.groupBy(*keys).applyInArrow(run, fields)
+
+
+def table(kinds: pa.Schema, columns: dict) -> pa.Table:
+    """Columns of the kinds of a schema; one that is no array is the same in every row."""
+    n = max(len(c) for c in columns.values() if isinstance(c, np.ndarray))
+    whole = lambda f: pa.array(columns[f.name]).cast(f.type) if isinstance(columns[f.name], np.ndarray) else pa.repeat(pa.scalar(columns[f.name], f.type), n)
+    return pa.Table.from_arrays([whole(f) for f in kinds], schema=kinds)
 
 
 def segmented(voxels: DataFrame, shape: tuple[int, int, int] | None = None, **config) -> DataFrame:
@@ -83,22 +116,27 @@ def tiled_segmentation(voxels: DataFrame, shape: tuple[int, int, int], tile: int
     boundary is found once, and where kept objects meet, the tile's own comes first.  No task holds more than one block.
     """
     importable(voxels.sparkSession)
-    roi = dict(voxels.dtypes)["roi"]
-    blocks, keys, dense = _blocks(voxels, tile, margin, shape)
+    fields = T.StructType.fromDDL(f"roi {dict(voxels.dtypes)['roi']}, tz long, ty long, tx long, z long, y long, x long, label long")
+    kinds, (blocks, keys, dense) = to_arrow_schema(fields), _blocks(voxels, tile, margin, shape)
     config = settings.kernel()
 
-    def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        lo, a, there = dense(key, g)
+    def run(key: tuple, g: pa.Table) -> pa.Table:
+        key = [k.as_py() for k in key]
+        block = dense(key, g)
+        if block is None:
+            return kinds.empty_table()
+        lo, a, there = block
         r = K.segment(a, valid=there, **config)[1]
         pick = np.array(np.nonzero(r))
-        return pd.DataFrame({**dict(zip(keys, key, strict=True)), **{c: pick[i] + lo[i] for i, c in enumerate("zyx")}, "label": r[tuple(pick)]})
+        return table(kinds, {**dict(zip(keys, key, strict=True)), **{c: pick[i] + lo[i] for i, c in enumerate("zyx")}, "label": r[tuple(pick)]})
 
-    found = settled(blocks.groupBy(*keys).applyInPandas(run, f"roi {roi}, tz long, ty long, tx long, z long, y long, x long, label long"))
+    found = settled(blocks.groupBy(*keys).applyInArrow(run, fields))
     stats = settled(screened(found, settings, tuple(keys)))
     own = settled(owned(stats.where("accepted"), tile))
+    gids = own.select(*keys, "label", "gid").hint("merge")
     code = lambda p: F.struct(*[(F.floor(F.col(c) / tile) * tile).cast("long").alias(t) for c, t in zip(p, BLOCK, strict=True)])
-    pieces = found.join(own.select(*keys, "label", "gid"), [*keys, "label"]).select("roi", "z", "y", "x", code("zyx").alias("target"), F.struct(*BLOCK).alias("source"), "gid")
-    return assembled(pieces), stats.join(own.select(*keys, "label", "gid"), [*keys, "label"], "left")
+    pieces = found.join(gids, [*keys, "label"]).select("roi", "z", "y", "x", code("zyx").alias("target"), F.struct(*BLOCK).alias("source"), "gid")
+    return assembled(pieces), stats.join(gids, [*keys, "label"], "left")
 
 
 def screened(labels: DataFrame, settings: Settings = Settings(), keys: tuple[str, ...] = ("roi",)) -> DataFrame:  # noqa: B008
@@ -117,19 +155,24 @@ def accepted_labels(voxels: DataFrame, settings: Settings = Settings(), shape: t
 def blob_density(voxels: DataFrame, shape: tuple[int, int, int], diameter: float = 15.0, keys: tuple[str, ...] = ("roi",)) -> DataFrame:
     """(keys, n_blobs, blobs_per_mvox) of every tile, of the declared shape: peaks of the smoothed tile (``kernels.blobs``); null for a tile of fewer than 1,000 non-zero voxels.
 
-    A tile is what ``keys`` name; where they hold its origin (tz, ty, tx), voxels lie relative to that.
+    A tile is what ``keys`` name; where they hold its origin (tz, ty, tx), voxels lie relative to that.  Voxels come as rows or as ``tiles.lines``.
     """
     importable(voxels.sparkSession)
     kinds = dict(voxels.dtypes)
-
-    def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        lo = [key[keys.index(t)] if t in keys else 0 for t in BLOCK]
-        a = np.zeros(shape)
-        a[tuple(g[c].to_numpy() - l for c, l in zip("zyx", lo, strict=True))] = g["v"]
+    fields = T.StructType.fromDDL(", ".join(f"{k} {kinds[k]}" for k in keys) + ", n_blobs long, blobs_per_mvox double")
+    runs, kinds = voxels if "xs" in voxels.columns else lines(voxels, keys), to_arrow_schema(fields)
+
+    def run(key: tuple, g: pa.Table) -> pa.Table:
+        key = [k.as_py() for k in key]
+        lo = np.array([key[keys.index(t)] if t in keys else 0 for t in BLOCK])
+        a, (at, v) = np.zeros(shape), unpacked(g)
+        if not len(v):
+            return kinds.empty_table()
+        a[tuple(at - lo[:, None])] = v
         n, density = K.blobs(a, diameter) or (None, None)
-        return pd.DataFrame([[*key, n, density]], columns=[*keys, "n_blobs", "blobs_per_mvox"]).astype({"n_blobs": "Int64", "blobs_per_mvox": "float64"})
+        return pa.Table.from_pylist([dict(zip(kinds.names, [*key, None if n is None else int(n), density], strict=True))], schema=kinds)
 
-    return voxels.groupBy(*keys).applyInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", n_blobs long, blobs_per_mvox double")
+    return runs.groupBy(*keys).applyInArrow(run, fields)
 
 
 def solidity(labels: DataFrame, stats: DataFrame, threshold: float, keys: tuple[str, ...] = ("roi", "label")) -> DataFrame:

@@ -96,6 +96,12 @@ def cut(voxels: DataFrame, size: int) -> DataFrame:
     return voxels
 
 
+def lines(voxels: DataFrame, keys: tuple[str, ...] = ("roi",), size: int | None = None) -> DataFrame:
+    """Voxels (keys, z, y, x, v) by lines along x: (keys, z, y, xs, vs), one row for many voxels; with ``size`` a line is cut where tiles of that side meet."""
+    piece = [F.floor(F.col("x") / size).alias("_piece")] if size else []
+    return voxels.groupBy(*keys, "z", "y", *piece).agg(F.collect_list(F.struct("x", "v")).alias("_run")).select(*keys, "z", "y", F.col("_run.x").alias("xs"), F.col("_run.v").alias("vs"))
+
+
 def label_type(labels: DataFrame) -> DataFrame:
     """Smallest unsigned type for each roi's labels."""
     m = labels.groupBy("roi").agg(F.max("label").alias("m"))
