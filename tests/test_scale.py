@@ -114,3 +114,11 @@ def test_objects_of_tiles_meet_their_voxels_by_shuffle(spark):
 
     labels, found = segment.tiled_segmentation(X.raw_lines(spark, "/root/testdata/sf0.001"), (48, 48, 48), 24, 12, SMALL)
     assert "BroadcastHashJoin" not in plan(labels) and "BroadcastHashJoin" not in plan(found)
+
+
+def test_banks_read_their_volume_once(spark):
+    from voxloom.plans.queries import QUERIES
+
+    once = plan(X.raw_lines(spark, SF)).count("FileScan")
+    for name in ("denoise_bank",):
+        assert plan(QUERIES[name](spark, SF)).count("FileScan") == once
