@@ -120,5 +120,5 @@ def test_banks_read_their_volume_once(spark):
     from voxloom.plans.queries import QUERIES
 
     once = plan(X.raw_lines(spark, SF)).count("FileScan")
-    for name in ("denoise_bank",):
+    for name in ("denoise_bank", "landscape_variants"):
         assert plan(QUERIES[name](spark, SF)).count("FileScan") == once
