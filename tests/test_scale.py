@@ -122,3 +122,11 @@ def test_banks_read_their_volume_once(spark):
     once = plan(X.raw_lines(spark, SF)).count("FileScan")
     for name in ("denoise_bank", "landscape_variants"):
         assert plan(QUERIES[name](spark, SF)).count("FileScan") == once
+
+
+def test_deskewed_volumes_are_neither_collected_nor_shuffled(spark):
+    from voxloom.plans.queries import QUERIES
+
+    p = plan(QUERIES["deskew_volume"](spark, SF))
+    assert "Broadcast" not in p and "hashpartitioning(roi" in p
+    assert not [x for x in p.splitlines() if "Exchange hashpartitioning" in x and "ENSURE" in x and "x#" in x.split("ENSURE")[0]]  # the shares of voxels meet where their line is
