@@ -130,3 +130,21 @@ def test_deskewed_volumes_are_neither_collected_nor_shuffled(spark):
     p = plan(QUERIES["deskew_volume"](spark, SF))
     assert "Broadcast" not in p and "hashpartitioning(roi" in p
     assert not [x for x in p.splitlines() if "Exchange hashpartitioning" in x and "ENSURE" in x and "x#" in x.split("ENSURE")[0]]  # the shares of voxels meet where their line is
+
+
+def test_voxels_of_a_roi_are_counted_and_cut_without_a_shuffle(spark):
+    from voxloom.operators import graph, masks, objects, project
+    from voxloom.sources import tiles
+
+    t = X.truth(spark, SF)
+    blobs = tiles.to_blobs(t.select("roi", "z", "y", "x", F.col("label").alias("v")), 24)
+    for d in (objects.statistics(t), masks.drop_small(t, 200), graph.tiled(t, 24), graph.faces(graph.tiled(t, 24), 24), project.splat(t, 30.0, 24.0), blobs, objects.volume_zscores(objects.statistics(t), 300)):
+        p = plan(d)
+        assert p.count("Exchange") == p.count("REPARTITION_BY_NUM") == 1 and p.count("FileScan") == 1 and "Join" not in p
+
+
+def test_predicted_spheres_split_however_large_their_keys(spark, tmp_path):
+    spark.createDataFrame([(k,) for k in (7, 12, 200007, 200012)], "s_suppkey long").write.parquet(str(tmp_path / "supplier.parquet"))
+    spark.createDataFrame([(50,), (150,), (157,)], "p_partkey long").write.parquet(str(tmp_path / "part.parquet"))
+    found = {r["label"] for r in X.predicted(spark, str(tmp_path)).select("label").distinct().collect()}
+    assert found == {8, 100008, 13, 200008, 300008, 200013, 200050, 200150}

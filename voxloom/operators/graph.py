@@ -46,8 +46,7 @@ def tiled(labels: DataFrame, size: int) -> DataFrame:
     """Labels cut into tiles: origin (tz, ty, tx) and a label local to each tile, numbered by the old label."""
     t = labels.select("roi", *[(F.floor(F.col(a) / size) * size).cast("long").alias(f"t{a}") for a in "zyx"], "z", "y", "x", "label")
     w = Window.partitionBy("roi", "tz", "ty", "tx").orderBy("label")
-    local = t.select("roi", "tz", "ty", "tx", "label").distinct().withColumn("local", F.row_number().over(w).cast("long"))
-    return t.join(local, ["roi", "tz", "ty", "tx", "label"])
+    return t.select("roi", "tz", "ty", "tx", "label", "z", "y", "x", F.dense_rank().over(w).cast("long").alias("local"))
 
 
 KEY = ["roi", "tz", "ty", "tx"]
@@ -55,15 +54,13 @@ KEY = ["roi", "tz", "ty", "tx"]
 
 def faces(tiles: DataFrame, size: int) -> DataFrame:
     """First and last planes of each tile and axis: (key, axis, side 0 first / 1 last, u, v, local); the rest is pruned at the scan."""
-    parts = []
+    some, planes = F.lit(False), []
     for axis, (a, u, v) in enumerate((("z", "y", "x"), ("y", "z", "x"), ("x", "z", "y"))):
         for side in (0, 1):
             on = (F.col(a) - F.col(f"t{a}")) == (size - 1 if side else 0)
-            parts.append(tiles.where(on).select(*KEY, F.lit(axis).alias("axis"), F.lit(side).alias("side"), F.col(u).alias("u"), F.col(v).alias("v"), "local"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+            some = some | on
+            planes.append(F.when(on, F.struct(F.lit(axis).alias("axis"), F.lit(side).alias("side"), F.col(u).alias("u"), F.col(v).alias("v"))))
+    return tiles.where(some).withColumn("_on", F.explode(F.array_compact(F.array(*planes)))).select(*KEY, "_on.*", "local")
 
 
 def face_edges(tiles: DataFrame, size: int, least_pixels: int = 10, least_share: float = 0.5) -> DataFrame:

@@ -116,8 +116,7 @@ def z_window(labels: DataFrame, spec: str, depth: int) -> DataFrame:
 
 def drop_small(labels: DataFrame, least: int) -> DataFrame:
     """Voxels of objects of at least ``least`` voxels."""
-    sizes = labels.groupBy("roi", "label").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("roi", "label")
-    return labels.join(sizes.hint("merge"), ["roi", "label"], "left_semi")
+    return labels.withColumn("_n", F.count("*").over(Window.partitionBy("roi", "label"))).where(F.col("_n") >= least).drop("_n")
 
 
 def renumbered(labels: DataFrame, least: int = 0, keys: list[str] = TILE) -> DataFrame:
