@@ -148,3 +148,13 @@ def test_predicted_spheres_split_however_large_their_keys(spark, tmp_path):
     spark.createDataFrame([(50,), (150,), (157,)], "p_partkey long").write.parquet(str(tmp_path / "part.parquet"))
     found = {r["label"] for r in X.predicted(spark, str(tmp_path)).select("label").distinct().collect()}
     assert found == {8, 100008, 13, 200008, 300008, 200013, 200050, 200150}
+
+
+def test_centroids_are_made_once_before_they_are_searched(spark):
+    from voxloom.operators import objects, score
+
+    sf = "/root/testdata/sf0.001"
+    g, p = (objects.statistics(d).select("roi", F.col("label").alias("id"), *[F.col(f"c{a}").alias(a) for a in "zyx"]) for d in (X.truth(spark, sf), X.predicted(spark, sf)))
+    assert "FileScan" not in plan(score.centroid_detection(g, p))
+    assert score._gathered(g).rdd.getNumPartitions() == 1
+    assert "BroadcastHashJoin" not in plan(score.within(g, p, 9.0))

@@ -240,11 +240,15 @@ def instance_metrics(pairs: DataFrame, gt: DataFrame, pred: DataFrame, threshold
     }).drop("total")
 
 
+POINTS = 20_000  # centroids that a task reads
+
+
 def centroid_detection(gt: DataFrame, pred: DataFrame, max_distance: float | None = None, fallback: float = 10.0) -> DataFrame:
     """Ratio of counts, and share of gt centroids (roi, id, z, y, x) with a prediction within the mean nearest-neighbour spacing of gt.
 
     Distance joins are equi-joins on grid cells of the distance's size and their neighbours, then refined.
     """
+    gt, pred = _gathered(gt), _gathered(pred)
     if max_distance is None:
         near = nearest_spacing(gt).agg(F.avg("d")).first()[0]
         max_distance = float(near) if near is not None else fallback
@@ -253,6 +257,12 @@ def centroid_detection(gt: DataFrame, pred: DataFrame, max_distance: float | Non
     return n.select("n_gt", "n_pred", F.lit(max_distance).alias("max_distance"), ratio(F.col("n_pred"), F.col("n_gt"), None).alias("count_ratio"), ratio(F.col("found"), F.col("n_gt"), None).alias("detected"))
 
 
+def _gathered(points: DataFrame) -> DataFrame:
+    """Points made once, as they are read many times, in a task for each ``POINTS`` of them: they are few where the voxels that they come from were many."""
+    made = settled(points)
+    return made.coalesce(max(1, -(-made.count() // POINTS)))
+
+
 def _cells(df: DataFrame, size: float, spread: bool) -> DataFrame:
     out = df
     for a in "zyx":
@@ -266,18 +276,18 @@ def within(a: DataFrame, b: DataFrame, distance: float) -> DataFrame:
     size = max(distance, 1e-9)
     right = _cells(b.select("roi", F.col("id").alias("other"), "z", "y", "x"), size, True).withColumnsRenamed({x: f"o{x}" for x in "zyx"})
     d = F.sqrt(sum((F.col(x) - F.col(f"o{x}")) * (F.col(x) - F.col(f"o{x}")) for x in "zyx"))
-    return _cells(a, size, False).join(right, ["roi", "cz", "cy", "cx"]).withColumn("d", d).where(F.col("d") <= distance).select("roi", "id", "other", "d")
+    return _cells(a, size, False).join(right.hint("merge"), ["roi", "cz", "cy", "cx"]).withColumn("d", d).where(F.col("d") <= distance).select("roi", "id", "other", "d")
 
 
 def nearest_spacing(points: DataFrame, size: float = 8.0) -> DataFrame:
     """(roi, id, d): distance to the nearest other point of the roi; cells grow until every point with company has one, however far."""
     out, left = None, points
     many = points.groupBy("roi").agg(F.count("*").alias("n")).where("n > 1").select("roi")
-    left = settled(points.join(many, "roi", "left_semi"))
+    left = settled(points.join(many.hint("merge"), "roi", "left_semi"))
     while left.limit(1).count():
         near = settled(within(left, points, size).where("id <> other").groupBy("roi", "id").agg(F.min("d").alias("d")))
         out = near if out is None else out.unionByName(near)
-        left = settled(left.join(near, ["roi", "id"], "left_anti"))
+        left = settled(left.join(near.hint("merge"), ["roi", "id"], "left_anti"))
         size *= 4
     return out if out is not None else points.select("roi", "id", F.lit(None).cast("double").alias("d")).limit(0)
 
