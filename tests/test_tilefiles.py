@@ -38,3 +38,14 @@ def test_a_failed_task_leaves_nothing(spark, tmp_path):
     with pytest.raises(Exception, match="no such type"):
         tilefiles.write_tiles(blobs, str(path))
     assert not [f for f in path.rglob("*") if f.is_file()]
+
+
+def test_small_rois_share_a_task(spark, tmp_path):
+    path = str(tmp_path / "tiles")
+    v = spark.createDataFrame([(k, 0, 0, x, k + x + 1.0) for k in range(60) for x in (0, 2)], "roi long, z long, y long, x long, v double")
+    blobs = tiles.to_blobs(v, 2)
+    tilefiles.write_tiles(blobs, path)
+    back = tilefiles.read_tiles(spark, path)
+    assert back.rdd.getNumPartitions() <= 8  # by bytes, not one for each roi
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, blobs.collect())) and back.count() == 120
+    assert sorted((r["roi"], r["x"]) for r in back.where("roi in ('7', '9') and x >= 2").collect()) == [("7", 2), ("9", 2)]

@@ -1,4 +1,4 @@
-"""Dense tile files as a Spark data source: one file for each tile, planned by roi, read only where filters reach.
+"""Dense tile files as a Spark data source: one file for each tile, planned by bytes in order of roi, read only where filters reach.
 
 A file is ``roi=<roi>/<roi>_z000128_y000000_x000256.tile``: a header of 24 bytes (magic, type, three sizes), then the values.  Files of other names are left out; a folder that isn't there is empty.
 """
@@ -22,6 +22,8 @@ MAGIC = b"VXT1"
 HEADER = struct.Struct("<4s8s3I")
 FIELDS = "roi string, z long, y long, x long, nz long, ny long, nx long, dtype string, data binary"
 SUFFIX = ".tile"
+#: A file counts as so many bytes more, so that a task doesn't open thousands of small ones.
+OPENING = 1 << 20
 #: Comparisons on the origin that choose files before they are opened.
 TESTS = {D.EqualTo: lambda a, b: a == b, D.GreaterThan: lambda a, b: a > b, D.GreaterThanOrEqual: lambda a, b: a >= b, D.LessThan: lambda a, b: a < b, D.LessThanOrEqual: lambda a, b: a <= b, D.In: lambda a, b: a in b}
 
@@ -34,15 +36,14 @@ def _open(uri: str):
 
 @dataclass
 class Tiles(D.InputPartition):
-    """Some tiles of one roi: (path, z, y, x) of each."""
+    """Some tiles, of one roi or of several small ones: (path, roi, z, y, x) of each."""
 
-    roi: str
-    files: list[tuple[str, int, int, int]]
+    files: list[tuple[str, str, int, int, int]]
 
 
 class TileReader(D.DataSourceReader):
-    def __init__(self, path: str, most_bytes: int):
-        self.path, self.most_bytes, self.wanted = path, most_bytes, []
+    def __init__(self, path: str, most_bytes: int, least_tasks: int):
+        self.path, self.most_bytes, self.least_tasks, self.wanted = path, most_bytes, least_tasks, []
 
     def pushFilters(self, filters: list[D.Filter]):
         for f in filters:
@@ -65,22 +66,23 @@ class TileReader(D.DataSourceReader):
                 found.append((*key.values(), info.path, info.size))
         out: list[Tiles] = []
         held = 0
+        most = min(self.most_bytes, sum(OPENING + f[-1] for f in found) // self.least_tasks)
         for roi, z, y, x, path, size in sorted(found):
-            if not out or out[-1].roi != roi or held + size > self.most_bytes:
-                out.append(Tiles(roi, []))
+            if not out or held + OPENING + size > most:
+                out.append(Tiles([]))
                 held = 0
-            out[-1].files.append((path, z, y, x))
-            held += size
+            out[-1].files.append((path, roi, z, y, x))
+            held += OPENING + size
         return out
 
     def read(self, partition: Tiles) -> Iterator[tuple]:
         system, _ = _open(self.path)
-        for path, z, y, x in partition.files if partition else ():
+        for path, roi, z, y, x in partition.files if partition else ():
             with system.open_input_file(path) as f:
                 magic, dtype, *shape = HEADER.unpack(f.read(HEADER.size))
                 if magic != MAGIC:
                     raise ValueError(f"{path} isn't a tile file")
-                yield partition.roi, z, y, x, *shape, dtype.rstrip(b"\0").decode(), bytes(f.read())
+                yield roi, z, y, x, *shape, dtype.rstrip(b"\0").decode(), bytes(f.read())
 
 
 @dataclass
@@ -143,7 +145,7 @@ class TileSource(D.DataSource):
         return FIELDS
 
     def reader(self, schema) -> TileReader:
-        return TileReader(self.options["path"], int(self.options.get("mostBytes", 64 << 20)))
+        return TileReader(self.options["path"], int(self.options.get("mostBytes", 64 << 20)), int(self.options.get("leastTasks", 1)))
 
     def writer(self, schema, overwrite: bool) -> TileWriter:
         return TileWriter(self.options["path"], overwrite)
@@ -156,9 +158,9 @@ def _ready(spark: SparkSession) -> None:
 
 
 def read_tiles(spark: SparkSession, path: str, most_bytes: int = 64 << 20) -> DataFrame:
-    """Tile rows of a folder; filters on roi and on the origin choose which files are opened, and a task reads about ``most_bytes`` of one roi."""
+    """Tile rows of a folder; filters on roi and on the origin choose which files are opened, and a task reads ``most_bytes`` at most (or one file), of as many rois as that holds."""
     _ready(spark)
-    return spark.read.format("tilefiles").option("mostBytes", most_bytes).load(path)
+    return spark.read.format("tilefiles").option("mostBytes", most_bytes).option("leastTasks", spark.sparkContext.defaultParallelism).load(path)
 
 
 def write_tiles(blobs: DataFrame, path: str, mode: str = "append") -> None:
