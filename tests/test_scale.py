@@ -158,3 +158,22 @@ def test_centroids_are_made_once_before_they_are_searched(spark):
     assert "FileScan" not in plan(score.centroid_detection(g, p))
     assert score._gathered(g).rdd.getNumPartitions() == 1
     assert "BroadcastHashJoin" not in plan(score.within(g, p, 9.0))
+
+
+def test_no_task_holds_the_slopes_of_all_objects(spark):
+    import numpy as np
+    from voxloom.operators import objects
+
+    rng = np.random.default_rng(5)
+    rows = [(k % 3, int(z), 0, int(x), k) for k in range(9) for z, x in rng.integers(0, 20, (30, 2))]
+    t = spark.createDataFrame(rows, "roi long, z long, y long, x long, label long")
+    for kept in (t, t.where("label < 8"), t.where("label < 0")):
+        r = objects.residual_shear(kept, 30)
+        assert "percentile(" not in plan(r)
+        slopes = [np.cov(p.T, bias=True)[0, 1] / np.var(p[:, 0]) for k in range(9) if len(p := np.array([(v[1], v[3]) for v in kept.collect() if v[4] == k]))]
+        got = r.first()
+        assert got["objects"] == len(slopes)
+        if slopes:
+            assert np.allclose([got["mean"], got["median"], got["sem"]], [np.mean(slopes), np.median(slopes), np.std(slopes) / len(slopes) ** 0.5])
+        else:
+            assert got["mean"] is None and got["median"] is None
