@@ -49,3 +49,12 @@ def test_small_rois_share_a_task(spark, tmp_path):
     assert back.rdd.getNumPartitions() <= 8  # by bytes, not one for each roi
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, blobs.collect())) and back.count() == 120
     assert sorted((r["roi"], r["x"]) for r in back.where("roi in ('7', '9') and x >= 2").collect()) == [("7", 2), ("9", 2)]
+
+
+def test_labels_beyond_sixteen_bits_come_back_whole(spark, tmp_path):
+    path = str(tmp_path / "tiles")
+    v = spark.createDataFrame([("0", 0, 0, 0, 65535), ("0", 0, 0, 5, 65536), ("1", 1, 0, 0, 360001), ("1", 1, 1, 1, 7), ("2", 0, 1, 0, 2**33)], "roi string, z long, y long, x long, v long")
+    tilefiles.write_tiles(tiles.to_blobs(v, 4), path)
+    back = tilefiles.read_tiles(spark, path)
+    assert sorted(map(tuple, tiles.from_blobs(back).collect())) == sorted(map(tuple, v.collect()))
+    assert {(r["roi"], r["x"]): r["dtype"] for r in back.collect()} == {("0", 0): "uint16", ("0", 4): "uint32", ("1", 0): "uint32", ("2", 0): "uint64"}

@@ -117,16 +117,17 @@ BLOB = T.StructType([T.StructField("roi", T.StringType()), *[T.StructField(a, T.
 
 
 def to_blobs(voxels: DataFrame, size: int) -> DataFrame:
-    """Sparse voxels (roi, z, y, x, v) to one dense zero-padded uint16 row for each tile."""
+    """Sparse voxels (roi, z, y, x, v) to one dense zero-padded row for each tile: uint16, or a wider type where a tile's values need it."""
     import numpy as np
     import pandas as pd
 
     importable(voxels.sparkSession)
 
     def pack(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        a = np.zeros((size, size, size), np.uint16)
+        top = g["v"].max()
+        a = np.zeros((size, size, size), np.uint64 if top > 0xFFFFFFFF else np.uint32 if top > 0xFFFF else np.uint16)
         a[g["lz"], g["ly"], g["lx"]] = g["v"]
-        return pd.DataFrame([[str(key[0]), *map(int, key[1:]), size, size, size, "uint16", a.tobytes()]], columns=BLOB.names)
+        return pd.DataFrame([[str(key[0]), *map(int, key[1:]), size, size, size, a.dtype.name, a.tobytes()]], columns=BLOB.names)
 
     return cut(voxels, size).groupBy("roi", "tz", "ty", "tx").applyInPandas(pack, BLOB)
 
