@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import MAD_TO_SIGMA
-from .shared import settled
+from . import kernels as K
+from .segment import per_tile
 
 TILE = ["roi"]
 SLICE = ["roi", "z"]
@@ -28,13 +29,21 @@ def background_floor(voxels: DataFrame, k: float, keys: list[str] = SLICE, least
 
 
 def percentile_mask(voxels: DataFrame, percentile: float = 90.0, floor_k: float = 0.0, valid: str | None = None) -> DataFrame:
-    """Foreground voxels: above the slice's percentile and its background floor.  Flat slices have none; only ``valid`` voxels count."""
-    v = voxels.where(valid) if valid else voxels
-    h = settled(histogram(v))
-    t = h.groupBy(*SLICE).agg(F.percentile("v", percentile / 100, F.col("c")).alias("t"), F.min("v").alias("lo"), F.max("v").alias("hi")).where("lo < hi").select(*SLICE, "t")
+    """Foreground voxels: above the slice's percentile and its background floor (``background_floor``).  Flat slices have none; only ``valid`` voxels count.
+
+    Levels are taken over windows of one slice, so voxels are made once and meet no table: where those of a roi lie in one task already, none is shuffled.
+    """
+    v, w = voxels.where(valid) if valid else voxels, Window.partitionBy(*SLICE)
+    positive = lambda c: F.when(F.col("v") > 0, c)
+    levels = {"_t": F.percentile("v", percentile / 100).over(w), "_lo": F.min("v").over(w), "_hi": F.max("v").over(w)}
+    if floor_k > 0:
+        levels |= {"_mid": F.percentile(positive(F.col("v")), 0.5).over(w), "_n": F.count(positive(F.lit(1))).over(w)}
+    v = v.select("roi", "z", "y", "x", "v").withColumns(levels)
+    level = F.col("_t")
     if floor_k > 0:
-        t = t.join(background_floor(h, floor_k), SLICE).select(*SLICE, F.greatest("t", "floor").alias("t"))
-    return v.join(t.hint("shuffle_hash"), SLICE).where("v > t").select("roi", "z", "y", "x")
+        v = v.withColumn("_mad", F.percentile(positive(F.abs(F.col("v") - F.col("_mid"))), 0.5).over(w))
+        level = F.greatest(level, F.when(F.col("_n") < 100, F.lit(float("-inf"))).otherwise(F.col("_mid") + floor_k * MAD_TO_SIGMA * F.col("_mad")))
+    return v.where(F.col("_lo") < F.col("_hi")).where(F.col("v") > level).select("roi", "z", "y", "x")
 
 
 def otsu_threshold(voxels: DataFrame, keys: list[str] = TILE) -> DataFrame:
@@ -148,9 +157,10 @@ def strided(voxels: DataFrame, dz: int, dxy: int, tile: int = 24) -> DataFrame:
     return voxels.where(f"(z % {tile}) % {dz} = 0 and (y % {tile}) % {dxy} = 0 and (x % {tile}) % {dxy} = 0")
 
 
-def median_filter(voxels: DataFrame, offs: list[tuple[int, int, int]]) -> DataFrame:
-    """Median over each voxel and its neighbours inside the volume; a place that no voxel holds is only seen by its neighbours and left out."""
-    o = F.explode(F.array(*[F.struct(*[F.lit(int(v)).alias(f"d{a}") for a, v in zip("zyx", x, strict=True)]) for x in [(0, 0, 0), *offs]]))
-    here = (F.col("o.dz") == 0) & (F.col("o.dy") == 0) & (F.col("o.dx") == 0)
-    spread = voxels.select("roi", "z", "y", "x", "v", o.alias("o")).select("roi", *[(F.col(a) + F.col(f"o.d{a}")).alias(a) for a in "zyx"], "v", here.alias("here"))
-    return spread.groupBy("roi", "z", "y", "x").agg(F.median("v").alias("median"), F.max("here").alias("here")).where("here").drop("here")
+def median_filter(voxels: DataFrame, offs: list[tuple[int, int, int]], tile: int = 64, shape: tuple[int, int, int] | None = None) -> DataFrame:
+    """Median over each voxel and its neighbours inside the volume; a place that no voxel holds is only seen by its neighbours and left out.
+
+    By tile: a tile and the margin that its neighbours reach is one block, so lines of voxels are copied to tiles, not voxels to their neighbours.  Voxels come as rows or as ``tiles.lines``.
+    """
+    reach = tuple(max(abs(o[axis]) for o in offs) if offs else 0 for axis in range(3))
+    return per_tile(voxels, lambda a, there: K.median_there(a, there, offs), "median", "double", tile=tile, margin=reach, shape=shape, with_there=True)

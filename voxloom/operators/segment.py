@@ -65,7 +65,7 @@ def unpacked(g: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 
 def per_tile(
     voxels: DataFrame, kernel: Callable[[np.ndarray], np.ndarray | tuple[np.ndarray, ...]], value: str | tuple[str, ...] = "v", out: str = "long", keep_zero: bool = False, tile: int | None = None, margin: int | tuple[int, int, int] = 0,
-    shape: tuple[int, int, int] | None = None,
+    shape: tuple[int, int, int] | None = None, with_there: bool = False,
 ) -> DataFrame:
     """A kernel over each tile's dense block: (roi, z, y, x, value), zeros left out; voxels come as rows (roi, z, y, x, v) or as ``tiles.lines``.
 
@@ -73,6 +73,7 @@ def per_tile(
     dropped, so a kernel that reaches no farther than the margin gives the same as over the whole roi.  Without it a roi is one tile.
     Blocks are made inside the task from sparse lines; voxels that aren't there are 0, and don't change a block's size.
     A kernel that gives several arrays has as many names in ``value``, and a voxel is left out where all are 0.
+    ``with_there`` hands the kernel the block and which of its voxels are there, and rows are made for those, 0 or not.
     """
     importable(voxels.sparkSession)
     names = [value] if isinstance(value, str) else list(value)
@@ -84,13 +85,13 @@ def per_tile(
         block = dense(key, g)
         if block is None:
             return kinds.empty_table()
-        lo, a, _ = block
-        r = kernel(a)
+        lo, a, there = block
+        r = kernel(a, there) if with_there else kernel(a)
         r = [r] if isinstance(value, str) else list(r)
         if tile:
             core = tuple(slice(max(0, o - l), o - l + tile) for o, l in zip(key[1:], lo, strict=True))
-            r, lo = [one[core] for one in r], np.array([l + s.start for l, s in zip(lo, core, strict=True)])
-        pick = np.indices(r[0].shape).reshape(3, -1) if keep_zero else np.array(np.nonzero(np.any([one != 0 for one in r], axis=0)))
+            r, there, lo = [one[core] for one in r], there[core], np.array([l + s.start for l, s in zip(lo, core, strict=True)])
+        pick = np.indices(r[0].shape).reshape(3, -1) if keep_zero else np.array(np.nonzero(there if with_there else np.any([one != 0 for one in r], axis=0)))
         return table(kinds, {"roi": key[0], **{c: pick[i] + lo[i] for i, c in enumerate("zyx")}, **{n: one[tuple(pick)] for n, one in zip(names, r, strict=True)}})
 
     return voxels.groupBy(*keys).applyInArrow(run, fields)
