@@ -44,3 +44,18 @@ def test_slices_find_their_level_without_a_join(spark):
     from voxloom.plans.queries import QUERIES
 
     assert shuffles_spheres_only(QUERIES["slice_percentile_mask"](spark, SF).select("roi", F.col("n"), "s"))
+
+
+def test_medians_copy_lines_to_tiles_and_no_voxel_to_its_neighbours(spark):
+    from voxloom.operators import masks
+    from voxloom.plans.queries import QUERIES
+
+    assert shuffles_spheres_only(masks.median_filter(X.raw_lines(spark, SF), masks.offsets(26), 24, (48, 48, 48)))
+    assert "Generate explode(array(struct" not in plan(QUERIES["denoise_median"](spark, SF))
+    rng = np.random.default_rng(4)
+    a = {tuple(map(int, p)): int(rng.integers(-9, 9)) for p in np.argwhere(rng.random((5, 6, 9)) < 0.7)}
+    v = spark.createDataFrame([("a", *p, k) for p, k in a.items()], "roi string, z long, y long, x long, v long")
+    offs = masks.offsets(18)
+    want = {p: float(np.median([k for o in [(0, 0, 0), *offs] if (k := a.get(tuple(np.add(p, o).tolist()))) is not None])) for p in a}
+    for tile in (3, 64):
+        assert {(r["z"], r["y"], r["x"]): r["median"] for r in masks.median_filter(v, offs, tile).collect()} == want
