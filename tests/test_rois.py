@@ -59,3 +59,12 @@ def test_medians_copy_lines_to_tiles_and_no_voxel_to_its_neighbours(spark):
     want = {p: float(np.median([k for o in [(0, 0, 0), *offs] if (k := a.get(tuple(np.add(p, o).tolist()))) is not None])) for p in a}
     for tile in (3, 64):
         assert {(r["z"], r["y"], r["x"]): r["median"] for r in masks.median_filter(v, offs, tile).collect()} == want
+
+
+def test_faces_meet_where_their_roi_is_and_stitching_broadcasts_nothing(spark):
+    from voxloom.operators import graph
+    from voxloom.plans.queries import QUERIES
+
+    assert shuffles_spheres_only(graph.face_edges(graph.tiled(X.truth(spark, SF), 24), 24))
+    for name in ("stitch_relabel", "stitched_objects", "stitch_capped"):
+        assert "Broadcast" not in plan(QUERIES[name](spark, SF))

@@ -12,14 +12,17 @@ from .shared import settled
 
 
 def component_ids(links: DataFrame) -> DataFrame:
-    """(id, component): the smallest id reachable over links (a, b), by least labels of neighbours and labels of labels."""
+    """(id, component): the smallest id reachable over links (a, b), by least labels of neighbours and labels of labels.
+
+    Links made of few rows of a table look small to the planner, here and below, so joins name the join by shuffle: none is collected for a broadcast.
+    """
     both = settled(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = settled(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("component"), F.lit(True).alias("moved")))
     while labels.where("moved").limit(1).count():
-        near = both.join(labels.select(F.col("id").alias("b"), "component"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
-        step = labels.select("id", "component").join(near, "id").select("id", "component", F.least("component", "near").alias("next"))
+        near = both.join(labels.select(F.col("id").alias("b"), "component").hint("merge"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
+        step = labels.select("id", "component").join(near.hint("merge"), "id").select("id", "component", F.least("component", "near").alias("next"))
         hop = labels.select(F.col("id").alias("next"), F.col("component").alias("far"))
-        step = step.join(hop, "next").select("id", F.least("next", "far").alias("to"), "component")
+        step = step.join(hop.hint("merge"), "next").select("id", F.least("next", "far").alias("to"), "component")
         labels = settled(step.select("id", F.col("to").alias("component"), (F.col("to") < F.col("component")).alias("moved")))
     return labels.select("id", "component")
 
@@ -33,13 +36,13 @@ def components(mask: DataFrame, connectivity: int = 26, tile: int = 64) -> DataF
     local = settled(local_components(mask, connectivity, tile))
     ids = component_ids(border_links(local, connectivity, tile))
     out = local.select("roi", "z", "y", "x", F.struct("roi", *[F.col(f"f{a}").alias(a) for a in "zyx"]).alias("id"))
-    return out.join(ids, "id", "left").select("roi", "z", "y", "x", F.coalesce("component", "id").alias("root"))
+    return out.join(ids.hint("merge"), "id", "left").select("roi", "z", "y", "x", F.coalesce("component", "id").alias("root"))
 
 
 def numbered(comp: DataFrame) -> DataFrame:
     """Components as labels 1..n inside each roi, in order of their first voxel."""
     n = comp.select("roi", "root").distinct().withColumn("label", F.row_number().over(Window.partitionBy("roi").orderBy("root")).cast("long"))
-    return comp.join(n, ["roi", "root"]).drop("root")
+    return comp.join(n.hint("merge"), ["roi", "root"]).drop("root")
 
 
 def tiled(labels: DataFrame, size: int) -> DataFrame:
@@ -64,18 +67,21 @@ def faces(tiles: DataFrame, size: int) -> DataFrame:
 
 
 def face_edges(tiles: DataFrame, size: int, least_pixels: int = 10, least_share: float = 0.5) -> DataFrame:
-    """Edges between objects of neighbouring tiles: common pixels of the touching planes over the smaller plane area."""
-    f = faces(tiles, size)
+    """Edges between objects of neighbouring tiles: common pixels of the touching planes over the smaller plane area.
+
+    Both pixels of a place where two tiles touch are put under the upper tile, by one grouping in place of joins: where the voxels of a roi lie in one task, none is shuffled.
+    """
+    f, on = faces(tiles, size), [*KEY, "axis"]
     step = lambda axis: F.when(F.col("axis") == axis, size).otherwise(0)
-    lower = f.where("side = 1").select("roi", "axis", "u", "v", F.col("local").alias("a"), *[F.col(f"t{x}").alias(f"a{x}") for x in "zyx"], *[(F.col(f"t{x}") + step(k)).alias(f"t{x}") for k, x in enumerate("zyx")])
-    upper = f.where("side = 0").select(*KEY, "axis", "u", "v", F.col("local").alias("b"))
-    on = [*KEY, "axis"]
-    pairs = lower.join(upper, [*on, "u", "v"]).groupBy(*on, "az", "ay", "ax", "a", "b").agg(F.count("*").alias("pixels"))
+    lower = F.col("side") == 1
+    at = f.select("roi", *[F.when(lower, F.col(f"t{x}") + step(k)).otherwise(F.col(f"t{x}")).alias(f"t{x}") for k, x in enumerate("zyx")], "axis", "u", "v", F.when(lower, F.col("local")).alias("a"), F.when(~lower, F.col("local")).alias("b"))
+    at = at.groupBy(*on, "u", "v").agg(F.max("a").alias("a"), F.max("b").alias("b"))
     # Plane areas count only where the other tile exists, which the crop to the common size means here.
-    na = lower.groupBy(*on, "a").agg(F.count("*").alias("na"))
-    nb = upper.groupBy(*on, "b").agg(F.count("*").alias("nb"))
-    e = pairs.join(na, [*on, "a"]).join(nb, [*on, "b"]).withColumn("containment", F.col("pixels") / F.least("na", "nb"))
-    return e.where((F.col("pixels") >= least_pixels) & (F.col("containment") >= least_share)).withColumnsRenamed({"tz": "bz", "ty": "by", "tx": "bx"})
+    area = lambda side: F.count(side).over(Window.partitionBy(*on, side))
+    both = at.withColumn("na", area("a")).withColumn("nb", area("b")).where("a is not null and b is not null")
+    e = both.groupBy(*on, "a", "b").agg(F.count("*").alias("pixels"), F.first("na").alias("na"), F.first("nb").alias("nb")).withColumn("containment", F.col("pixels") / F.least("na", "nb"))
+    e = e.where((F.col("pixels") >= least_pixels) & (F.col("containment") >= least_share)).withColumns({f"a{x}": F.col(f"t{x}") - step(k) for k, x in enumerate("zyx")})
+    return e.withColumnsRenamed({"tz": "bz", "ty": "by", "tx": "bx"})
 
 
 def tile_objects(tiles: DataFrame) -> DataFrame:
@@ -147,13 +153,13 @@ def capped_merge(edges: DataFrame, boxes: DataFrame, cap: float, voxel: tuple[fl
 
     def followed(table: DataFrame, moved: DataFrame, *columns: str) -> DataFrame:
         for c in columns:
-            table = table.join(moved.select(F.col("id").alias(c), F.col("root").alias("_to")), c, "left").withColumn(c, F.coalesce("_to", c)).drop("_to")
+            table = table.join(moved.select(F.col("id").alias(c), F.col("root").alias("_to")).hint("merge"), c, "left").withColumn(c, F.coalesce("_to", c)).drop("_to")
         return table
 
     def fitting(edges: DataFrame, boxes: DataFrame) -> DataFrame:
         two = edges.where("a <> b")
         for side in "ab":
-            two = two.join(boxes.select(F.col("id").alias(side), *[F.col(c).alias(f"{side}{c}") for c in BOX]), side)
+            two = two.join(boxes.select(F.col("id").alias(side), *[F.col(c).alias(f"{side}{c}") for c in BOX]).hint("merge"), side)
         if cap:
             two = two.where(F.greatest(*[(F.greatest(f"a{c}1", f"b{c}1") - F.least(f"a{c}0", f"b{c}0")) * F.lit(float(v)) for c, v in zip("zyx", voxel, strict=True)]) <= cap)
         return two
@@ -163,24 +169,24 @@ def capped_merge(edges: DataFrame, boxes: DataFrame, cap: float, voxel: tuple[fl
         if not edges.limit(1).count():
             return roots if done is None else settled(followed(roots, done, "root"))
         comp, roots = component_ids(edges), settled(roots)
-        of = edges.join(comp.withColumnRenamed("id", "a"), "a")
+        of = edges.join(comp.withColumnRenamed("id", "a").hint("merge"), "a")
         small = settled(of.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") <= most).select("component"))
-        inside = boxes.join(comp.select("id", F.col("component").alias("part")), "id").join(small.select(F.col("component").alias("part")), "part", "left_semi")
-        merged = settled(inside.groupBy("part").cogroup(of.join(small, "component", "left_semi").groupBy("component")).applyInPandas(_merge(cap, voxel), "id string, root string"))
+        inside = boxes.join(comp.select("id", F.col("component").alias("part")).hint("merge"), "id").join(small.select(F.col("component").alias("part")).hint("merge"), "part", "left_semi")
+        merged = settled(inside.groupBy("part").cogroup(of.join(small.hint("merge"), "component", "left_semi").groupBy("component")).applyInPandas(_merge(cap, voxel), "id string, root string"))
         done = merged if done is None else settled(done.unionByName(merged))
-        edges = settled(of.join(small, "component", "left_anti").select("a", "b", *ORDER))
+        edges = settled(of.join(small.hint("merge"), "component", "left_anti").select("a", "b", *ORDER))
         for _ in range(8):
             if not edges.limit(1).count():
                 break
             first = edges.select(F.explode(F.array("a", "b")).alias("id"), order.alias("o")).groupBy("id").agg(F.min("o").alias("first"))
             take = edges.withColumn("o", order)
             for side in "ab":
-                take = take.join(first.select(F.col("id").alias(side), F.col("first").alias(f"{side}_first")), side)
+                take = take.join(first.select(F.col("id").alias(side), F.col("first").alias(f"{side}_first")).hint("merge"), side)
             take = settled(fitting(take.where("o = a_first and o = b_first"), boxes))
             moved = take.select(F.col("b").alias("id"), F.col("a").alias("root"))
             grown = take.select(F.col("a").alias("id"), *[F.least(f"a{c}", f"b{c}").alias(c) if c[1] == "0" else F.greatest(f"a{c}", f"b{c}").alias(c) for c in BOX])
             gone = take.select(F.explode(F.array("a", "b")).alias("id"))
-            boxes = settled(boxes.join(gone, "id", "left_anti").unionByName(grown))
+            boxes = settled(boxes.join(gone.hint("merge"), "id", "left_anti").unionByName(grown))
             roots = followed(roots, moved, "root")
             edges = settled(fitting(followed(edges, moved, "a", "b"), boxes).select("a", "b", *ORDER))
 
@@ -192,10 +198,10 @@ def stitched(tiles: DataFrame, size: int, cap_um: float = 60.0, voxel: tuple[flo
     e = settled(e.select(F.to_json(node("az", "ay", "ax", "a")).alias("a"), F.to_json(node("bz", "by", "bx", "b")).alias("b"), *[c.cast("double").alias(n) for c, n in zip(order, ORDER, strict=True)]))
     objects = settled(tile_objects(tiles).withColumn("id", F.to_json("node")))
     linked = e.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    merged = capped_merge(e, objects.join(linked, "id", "left_semi"), cap_um, voxel, most)
+    merged = capped_merge(e, objects.join(linked.hint("merge"), "id", "left_semi"), cap_um, voxel, most)
     roi = dict(tiles.dtypes)["roi"]
     top = F.from_json(F.col("root"), f"roi {roi}, tz long, ty long, tx long, local long")
-    out = objects.join(merged, "id", "left").withColumn("top", F.when(F.col("root").isNull(), F.col("node")).otherwise(top))
+    out = objects.join(merged.hint("merge"), "id", "left").withColumn("top", F.when(F.col("root").isNull(), F.col("node")).otherwise(top))
     return out.select(*KEY, "local", *[F.col(f"top.t{a}").alias(f"r{a}") for a in "zyx"], F.col("top.local").alias("rlocal"))
 
 
@@ -207,13 +213,13 @@ def global_ids(merged: DataFrame) -> DataFrame:
     inside = first.withColumn("k", F.row_number().over(Window.partitionBy("roi").orderBy("first")))
     counts = first.groupBy("roi").agg(F.count("*").alias("n"))
     shift = counts.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("roi").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    ids = inside.join(shift, "roi").select("roi", "rz", "ry", "rx", "rlocal", (F.col("k") + F.col("before")).cast("long").alias("global_id"))
-    return merged.join(ids, ["roi", "rz", "ry", "rx", "rlocal"])
+    ids = inside.join(shift.hint("merge"), "roi").select("roi", "rz", "ry", "rx", "rlocal", (F.col("k") + F.col("before")).cast("long").alias("global_id"))
+    return merged.join(ids.hint("merge"), ["roi", "rz", "ry", "rx", "rlocal"])
 
 
 def stitched_objects(tiles: DataFrame, ids: DataFrame, voxel: tuple[float, float, float] = (1.0, 1.0, 1.0)) -> DataFrame:
     """Count-weighted centroid, box and longest extent of each global object."""
-    s = tile_objects(tiles).drop("node").join(ids.select(*KEY, "local", "global_id"), [*KEY, "local"])
+    s = tile_objects(tiles).drop("node").join(ids.select(*KEY, "local", "global_id").hint("merge"), [*KEY, "local"])
     g = s.groupBy("roi", "global_id").agg(F.sum("n").alias("voxel_count"), *[(F.sum(f"s{a}") / F.sum("n")).alias(a) for a in "zyx"], *[F.min(f"{a}0").alias(f"{a}0") for a in "zyx"], *[F.max(f"{a}1").alias(f"{a}1") for a in "zyx"])
     longest = F.greatest(*[(F.col(f"{a}1") - F.col(f"{a}0")) * F.lit(float(v)) for a, v in zip("zyx", voxel, strict=True)])
     return g.withColumn("longest_extent_um", longest).select("roi", "global_id", "z", "y", "x", "voxel_count", "longest_extent_um")
