@@ -68,3 +68,10 @@ def test_faces_meet_where_their_roi_is_and_stitching_broadcasts_nothing(spark):
     assert shuffles_spheres_only(graph.face_edges(graph.tiled(X.truth(spark, SF), 24), 24))
     for name in ("stitch_relabel", "stitched_objects", "stitch_capped"):
         assert "Broadcast" not in plan(QUERIES[name](spark, SF))
+
+
+def test_band_passed_values_are_compared_where_they_are_made(spark):
+    from voxloom.plans.queries import QUERIES
+
+    p = plan(QUERIES["bandpass_mask"](spark, SF))
+    assert p.count("FileScan") == 1 and "Join" not in p  # neither written in between nor joined with their level
