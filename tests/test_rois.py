@@ -75,3 +75,15 @@ def test_band_passed_values_are_compared_where_they_are_made(spark):
 
     p = plan(QUERIES["bandpass_mask"](spark, SF))
     assert p.count("FileScan") == 1 and "Join" not in p  # neither written in between nor joined with their level
+
+
+def test_peaks_shuffle_no_copies_of_candidates(spark):
+    from voxloom.operators import masks
+
+    offs = [(0, 0, 0), (0, 0, 1), (0, 1, 0), (-1, 0, 2)]  # not symmetric
+    assert shuffles_spheres_only(masks.peaks(X.raw(spark, SF), 3900, offs))
+    rng = np.random.default_rng(6)
+    a = {tuple(map(int, p)): int(rng.integers(0, 9)) for p in np.argwhere(rng.random((5, 6, 9)) < 0.7)}
+    v = spark.createDataFrame([("a", *p, k) for p, k in a.items()], "roi string, z long, y long, x long, v long")
+    want = {p for p, k in a.items() if k > 3 and all(a.get(tuple(np.add(p, o).tolist()), 0) <= k for o in offs)}
+    assert {(r["z"], r["y"], r["x"]) for r in masks.peaks(v, 3, offs).collect()} == want
