@@ -87,3 +87,10 @@ def test_peaks_shuffle_no_copies_of_candidates(spark):
     v = spark.createDataFrame([("a", *p, k) for p, k in a.items()], "roi string, z long, y long, x long, v long")
     want = {p for p, k in a.items() if k > 3 and all(a.get(tuple(np.add(p, o).tolist()), 0) <= k for o in offs)}
     assert {(r["z"], r["y"], r["x"]) for r in masks.peaks(v, 3, offs).collect()} == want
+
+
+def test_resampled_voxels_are_summed_where_their_roi_is(spark):
+    from voxloom.plans.queries import QUERIES
+
+    p = plan(QUERIES["resample"](spark, SF))
+    assert p.count("Exchange hashpartitioning") == p.count("REPARTITION_BY_NUM") == 1
