@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 from tests.oracle import SF
 from voxloom.sources import fixtures as X
 
+LARGE = "/root/testdata/sf0.1"  # several tasks, so that plans shuffle where they must
+
 
 def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
@@ -18,7 +20,7 @@ def shuffles_spheres_only(df) -> bool:
 
 
 def test_raw_voxels_are_made_where_their_roi_is(spark):
-    assert shuffles_spheres_only(X.raw(spark, SF)) and shuffles_spheres_only(X.raw_lines(spark, SF).groupBy("roi", "z", "y").count())
+    assert shuffles_spheres_only(X.raw(spark, LARGE)) and shuffles_spheres_only(X.raw_lines(spark, LARGE).groupBy("roi", "z", "y").count())
 
 
 def test_raw_follows_its_definition_for_repeated_and_negative_keys(spark, tmp_path):
@@ -43,15 +45,15 @@ def test_raw_follows_its_definition_for_repeated_and_negative_keys(spark, tmp_pa
 def test_slices_find_their_level_without_a_join(spark):
     from voxloom.plans.queries import QUERIES
 
-    assert shuffles_spheres_only(QUERIES["slice_percentile_mask"](spark, SF).select("roi", F.col("n"), "s"))
+    assert shuffles_spheres_only(QUERIES["slice_percentile_mask"](spark, LARGE).select("roi", F.col("n"), "s"))
 
 
 def test_medians_copy_lines_to_tiles_and_no_voxel_to_its_neighbours(spark):
     from voxloom.operators import masks
     from voxloom.plans.queries import QUERIES
 
-    assert shuffles_spheres_only(masks.median_filter(X.raw_lines(spark, SF), masks.offsets(26), 24, (48, 48, 48)))
-    assert "Generate explode(array(struct" not in plan(QUERIES["denoise_median"](spark, SF))
+    assert shuffles_spheres_only(masks.median_filter(X.raw_lines(spark, LARGE), masks.offsets(26), 24, (48, 48, 48)))
+    assert "Generate explode(array(struct" not in plan(QUERIES["denoise_median"](spark, LARGE))
     rng = np.random.default_rng(4)
     a = {tuple(map(int, p)): int(rng.integers(-9, 9)) for p in np.argwhere(rng.random((5, 6, 9)) < 0.7)}
     v = spark.createDataFrame([("a", *p, k) for p, k in a.items()], "roi string, z long, y long, x long, v long")
@@ -65,15 +67,15 @@ def test_faces_meet_where_their_roi_is_and_stitching_broadcasts_nothing(spark):
     from voxloom.operators import graph
     from voxloom.plans.queries import QUERIES
 
-    assert shuffles_spheres_only(graph.face_edges(graph.tiled(X.truth(spark, SF), 24), 24))
+    assert shuffles_spheres_only(graph.face_edges(graph.tiled(X.truth(spark, LARGE), 24), 24))
     for name in ("stitch_relabel", "stitched_objects", "stitch_capped"):
-        assert "Broadcast" not in plan(QUERIES[name](spark, SF))
+        assert "Broadcast" not in plan(QUERIES[name](spark, LARGE))
 
 
 def test_band_passed_values_are_compared_where_they_are_made(spark):
     from voxloom.plans.queries import QUERIES
 
-    p = plan(QUERIES["bandpass_mask"](spark, SF))
+    p = plan(QUERIES["bandpass_mask"](spark, LARGE))
     assert p.count("FileScan") == 1 and "Join" not in p  # neither written in between nor joined with their level
 
 
@@ -81,7 +83,7 @@ def test_peaks_shuffle_no_copies_of_candidates(spark):
     from voxloom.operators import masks
 
     offs = [(0, 0, 0), (0, 0, 1), (0, 1, 0), (-1, 0, 2)]  # not symmetric
-    assert shuffles_spheres_only(masks.peaks(X.raw(spark, SF), 3900, offs))
+    assert shuffles_spheres_only(masks.peaks(X.raw(spark, LARGE), 3900, offs))
     rng = np.random.default_rng(6)
     a = {tuple(map(int, p)): int(rng.integers(0, 9)) for p in np.argwhere(rng.random((5, 6, 9)) < 0.7)}
     v = spark.createDataFrame([("a", *p, k) for p, k in a.items()], "roi string, z long, y long, x long, v long")
@@ -90,7 +92,24 @@ def test_peaks_shuffle_no_copies_of_candidates(spark):
 
 
 def test_resampled_voxels_are_summed_where_their_roi_is(spark):
+    from voxloom.plans import queries_qc  # noqa: F401
     from voxloom.plans.queries import QUERIES
 
-    p = plan(QUERIES["resample"](spark, SF))
-    assert p.count("Exchange hashpartitioning") == p.count("REPARTITION_BY_NUM") == 1
+    p = plan(QUERIES["resample"](spark, LARGE))
+    assert p.count("Exchange hashpartitioning") == p.count("REPARTITION_BY_NUM") == 1 and "ENSURE_REQUIREMENTS" not in p
+
+
+def test_sweeps_read_lines_and_overlap_objects_where_they_are_found(spark):
+    from voxloom.operators import tune
+    from voxloom.plans.queries import SHAPE, SMALL
+
+    s = spark.createDataFrame([(0, 85.0), (1, 92.0)], "setting long, target_foreground_percentile double")
+    got = [sorted(map(tuple, tune.swept(v, X.truth(spark, SF), s, SHAPE, SMALL, z_range="2:46").collect())) for v in (X.raw_lines(spark, SF), X.raw(spark, SF))]
+    assert got[0] == got[1] and len(got[0]) == 2 * X.raw(spark, SF).select("roi").distinct().count()
+
+
+def test_descriptors_make_their_volume_once(spark):
+    from voxloom.operators import objects
+
+    d = objects.descriptors(X.raw(spark, LARGE))
+    assert "FileScan" not in plan(d) and "Broadcast" not in plan(d)

@@ -119,12 +119,18 @@ def closed(mask: DataFrame, radius: int = 1) -> DataFrame:
     return shifted(wide, ball).groupBy("roi", "z", "y", "x").count().where(F.col("count") == len(ball)).drop("count")
 
 
-def z_window(labels: DataFrame, spec: str, depth: int) -> DataFrame:
-    """Labels of slices lo:hi (half-open, blanks are the ends); an error unless 0 <= lo < hi <= depth."""
+def z_bounds(spec: str, depth: int) -> tuple[int, int]:
+    """lo and hi of lo:hi (half-open, blanks are the ends); an error unless 0 <= lo < hi <= depth."""
     lo, _, hi = spec.partition(":")
     a, b = int(lo or 0), int(hi or depth)
     if not 0 <= a < b <= depth:
         raise ValueError(f"window {spec} isn't inside 0:{depth}")
+    return a, b
+
+
+def z_window(labels: DataFrame, spec: str, depth: int) -> DataFrame:
+    """Labels of slices lo:hi; see ``z_bounds``."""
+    a, b = z_bounds(spec, depth)
     return labels.where((F.col("z") >= a) & (F.col("z") < b))
 
 

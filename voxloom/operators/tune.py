@@ -6,15 +6,19 @@ import math
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.columns import log_distance, ratio
 from ..sources.session import importable
 from .kernels import accepted, segment
-from .masks import z_window
-from .score import hungarian, overlaps
+from ..sources.tiles import lines
+from .masks import z_bounds, z_window
+from .score import hungarian
+from .segment import unpacked
 from .settings import Settings
 from .shared import settled
 
@@ -123,29 +127,40 @@ def swept(
     kinds = dict(raw.dtypes)
     # Which pairs are left: settings are literals, and what the memo holds of a tile is one short list.
     done = memo.groupBy(F.col("item").alias("roi")).agg(F.collect_set("setting").alias("done")) if memo is not None else raw.select("roi", F.array().cast("array<long>").alias("done")).limit(0)
-    items = raw.select("roi").distinct().join(done, "roi", "left")
+    items = raw.select("roi").distinct().join(done.hint("merge"), "roi", "left")
     todo = settled(items.select("roi", F.explode(F.array_except(F.array(*[F.lit(int(k)).cast("long") for k in grid]), F.coalesce("done", F.array().cast("array<long>")))).alias("setting")))
-    parts = todo.groupBy("roi", F.pmod("setting", F.lit(spread)).alias("part")).agg(F.collect_set("setting").alias("settings"))
-
-    def run(key: tuple, g: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        out, a = [], np.zeros(shape)
-        if len(g):
-            a[g["z"], g["y"], g["x"]] = g["v"]
-        for k in sorted(asked["settings"].iloc[0]) if len(asked) and len(g) else ():
+    keys, part = (["roi"], []) if spread == 1 else (["roi", "part"], [F.pmod("setting", F.lit(spread)).cast("long").alias("part")])
+    parts = todo.groupBy("roi", *part).agg(F.collect_set("setting").alias("settings"))
+    fields = T.StructType.fromDDL(f"roi {kinds['roi']}, setting long, gt long, pred long, both long, gt_area long, pred_area long, n_gt long, n_pred long")
+    window, schema = slice(*z_bounds(z_range, shape[0])), to_arrow_schema(fields)
+
+    def run(key: tuple, g: pa.Table, truth: pa.Table) -> pa.Table:
+        """Overlaps of a tile's true objects with those found under each setting, and one row without a pair that counts both."""
+        if not len(g):
+            return schema.empty_table()
+        (at, v), (where, own), a, out = unpacked(g), unpacked(truth), np.zeros(shape), []
+        a[tuple(at)] = v
+        ids, area = np.unique(own, return_counts=True)
+        inside = np.all((where >= 0) & (where < np.array(shape)[:, None]), axis=0)
+        where, own = tuple(where[:, inside]), own[inside]
+        for k in sorted(g["settings"][0].as_py()):
             r = accepted(segment(a, **grid[k].kernel())[1], grid[k])
-            at = np.array(np.nonzero(r))
-            out.append(pd.DataFrame({"roi": key[0], "setting": k, **{c: at[i] for i, c in enumerate("zyx")}, "label": r[tuple(at)]}))
-        return pd.concat(out) if out else pd.DataFrame(columns=["roi", "setting", "z", "y", "x", "label"])
-
-    copies = raw.withColumn("part", F.explode(F.array(*[F.lit(p).cast("long") for p in range(spread)])))
-    pred = copies.groupBy("roi", "part").cogroup(parts.groupBy("roi", "part")).applyInPandas(run, f"roi {kinds['roi']}, setting long, z long, y long, x long, label long")
+            found, size = np.unique(r[window][r[window] > 0], return_counts=True)
+            hit = r[where]
+            pairs, both = np.unique(np.stack((own[hit > 0], hit[hit > 0])), axis=1, return_counts=True)
+            n, none = pairs.shape[1], [None]
+            out.append({"setting": [k] * (n + 1), "gt": pairs[0].tolist() + none, "pred": pairs[1].tolist() + none, "both": both.tolist() + none, "gt_area": area[np.searchsorted(ids, pairs[0])].tolist() + none, "pred_area": size[np.searchsorted(found, pairs[1])].tolist() + none, "n_gt": [None] * n + [len(ids)], "n_pred": [None] * n + [len(found)]})
+        whole = {c: [x for o in out for x in o[c]] for c in out[0]}
+        return pa.Table.from_pydict({"roi": [key[0].as_py()] * len(whole["setting"])} | whole, schema=schema)
+
+    runs = (raw if "xs" in raw.columns else lines(raw)).join(parts.hint("merge"), "roi").select(*keys, "z", "y", "xs", "vs", "settings")
+    objects = lines(z_window(gt.select("roi", "z", "y", "x", F.col("label").alias("v")), z_range, shape[0]))
+    objects = objects if spread == 1 else objects.withColumn("part", F.explode(F.array(*[F.lit(p).cast("long") for p in range(spread)])))
+    seen = settled(runs.groupBy(*keys).cogroup(objects.groupBy(*keys)).applyInArrow(run, fields))
     run_of = F.to_json(F.struct("roi", "setting")).alias("roi")
-    at = ["z", "y", "x", "label"]
-    pred = z_window(settled(pred.select(run_of, *at)), z_range, shape[0])
-    truth = z_window(gt.select("roi", *at), z_range, shape[0]).join(todo.hint("merge"), "roi").select(run_of, *at)
-    hit = hungarian(overlaps(truth, pred), edge, edge).groupBy("roi").agg(F.count("*").alias("matched"), F.avg("iou").alias("iou"))
-    n = [d.groupBy("roi").agg(F.countDistinct("label").alias(c)) for d, c in ((truth, "n_gt"), (pred, "n_pred"))]
-    out = todo.select(F.col("roi").alias("item"), "setting", run_of).join(hit, "roi", "left").join(n[0], "roi", "left").join(n[1], "roi", "left").na.fill(0, ["matched", "n_gt", "n_pred"]).na.fill(0.0, ["iou"])
+    pairs = seen.where("gt is not null").select(run_of, "gt", "pred", (F.col("both") / (F.col("gt_area") + F.col("pred_area") - F.col("both"))).alias("iou"))
+    hit = hungarian(pairs, edge, edge).groupBy("roi").agg(F.count("*").alias("matched"), F.avg("iou").alias("iou"))
+    out = seen.where("gt is null").select(F.col("roi").alias("item"), "setting", run_of, "n_gt", "n_pred").join(hit.hint("merge"), "roi", "left").na.fill(0, ["matched"]).na.fill(0.0, ["iou"])
     out = out.select("item", "setting", ratio(2 * F.col("matched"), F.col("n_gt") + F.col("n_pred")).alias("f1"), "iou", (F.col("n_pred") - F.col("matched")).alias("fp"), "matched")
     return out if memo is None else out.unionByName(memo.select(out.columns))
 
