@@ -113,3 +113,16 @@ def test_descriptors_make_their_volume_once(spark):
 
     d = objects.descriptors(X.raw(spark, LARGE))
     assert "FileScan" not in plan(d) and "Broadcast" not in plan(d)
+
+
+def test_edges_alone_are_matched_without_a_search_for_components(spark, monkeypatch):
+    from voxloom.operators import score
+
+    seen = []
+    real = score.component_ids
+    monkeypatch.setattr(score, "component_ids", lambda links: seen.append(links.count()) or real(links))
+    alone = [("1", "1", 0.3), ("2", "2", 0.9)]
+    chain = [("3", "3", 0.5), ("3", "4", 0.8), ("4", "4", 0.5)]
+    e = lambda rows: spark.createDataFrame(rows, "a string, b string, w double")
+    assert sorted(map(tuple, score.heaviest(e(alone)).collect())) == [("1", "1"), ("2", "2")] and seen == []
+    assert sorted(map(tuple, score.heaviest(e(alone + chain)).collect())) == [("1", "1"), ("2", "2"), ("3", "3"), ("4", "4")] and seen == [3]

@@ -100,19 +100,22 @@ def heaviest(edges: DataFrame, epsilon: float = 1e-3, most: int = GROUP_EDGES) -
     So the total is the largest there is, but for ``epsilon`` for each node of a component that came to step 3.
     """
     importable(edges.sparkSession)
-    left, taken, folds = settled(edges.select("a", "b", "w")), None, []
+    degree = {f"n{s}": F.count("*").over(Window.partitionBy(s)) for s in "ab"}
+    left, folds = settled(edges.select("a", "b", "w").withColumns(degree)), []
+    taken = left.where("na = 1 and nb = 1").select("a", "b")  # an edge alone is in every best matching
+    left = left.where("na > 1 or nb > 1").select("a", "b", "w")
 
     def take(more: DataFrame) -> None:
         nonlocal taken
-        taken = more if taken is None else settled(taken.unionByName(more))
+        taken = settled(taken.unionByName(more))
 
     stuck = False
     while not stuck and left.limit(1).count():
         comp = component_ids(left.select(F.concat(F.lit("a"), "a").alias("a"), F.concat(F.lit("b"), "b").alias("b")))
-        of = settled(left.join(comp.where("id like 'a%'").select(F.expr("substr(id, 2)").alias("a"), "component"), "a"))
+        of = settled(left.join(comp.where("id like 'a%'").select(F.expr("substr(id, 2)").alias("a"), "component").hint("merge"), "a"))
         small = settled(of.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") <= most).select("component"))
-        take(settled(of.join(small, "component", "left_semi").groupBy("component").applyInPandas(_solved, "a string, b string")))
-        left = settled(of.join(small, "component", "left_anti").select("a", "b", "w"))
+        take(settled(of.join(small.hint("merge"), "component", "left_semi").groupBy("component").applyInPandas(_solved, "a string, b string")))
+        left = settled(of.join(small.hint("merge"), "component", "left_anti").select("a", "b", "w"))
         for _ in range(8):
             if not left.limit(1).count():
                 break
@@ -129,7 +132,7 @@ def heaviest(edges: DataFrame, epsilon: float = 1e-3, most: int = GROUP_EDGES) -
     for leaf in reversed(folds):  # the last fold is undone first
         free = leaf.join(taken.select("b"), "b", "left_anti").join(taken.select("a"), "a", "left_anti")
         take(free)
-    return left.select("a", "b") if taken is None else taken
+    return taken
 
 
 def _folded(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
