@@ -126,3 +126,17 @@ def test_edges_alone_are_matched_without_a_search_for_components(spark, monkeypa
     e = lambda rows: spark.createDataFrame(rows, "a string, b string, w double")
     assert sorted(map(tuple, score.heaviest(e(alone)).collect())) == [("1", "1"), ("2", "2")] and seen == []
     assert sorted(map(tuple, score.heaviest(e(alone + chain)).collect())) == [("1", "1"), ("2", "2"), ("3", "3"), ("4", "4")] and seen == [3]
+
+
+def test_tiled_segmentation_deals_out_objects_not_voxels(spark, monkeypatch):
+    from voxloom.operators import segment
+    from voxloom.plans.queries import SHAPE, SMALL
+
+    kept = []
+    real = segment.settled
+    monkeypatch.setattr(segment, "settled", lambda d: kept.append(real(d)) or kept[-1])
+    labels, found = segment.tiled_segmentation(X.raw_lines(spark, SF), SHAPE, 24, 12, SMALL)
+    n = found.count()
+    assert [d.count() for d in kept[:2]] == [n, n] and "z" not in kept[0].columns  # a row for each object of each block
+    assert found.agg(F.sum("area")).first()[0] == kept[0].agg(F.sum(F.size("voxels"))).first()[0]
+    assert found.where("solid != coalesce(solidity >= 0.55, true)").count() == 0 and labels.select("roi", "z", "y", "x").distinct().count() == labels.count()

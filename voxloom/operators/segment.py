@@ -117,26 +117,41 @@ def tiled_segmentation(voxels: DataFrame, shape: tuple[int, int, int], tile: int
     boundary is found once, and where kept objects meet, the tile's own comes first.  No task holds more than one block.
     """
     importable(voxels.sparkSession)
-    fields = T.StructType.fromDDL(f"roi {dict(voxels.dtypes)['roi']}, tz long, ty long, tx long, z long, y long, x long, label long")
+    whole = [f"{a}{k}" for k in "01" for a in "zyx"]
+    fields = T.StructType.fromDDL(f"roi {dict(voxels.dtypes)['roi']}, tz long, ty long, tx long, label long, area long, cz double, cy double, cx double, " + ", ".join(f"{c} long" for c in whole) + ", bound double, solidity double, solid boolean, voxels array<long>")
     kinds, (blocks, keys, dense) = to_arrow_schema(fields), _blocks(voxels, tile, margin, shape)
-    config = settings.kernel()
+    config, least = settings.kernel(), settings.solidity_thresh
 
     def run(key: tuple, g: pa.Table) -> pa.Table:
+        """One row for each object of a block, with its voxels as places in the roi: what is screened and dealt out are objects, not voxels."""
         key = [k.as_py() for k in key]
         block = dense(key, g)
         if block is None:
             return kinds.empty_table()
         lo, a, there = block
         r = K.segment(a, valid=there, **config)[1]
-        pick = np.array(np.nonzero(r))
-        return table(kinds, {**dict(zip(keys, key, strict=True)), **{c: pick[i] + lo[i] for i, c in enumerate("zyx")}, "label": r[tuple(pick)]})
+        at = np.argwhere(r)
+        own = r[tuple(at.T)]
+        order = np.argsort(own, kind="stable")
+        at, (ids, first) = (at + lo)[order], np.unique(own[order], return_index=True)
+        rows = []
+        for label, p in zip(ids.tolist(), np.split(at, first[1:]), strict=False):
+            z0, z1 = p.min(axis=0), p.max(axis=0) + 1
+            bound = len(p) / int((z1 - z0).prod())
+            clear = bound >= least or K.projections_clear(p, least)
+            solidity = None if clear else len(p) / K.hull_volume(p.astype(float))
+            rows.append([*key, label, len(p), *(p.sum(axis=0) / len(p)).tolist(), *z0.tolist(), *z1.tolist(), bound, solidity, clear or solidity >= least, np.ravel_multi_index(tuple(p.T), shape)])
+        return pa.Table.from_arrays([pa.array([row[k] for row in rows], f.type) for k, f in enumerate(kinds)], schema=kinds)
 
     found = settled(blocks.groupBy(*keys).applyInArrow(run, fields))
-    stats = settled(screened(found, settings, tuple(keys)))
+    stats = O.accepted(O.reasons(found.drop("voxels"), keys=tuple(keys), **settings.screen()), settings.accept_big_side_flags)
+    stats = settled(stats)
     own = settled(owned(stats.where("accepted"), tile))
     gids = own.select(*keys, "label", "gid").hint("merge")
-    code = lambda p: F.struct(*[(F.floor(F.col(c) / tile) * tile).cast("long").alias(t) for c, t in zip(p, BLOCK, strict=True)])
-    pieces = found.join(gids, [*keys, "label"]).select("roi", "z", "y", "x", code("zyx").alias("target"), F.struct(*BLOCK).alias("source"), "gid")
+    pieces = found.select(*keys, "label", "voxels").join(gids, [*keys, "label"]).select("roi", F.struct(*BLOCK).alias("source"), "gid", F.explode("voxels").alias("_at"))
+    at = {"z": F.expr(f"_at div {shape[1] * shape[2]}"), "y": F.expr(f"_at div {shape[2]} % {shape[1]}"), "x": F.expr(f"_at % {shape[2]}")}
+    target = F.struct(*[(F.floor(F.col(c) / tile) * tile).cast("long").alias(t) for c, t in zip("zyx", BLOCK, strict=True)])
+    pieces = pieces.withColumns(at).select("roi", "z", "y", "x", target.alias("target"), "source", "gid")
     return assembled(pieces), stats.join(gids, [*keys, "label"], "left")
 
 
